@@ -286,6 +286,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component.
+
+    Rows that repeat that doc_id all come through, and so does a component without any doc_id.
+    """
+    stay = near_duplicates(docs, shingle=shingle, radius=radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+
+
 def fp_hex(fp: str):
     """16 lower-case hex digits of a fingerprint held as a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
