@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, line_dedup, mixing, quality, simhash_segments
+from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, line_dedup, mixing, quality, simhash_segments, warc
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash_segments.op4_simhash_near_dedup,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_warc": warc.op8_warc,
     "op9_bpe": bpe_trie.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.SQL,
+    "op8_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
