@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, line_dedup, mixing, quality, simhash_segments, warc
+from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, language, line_dedup, mixing, quality, simhash_segments, url_filter, warc
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash_near_dedup": simhash_segments.op4_simhash_near_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_warc": warc.op8_warc,
@@ -17,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op3_line_dedup": line_dedup.SQL,
+    "op5_url_filter": url_filter.SQL,
     "op8_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
