@@ -1,4 +1,804 @@
-"""Registered queries of the geographic jobs and their DuckDB SQL."""
+"""Registered queries of the geographic jobs and the DuckDB SQL that checks them.
+
+A query is (spark, sf_dir) -> DataFrame over tables derived from those of ``sf_dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from terrajobs.functions import geo, names, sql, text
+from terrajobs.jobs.derived import derive, duck
+from terrajobs.operators import geocode, maps, matching, quality, registry, roads, spatial
+from terrajobs.sources import tables
 
 QUERIES = {}
 SQL = {}
+
+#: Side of the cells in which lattice boxes of 2.5 by 2.25 degrees are filed.
+SIDE = 2.5
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- the registry -------------------------------------------------------------------------------------------------
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    return registry.clean_registry(derive(spark, d, "registry_raw"))
+
+
+def _comuni(spark: SparkSession, d: str) -> DataFrame:
+    return registry.build_comuni(_registry(spark, d), derive(spark, d, "population"), derive(spark, d, "area"))
+
+
+def _regioni(spark: SparkSession, d: str) -> DataFrame:
+    return registry.build_regioni(_comuni(spark, d))
+
+
+_CLEAN = f"""
+  SELECT CAST(codice_comune AS INT) AS codice_comune, denominazione_comune, denominazione_comune_ita_straniera, CAST(codice_provincia AS INT) AS codice_provincia,
+         split_part(denominazione_provincia, '/', 1) AS denominazione_provincia, denominazione_provincia AS denominazione_provincia_ita_straniera,
+         CAST(codice_regione AS INT) AS codice_regione, split_part(denominazione_regione, '/', 1) AS denominazione_regione, denominazione_regione AS denominazione_regione_ita_straniera,
+         CASE WHEN lower(denominazione_provincia) = 'napoli' AND sigla IS NULL THEN 'NA' ELSE sigla END AS sigla, area_geografica
+  FROM {duck("registry_raw")}"""
+_COMUNI = f"SELECT * FROM ({_CLEAN}) LEFT JOIN {duck('population')} p USING (codice_comune) LEFT JOIN {duck('area')} a USING (codice_comune)"
+_TOTALS = "CAST(coalesce(sum(popolazione), 0) AS BIGINT) AS popolazione, coalesce(sum(superficie_km2), 0) AS superficie_km2"
+WITH = f"WITH comuni AS ({_COMUNI}) "
+
+
+@query(_CLEAN)
+def clean_registry(spark, d):
+    return _registry(spark, d)
+
+
+@query(_COMUNI)
+def build_comuni(spark, d):
+    return _comuni(spark, d)
+
+
+@query(WITH + f"SELECT {', '.join(registry.PROVINCE_KEYS)}, {_TOTALS} FROM comuni GROUP BY ALL")
+def build_province(spark, d):
+    return registry.build_province(_comuni(spark, d))
+
+
+@query(WITH + f"SELECT {', '.join(registry.REGION_KEYS)}, {_TOTALS} FROM comuni GROUP BY ALL")
+def build_regioni(spark, d):
+    return _regioni(spark, d)
+
+
+@query(
+    WITH + "SELECT area_geografica, denominazione_regione, denominazione_provincia, CAST(GROUPING(area_geografica, denominazione_regione, denominazione_provincia) AS BIGINT) AS level, "
+    f"{_TOTALS} FROM comuni GROUP BY ROLLUP (area_geografica, denominazione_regione, denominazione_provincia)"
+)
+def hierarchy_rollup(spark, d):
+    return registry.hierarchy_rollup(_comuni(spark, d))
+
+
+@query(WITH + "SELECT denominazione_comune FROM comuni")
+def area_list_comuni(spark, d):
+    return registry.area_list(_comuni(spark, d), "comune")
+
+
+@query(WITH + "SELECT DISTINCT denominazione_provincia FROM comuni")
+def area_list_province(spark, d):
+    return registry.area_list(_comuni(spark, d), "provincia")
+
+
+_CHANGES = f"SELECT * FROM {duck('changes')} WHERE tipo_variazione IN ('ES', 'CD') AND NOT contains(coalesce(contenuto, ''), '{registry.SECOND_NAME_NOTICE}')"
+
+
+@query(f"SELECT * REPLACE (CAST(data_decorrenza AS VARCHAR) AS data_decorrenza) FROM ({_CHANGES})")
+def filter_administrative_changes(spark, d):
+    return registry.filter_administrative_changes(derive(spark, d, "changes")).withColumn("data_decorrenza", F.col("data_decorrenza").cast("string"))
+
+
+_HISTORY = (
+    f"SELECT {sql.clean_name('denominazione_comune')} AS old_name, min(struct_pack(d := coalesce(data_decorrenza, DATE '0001-01-01'), n := {sql.clean_name('new_denominazione_comune')})).n AS new_name "
+    f"FROM ({_CHANGES}) WHERE new_denominazione_comune IS NOT NULL GROUP BY 1"
+)
+
+
+@query(_HISTORY)
+def historic_name_map(spark, d):
+    return registry.historic_name_map(registry.filter_administrative_changes(derive(spark, d, "changes")))
+
+
+def _bilingual(level: str, dashes: bool) -> str:
+    name, full = f"denominazione_{level}", f"denominazione_{level}_ita_straniera"
+    parts = f"CASE WHEN contains({full}, '/') THEN string_split({full}, '/') ELSE {f'string_split({full}, chr(45))' if dashes else f'[{full}]'} END"
+    return (
+        f"SELECT alias, max(name) AS name FROM (SELECT {sql.clean_name('a')} AS alias, {sql.clean_name(name)} AS name FROM (SELECT unnest({parts}) AS a, {name} FROM comuni "
+        f"WHERE {name} IS DISTINCT FROM {full})) WHERE alias <> name GROUP BY 1"
+    )
+
+
+@query(WITH + _bilingual("comune", True))
+def bilingual_name_map_comuni(spark, d):
+    return registry.bilingual_name_map(_comuni(spark, d), "denominazione_comune", "denominazione_comune_ita_straniera")
+
+
+@query(WITH + _bilingual("regione", False))
+def bilingual_name_map_regioni(spark, d):
+    return registry.bilingual_name_map(_comuni(spark, d), "denominazione_regione", "denominazione_regione_ita_straniera", dashes=False)
+
+
+@query(f"SELECT CAST(Lon AS FLOAT) AS Lon, CAST(Lat AS FLOAT) AS Lat, CAST(round_even(Population * 10, 0) AS INT) / 10 AS Population FROM {duck('grid')} WHERE Population > 0")
+def population_grid(spark, d):
+    return tables.decode_population_grid(tables.encode_population_grid(derive(spark, d, "grid")))
+
+
+# --- names ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT c_custkey, {sql.clean_name('citta')} AS name FROM {duck('dirty')}")
+def clean_name(spark, d):
+    return derive(spark, d, "dirty").select("c_custkey", text.clean_name("citta").alias("name"))
+
+
+@query(f"SELECT c_custkey, {sql.strip_area_prefix(sql.clean_name('citta'), 'comune')} AS comune, {sql.strip_area_prefix(sql.clean_name('prov'), 'provincia')} AS provincia FROM {duck('dirty')}")
+def strip_area_prefix(spark, d):
+    cleaned = {"comune": text.clean_name("citta"), "provincia": text.clean_name("prov")}
+    return derive(spark, d, "dirty").select("c_custkey", *(text.strip_area_prefix(v, k).alias(k) for k, v in cleaned.items()))
+
+
+@query(f"SELECT c_custkey, {sql.english_to_italian(sql.clean_name('citta'))} AS citta, {sql.english_to_italian(sql.clean_name('reg'))} AS reg FROM {duck('dirty')}")
+def english_to_italian(spark, d):
+    return derive(spark, d, "dirty").select("c_custkey", *(text.english_to_italian(text.clean_name(c)).alias(c) for c in ("citta", "reg")))
+
+
+@query(f"SELECT c_custkey, {sql.loose_key(sql.clean_name('citta'))} AS loose FROM {duck('dirty')}")
+def loose_key(spark, d):
+    return derive(spark, d, "dirty").select("c_custkey", text.loose_key(text.clean_name("citta")).alias("loose"))
+
+
+def _homonym_case(name: str, parent: str, at: int) -> str:
+    cases = " ".join(f"WHEN {sql.quote(f'{h[0]}|{h[at]}'.lower())} THEN {sql.quote(h[4])}" for h in names.HOMONYMS)
+    return f"(CASE lower(trim({name})) || '|' || lower(trim({parent})) {cases} ELSE {name} END)"
+
+
+@query(WITH + f"SELECT codice_comune, {_homonym_case('denominazione_comune', 'sigla', 1)} AS by_sigla, {_homonym_case('denominazione_comune', 'denominazione_provincia', 2)} AS by_province FROM comuni")
+def disambiguate_homonyms(spark, d):
+    name = F.col("denominazione_comune")
+    by_sigla, by_province = matching.disambiguate_homonyms(name, sigla=F.col("sigla")), matching.disambiguate_homonyms(name, province=F.col("denominazione_provincia"))
+    return _comuni(spark, d).select("codice_comune", by_sigla.alias("by_sigla"), by_province.alias("by_province"))
+
+
+@query(
+    "SELECT c AS column_name, avg(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS numeric, avg(CASE WHEN regexp_matches(v, '^\\p{L}{2}$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS letters "
+    f"FROM (SELECT DISTINCT 'codice' AS c, codice AS v FROM {duck('dirty')} WHERE codice IS NOT NULL UNION ALL SELECT DISTINCT 'sg', sg FROM {duck('dirty')} WHERE sg IS NOT NULL) GROUP BY 1"
+)
+def identifier_kind(spark, d):
+    dirty = derive(spark, d, "dirty")
+    shares = [text.identifier_shares(dirty.select(F.col(c).alias("v")).where("v IS NOT NULL").distinct()).select(F.lit(c).alias("column_name"), "numeric", "letters") for c in ("codice", "sg")]
+    return shares[0].unionByName(shares[1])
+
+
+@query(f"SELECT part, human FROM (SELECT CAST(p_partkey AS BIGINT) AS part, p_retailprice AS v, CASE WHEN p_retailprice >= 995 THEN printf('%g', round_even(p_retailprice / 100, 0) / 10) || 'K' ELSE printf('%g', round_even(p_retailprice / 10, 0) * 10) END AS human FROM part)")
+def human_format(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part"), text.human_format(F.col("p_retailprice")).alias("human"))
+
+
+def _known(level: str, source: str = "comuni", homonyms: bool = True) -> str:
+    name = f"denominazione_{level}"
+    plain = _homonym_case(name, "sigla", 1) if level == "comune" and homonyms else name
+    return f"SELECT key, max(match_key) AS match_key FROM (SELECT {sql.strip_area_prefix(sql.clean_name(plain), level)} AS key, {plain} AS match_key FROM {source}) WHERE key IS NOT NULL GROUP BY 1"
+
+
+def match_sql(col: str, source: str, level: str, *, areas: str = "comuni", bilingual: str | None = None, history: str | None = None, homonyms: bool = True) -> str:
+    """(col, match_key) of the distinct values of a column: the cascade of match_by_name."""
+    key = sql.strip_area_prefix(sql.clean_name(f"CAST({col} AS VARCHAR)"), level)
+    rows = f"SELECT DISTINCT {col}, {key} AS key FROM {source}"
+    if bilingual:
+        rows = f"SELECT r.{col}, coalesce(b.name, r.key) AS key FROM ({rows}) r LEFT JOIN ({bilingual}) b ON r.key = b.alias"
+    rows = f"SELECT {col}, {sql.english_to_italian('key')} AS key FROM ({rows})"
+    known = _known(level, areas, homonyms)
+    if history:
+        rows = f"SELECT r.{col}, CASE WHEN t.key IS NULL THEN coalesce(h.new_name, r.key) ELSE r.key END AS key FROM ({rows}) r LEFT JOIN ({known}) t ON r.key = t.key LEFT JOIN ({history}) h ON r.key = h.old_name"
+    loose = f"SELECT {sql.loose_key('key')} AS lk, arg_max(match_key, key) AS match_key FROM ({known}) GROUP BY 1"
+    return f"SELECT r.{col}, coalesce(k1.match_key, k2.match_key) AS match_key FROM ({rows}) r LEFT JOIN ({known}) k1 ON r.key = k1.key LEFT JOIN ({loose}) k2 ON k1.match_key IS NULL AND {sql.loose_key('r.key')} = k2.lk"
+
+
+def _aliases(spark, d) -> dict:
+    c = _comuni(spark, d)
+    return {
+        "bilingual": registry.bilingual_name_map(c, "denominazione_comune", "denominazione_comune_ita_straniera"),
+        "history": registry.historic_name_map(registry.filter_administrative_changes(derive(spark, d, "changes"))),
+    }
+
+
+_CITIES = match_sql("citta", duck("dirty"), "comune", bilingual=_bilingual("comune", True), history=_HISTORY)
+
+
+def _cities(spark, d) -> DataFrame:
+    return matching.match_by_name(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "comune", **_aliases(spark, d))
+
+
+@query(WITH + _CITIES)
+def match_by_name(spark, d):
+    return _cities(spark, d)
+
+
+@query(WITH + match_sql("prov", duck("dirty"), "provincia"))
+def match_by_name_province(spark, d):
+    return matching.match_by_name(derive(spark, d, "dirty"), "prov", _comuni(spark, d), "provincia")
+
+
+@query(
+    WITH + f"SELECT q.citta, q.prov, k.match_key FROM (SELECT DISTINCT citta, prov, {sql.english_to_italian(sql.strip_area_prefix(sql.clean_name(_homonym_case('citta', 'prov', 2)), 'comune'))} AS key FROM {duck('dirty')}) q LEFT JOIN ("
+    + f"SELECT a.key, a.match_key FROM ({_known('comune')}) a) k ON k.key = coalesce((SELECT k1.key FROM ({_known('comune')}) k1 WHERE k1.key = q.key), (SELECT arg_max(k2.key, k2.key) FROM ({_known('comune')}) k2 WHERE {sql.loose_key('k2.key')} = {sql.loose_key('q.key')}))"
+)
+def match_by_name_with_parent(spark, d):
+    return matching.match_by_name(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "comune", parent="prov")
+
+
+@query(WITH + f"SELECT sg, match_key FROM (SELECT DISTINCT sg FROM {duck('dirty')}) LEFT JOIN (SELECT lower(sigla) AS k, max(sigla) AS match_key FROM comuni GROUP BY 1) ON lower(sg) = k")
+def match_by_sigla(spark, d):
+    return matching.match_by_sigla(derive(spark, d, "dirty"), "sg", _comuni(spark, d))
+
+
+@query(WITH + f"SELECT codice, match_key FROM (SELECT DISTINCT codice FROM {duck('dirty')}) LEFT JOIN (SELECT DISTINCT codice_comune AS match_key FROM comuni) ON TRY_CAST(codice AS INT) = match_key")
+def match_by_code(spark, d):
+    return matching.match_by_code(derive(spark, d, "dirty"), "codice", _comuni(spark, d), "comune")
+
+
+@query(WITH + f"SELECT DISTINCT citta FROM ({_CITIES}) WHERE citta IS NOT NULL AND match_key IS NULL")
+def not_matched(spark, d):
+    return matching.not_matched(_cities(spark, d), "citta")
+
+
+@query(WITH + f"SELECT DISTINCT citta FROM {duck('dirty')} x WHERE citta IS NOT NULL AND NOT EXISTS (SELECT 1 FROM comuni WHERE denominazione_comune = x.citta)")
+def not_in_registry(spark, d):
+    return matching.not_in_registry(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "denominazione_comune")
+
+
+@query(WITH + f"SELECT citta, CASE WHEN citta = 'xxxx' THEN 'Roma' ELSE match_key END AS match_key FROM ({_CITIES})")
+def manual_match(spark, d):
+    return matching.manual_match(_cities(spark, d), "citta", {"xxxx": "Roma"})
+
+
+def _told(spark, d) -> DataFrame:
+    """Comuni under names that tell homonyms apart, with a few attributes."""
+    c = _comuni(spark, d)
+    return c.select(matching.disambiguate_homonyms(F.col("denominazione_comune"), sigla=F.col("sigla")).alias("comune"), "codice_comune", F.col("sigla").alias("sg"))
+
+
+def _enrich(how: str, **flags):
+    oracle = (
+        WITH + f", m AS ({_CITIES}), told AS (SELECT {_homonym_case('denominazione_comune', 'sigla', 1)} AS comune, codice_comune, sigla AS sg FROM comuni), "
+        f"kept AS (SELECT x.c_custkey, x.citta, x.sg, m.match_key FROM {duck('dirty')} x LEFT JOIN m ON x.citta IS NOT DISTINCT FROM m.citta) "
+        f"SELECT kept.c_custkey, kept.citta, kept.sg, t.comune, t.codice_comune, t.sg AS sg_new FROM kept {how} JOIN told t ON kept.match_key = t.comune"
+    )
+
+    def run(spark, d):
+        rows = derive(spark, d, "dirty").select("c_custkey", "citta", "sg")
+        return matching.enrich_result(rows, _cities(spark, d), _told(spark, d), ["citta"], "comune", **flags)
+
+    run.__name__ = f"enrich_{how.lower()}"
+    query(oracle)(run)
+
+
+_enrich("LEFT")
+_enrich("INNER", drop_not_match=True)
+_enrich("FULL", add_missing=True)
+_enrich("RIGHT", add_missing=True, drop_not_match=True)
+
+
+@query(WITH + f"SELECT m.citta, c.codice_comune, c.denominazione_comune, c.popolazione FROM ({_CITIES}) m JOIN comuni c ON m.match_key = {_homonym_case('c.denominazione_comune', 'c.sigla', 1)}")
+def lookup_area(spark, d):
+    return matching.lookup_area(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "comune", **_aliases(spark, d)).select("citta", "codice_comune", "denominazione_comune", "popolazione")
+
+
+# --- localities, pages, similarity ------------------------------------------------------------------------------------
+
+_PARTS = r"'(?:([^,]+), )?([^,]+), ([^,]+), ([^,0-9]+)(?:, ([0-9]{5}))?, Italia'"
+
+
+def _parsed(source: str) -> str:
+    part = lambda i: sql.clean_name(f"CASE WHEN regexp_matches(address, {_PARTS}) THEN regexp_extract(address, {_PARTS}, {i}) END")
+    known = lambda c: f"(SELECT {sql.clean_name(f'denominazione_{c}')} FROM comuni)"
+    parts = f"SELECT *, {part(1)} AS c2, {part(2)} AS c1, {part(3)} AS p, {part(4)} AS r FROM {source}"
+    found = f"SELECT *, CASE WHEN c1 IN {known('comune')} THEN c1 WHEN c2 IN {known('comune')} THEN c2 WHEN p IN {known('comune')} THEN p END AS c, p IN {known('provincia')} AND r IN {known('regione')} AS ok FROM ({parts})"
+    return f"SELECT * EXCLUDE (c1, c2, p, r, c, ok), CASE WHEN ok THEN c END AS parsed_comune, CASE WHEN ok AND c IS NOT NULL THEN p END AS parsed_provincia, CASE WHEN ok AND c IS NOT NULL THEN r END AS parsed_regione FROM ({found})"
+
+
+@query(WITH + _parsed(duck("localities")))
+def parse_address(spark, d):
+    return matching.parse_addresses(derive(spark, d, "localities"), "address", _comuni(spark, d))
+
+
+_ASKED = f"(SELECT DISTINCT name FROM {duck('localities')})"
+
+
+@query(
+    WITH + f"SELECT a.name, min(struct_pack(r := h.rank, c := h.parsed_comune)).c AS comune FROM {_ASKED} a JOIN ({_parsed(duck('localities'))}) h ON {sql.clean_name('a.name')} = {sql.clean_name('h.name')} "
+    f"AND contains({sql.clean_name('h.address')}, {sql.clean_name('a.name')}) WHERE h.parsed_comune IS NOT NULL GROUP BY 1"
+)
+def match_localities(spark, d):
+    places = derive(spark, d, "localities")
+    return matching.match_localities(places.select("name").distinct(), "name", places.withColumnRenamed("name", "gname").select(F.col("gname").alias("name"), "address", "rank"), _comuni(spark, d))
+
+
+_SAID_NAME = r"regexp_extract(text, 'posto (\w+) si trova', 1)"
+
+
+@query(
+    WITH + f", said AS (SELECT {_SAID_NAME} AS nome, regexp_extract(text, 'comune di ([^.]+)', 1) AS rest FROM {duck('said')}), "
+    "heads AS (SELECT nome, array_to_string(string_split(rest, ' ')[1:i], ' ') AS candidate FROM said, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i)), "
+    f"met AS (SELECT DISTINCT nome, candidate FROM heads JOIN (SELECT DISTINCT {sql.clean_name('denominazione_comune')} AS k FROM comuni) ON candidate = k) "
+    "SELECT nome, min(candidate) AS comune FROM met GROUP BY 1 HAVING count(*) = 1"
+)
+def match_localities_from_pages(spark, d):
+    said = derive(spark, d, "said")
+    asked = said.select(F.regexp_extract("text", r"posto (\w+) si trova", 1).alias("nome")).distinct()
+    return matching.match_localities_from_pages(asked, "nome", said, _comuni(spark, d), html=None)
+
+
+@query()
+def html_to_text(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_to_text("html").alias("text"))
+
+
+def _misspelled(spark, d) -> DataFrame:
+    """Every name of the registry, distorted by its code: a letter lost, two swapped or one put in."""
+    n = F.lower("denominazione_comune")
+    half = (F.length(n) / 2).cast("int")
+    code = F.col("codice_comune") % 3
+    lost = F.concat(F.substring(n, F.lit(1), half), F.substring(n, half + 2, F.length(n)))
+    put_in = F.concat(F.substring(n, F.lit(1), half), F.lit("x"), F.substring(n, half + 1, F.length(n)))
+    swapped = F.concat(F.substring(n, F.lit(1), half), F.substring(n, half + 2, F.lit(1)), F.substring(n, half + 1, F.lit(1)), F.substring(n, half + 3, F.length(n)))
+    return _comuni(spark, d).select(F.when(code == 0, lost).when(code == 1, put_in).otherwise(swapped).alias("word"), n.alias("name"))
+
+
+@query()
+def match_by_similarity(spark, d):
+    rows = _misspelled(spark, d)
+    return matching.match_by_similarity(rows, "word", rows, "name")
+
+
+@query()
+def match_by_similarity_unique(spark, d):
+    rows = _misspelled(spark, d)
+    return matching.match_by_similarity(rows, "word", rows, "name", unique=True)
+
+
+# --- geometry ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT *, lon AS x, lat AS y FROM {duck('points')} WHERE lat IS NOT NULL AND lon IS NOT NULL")
+def to_points(spark, d):
+    return spatial.to_points(derive(spark, d, "points"))
+
+
+def _boxes(spark, d) -> DataFrame:
+    return derive(spark, d, "boxes").withColumn("geometry", geo.box_polygon(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
+
+
+@query("SELECT 4326 AS crs")
+def detect_crs(spark, d):
+    crs = spatial.detect_crs(derive(spark, d, "points"), "lon", "lat", _boxes(spark, d))
+    return derive(spark, d, "points").agg(F.lit(crs).alias("crs"))
+
+
+@query(f"SELECT codice, round((x0 + x1) / 2, 6) AS center_x, round((y0 + y1) / 2, 6) AS center_y, round((x1 - x0) * (y1 - y0), 6) AS area FROM {duck('boxes')}")
+def polygon_centroid(spark, d):
+    area, x, y = geo.polygon_area_centroid(F.col("geometry"))
+    return _boxes(spark, d).select("codice", F.round(x, 6).alias("center_x"), F.round(y, 6).alias("center_y"), F.round(area, 6).alias("area"))
+
+
+@query(f"SELECT id, round(radians(lon) * 6378137.0, 4) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 4) AS y, lat IS NOT NULL AS returns FROM {duck('points')}")
+def transform_crs(spark, d):
+    """To Mercator, and to UTM and back."""
+    x, y = geo.transform_crs(F.col("lon"), F.col("lat"), 4326, 3857)
+    points = derive(spark, d, "points").withColumns(dict(zip(("e", "n"), geo.transform_crs(F.col("lon"), F.col("lat"), 4326, 32632), strict=True)))
+    lon, lat = geo.transform_crs(F.col("e"), F.col("n"), 32632, 4326)
+    returns = F.coalesce((F.abs(lon - F.col("lon")) < 1e-8) & (F.abs(lat - F.col("lat")) < 1e-8), F.lit(False))
+    return points.select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), returns.alias("returns"))
+
+
+@query(
+    f"SELECT id, round(2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(41.9::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(41.9::DOUBLE)) * pow(sin(radians(12.5::DOUBLE - lon) / 2), 2)))), 3) AS metres FROM {duck('points')}"
+)
+def haversine_distance(spark, d):
+    metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.lit(12.5), F.lit(41.9))
+    return derive(spark, d, "points").select("id", F.round(metres, 3).alias("metres"))
+
+
+@query()
+def geodesic_distance(spark, d):
+    return derive(spark, d, "points").select("id", F.round(geo.geodesic_distance_m("lon", "lat", F.lit(12.5), F.lit(41.9)), 3).alias("metres"))
+
+
+@query(
+    "SELECT min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM "
+    f"(SELECT round(radians(x0) * 6378137.0, 3) AS x0, round(radians(x1) * 6378137.0, 3) AS x1, round(ln(tan(pi() / 4 + radians(y0) / 2)) * 6378137.0, 3) AS y0, round(ln(tan(pi() / 4 + radians(y1) / 2)) * 6378137.0, 3) AS y1 FROM {duck('boxes')})"
+)
+def area_bounds(spark, d):
+    bounds = spatial.area_bounds(_boxes(spark, d))
+    return bounds.select(*(F.round(c, 3).alias(c) for c in bounds.columns))
+
+
+@query(f"SELECT * FROM {duck('points')} WHERE lon BETWEEN 8 AND 12 AND lat BETWEEN 40 AND 45")
+def filter_bounds(spark, d):
+    return spatial.filter_bounds(derive(spark, d, "points"), (8, 40, 12, 45), "lon", "lat")
+
+
+@query(f"SELECT count(*) AS n_edges, round(sum(x2 - x1 + y2 - y1), 6) AS length FROM (SELECT x1, y1, x2, y2 FROM (SELECT unnest([x0, x0, x0, x1]) AS x1, unnest([y0, y1, y0, y0]) AS y1, unnest([x1, x1, x0, x1]) AS x2, unnest([y0, y1, y1, y1]) AS y2 FROM {duck('boxes')}) GROUP BY ALL HAVING count(*) = 1)")
+def national_outline(spark, d):
+    edges = spatial.national_outline(_boxes(spark, d))
+    return edges.agg(F.count("*").alias("n_edges"), F.round(F.sum(F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1")), 6).alias("length"))
+
+
+@query()
+def simplify_polygon(spark, d):
+    """Each box with a spur of 0.01 on one side, simplified at 0.05: the spur goes."""
+    ring = F.col("geometry")[0][0]
+    spur = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") + 0.01).alias("y"))
+    bent = F.array(F.array(F.concat(F.slice(ring, 1, 1), F.array(spur), F.slice(ring, 2, 4))))
+    return _boxes(spark, d).select("codice", F.size(geo.simplify_polygon(0.05)(bent)[0][0]).alias("n_vertices"))
+
+
+# --- spatial joins ----------------------------------------------------------------------------------------------------
+
+_INSIDE = "p.lon > b.x0 AND p.lon < b.x1 AND p.lat > b.y0 AND p.lat < b.y1"
+
+
+@query(f"SELECT p.*, b.denominazione_provincia, b.denominazione_regione FROM {duck('points')} p LEFT JOIN {duck('boxes')} b ON {_INSIDE}")
+def locate_points(spark, d):
+    return spatial.locate_points(derive(spark, d, "points"), _boxes(spark, d), ["denominazione_provincia", "denominazione_regione"], side=SIDE)
+
+
+@query(f"SELECT p.* FROM {duck('points')} p WHERE EXISTS (SELECT 1 FROM {duck('boxes')} b WHERE b.denominazione_regione = 'Sicilia' AND {_INSIDE})")
+def points_in_areas(spark, d):
+    return spatial.points_in_areas(derive(spark, d, "points"), _boxes(spark, d).where("denominazione_regione = 'Sicilia'"), ["id"], side=SIDE)
+
+
+RADIUS_M = 5000
+_R = geo.radius_in_degrees(RADIUS_M)
+
+
+@query(
+    f"SELECT p.id, coalesce(n, 0) AS n_residents FROM {duck('points')} p LEFT JOIN (SELECT q.id, sum(g.Population) AS n FROM (SELECT *, floor(lon * 10) AS cx FROM {duck('points')}) q "
+    f"JOIN (SELECT *, unnest([floor(Lon * 10) - 1, floor(Lon * 10), floor(Lon * 10) + 1]) AS cx FROM {duck('grid')}) g ON q.cx = g.cx AND (q.lon - g.Lon) * (q.lon - g.Lon) + (q.lat - g.Lat) * (q.lat - g.Lat) < {_R * _R!r}::DOUBLE GROUP BY 1) s ON p.id = s.id"
+)
+def population_nearby(spark, d):
+    return spatial.population_nearby(derive(spark, d, "points"), derive(spark, d, "grid"), RADIUS_M, "id").select("id", "n_residents")
+
+
+@query()
+def cluster_by_distance(spark, d):
+    return spatial.cluster_by_distance(derive(spark, d, "points"), 3000, "id").select("id", "aggregation_code")
+
+
+@query()
+def cluster_summary(spark, d):
+    return spatial.cluster_summary(spatial.cluster_by_distance(derive(spark, d, "points"), 3000, "id", metric="haversine"))
+
+
+def _features(spark, d) -> DataFrame:
+    """Roads as tagged map features."""
+    tags = F.map_filter(F.create_map(F.lit("ref"), F.col("ref"), F.lit("int_ref"), F.col("int_ref"), F.lit("name"), F.col("nome")), lambda k, v: v.isNotNull())
+    vertex = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
+    shape = F.when(F.col("k") % 40 == 0, "Polygon").otherwise("LineString")
+    return derive(spark, d, "roads").select("k", "type", tags.alias("tags"), shape.alias("shape"), F.array(vertex(1), vertex(2)).alias("geometry"))
+
+
+_NUMBER = "coalesce(replace(replace(replace(ref, ' ', ''), 'dir', ''), 'var', ''), int_ref)"
+_ROADS = (
+    "SELECT id, CASE WHEN type = 'motorway_link' THEN 'Congiunzione autostradale' WHEN id LIKE 'A%' OR id LIKE 'RA%' THEN 'Autostrada' ELSE 'Superstrada' END AS classificazione, nome AS name, x1, y1, x2, y2 FROM ("
+    f"SELECT *, CASE WHEN nome = 'Diramazione A21' THEN 'A21' ELSE n END AS id FROM (SELECT *, CASE n0 {' '.join(f'WHEN {sql.quote(a)} THEN {sql.quote(b)}' for a, b in roads.ROAD_NUMBERS.items())} ELSE n0 END AS n FROM (SELECT *, {_NUMBER} AS n0 FROM {duck('roads')} WHERE k % 40 <> 0)) WHERE n IS NULL OR n NOT IN ('A1-R5', 'A21racc'))"
+)
+
+
+@query(_ROADS)
+def classify_highways(spark, d):
+    lines = roads.classify_highways(_features(spark, d))
+    ends = {f"{c}{i + 1}": F.col("geometry")[i][c] for i in (0, 1) for c in ("x", "y")}
+    return lines.select("id", "classificazione", "name", *(v.alias(k) for k, v in ends.items()))
+
+
+@query(
+    f"SELECT id, name, x, y, CASE max(CASE classificazione WHEN 'Superstrada' THEN 1 ELSE 2 END) WHEN 2 THEN 'Autostrada' ELSE 'Superstrada' END AS classificazione FROM ("
+    f"SELECT j.k AS id, j.name, j.x1 AS x, j.y1 AS y, r.classificazione FROM (SELECT k, CASE k % 4 WHEN 0 THEN 'Uscita Nord' WHEN 1 THEN 'Area di Servizio' WHEN 2 THEN 'Uscita' ELSE 'via Roma' END AS name, x1, y1 FROM {duck('roads')}) j JOIN ({_ROADS}) r ON r.x1 = j.x1 AND r.y1 = j.y1 WHERE j.k % 2 = 0) GROUP BY 1, 2, 3, 4"
+)
+def classify_highway_exits(spark, d):
+    """Junctions at the beginning of every road; a road is met there or nowhere, for all go the same way and begin apart."""
+    name = F.when(F.col("k") % 4 == 0, "Uscita Nord").when(F.col("k") % 4 == 1, "Area di Servizio").when(F.col("k") % 4 == 2, "Uscita").otherwise("via Roma")
+    junctions = derive(spark, d, "roads").select(F.col("k").alias("id"), F.create_map(F.lit("name"), name).alias("tags"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return roads.classify_highway_exits(junctions, roads.classify_highways(_features(spark, d)))
+
+
+_HR = geo.radius_in_degrees(500)
+
+
+def _gap2(px: str, py: str) -> str:
+    t = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, (({px} - x1) * (x2 - x1) + ({py} - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))"
+    return f"pow({px} - (x1 + {t} * (x2 - x1)), 2) + pow({py} - (y1 + {t} * (y2 - y1)), 2)"
+
+
+@query(f"SELECT p.id, EXISTS (SELECT 1 FROM ({_ROADS}) r WHERE r.classificazione = 'Autostrada' AND p.lon BETWEEN x1 - 0.02 AND x2 + 0.02 AND {_gap2('p.lon', 'p.lat')} < {_HR * _HR!r}::DOUBLE) AS in_highway FROM {duck('points')} p")
+def points_on_highway(spark, d):
+    found = spatial.points_on_highway(derive(spark, d, "points"), roads.classify_highways(_features(spark, d)), "lat", "lon", 500)
+    return found.select("id", "in_highway")
+
+
+_NEAREST = f"SELECT p.id, row_number() OVER (PARTITION BY p.id ORDER BY pow(p.lon - e.x, 2) + pow(p.lat - e.y, 2), e.id) AS rank, e.id AS exit_id, e.x, e.y, p.lon, p.lat FROM {duck('points')} p JOIN {duck('exits')} e ON p.lat IS NOT NULL"
+
+
+@query(f"SELECT id, CAST(rank AS BIGINT) AS rank, exit_id FROM ({_NEAREST}) WHERE rank <= 3")
+def nearest_exits(spark, d):
+    near = spatial.nearest_exits(derive(spark, d, "points"), derive(spark, d, "exits"), "id", "lat", "lon", n=3)
+    return near.select("id", F.posexplode("exits").alias("rank", "e")).select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("e.id").alias("exit_id"))
+
+
+_NEAREST_MOTORWAY = _NEAREST.replace(f"{duck('exits')} e", f"(SELECT * FROM {duck('exits')} WHERE classificazione = 'Autostrada') e")
+
+
+@query(
+    f"SELECT p.id, round(2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(n.y - n.lat) / 2), 2) + cos(radians(n.lat)) * cos(radians(n.y)) * pow(sin(radians(n.x - n.lon) / 2), 2)))), 3) AS distance_m "
+    f"FROM {duck('points')} p LEFT JOIN (SELECT * FROM ({_NEAREST_MOTORWAY}) WHERE rank = 1) n ON p.id = n.id"
+)
+def distance_to_highway(spark, d):
+    found = spatial.distance_to_highway(derive(spark, d, "points"), derive(spark, d, "exits"), "id", "lat", "lon", ellipsoid=False)
+    return found.select("id", F.round("distance_m", 3).alias("distance_m"))
+
+
+# --- geocoding --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT c_custkey, regexp_replace(address, '\\b(del|dell|d|nell|sull|sant|Sant)([A-Z][^\\s]+)', '\\1''\\2', 'g') AS repaired FROM {duck('addresses')}")
+def repair_apostrophes(spark, d):
+    return derive(spark, d, "addresses").select("c_custkey", geocode.repair_apostrophes(F.col("address")).alias("repaired"))
+
+
+def _simple(x: str) -> str:
+    return rf"regexp_replace(strip_accents(regexp_replace(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+', ' ', 'g')), '[^\x00-\x7F]', '', 'g')"
+
+
+_SEARCH = "CASE WHEN citta IS NULL OR contains(lower(address), lower(citta)) THEN lower(address) ELSE lower(address) || ', ' || lower(citta) END"
+_GAZ = f"SELECT {_simple('address')} AS a, min(struct_pack(f := full_address, la := latitude, lo := longitude)) AS s FROM {duck('gazetteer')} GROUP BY 1"
+_APOSTROPHE_SQL = r"'\b(del|dell|d|nell|sull|sant|Sant)([A-Z][^\s]+)'"
+_GEOCODED = (
+    f"SELECT c_custkey, address, citta, coalesce(s1, s2) AS s FROM (SELECT q.*, g1.s AS s1, g2.s AS s2 FROM (SELECT *, {_SEARCH} AS search, regexp_replace(address, {_APOSTROPHE_SQL}, '\\1''\\2', 'g') AS fixed FROM {duck('addresses')}) q "
+    f"LEFT JOIN ({_GAZ}) g1 ON {_simple('q.search')} = g1.a LEFT JOIN ({_GAZ}) g2 ON g1.a IS NULL AND regexp_matches(q.address, {_APOSTROPHE_SQL}) AND {_simple('q.fixed')} = g2.a)"
+)
+
+
+@query(f"SELECT c_custkey, address, citta, CASE WHEN contains(lower(s.f), lower(citta)) THEN s.la END AS latitude, CASE WHEN contains(lower(s.f), lower(citta)) THEN s.lo END AS longitude FROM ({_GEOCODED})")
+def geocode_addresses(spark, d):
+    return geocode.geocode_addresses(derive(spark, d, "addresses"), derive(spark, d, "gazetteer"), "address", comune="citta")
+
+
+@query(f"SELECT p_partkey, CASE WHEN contains(lower(p_name), lower(word)) THEN p_retailprice END AS verified FROM (SELECT p_partkey, p_name, p_retailprice, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE split_part(p_brand, '#', 2) END AS word FROM part)")
+def verify_location(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("word", F.when(F.col("p_partkey") % 5 != 0, F.split_part("p_brand", F.lit("#"), F.lit(2))))
+    return part.select("p_partkey", geocode.verify_location("p_name", "p_retailprice", ["word"]).alias("verified"))
+
+
+@query()
+def expand_abbreviations(spark, d):
+    """Streets named after two words of each page's text, asked for with the first word's letter alone."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("words", F.split(text.html_to_all_text("html"), " ")).where(F.size("words") > 5)
+    named = pages.withColumns({"a": F.col("words")[2], "b": F.col("words")[3]}).where("a RLIKE '^[a-z]{3,}$' AND b RLIKE '^[a-z]{3,}$'")
+    asked = named.select(F.concat(F.lit("via "), F.substring("a", 1, 1), F.lit(". "), F.col("b")).alias("search")).distinct()
+    texts = named.select(F.concat_ws(" ", F.lit("via"), "a", "b", F.array_join("words", " ")).alias("text"))
+    return geocode.expand_abbreviations(asked, "search", texts, html=None)
+
+
+@query(
+    f"SELECT id, lat, lon, (n.s).address AS address, (n.s).city AS city FROM {duck('points')} p LEFT JOIN (SELECT q.id, arg_min(struct_pack(address := lower(g.full_address), city := g.city), struct_pack(d := pow(q.lon - g.longitude, 2) + pow(q.lat - g.latitude, 2), a := lower(g.full_address), c := g.city)) AS s "
+    f"FROM {duck('points')} q JOIN {duck('gazetteer')} g ON pow(q.lon - g.longitude, 2) + pow(q.lat - g.latitude, 2) <= 0.0025::DOUBLE GROUP BY 1) n USING (id)"
+)
+def reverse_geocode(spark, d):
+    points = derive(spark, d, "points").select("id", "lat", "lon")
+    return geocode.reverse_geocode(points, derive(spark, d, "gazetteer"), "lat", "lon", most=0.05, side=0.05)
+
+
+# --- maps -------------------------------------------------------------------------------------------------------------
+
+_REGIONI = f"SELECT {', '.join(registry.REGION_KEYS)}, {_TOTALS} FROM comuni GROUP BY ALL"
+WITH_REGIONI = WITH.rstrip() + f", regioni AS ({_REGIONI}) "
+_REG = match_sql("reg", duck("dirty"), "regione", areas="regioni")
+_CHOROPLETH = f"SELECT r.denominazione_regione, CAST(coalesce(v, 0) AS BIGINT) AS valore FROM regioni r LEFT JOIN (SELECT match_key, sum(valore) AS v FROM {duck('dirty')} JOIN ({_REG}) m USING (reg) GROUP BY 1) t ON r.denominazione_regione = t.match_key"
+
+
+@query(WITH_REGIONI + _CHOROPLETH)
+def choropleth_numeric(spark, d):
+    return maps.choropleth_table(derive(spark, d, "dirty"), "reg", "valore", _regioni(spark, d), "regione").select("denominazione_regione", "valore")
+
+
+@query(
+    WITH + f"SELECT denominazione_comune, codice_comune, CAST(coalesce(v, 0) AS BIGINT) AS valore FROM comuni LEFT JOIN (SELECT match_key, sum(valore) AS v FROM {duck('dirty')} JOIN ({match_sql('citta', duck('dirty'), 'comune', homonyms=False)}) USING (citta) GROUP BY 1) ON denominazione_comune = match_key"
+)
+def choropleth_comuni(spark, d):
+    areas = _comuni(spark, d).drop("sigla")
+    return maps.choropleth_table(derive(spark, d, "dirty"), "citta", "valore", areas, "comune").select("denominazione_comune", "codice_comune", "valore")
+
+
+_SEGMENTS = f"(SELECT reg, CASE WHEN length(reg) % 2 = 0 THEN 'pari' ELSE 'dispari' END AS tipo FROM (SELECT denominazione_regione AS reg FROM regioni))"
+
+
+@query(WITH_REGIONI + f"SELECT denominazione_regione, tipo, CAST(color AS INT) AS color FROM {_SEGMENTS} s JOIN regioni ON reg = denominazione_regione JOIN (SELECT tipo, row_number() OVER (ORDER BY count(*) DESC, tipo) - 1 AS color FROM {_SEGMENTS} GROUP BY 1) USING (tipo)")
+def choropleth_categories(spark, d):
+    areas = _regioni(spark, d)
+    said = areas.select(F.col("denominazione_regione").alias("reg"), F.when(F.length("denominazione_regione") % 2 == 0, "pari").otherwise("dispari").alias("tipo"))
+    return maps.choropleth_categories(said, "reg", "tipo", areas, "regione").select("denominazione_regione", "tipo", "color")
+
+
+@query(WITH_REGIONI + f"SELECT denominazione_regione, coalesce(x.valore, 0) AS valore, coalesce(x.citta, '-') AS citta FROM regioni LEFT JOIN (SELECT match_key, valore, citta FROM {duck('dirty')} JOIN ({_REG}) USING (reg)) x ON denominazione_regione = match_key")
+def choropleth_table_multi(spark, d):
+    return maps.choropleth_table_multi(derive(spark, d, "dirty"), "reg", ["valore", "citta"], _regioni(spark, d), "regione").select("denominazione_regione", "valore", "citta")
+
+
+@query(WITH + "SELECT codice_comune, denominazione_comune FROM comuni WHERE lower(denominazione_regione) IN ('lombardia', 'sicilia')")
+def filter_areas(spark, d):
+    return maps.filter_areas(_comuni(spark, d), regione=["lombardia ", "SICILIA"]).select("codice_comune", "denominazione_comune")
+
+
+@query(WITH_REGIONI + "SELECT denominazione_regione, codice_regione FROM regioni WHERE denominazione_regione IN (SELECT denominazione_regione FROM comuni WHERE sigla = 'CO')")
+def parent_overlays(spark, d):
+    chosen = maps.filter_areas(_comuni(spark, d), provincia="co")
+    return maps.parent_overlays(_regioni(spark, d), chosen, "regione").select("denominazione_regione", "codice_regione")
+
+
+@query(
+    WITH_REGIONI + f"SELECT denominazione_regione, valore, printf('%.1f', round_even(valore / CAST(total AS DOUBLE) * 100, 1)) || '%' AS label, CASE WHEN lower(denominazione_regione) IN ('calabria', 'liguria') OR valore <= (hi + lo) / 2.0::DOUBLE THEN 'black' ELSE 'white' END AS color "
+    f"FROM (SELECT *, sum(valore) OVER () AS total, max(valore) OVER () AS hi, min(valore) OVER () AS lo FROM ({_CHOROPLETH})) WHERE valore > 0"
+)
+def map_labels(spark, d):
+    return maps.map_labels(choropleth_numeric(spark, d), "denominazione_regione", "valore", percent=True)
+
+
+@query(
+    f"SELECT segmento, lat, lon, round(radians(lon) * 6378137.0, 4) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 4) AS y FROM {duck('points')} p WHERE lat IS NOT NULL AND EXISTS (SELECT 1 FROM {duck('boxes')} b WHERE b.denominazione_provincia = 'Napoli' AND {_INSIDE})"
+)
+def point_map_table(spark, d):
+    napoli = maps.filter_areas(_boxes(spark, d), provincia="napoli ")
+    out = maps.point_map_table(derive(spark, d, "points"), "lat", "lon", ["segmento"], areas=napoli, side=SIDE)
+    return out.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
+@query(f"SELECT CAST(min(valore) - (max(valore) - min(valore)) / 5.0::DOUBLE AS DOUBLE) AS low, CAST(max(valore) AS DOUBLE) AS high FROM {duck('points')}")
+def color_domain(spark, d):
+    return maps.color_domain(derive(spark, d, "points"), "valore")
+
+
+@query(f"SELECT count(DISTINCT segmento) AS n_values, CASE WHEN count(DISTINCT segmento) <= 10 THEN 10 ELSE 20 END AS palette FROM {duck('points')}")
+def color_domain_text(spark, d):
+    return maps.color_domain(derive(spark, d, "points"), "segmento")
+
+
+def _density_sql(scale: str, z: str, value: bool) -> str:
+    n = 19
+    w = "greatest(CAST(valore AS DOUBLE), 1e-5::DOUBLE)" if value else "1.0::DOUBLE"
+    taps = ", ".join(f"({k}, {g / sum(maps.SMOOTHING)!r}::DOUBLE)" for k, g in zip(range(-4, 5), maps.SMOOTHING, strict=True))
+    back = lambda a: f"CASE WHEN (({a} + k) % {2 * n} + {2 * n}) % {2 * n} >= {n} THEN {2 * n - 1} - (({a} + k) % {2 * n} + {2 * n}) % {2 * n} ELSE (({a} + k) % {2 * n} + {2 * n}) % {2 * n} END"
+    return (
+        f"WITH p AS (SELECT lon, lat, {w} AS w FROM {duck('points')} WHERE lat IS NOT NULL), b AS (SELECT min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1, sum(w) total, max(w) top FROM p), "
+        f"c AS (SELECT CAST(least(floor((lon - x0) / (x1 - x0) * {n}), {n - 1}) AS INT) AS ix, CAST(least(floor((lat - y0) / (y1 - y0) * {n}), {n - 1}) AS INT) AS iy, ln(sum(w) * (10000.0::DOUBLE / any_value({scale}))) AS z FROM p, b GROUP BY 1, 2), "
+        f"t(k, g) AS (VALUES {taps}), sx AS (SELECT {back('ix')} AS ix, iy, sum(z * g) AS z FROM c, t GROUP BY 1, 2), sy AS (SELECT ix, {back('iy')} AS iy, sum(z * g) AS z FROM sx, t GROUP BY 1, 2) "
+        f"SELECT CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, round({z}, 6) AS z FROM sy"
+    )
+
+
+@query(_density_sql("total", "CASE WHEN z > 0 THEN z END", False))
+def density_grid(spark, d):
+    out = maps.density_grid(derive(spark, d, "points"), "lon", "lat", nx=20, ny=20)
+    return out.withColumn("z", F.round("z", 6))
+
+
+@query(_density_sql("top", "CASE WHEN z > 0 THEN z ELSE 0.0::DOUBLE END", True))
+def density_grid_interactive(spark, d):
+    out = maps.density_grid(derive(spark, d, "points"), "lon", "lat", "valore", nx=20, ny=20, interactive=True)
+    return out.withColumn("z", F.round("z", 6))
+
+
+# --- data quality -----------------------------------------------------------------------------------------------------
+
+_DQ_COLUMNS = quality.Columns(nazione="nazione", regione="regione", provincia="provincia", comune="comune", latitudine="latitudine", longitudine="longitudine", key="id")
+# Rows with planted errors: spellings, missing and wrong parents, points elsewhere, foreign rows.
+_DQ_ROWS = f"""
+    SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'ITALY' WHEN 1 THEN 'Francia' WHEN 2 THEN NULL ELSE 'Italia' END AS nazione,
+           CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Lombardy' WHEN 2 THEN 'Nowhere' ELSE r.denominazione_regione END AS regione,
+           CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'Provincia di ' || r.denominazione_provincia WHEN 2 THEN 'Trento' ELSE r.denominazione_provincia END AS provincia,
+           CASE c_custkey % 13 WHEN 0 THEN NULL WHEN 1 THEN 'Comune di ' || r.denominazione_comune WHEN 2 THEN 'Atlantide' ELSE upper(r.denominazione_comune) END AS comune,
+           CASE WHEN c_custkey % 17 = 16 THEN NULL ELSE b.y0 + 1.0E0 END AS latitudine, CASE WHEN c_custkey % 9 = 8 THEN b.x0 + 30.0E0 ELSE b.x0 + 1.0E0 END AS longitudine
+    FROM {{customer}} c JOIN {{told}} r ON r.codice_comune = c_custkey % 90 + 1 JOIN {{boxes}} b ON b.codice + 1 = r.codice_provincia"""
+_DQ_TOLD = "SELECT denominazione_comune, codice_comune, codice_provincia, denominazione_provincia, denominazione_regione FROM comuni"
+#: Boxes with a comune in each: the least of its province.
+_DQ_AREAS = "SELECT min(c.denominazione_comune) AS denominazione_comune, c.denominazione_provincia, min(c.denominazione_regione) AS denominazione_regione, b.x0, b.y0, b.x1, b.y1 FROM {comuni} c JOIN {boxes} b ON b.codice + 1 = c.codice_provincia GROUP BY c.denominazione_provincia, b.x0, b.y0, b.x1, b.y1"
+
+
+def _dq_rows(spark, d) -> DataFrame:
+    customer = spark.read.parquet(f"{d}/customer.parquet")
+    return spark.sql(_DQ_ROWS.format(customer="{customer}", told="{told}", boxes="{boxes}"), customer=customer, told=_comuni(spark, d), boxes=derive(spark, d, "boxes"))
+
+
+def _dq(spark, d, columns: quality.Columns, **options) -> DataFrame:
+    areas = spark.sql(_DQ_AREAS, comuni=_comuni(spark, d), boxes=derive(spark, d, "boxes"))
+    areas = areas.withColumn("geometry", geo.box_polygon(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
+    return quality.dq_check(_dq_rows(spark, d), columns, _comuni(spark, d), areas=areas, only_warnings=False, side=SIDE, **options)
+
+
+@query()
+def dq_check(spark, d):
+    return _dq(spark, d, _DQ_COLUMNS)
+
+
+@query()
+def dq_summary(spark, d):
+    return quality.dq_summary(_dq(spark, d, _DQ_COLUMNS), _DQ_COLUMNS)
+
+
+_WITH_DQ = WITH.rstrip() + f", told AS ({_DQ_TOLD}), rows AS ({_DQ_ROWS.format(customer='customer', told='told', boxes=duck('boxes'))}) "
+_IT = "('it', 'italy', 'italia')"
+
+
+def _solved(flags: list[tuple[str, str | None]]) -> str:
+    """check and solved from (flag, suggestion) expressions."""
+    any_flag = " OR ".join(f for f, _ in flags)
+    open_flag = " OR ".join(f"({f}{'' if s is None else f' AND {s} IS NULL'})" for f, s in flags)
+    return f"({any_flag}) AS \"check\", CASE WHEN {any_flag} THEN NOT ({open_flag}) END AS solved"
+
+
+@query(
+    _WITH_DQ + f", c AS (SELECT id, {_simple('nazione')} AS nazione FROM rows), italy AS (SELECT nazione AS it FROM c WHERE nazione IN {_IT} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
+    f"SELECT id, nazione, coalesce(nazione IN {_IT}, FALSE) AS is_in_italy, coalesce(nazione IN {_IT} AND nazione <> it, FALSE) AS nazione_check, CASE WHEN nazione IN {_IT} AND nazione <> it THEN it END AS nazione_suggestion FROM c, italy"
+)
+def dq_country(spark, d):
+    return _dq(spark, d, quality.Columns(nazione="nazione", key="id")).drop("check", "solved")
+
+
+def _dq_level(level: str) -> str:
+    """One level alone, without a country: everything is in Italy."""
+    given = level if level == "comune" else _simple(level)  # a comune is matched as given and cleaned afterwards
+    found = match_sql(level, "q", level, areas="comuni", homonyms=False)
+    said = _simple(f"q.{level}")
+    return (
+        _WITH_DQ + f", q AS (SELECT id, {given} AS {level} FROM rows), m AS (SELECT {level}, {_simple('match_key')} AS found FROM ({found})), "
+        f"f AS (SELECT q.id, {said} AS {level}, m.found, q.{level} IS NULL OR m.found IS NULL OR m.found <> {said} AS flag, CASE WHEN m.found <> {said} THEN m.found END AS said FROM q LEFT JOIN m ON q.{level} IS NOT DISTINCT FROM m.{level}) "
+        f"SELECT id, {level}, flag AS {level}_check, said AS {level}_suggestion, {_solved([('flag', 'said')])} FROM f"
+    )
+
+
+def _dq_one(level: str):
+    def run(spark, d):
+        checked = _dq(spark, d, quality.Columns(**{level: level}, key="id"))
+        return checked.select("id", level, f"{level}_check", f"{level}_suggestion", "check", "solved")
+
+    run.__name__ = f"dq_{level}"
+    query(_dq_level(level))(run)
+
+
+for _level in quality.LEVELS:
+    _dq_one(_level)
+
+
+@query(
+    _WITH_DQ + f", areas AS ({_DQ_AREAS.format(comuni='comuni', boxes=duck('boxes'))}) SELECT id, a.denominazione_comune IS NULL AS coordinates_check, {_simple('a.denominazione_comune')} AS comune_from_coordinates "
+    "FROM rows LEFT JOIN areas a ON longitudine > x0 AND longitudine < x1 AND latitudine > y0 AND latitudine < y1"
+)
+def dq_coordinates(spark, d):
+    checked = _dq(spark, d, quality.Columns(latitudine="latitudine", longitudine="longitudine", key="id"))
+    return checked.select("id", "coordinates_check", "comune_from_coordinates")
+
+
+@query(
+    _WITH_DQ + f", q AS (SELECT id, {_simple('regione')} AS regione, {_simple('provincia')} AS provincia FROM rows), mr AS (SELECT regione, {_simple('match_key')} AS fr FROM ({match_sql('regione', 'q', 'regione', homonyms=False)})), "
+    f"mp AS (SELECT provincia, {_simple('match_key')} AS fp, {_simple('(SELECT min(denominazione_regione) FROM comuni WHERE denominazione_provincia = match_key)')} AS up FROM ({match_sql('provincia', 'q', 'provincia', homonyms=False)})), "
+    "f AS (SELECT q.*, fr, fp, up, q.regione IS NULL OR fr IS NULL OR fr <> q.regione AS r0, CASE WHEN fr <> q.regione THEN fr END AS s0 FROM q LEFT JOIN mr ON q.regione IS NOT DISTINCT FROM mr.regione LEFT JOIN mp ON q.provincia IS NOT DISTINCT FROM mp.provincia) "
+    "SELECT id, r0 OR (up IS NOT NULL AND (fr IS NULL OR fr <> up)) AS regione_check, CASE WHEN up IS NOT NULL AND fr IS NULL THEN up WHEN up <> fr THEN NULL ELSE s0 END AS regione_suggestion FROM f"
+)
+def dq_cross_hierarchy(spark, d):
+    checked = _dq(spark, d, quality.Columns(regione="regione", provincia="provincia", key="id"))
+    return checked.select("id", "regione_check", "regione_suggestion")
