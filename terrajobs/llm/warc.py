@@ -135,7 +135,7 @@ def _writer(folder: str, dictionary: bytes):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) and return the manifest: ``path, records, bytes``.
 
     Null html is an empty payload and a null url has no target header. Of records with equal payloads of at least
@@ -143,16 +143,15 @@ def write_archives(pages: DataFrame, folder: str, files: int | None = None) -> D
     are), the others revisit it; smaller ones are all responses. A null page_id never holds the payload for
     others. An empty table gives files without records.
     """
-    spark = pages.sparkSession
     dictionary = _dictionary(pages)
     roles = _roles(pages)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html.cast("binary"), 256).alias("key"))
     # Rows that repeat id and payload have the same role; one row of it each.
     roles = roles.distinct()
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The join deals the pages out by id; a task writes what it is dealt, so payloads move once.
     planned = rows.join(roles, rows["page_id"].eqNullSafe(roles["page_id"]) & (rows["key"] == roles["key"])).select(rows["page_id"], "url", "html", "size", "digest", "refers_to", "revisit")
-    return materialize(planned.repartition(files, "page_id", "digest").mapInArrow(_writer(folder, dictionary), MANIFEST), "manifest")
+    return materialize(planned.mapInArrow(_writer(folder, dictionary), MANIFEST), "manifest")
 
 
 def _frames(file) -> Iterator[bytes]:
