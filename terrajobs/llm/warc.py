@@ -103,10 +103,17 @@ def _roles(pages: DataFrame) -> DataFrame:
 
 
 def _dictionary(pages: DataFrame) -> bytes:
-    """From the start of a bounded number of records, those of least hash: the same however the table is dealt."""
+    """From the start of a bounded number of records, those of least hash: the same however the table is dealt.
+
+    A threshold on the hash leaves some twice as many as are wanted before they are ordered, so tasks send rows in
+    proportion to their share of the sample and not up to a whole sample each.
+    """
     start = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES)
-    some = pages.select(F.xxhash64("page_id", start).alias("h"), F.coalesce(F.col("url"), F.lit("")).alias("url"), start.alias("html")).orderBy("h").limit(SAMPLE_RECORDS).collect()
-    return build_dictionary([record(0, r["url"], r["html"].encode(), len(r["html"]), hashlib.sha1(r["html"].encode()).hexdigest(), None, False) for r in some])
+    spot = F.shiftrightunsigned(F.xxhash64("page_id", F.coalesce("url", F.lit(""))), 2)
+    share = min(1.0, 2 * SAMPLE_RECORDS / max(1, pages.count()))
+    some = pages.where(spot <= int(share * (1 << 62))).select(spot.alias("h"), F.coalesce(F.col("url"), F.lit("")).alias("url"), start.alias("html"))
+    rows = some.orderBy("h", "url", "html").limit(SAMPLE_RECORDS).collect()
+    return build_dictionary([record(0, r["url"], r["html"].encode(), len(r["html"]), hashlib.sha1(r["html"].encode()).hexdigest(), None, False) for r in rows])
 
 
 def _writer(folder: str, dictionary: bytes):
