@@ -193,7 +193,8 @@ def _meet(radius: int, segment_bits: int, block: int):
             cells, fps = (np.concatenate([h, batch[n].to_numpy(zero_copy_only=False).view("u8")]) for h, n in zip(held, ("cell", "fp"), strict=True))
             if spilling is not None:
                 on = np.searchsorted(cells != spilling, True) if (cells != spilling).any() else len(cells)
-                yield _met(1, cells[:on], fps[:on])
+                if on:
+                    yield _met(1, cells[:on], fps[:on])
                 cells, fps = cells[on:], fps[on:]
                 if not len(cells):
                     held = (cells, fps)
