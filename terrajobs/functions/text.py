@@ -32,6 +32,12 @@ def _ascii_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one), "".join(to), tuple(more)
 
 
+def literal_map(pairs) -> Column:
+    """A map of strings, as one expression: cheaper to build than a literal an entry."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(a)}, {quoted(b)}" for a, b in pairs) + ")")
+
+
 def _with(value: Column, body) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -39,7 +45,7 @@ def _with(value: Column, body) -> Column:
 
 def _plain(col: Column) -> Column:
     one, to, more = _ascii_table()
-    longer = F.create_map(*(F.lit(x) for pair in more for x in pair))
+    longer = literal_map(more)
     spelled = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(longer, x), x)), "")
     return F.regexp_replace(F.translate(spelled(col), one, to), r"[^\x00-\x7F]", "")
 
@@ -59,7 +65,7 @@ def simple_name(col: Column) -> Column:
 
 
 def _swap(col: Column) -> Column:
-    pairs = F.create_map(*(F.lit(x) for pair in names.ACCENT_EXCEPTIONS.items() for x in pair))
+    pairs = literal_map(names.ACCENT_EXCEPTIONS.items())
     return _with(col, lambda c: F.coalesce(F.try_element_at(pairs, c), c))
 
 
@@ -82,8 +88,8 @@ def strip_area_prefix(col: Column, level: str) -> Column:
 
 def english_to_italian(col: Column) -> Column:
     """Whole names in English (or German) as in Italian; others stay."""
-    pairs = [F.lit(x) for pair in names.FOREIGN_NAMES.items() for x in pair]
-    return _with(col, lambda c: F.coalesce(F.try_element_at(F.create_map(*pairs), c), c))
+    italian = literal_map(names.FOREIGN_NAMES.items())
+    return _with(col, lambda c: F.coalesce(F.try_element_at(italian, c), c))
 
 
 def loose_key(col: Column) -> Column:

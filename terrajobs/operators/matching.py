@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions import names
 from terrajobs.functions.storage import materialize
-from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, loose_key, strip_area_prefix
+from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, literal_map, loose_key, strip_area_prefix
 
 #: A candidate needs this ratio to be one, and a match more than this with the words swapped.
 CANDIDATE_RATIO, MATCH_RATIO = 0.6, 0.85
@@ -53,8 +53,8 @@ def disambiguate_homonyms(name: Column, sigla: Column | None = None, province: C
     out = name
     for at, parent in ((3, region), (2, province), (1, sigla)):
         if parent is not None:
-            pairs = [F.lit(x) for h in names.HOMONYMS for x in (f"{h[0]}|{h[at]}".lower(), h[4])]
-            out = F.coalesce(F.try_element_at(F.create_map(*pairs), _homonym_key(name, parent)), out)
+            told_apart = literal_map((f"{h[0]}|{h[at]}".lower(), h[4]) for h in names.HOMONYMS)
+            out = F.coalesce(F.try_element_at(told_apart, _homonym_key(name, parent)), out)
     return out
 
 
@@ -114,8 +114,7 @@ def manual_match(mapping: DataFrame, column: str, by_hand: dict[str, str]) -> Da
     """The mapping with values matched by hand; they come before what else was found."""
     if not by_hand:
         return mapping
-    pairs = [F.lit(x) for pair in by_hand.items() for x in pair]
-    return mapping.withColumn("match_key", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), "match_key"))
+    return mapping.withColumn("match_key", F.coalesce(F.try_element_at(literal_map(by_hand.items()), F.col(column)), "match_key"))
 
 
 def enrich_result(df: DataFrame, mapping: DataFrame, registry: DataFrame, keys: list[str], registry_key: str, *, add_missing: bool = False, drop_not_match: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import simple_name
 from terrajobs.operators.matching import match_by_name, match_localities, match_localities_from_pages
 from terrajobs.operators.spatial import locate_points
@@ -81,9 +82,10 @@ def dq_check(
     clean = (lambda col: col) if sensitive else simple_name
     rows = df.select(*c.given()).dropDuplicates()
     if c.nazione:
-        rows = rows.withColumn(c.nazione, clean(F.col(c.nazione)))
+        rows = materialize(rows.withColumn(c.nazione, clean(F.col(c.nazione))), "quality")
     italy = modal_country(rows, c.nazione) if c.nazione else "italia"
-    rows = rows.withColumn("is_in_italy", F.coalesce(F.lower(c.nazione).isin(*ITALY), F.lit(False)) if c.nazione else F.lit(True))
+    # Every level's keys come from these rows and not from the frame that earlier levels were joined to.
+    base = rows = materialize(rows.withColumn("is_in_italy", F.coalesce(F.lower(c.nazione).isin(*ITALY), F.lit(False)) if c.nazione else F.lit(True)), "quality")
     q = _Checks(rows)
     if c.nazione:
         q.start(c.nazione, c.nazione)
@@ -108,7 +110,8 @@ def dq_check(
         q.df = q.df.withColumn(c.regione, clean(F.col(c.regione)))
         q.start(c.regione, c.regione)
         regioni = comuni.select("denominazione_regione").distinct()
-        mapping = match_by_name(q.df, c.regione, regioni, "regione").withColumn("found", clean(F.col("match_key")))
+        keys = base.select(clean(F.col(c.regione)).alias(c.regione))
+        mapping = match_by_name(keys, c.regione, regioni, "regione").withColumn("found", clean(F.col("match_key")))
         attach(c.regione, mapping, [], {"found": "regione_from_regione"})
         found = F.col("regione_from_regione")
         q.flag(c.regione, found.isNull() & F.col("is_in_italy"), keep=True)
@@ -119,7 +122,8 @@ def dq_check(
         q.df = q.df.withColumn(c.provincia, clean(F.col(c.provincia)))
         q.start(c.provincia, c.provincia)
         province = comuni.groupBy("denominazione_provincia").agg(F.min("denominazione_regione").alias("denominazione_regione"))
-        mapping = match_by_name(q.df, c.provincia, province, "provincia").join(province, F.col("match_key") == F.col("denominazione_provincia"), "left")
+        keys = base.select(clean(F.col(c.provincia)).alias(c.provincia))
+        mapping = match_by_name(keys, c.provincia, province, "provincia").join(province, F.col("match_key") == F.col("denominazione_provincia"), "left")
         mapping = mapping.withColumns({"found": clean(F.col("match_key")), "above": clean(F.col("denominazione_regione"))})
         attach(c.provincia, mapping, [], {"found": "provincia_from_provincia", "above": "regione_from_provincia"})
         found = F.col("provincia_from_provincia")
@@ -134,8 +138,8 @@ def dq_check(
     if c.comune:
         q.start(c.comune, c.comune)
         told = comuni.groupBy("denominazione_comune").agg(F.min_by(F.struct("denominazione_provincia", "denominazione_regione"), "denominazione_provincia").alias("up"))
-        asked = q.df if comune_tells_country else q.df.where("is_in_italy")
-        mapping = match_by_name(asked, c.comune, comuni.drop("sigla"), "comune", parent=c.provincia, history=history)
+        keys = base.select(c.comune, *([clean(F.col(c.provincia)).alias(c.provincia)] if c.provincia else []))
+        mapping = match_by_name(keys, c.comune, comuni.drop("sigla"), "comune", parent=c.provincia, history=history)
         for source in ([match_localities] if gazetteer is not None else []) + ([match_localities_from_pages] if pages is not None else []):
             table = gazetteer if source is match_localities else pages
             missing = mapping.where(F.col("match_key").isNull())
@@ -165,8 +169,11 @@ def dq_check(
     if c.latitudine and areas is not None:
         named = ["denominazione_comune", "denominazione_provincia", "denominazione_regione"]
         missing = (F.col(c.latitudine).isNull() | F.col(c.longitudine).isNull()) & F.col("is_in_italy")
-        q.df = locate_points(q.df.withColumn("coordinates_check", missing), areas, named, latitude=c.latitudine, longitude=c.longitudine, side=side)
-        q.df = q.df.withColumns({f"{level}_from_coordinates": clean(F.col(f"denominazione_{level}")) for level in LEVELS}).drop(*named)
+        q.df = q.df.withColumn("coordinates_check", missing)
+        spots = base.select(c.latitudine, c.longitudine).dropna().distinct()
+        located = locate_points(spots, areas, named, latitude=c.latitudine, longitude=c.longitudine, side=side)
+        located = located.select(c.latitudine, c.longitudine, *(clean(F.col(f"denominazione_{level}")).alias(f"{level}_from_coordinates") for level in LEVELS))
+        q.df = q.df.join(located, [c.latitudine, c.longitudine], "left")
         q.set(F.col("comune_from_coordinates").isNull() & F.col("is_in_italy"), coordinates_check=F.lit(True))
         country_from("coordinates")
         if c.regione:
