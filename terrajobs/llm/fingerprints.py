@@ -154,9 +154,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     by 20, how many documents the block tables find within 3 bits of it (itself included)."""
     marked = materialize(edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "edited")
     classes = marked.groupBy("fp").agg(F.count("*").alias("docs"))
-    asked = marked.where(F.col("doc") % QUERY_EVERY == 0).select(F.col("fp").alias("query"))
-    found = search(asked, classes).join(classes, "fp").groupBy("query").agg(F.sum("docs").alias("n_within"))
-    out = marked.withColumn("query", F.when(F.col("doc") % QUERY_EVERY == 0, F.col("fp"))).join(found, "query", "left")
+    asks = F.coalesce(F.col("doc") % QUERY_EVERY == 0, F.lit(False))
+    asked = marked.where(asks)
+    found = search(asked.select(F.col("fp").alias("query")), classes).join(classes, "fp").groupBy(F.col("query").alias("fp")).agg(F.sum("docs").alias("n_within"))
+    # Rows that ask nothing, most of them, stay out of the join.
+    out = asked.join(found, "fp").unionByName(marked.where(~asks).withColumn("n_within", F.lit(None).cast("long")))
     return out.select(
         F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", hex64("fp").alias("fingerprint"),
         hex64("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_within",
