@@ -224,10 +224,11 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _letters(col: str) -> Column:
-    """Sorted ``letter:number`` items: each letter with its occurrence, so that shared items count the common multiset."""
+    """``letter`` + occurrence of each letter, so that items shared by two words count their common multiset."""
     chars = F.filter(F.split(col, ""), lambda c: c != "")
-    numbered = F.transform(F.array_distinct(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(chars, lambda d: d == c))), lambda i: F.concat(c, i.cast("string"))))
-    return F.flatten(numbered)
+    # Sorted, a letter's occurrences are neighbours: an item's number is its place less that of the letter's first.
+    body = lambda s: F.transform(s, lambda c, i: F.concat(c, (i + 2 - F.array_position(s, c)).cast("string")))
+    return F.transform(F.array(F.array_sort(chars)), body)[0]
 
 
 def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, candidate: str) -> DataFrame:
