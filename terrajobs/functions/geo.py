@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 LINE = T.ArrayType(VERTEX)
 POLYGON = T.ArrayType(T.ArrayType(T.ArrayType(VERTEX)))
+# Nested values go through Arrow lists: pandas' conversion of nested nulls is not to be relied on.
+ARROW_POLYGON = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 # WGS84 and the UTM grid.
 A, FLATTENING, SCALE, FALSE_EASTING, MERIDIAN = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 9.0
@@ -249,16 +252,16 @@ def _simplify_ring(ring: list, tolerance: float) -> list:
 
 
 def simplify_polygon(tolerance: float):
-    """Pandas UDF: polygon -> polygon with no vertex farther than ``tolerance`` from the drawn line. Rings keep four vertices at least, or stay."""
+    """Arrow UDF: polygon -> polygon with no vertex farther than ``tolerance`` from the drawn line. Rings keep four vertices at least, or stay."""
 
-    @F.pandas_udf(POLYGON)
-    def run(polygons: pd.Series) -> pd.Series:
+    @F.arrow_udf(POLYGON)
+    def run(polygons: pa.Array) -> pa.Array:
         def ring(r):
             pts = [(v["x"], v["y"]) for v in r]
             out = _simplify_ring(pts, tolerance)
             return [{"x": x, "y": y} for x, y in (out if len(out) >= 4 else pts)]
 
-        return pd.Series([None if p is None else [[ring(r) for r in part] for part in p] for p in polygons], dtype=object)
+        return pa.array([None if p is None else [[ring(r) for r in part] for part in p] for p in polygons.to_pylist()], ARROW_POLYGON)
 
     return run
 

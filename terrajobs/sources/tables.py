@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from terrajobs.functions.geo import POLYGON, polygon_area_centroid
+from terrajobs.functions.geo import ARROW_POLYGON, POLYGON, polygon_area_centroid
 
 # Headers of the registry of comuni and of administrative changes, and the columns they become.
 REGISTRY_COLUMNS = {
@@ -102,9 +102,9 @@ def parse_wkt(text: str | None):
     return [rings(p) for p in parts]
 
 
-@F.pandas_udf(POLYGON)
-def polygon_from_wkt(texts: pd.Series) -> pd.Series:
-    return pd.Series([parse_wkt(t) for t in texts], dtype=object)
+@F.arrow_udf(POLYGON)
+def polygon_from_wkt(texts: pa.Array) -> pa.Array:
+    return pa.array([parse_wkt(t) for t in texts.to_pylist()], ARROW_POLYGON)
 
 
 def with_centroid(areas: DataFrame, polygon: str = "geometry") -> DataFrame:
