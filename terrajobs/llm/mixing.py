@@ -42,11 +42,12 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
     after = order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(1))
     levels = ranked.select(
-        "source", "source_size", "weight", "cap", "fill",
+        "source", "source_size", "weight", "cap", "fill", F.row_number().over(order).alias("place"),
         ((F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)).alias("level"),
     )
-    # The level that holds is the first in this order at which the next source is not filled.
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(everything)["level"]
+    # The level that holds is the first in this order at which the next source is not filled; of sources that tie in fill
+    # the later ones' levels count the earlier as full.
+    level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("place", "level"))).over(everything)["level"]
     shared = levels.withColumn("balance", level)
     target = F.when(F.col("balance").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("balance")))
     return shared.select("source", "source_size", target.alias("target"))

@@ -49,6 +49,16 @@ def test_many_shapes_of_sources(spark):
         assert all(abs(got[s] - want[s]) < 1e-9 * max(1, want[s]) for s in sizes), (sizes, got, want)
 
 
+def test_sources_that_tie(spark):
+    """Equal sizes and weights, and sizes in proportion to the weights: the whole total is shared."""
+    for sizes in ({x: 100 for x in "abcd"}, {x: 100 for x in "abcdefgh"}, {"a": 50, "b": 20, "c": 10, "d": 50, "e": 20}, {"a": 1, "b": 7, "c": 900, "d": 1}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r["source"]: r["target"] for r in op.targets(df).collect()}
+        want = brute_targets(sizes)
+        assert all(abs(got[s] - want[s]) < 1e-9 * want[s] for s in sizes), (sizes, got, want)
+        assert abs(sum(got.values()) - sum(sizes.values())) < 1e-6
+
+
 def test_query_comes_near_its_targets_and_agrees_with_itself(spark):
     a, b = (sorted(map(tuple, op.op7_mix_sources(spark, SMALL).collect())) for _ in range(2))
     assert a == b and len(a) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
