@@ -18,8 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    return exact_dedup.deduplicate(docs, exact_dedup.open_index(spark))
+    """Of equal texts the row with the largest doc_id, and of rows that repeat it one."""
+    return exact_dedup.deduplicate(docs, exact_dedup.open_index(spark), once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,16 +71,21 @@ def add_batch(spark: SparkSession, index: str, hashed: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is new to the index and to the batch.
 
     A row with a null id that stays is found by its null id and digest, as any other; rows that repeat the
-    staying row's id and text come through once for each repetition.
+    staying row's id and text come through once for each repetition, or with ``once`` the least of them alone (all columns
+    must have an order).
     """
     decided = add_batch(docs.sparkSession, index, digests(docs, id_col, text_col)).where("kept")
-    stay = decided.select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
+    stay = decided.groupBy(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).agg(F.count("*").alias("_times"))
     here = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (text_digest(text_col) == F.col("_stay_digest"))
-    return docs.join(stay, here, "left_semi")
+    if not once:
+        return docs.join(stay, here, "left_semi")
+    stay = materialize(stay, "stay")
+    several = docs.join(stay.where("_times > 1"), here).groupBy("_stay_id", "_stay_digest").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return docs.join(stay.where("_times = 1"), here, "left_semi").unionByName(several.select("_row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

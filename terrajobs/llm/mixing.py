@@ -85,12 +85,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int
     taken come near the target. A null text has size 0, a null source is a source of its own (last), a
     source without words has target 0 and copies 0; repeated rows are rows of their own. No rows give no rows.
     """
-    sizes = materialize(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size")), "sizes")
+    sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    return _mixed(sizes, ["size", "doc_id"], weights, most, seed)
+
+
+def _mixed(sizes: DataFrame, order: list[str], weights: tuple, most: float, seed: int) -> DataFrame:
+    """``mix`` for rows with source and size, counted off in ``order``; other columns come through."""
+    sizes = materialize(sizes, "sizes")
     share = targets(sizes.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
     # One row per source: joined by broadcast while Spark sees that it is small, else by sort-merge.
     rows = sizes.join(share, sizes["source"].eqNullSafe(share["_source"])).drop("_source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = systematic_copies(rows, "source", ["size", "doc_id"], expected, seed)
+    out = systematic_copies(rows, "source", order, expected, seed)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -101,8 +107,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 0) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; doc_id must be unique."""
-    taken = mix(docs, weights, most, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    cols = [F.col(c) for c in docs.columns]
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(*cols, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
-    return out.drop("_copy")
+    """The documents themselves, each as often as the mix takes it.
+
+    Rows are numbered and written first, so rows without doc_id or with the same one have copies of their own.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    sizes = numbered.select("_row", "doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64("text").alias("_text"))
+    mixed = _mixed(sizes, ["size", "doc_id", "_text", "_row"], weights, most, seed)
+    taken = mixed.where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return numbered.join(taken, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
