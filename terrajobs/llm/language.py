@@ -183,30 +183,34 @@ def fuse(units: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """``doc_id, page_id, host, declared, suffix, text_lang, lang, confidence``: a row per document, and one per page whose
-    document is not among them (doc_id null).
+    """``doc_id, page_id, host, declared, suffix, text_lang, lang, confidence``: a row per document, and one (doc_id null) for
+    every page that is not the one of a document's row.
 
     A document's text speaks for it, with the page that shows it (the one of smallest page_id, if several) for
-    markup and address; a page without document speaks by its own visible text. Null and empty texts say nothing, so
-    the other evidence decides. Repeated rows and null ids come through each. Empty tables give no rows.
+    markup and address; its other pages are rows with the same text's evidence and their own markup and address (of documents
+    that repeat an id one speaks for them), so every page counts in the tallies. A page without document speaks by its
+    own visible text. Null and empty texts say nothing, so the other evidence decides. Repeated rows and null ids come
+    through each. Empty tables give no rows.
     """
     languages, table = fit_texts(docs)
     likelihood = log_likelihoods(table)
     empty = F.lit("")
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), likelihood(F.coalesce("text", empty)).alias("likelihood")), "likelihoods")
-    shown = materialize(page_evidence(pages), "pages")
-    first = shown.where(F.col("number").isNotNull()).groupBy("number").agg(F.min(F.struct("page_id", "host", "domain", "suffix", "declared")).alias("e"))
+    shown = materialize(page_evidence(pages).withColumn("at", F.monotonically_increasing_id()), "pages")
+    first = shown.where(F.col("number").isNotNull()).groupBy("number").agg(F.min(F.struct("page_id", "host", "domain", "suffix", "declared", "at")).alias("e"), F.count("*").alias("times"))
     with_page = texts.join(first, texts["doc_id"] == first["number"], "left").select("doc_id", "e.page_id", "e.host", "e.domain", "e.suffix", "e.declared", "likelihood")
+    speaks = texts.select(F.col("doc_id").alias("number"), "likelihood").join(first.where("times > 1"), "number").groupBy("number").agg(F.min("likelihood").alias("likelihood"), F.min("e.at").alias("taken"))
+    others = shown.join(speaks, "number").where("at <> taken").select(F.lit(None).cast("long").alias("doc_id"), "page_id", "host", "domain", "suffix", "declared", "likelihood")
     loose = shown.join(texts.select(F.col("doc_id").alias("number")), "number", "left_anti").select("page_id", "host", "domain", "suffix", "declared")
     own = pages.select(F.col("page_id").alias("own_id"), visible_text("html").alias("text"))
     keyed = loose.join(own, loose["page_id"].eqNullSafe(own["own_id"])).select(
         F.lit(None).cast("long").alias("doc_id"), "page_id", "host", "domain", "suffix", "declared", likelihood("text").alias("likelihood")
     )
-    units = materialize(with_page.unionByName(keyed), "units")
+    units = materialize(with_page.unionByName(others).unionByName(keyed), "units")
     return fuse(units, languages).select("doc_id", "page_id", "host", "declared", "suffix", "text_lang", "lang", "confidence")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, with the evidence of the pages that show it, and of every page without a document."""
+    """Language of every document, with the evidence of a page that shows it, and of every other page."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return identify(docs, spark.read.parquet(f"{sf_dir}/pages.parquet"))

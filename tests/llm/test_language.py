@@ -46,6 +46,22 @@ def test_awkward_and_empty(spark):
     assert op.identify(none, pages).where("doc_id IS NOT NULL").count() == 0
 
 
+def test_every_page_counts(spark):
+    """Later pages of a document are rows, and their hosts' tallies hold them."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    french = docs.where("lang = 'fr'").limit(30).select((F.col("doc_id") + 10000).alias("doc_id"), "text", "lang")
+    first = french.select("doc_id", F.concat(F.lit("http://first.example/"), "doc_id").alias("url"))
+    later = french.select(F.col("doc_id") + 50000, F.concat(F.lit("http://mirror.example/"), "doc_id").alias("url"))
+    silent = spark.createDataFrame([(9001, "", None)], "doc_id long, text string, lang string")
+    pages = first.unionByName(later.toDF("doc_id", "url")).toDF("page_id", "url").withColumn("html", F.lit("<p>x"))
+    pages = pages.unionByName(pages.where("page_id > 60000").limit(1)).unionByName(spark.createDataFrame([(99999, "http://mirror.example/9001", "<p>")], pages.schema))
+    out = op.identify(docs.unionByName(french).unionByName(silent), pages)
+    assert Counter(r["page_id"] for r in out.where("page_id IS NOT NULL").collect()) == Counter(r["page_id"] for r in pages.collect())
+    mirror = out.where("host = 'mirror.example' AND doc_id IS NULL").collect()
+    assert len(mirror) == 31 and all(r["text_lang"] == "fr" for r in mirror)
+    assert out.where("doc_id = 9001").first()["lang"] == "fr"
+
+
 def test_declared_language(spark):
     cases = {"<html lang=\"en-GB\">": "en", "<!doctype html>\n<HTML class=x xml:lang='FR'>": "fr", "<html>": None, "<p lang=de>": None, None: None, "": None, "<html lang = es dir=ltr>": "es"}
     rows = spark.createDataFrame([(k,) for k in cases], "h string").select("h", op.declared_language("h").alias("l")).collect()
