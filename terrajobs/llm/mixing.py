@@ -1,8 +1,11 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document has an expected number of copies. Within a source the expectations are summed in a fixed order, one
-random offset is added, and a copy leaves at each integer boundary that the running sum crosses. Sums are of
-fixed-point integers, so a rerun crosses the same boundaries.
+Every document has an expected number of copies. Within a source the expectations are summed in a fixed order, an
+offset is added, and a copy leaves at each integer boundary that the running sum crosses.
+
+Words, not documents, are to meet the target, so the documents that are long for their source are counted off first. Their copies
+are whole, so their words miss or pass their share; what is left of the target sets the expectation of the short ones. Offset
+and length at which a document counts as long are, of a few, those that come nearest.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Fixed-point steps in one copy.
 UNIT = 1 << 20
+#: Offsets tried, evenly spaced after a random one, and shares of a source's target from which a document may count as long.
+OFFSETS = 32
+LONG = (1.0, 0.3, 0.1, 0.03, 0.01)
 
 
 def word_count(text: str) -> Column:
@@ -30,7 +36,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
     The total of all sizes is shared by weight; what a source's cap of ``most`` times its size leaves
     over is shared again by weight among the others, until none is above its cap. Sources fill up in the order
     of cap over weight, so one pass over the sources in that order finds the level at which the shares balance.
-    The windows see one row per source.
+    The windows see one row per source, all in one task: a million sources take it a few seconds.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -53,51 +59,106 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def systematic_copies(rows: DataFrame, by: str, order: list[str], expected: Column, seed: int = 0, parts: int | None = None) -> DataFrame:
-    """``rows`` with a column ``copies``: the integer boundaries that each row's expectation crosses.
+def running_sum(rows: DataFrame, by: str, order: list[str], value: Column, parts: int | None = None) -> DataFrame:
+    """``rows`` with ``_before``: the sum of ``value`` (long) over the rows before, in the order of ``order`` within ``by``.
 
-    ``expected`` is a number of copies from 0 up; null counts as 0. Rows run within ``by`` in the order of
-    ``order``. The running sum takes two steps, so a source with a third of all rows is no single task: rows are
-    dealt into ranges of (by, order), each range is summed per source, the sums of the ranges before give
-    each its start (one row per range and source), and only then rows are summed within their range.
+    In two steps, so a source with a third of all rows is no single task: rows are dealt into ranges of (by, order), each range
+    is summed per source, the sums of the ranges before give each its start (one row per range and source), and only then rows
+    are summed within their range. The dealt rows are written, so that both steps see the same ranges.
     """
-    spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = F.coalesce(F.round(expected * UNIT), F.lit(0)).cast("long")
-    dealt = rows.withColumn("_steps", F.greatest(steps, F.lit(0))).repartitionByRange(parts, F.col(by).asc_nulls_last(), *order)
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_value", value.cast("long")).repartitionByRange(parts, F.col(by).asc_nulls_last(), *order)
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "mix")
-    sums = dealt.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_at")).agg(F.sum("_steps").alias("_sum"))
+    sums = dealt.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_at")).agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("_by").cast("string"), F.lit("")), F.col("_by").isNull()), F.lit(UNIT))
-    starts = sums.select("_by", "_at", (F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) + offset).alias("_start"))
-    within = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = dealt.withColumn("_upto", F.sum("_steps").over(within))
+    starts = sums.select("_by", "_at", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
     joined = summed.join(starts, summed[by].eqNullSafe(starts["_by"]) & (summed["_part"] == starts["_at"]))
-    crossed = F.floor((F.col("_start") + F.col("_upto")) / UNIT) - F.floor((F.col("_start") + F.col("_upto") - F.col("_steps")) / UNIT)
-    return joined.withColumn("copies", crossed.cast("long")).select(*rows.columns, "copies")
+    return joined.select(*rows.columns, "_value", (F.col("_start") + F.col("_within")).alias("_before"))
+
+
+def _random(seed: int, by: str) -> Column:
+    """A number of 0 to UNIT - 1 for each source."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(by).cast("string"), F.lit("")), F.col(by).isNull()), F.lit(UNIT))
+
+
+def systematic_copies(rows: DataFrame, by: str, order: list[str], expected: Column, seed: int = 0, parts: int | None = None) -> DataFrame:
+    """``rows`` with a column ``copies``: the integer boundaries that each row's expectation crosses.
+
+    ``expected`` is a number of copies from 0 up, any for each row; null counts as 0. Sums are of fixed-point integers, so a
+    rerun crosses the same boundaries.
+    """
+    steps = F.greatest(F.coalesce(F.round(expected * UNIT), F.lit(0)).cast("long"), F.lit(0))
+    upto = F.col("_before") + _random(seed, by)
+    crossed = F.floor((upto + F.col("_value")) / UNIT) - F.floor(upto / UNIT)
+    return running_sum(rows, by, order, steps, parts).withColumn("copies", crossed.cast("long")).drop("_value", "_before")
+
+
+def _crossed(place: Column, expected: Column, offset: Column) -> Column:
+    """Boundaries that the row at ``place`` (from 0) crosses where all rows expect as much: the running sum in closed form."""
+    return (F.floor(offset + expected * (place + 1)) - F.floor(offset + expected * place)).cast("long")
+
+
+def plans(placed: DataFrame, shares: DataFrame, most: float, seed: int) -> DataFrame:
+    """``source, n_long, long_offset, short_expected`` of every source with a target, from rows (source, size, place) in order of size.
+
+    For every length in LONG and every offset the words that the long documents give are summed (one row per source and length).
+    The best leaves the short ones an expectation between 0 and ``most``, and among those has the least of what may still
+    be missed: half of the longest short document.
+    """
+    expected = F.col("target") / F.col("source_size")
+    known = placed.join(shares.where("target > 0"), placed["source"].eqNullSafe(shares["_source"]))
+    random = (_random(seed, "source") / F.lit(float(UNIT))).alias("random")
+    base = known.select("source", "size", "place", "target", "source_size", expected.alias("expected"), random)
+    offsets = [(F.col("random") + j / OFFSETS) % 1 for j in range(OFFSETS)]
+    lengths = F.array(*(F.struct(F.lit(i).alias("i"), (F.col("target") * share).alias("over")) for i, share in enumerate(LONG)))
+    tried = base.where(F.col("size") > F.col("target") * min(LONG)).select("*", F.explode(lengths).alias("t"))
+    long = F.col("size") > F.col("t.over")
+    words = [F.sum(F.when(long, F.col("size") * _crossed(F.col("place"), F.col("expected"), o)).otherwise(0)) for o in offsets]
+    rest = F.max(F.when(~long, F.col("size")))
+    per_length = tried.groupBy(F.col("source").alias("_s"), F.col("t.i").alias("i")).agg(
+        F.count_if(long).alias("n_long"), F.coalesce(F.sum(F.when(long, F.col("size"))), F.lit(0)).alias("long_size"), rest.alias("longest"), F.array(*words).alias("words")
+    )
+    # Sources without any such document: nothing is long, and a hundredth of the target is the most that a short one holds.
+    sources = shares.where("target > 0").select(F.col("_source").alias("source"), "source_size", "target")
+    joined = sources.join(per_length, sources["source"].eqNullSafe(per_length["_s"]), "left").select(
+        "source", "source_size", "target", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("n_long", F.lit(0)).alias("n_long"), F.coalesce("long_size", F.lit(0)).alias("long_size"),
+        F.coalesce("longest", F.col("target") * min(LONG)).alias("longest"), F.coalesce("words", F.array_repeat(F.lit(0).cast("long"), OFFSETS)).alias("words"),
+    )
+    each = joined.select("*", F.posexplode("words").alias("j", "taken"), random)
+    left, short = F.col("target") - F.col("taken"), F.col("source_size") - F.col("long_size")
+    missed = F.greatest(F.lit(0.0), -left, left - most * short) + F.when((short > 0) & (left > 0), F.col("longest") / 2).otherwise(0.0)
+    short_expected = F.when(short > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), left / short))).otherwise(F.lit(0.0))
+    choice = F.struct(missed.alias("missed"), "i", "j")
+    plan = F.struct("n_long", ((F.col("random") + F.col("j") / OFFSETS) % 1).alias("long_offset"), short_expected.alias("short_expected"))
+    return each.groupBy("source").agg(F.min_by(plan, choice).alias("p")).select("source", "p.*")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every document.
 
-    Expected copies are target over size of the source, the same for all of its documents; they are
-    counted off in the order of size, so the copies are spread evenly over short and long documents and the words
-    taken come near the target. A null text has size 0, a null source is a source of its own (last), a
-    source without words has target 0 and copies 0; repeated rows are rows of their own. No rows give no rows.
+    Documents of a source expect target over size copies each if they are long for it, and what then makes up the target if they
+    are short, never above ``most``. A null text has size 0, a null source is a source of its own (last), a source
+    without words has target 0 and copies 0; repeated rows are rows of their own. No rows give no rows.
     """
     sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    return _mixed(sizes, ["size", "doc_id"], weights, most, seed)
+    return _mixed(sizes, ["doc_id"], weights, most, seed)
 
 
 def _mixed(sizes: DataFrame, order: list[str], weights: tuple, most: float, seed: int) -> DataFrame:
-    """``mix`` for rows with source and size, counted off in ``order``; other columns come through."""
-    sizes = materialize(sizes, "sizes")
-    share = targets(sizes.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
+    """``mix`` for rows with source and size, counted off from the longest, then in ``order``; other columns come through."""
+    placed = materialize(running_sum(sizes, "source", [F.desc("size"), *order], F.lit(1)).withColumnRenamed("_before", "place").drop("_value"), "placed")
+    shares = materialize(targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "shares")
+    chosen = plans(placed, shares, most, seed).withColumnRenamed("source", "_planned")
+    told = shares.join(chosen, shares["_source"].eqNullSafe(chosen["_planned"]), "left").drop("_planned")
     # One row per source: joined by broadcast while Spark sees that it is small, else by sort-merge.
-    rows = sizes.join(share, sizes["source"].eqNullSafe(share["_source"])).drop("_source")
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = systematic_copies(rows, "source", order, expected, seed)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    rows = placed.join(told, placed["source"].eqNullSafe(told["_source"])).drop("_source")
+    place, n_long = F.col("place"), F.col("n_long")
+    short_offset = F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit(""))), F.lit(UNIT)) / F.lit(float(UNIT))
+    copies = F.when(place < n_long, _crossed(place, F.col("target") / F.col("source_size"), F.col("long_offset"))).otherwise(_crossed(place - n_long, F.col("short_expected"), short_offset))
+    out = rows.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
+    return out.drop("place", "n_long", "long_offset", "short_expected").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +174,6 @@ def repeat_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MO
     """
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     sizes = numbered.select("_row", "doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64("text").alias("_text"))
-    mixed = _mixed(sizes, ["size", "doc_id", "_text", "_row"], weights, most, seed)
+    mixed = _mixed(sizes, ["doc_id", "_text", "_row"], weights, most, seed)
     taken = mixed.where("copies > 0").select("_row", F.col("copies").alias("_copies"))
     return numbered.join(taken, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")

@@ -87,3 +87,20 @@ def test_documents_repeat(spark):
     assert out.columns == docs.columns
     assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter({k: v for k, v in copies.items() if v})
     assert op.mix(awkward(spark, [])).count() == 0
+
+
+def test_sources_come_within_a_hundredth(spark):
+    """At sf0.01 (50 documents a source, one of which may hold most of its words) and above; at sf0.001 (10) within a twentieth."""
+    for folder, most in ((SMALL, 0.05), ("/root/testdata/sf0.01", 0.01)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        rows = op.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("copies")).collect()
+        assert len(rows) == 20 and all(abs(r["taken"] - r["target"]) <= most * r["target"] for r in rows), [(r["source"], r["taken"] / r["target"]) for r in rows]
+        assert max(r["copies"] for r in rows) <= op.MOST
+
+
+def test_places_count_rows_of_each_source(spark):
+    rows = [("s" if i % 3 else None, i * 7 % 50, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, size long, n long")
+    got = {r["n"]: r["_before"] for r in op.running_sum(df, "source", [F.desc("size"), "n"], F.lit(1), parts=9).collect()}
+    for source in ("s", None):
+        assert [got[n] for _, n in sorted((-size, n) for s, size, n in rows if s == source)] == list(range(sum(s == source for s, _, _ in rows)))
