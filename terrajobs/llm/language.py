@@ -20,8 +20,6 @@ from terrajobs.llm.hosts import domain_of, host_of, path_of, suffix_of
 
 #: Documents of each language that the text models are fitted on, at most (in expectation), by hash of doc_id.
 SAMPLE_PER_LANGUAGE = 2000
-#: Languages told apart at most: the most frequent. A bound on the model's size.
-MOST_LANGUAGES = 200
 #: Hashed trigrams, and trigrams that a text's likelihood counts for at most (neighbours in prose are not independent).
 BUCKETS = 1 << 15
 MOST_TRIGRAMS = 100
@@ -30,6 +28,8 @@ FOLDS, HELD_OUT = 5, 0
 #: Pages for which a parent's prior counts, and pseudo-counts of a declaration or suffix.
 STRENGTH = 20.0
 PSEUDO = 1.0
+#: Bytes of tallies that a join may broadcast; of a larger table only its hottest keys, as many as fit, are.
+BROADCAST_BYTES = 16 << 20
 CHUNK = 1 << 20
 
 _FOLD = np.arange(256, dtype="u4")
@@ -64,20 +64,16 @@ def _fold(col: str) -> Column:
 
 
 def fit_texts(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each trigram by language) from documents with a known ``lang``.
+    """(languages, log probability of each trigram by language) from documents with a known ``lang``, all languages there are.
 
-    To the driver come a count and one row of trigram counts per language.
+    To the driver come a count and one row of trigram counts per language, 256 KB each.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold("doc_id") != HELD_OUT))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not sizes:
-        return ["und"], np.zeros((1, BUCKETS), dtype="f4")
+    sizes = materialize(known.groupBy(F.col("lang").alias("_lang")).count(), "languages")
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (spot < int(min(1.0, per_language / n) * (1 << 30))))
+    chosen = known.join(sizes, F.col("lang") == F.col("_lang")).where(spot < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * F.lit(float(1 << 30)))
     # The sample is bounded, so a few partitions hold it, each giving a row of counts per language.
-    sample = known.where(chosen).select("lang", "text").repartition(8)
+    sample = chosen.select("lang", "text").repartition(8)
     rows = sample.mapInArrow(_counts, "lang string, counts array<bigint>").groupBy("lang").applyInPandas(_summed, "lang string, counts array<bigint>")
     counts = {r["lang"]: np.array(r["counts"], dtype="f8") for r in rows.collect()}
     languages = sorted(counts)
@@ -116,10 +112,10 @@ def visible_text(html: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
-    """``page_id, number, host, domain, suffix, declared`` of every page; number is the first number of the path."""
+def page_evidence(pages: DataFrame, *more: Column) -> DataFrame:
+    """``page_id, number, host, domain, suffix, declared`` of every page, and ``more``; number is the first number of the path."""
     number = F.regexp_extract(path_of("url"), r"/([0-9]{1,18})(?:[^0-9]|$)", 1)
-    rows = pages.select("page_id", F.when(number != "", number.cast("long")).alias("number"), host_of("url").alias("host"), declared_language("html").alias("declared"))
+    rows = pages.select("page_id", F.when(number != "", number.cast("long")).alias("number"), host_of("url").alias("host"), declared_language("html").alias("declared"), *more)
     return rows.withColumns({"domain": domain_of("host"), "suffix": suffix_of("host")})
 
 
@@ -129,10 +125,30 @@ def _argmax(values: Column) -> Column:
 
 
 def _tallies(rows: DataFrame, by: str, k: int) -> DataFrame:
-    return rows.groupBy(by).agg(F.array(*(F.sum((F.col("guess") == i).cast("double")) for i in range(k))).alias("tally"))
+    return rows.groupBy(by).agg(F.array(*(F.sum((F.col("guess") == i).cast("double")) for i in range(k))).alias("tally"), F.count("*").alias("_n"))
+
 
+def meet_tally(rows: DataFrame, tallies: DataFrame, by: str, name: str, k: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with the tally of their value of ``by`` as ``name``; null where it is null.
 
-def fuse(units: DataFrame, languages: list[str]) -> DataFrame:
+    A table of tallies (written by the caller) that fits in ``limit`` bytes is broadcast. Of a larger one the most frequent values are, as many
+    as fit; only rows of other values are dealt by value, and no such value is frequent. Rows that need no partner are spread by a hash of themselves.
+    """
+    fits = max(1, limit // (8 * k + 128))
+    known = tallies.select(F.col(by).alias("_v"), F.col("tally").alias(name))
+    if tallies.count() <= fits:
+        return rows.join(F.broadcast(known), F.col(by) == F.col("_v"), "left").drop("_v")
+    # A value with at least this many rows is one of fewer than ``fits``.
+    often = rows.count() // fits + 1
+    hot = tallies.where(F.col("_n") >= often).select(F.col(by).alias("_v"), F.col("tally").alias("_hot"))
+    near = rows.join(F.broadcast(hot), F.col(by) == F.col("_v"), "left").drop("_v")
+    key = F.when(F.col("_hot").isNull() & F.col(by).isNotNull(), F.concat(F.lit("v"), by)).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("string")))
+    cold = tallies.where(F.col("_n") < often).select(F.concat(F.lit("v"), by).alias("_k"), F.col("tally").alias("_cold"))
+    met = near.withColumn("_key", key).join(cold, F.col("_key") == F.col("_k"), "left")
+    return met.withColumn(name, F.coalesce("_hot", "_cold")).drop("_key", "_k", "_hot", "_cold")
+
+
+def fuse(units: DataFrame, languages: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """Posterior over ``languages`` for ``units`` (any columns, with likelihood, host, domain, suffix, declared).
 
     Adds ``lang, confidence, text_lang``. ``guess`` is what the text alone says; the grouped counts of guesses by declaration,
@@ -169,7 +185,8 @@ def fuse(units: DataFrame, languages: list[str]) -> DataFrame:
     some = F.col("host").isNotNull() | F.col("declared").isNotNull()
     spoken = told = units.where(some)
     for level in levels:
-        told = told.join(_tallies(spoken.where(F.col(level).isNotNull()), level, k).withColumnRenamed("tally", f"{level}_tally"), level, "left")
+        tallies = materialize(_tallies(spoken.where(F.col(level).isNotNull()), level, k), f"tally-{level}")
+        told = meet_tally(told, tallies, level, f"{level}_tally", k, limit)
     silent = units.where(~some)
     units = told.unionByName(silent.withColumns({f"{x}_tally": F.lit(None).cast("array<double>") for x in levels}))
     prior = shrunk("host_tally", F.col("domain_prior"))
@@ -196,17 +213,17 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     likelihood = log_likelihoods(table)
     empty = F.lit("")
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), likelihood(F.coalesce("text", empty)).alias("likelihood")), "likelihoods")
-    shown = materialize(page_evidence(pages).withColumn("at", F.monotonically_increasing_id()), "pages")
-    first = shown.where(F.col("number").isNotNull()).groupBy("number").agg(F.min(F.struct("page_id", "host", "domain", "suffix", "declared", "at")).alias("e"), F.count("*").alias("times"))
+    shown = materialize(page_evidence(pages).where(F.col("number").isNotNull()).withColumn("at", F.monotonically_increasing_id()), "pages")
+    first = shown.groupBy("number").agg(F.min(F.struct("page_id", "host", "domain", "suffix", "declared", "at")).alias("e"), F.count("*").alias("times"))
     with_page = texts.join(first, texts["doc_id"] == first["number"], "left").select("doc_id", "e.page_id", "e.host", "e.domain", "e.suffix", "e.declared", "likelihood")
     speaks = texts.select(F.col("doc_id").alias("number"), "likelihood").join(first.where("times > 1"), "number").groupBy("number").agg(F.min("likelihood").alias("likelihood"), F.min("e.at").alias("taken"))
     others = shown.join(speaks, "number").where("at <> taken").select(F.lit(None).cast("long").alias("doc_id"), "page_id", "host", "domain", "suffix", "declared", "likelihood")
-    loose = shown.join(texts.select(F.col("doc_id").alias("number")), "number", "left_anti").select("page_id", "host", "domain", "suffix", "declared")
-    own = pages.select(F.col("page_id").alias("own_id"), visible_text("html").alias("text"))
-    keyed = loose.join(own, loose["page_id"].eqNullSafe(own["own_id"])).select(
-        F.lit(None).cast("long").alias("doc_id"), "page_id", "host", "domain", "suffix", "declared", likelihood("text").alias("likelihood")
-    )
-    units = materialize(with_page.unionByName(others).unionByName(keyed), "units")
+    # Pages without document carry their own text, so no row has to be found again by an id that may repeat or be null.
+    own = page_evidence(pages, visible_text("html").alias("text"))
+    known = texts.select(F.col("doc_id").alias("number")).where(F.col("number").isNotNull()).distinct()
+    loose = own.where(F.col("number").isNull()).unionByName(own.where(F.col("number").isNotNull()).join(known, "number", "left_anti"))
+    alone = loose.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "host", "domain", "suffix", "declared", likelihood("text").alias("likelihood"))
+    units = materialize(with_page.unionByName(others).unionByName(alone), "units")
     return fuse(units, languages).select("doc_id", "page_id", "host", "declared", "suffix", "text_lang", "lang", "confidence")
 
 
