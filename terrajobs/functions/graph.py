@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terrajobs.functions.storage import materialize
+from terrajobs.functions.storage import drop, materialize
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        here = materialize(_oriented(_small_star(_oriented(_large_star(here)))), "edges")
+        last, here = here, materialize(_oriented(_small_star(_oriented(_large_star(here)))), "edges")
+        drop(last)
         before, mark = mark, _mark(here)
         if mark == before:
             break

@@ -11,27 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (local tests), a fresh temporary folder is set as the checkpoint folder.
+    Where a local session (tests) names none, a fresh temporary folder is set as the checkpoint folder; on a cluster that raises, for
+    every executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrajobs-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/terrajobs-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a reread and not a recomputation, and pins results that
-    a second evaluation might deal differently (partition ids, range bounds).
+    a second evaluation might deal differently (partition ids, range bounds). The files stay until ``drop`` or ``clear``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._terrajobs_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more; other tables stay."""
+    if (path := getattr(df, "_terrajobs_path", None)) is not None:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application's jobs have left in the shared folder.
+
+    For when their results are written: a result that is still to be read, and archives or indexes that were given no path, go too.
+    """
+    _delete(spark, _own_dir(spark))
