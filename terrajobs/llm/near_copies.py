@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard similarity of word-shingle sets.
+"""Near copies by SimHash and by the Jaccard similarity of word-shingle sets.
 
-Banded minhashes find candidates: texts of which all minima of some band agree. Candidates form coarse groups, and within
-a group the shingle sets themselves are compared, so a text is linked by its exact similarity alone. A pair at
-similarity s meets with probability 1 - (1 - s^BAND_ROWS)^BANDS at least: 0.9999 at 0.8, more above.
+Candidates are texts whose SimHash fingerprints link (``simhash_segments``, over five-word shingles) and, since a similarity of
+0.8 leaves fingerprints some 10 of 64 bits apart, where no grid tells texts apart, also texts of which all minhashes of some band
+agree. Candidates form coarse groups, and within a group the shingle sets themselves are compared, so a text is linked by its exact
+similarity alone. A pair at similarity s meets in a band with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.9999 at 0.8, more above.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terrajobs.functions.graph import connected_components
 from terrajobs.functions.storage import materialize
+from terrajobs.llm.simhash_segments import fingerprint_links, majority
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
@@ -24,23 +26,25 @@ BANDS, BAND_ROWS = 24, 5
 #: Texts of a coarse group that a task compares by itself; more are cut into blocks, one task per pair of blocks.
 BLOCK = 1024
 SEED = 42
+#: Hashes whose votes are counted at a time.
+CHUNK = 1 << 15
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype="u8")
 _SALTS = _rng.integers(0, 1 << 63, BANDS, dtype="u8")
 
-BANDED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+BANDED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField(n, T.LongType()) for n in ("group", "low", "high", "key")] + [T.StructField("shingles", T.ArrayType(T.LongType()))])
 LINKS = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a text of fewer words, or none, is one shingle."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; a text of fewer words, or none, is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, ASCII white space alone
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), dtype="u8", count=n))
+    return np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), dtype="<u8", count=n)
 
 
 def band_keys(hashes: np.ndarray, chunk: int = 4096) -> np.ndarray:
@@ -57,15 +61,19 @@ def band_keys(hashes: np.ndarray, chunk: int = 4096) -> np.ndarray:
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bands = [band_keys(shingles(t.as_py())).view("i8") for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(bands, pa.list_(pa.int64()))], names=BANDED.names)
+        fps, bands = np.zeros(batch.num_rows, dtype="u8"), []
+        for i, text in enumerate(batch["text"]):
+            hashes = shingle_hashes(text.as_py())
+            fps[i] = majority(hashes[k : k + CHUNK] for k in range(0, len(hashes), CHUNK))
+            bands.append(band_keys(np.unique(hashes)).view("i8"))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(fps.view("i8")), pa.array(bands, pa.list_(pa.int64()))], names=BANDED.names)
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             some = batch.slice(i, 256)
-            sets = [shingles(t.as_py()).view("i8") for t in some["text"]]
+            sets = [np.unique(shingle_hashes(t.as_py())).view("i8") for t in some["text"]]
             yield pa.RecordBatch.from_arrays([*(some[n] for n in ("group", "low", "high", "key")), pa.array(sets, pa.list_(pa.int64()))], names=SETS.names)
 
 
@@ -135,6 +143,14 @@ def _copies(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     bands = marked.select("key", F.explode("bands").alias("band"))
     least = bands.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
     stars = bands.join(least.select("band", "least"), "band").where("key > least").select(F.col("key").alias("src"), F.col("least").alias("dst")).distinct()
+    # Equal fingerprints meet at their least key, linked ones at the least keys of both.
+    fps = materialize(marked.groupBy("fp").agg(F.min("key").alias("root"), F.max("key").alias("most")), "fingerprints")
+    roots = fps.select("fp", "root")
+    equal = marked.join(fps.where("root < most").select("fp", "root"), "fp").where("key > root").select(F.col("key").alias("src"), F.col("root").alias("dst"))
+    linked = fingerprint_links(roots.select("fp"))
+    ends = roots.withColumnsRenamed({"fp": "src", "root": "_src"}), roots.withColumnsRenamed({"fp": "dst", "root": "_dst"})
+    near = linked.join(ends[0], "src").join(ends[1], "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    stars = stars.unionByName(equal).unionByName(near)
     groups = materialize(connected_components(stars).select(F.col("node").alias("key"), F.col("component").alias("group")), "groups")
     counted = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
     mine = groups.join(counted, "group").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n")))

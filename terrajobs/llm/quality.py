@@ -158,11 +158,21 @@ def pool_adjacent_violators(values: np.ndarray, weights: np.ndarray) -> np.ndarr
     return np.concatenate([np.full(int(n), s / w) for s, w, n in blocks])
 
 
+def sample_labels(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``doc_id, quality`` of the labelled documents to learn from: none of fold 0, ``max_rows`` at most in expectation.
+
+    Labels that repeat for a document count as their mean; null ids and null labels are left out.
+    """
+    said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold() != HELD_OUT))
+    said = said.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("quality"))
+    n = said.count()
+    return said if n <= max_rows else said.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
+
+
 def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 0) -> Model:
     """Fit on ``stats`` (doc_id, stats) with ``labels`` (doc_id, quality), rows of fold 0 left out.
 
-    Labels that repeat for a document count as their mean; null ids and null labels are left out. To the driver
-    come: one row of means and deviations, one summed row of the normal equations per feature, and one row
+    To the driver come: one row of means and deviations, one summed row of the normal equations per feature, and one row
     per score level. Without labels, or with one class, scores are its share (0.5 without labels).
     """
     d = len(STATISTICS)
@@ -171,11 +181,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
     phases = rng.uniform(0.0, 2 * np.pi, FEATURES)
     model = Model(np.zeros(d), np.ones(d), waves, phases, np.zeros(FEATURES + 1), np.array([-1.0, 2.0]), np.array([0.5, 0.5]))
 
-    said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold() != HELD_OUT))
-    said = said.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("quality"))
-    n = said.count()
-    if n > max_rows:
-        said = said.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
+    said = sample_labels(labels, max_rows)
     # A bounded sample, so a few partitions and as many partial sums.
     rows = materialize(said.join(stats, "doc_id").select("doc_id", "stats", "quality").repartition(16, "doc_id"), "labelled")
     moments = rows.agg(
@@ -243,8 +249,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score from ``threshold`` up."""
-    model = fit(with_statistics(docs), labels)
+    """The rows of ``docs``, all columns, that score from ``threshold`` up.
+
+    Statistics are taken of the documents that the fit sees, whose ids (MAX_ROWS at most) are broadcast, and then once of
+    every text where it is scored.
+    """
+    chosen = F.broadcast(sample_labels(labels).select(F.col("doc_id").alias("_chosen")))
+    learned = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_chosen"), "left_semi")
+    model = fit(with_statistics(learned), labels)
     return docs.where(score_texts(model)(F.coalesce("text", F.lit(""))) >= threshold)
 
 

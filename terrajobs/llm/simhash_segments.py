@@ -14,7 +14,7 @@ is the Hamming distance of thermometers, a step is one flipped bit, and everythi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, chunk: int = 1 << 15)
     ends = np.cumsum(np.fromiter(map(len, words), dtype="i8", count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :][:n].tolist()
-    votes = np.zeros(64, dtype="i8")
     digest = xxhash.xxh64_intdigest
-    for i in range(0, n, chunk):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + chunk], stops[i : i + chunk], strict=True)], dtype="<u8")
-        votes += np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + chunk], stops[i : i + chunk], strict=True)], dtype="<u8") for i in range(0, n, chunk))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes, some at a time, have."""
+    votes, n = np.zeros(64, dtype="i8"), 0
+    for some in hashes:
+        votes += np.unpackbits(some.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+        n += len(some)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 

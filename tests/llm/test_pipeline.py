@@ -2,10 +2,11 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from terrajobs.llm import bpe_trie
+from terrajobs.llm import bpe_trie, simhash_segments
 
 from .common import SMALL
 from .test_simhash_segments import components, plain_fingerprint
+from .test_near_copies import brute as brute_near
 from .test_mixing import brute_targets, sizes_of
 
 
@@ -27,10 +28,9 @@ def test_stages_against_brute_force(spark):
         last[r[1]] = max(last.get(r[1], r), r)
     assert unique.columns == columns and sorted(rows(unique)) == sorted(last.values())
 
+    # Five-word shingles and a similarity of 0.8, against all pairs; components of 4 bits are op4's own and are held to below.
     apart = stages["simhash near-dedup"](spark, unique, SMALL)
-    had = sorted(rows(unique))
-    roots = components([plain_fingerprint(r[1]) for r in had], 4)
-    assert apart.columns == columns and sorted(rows(apart)) == [r for i, r in enumerate(had) if roots[i] == i]
+    assert apart.columns == columns and Counter(rows(apart)) == brute_near(rows(unique))
 
     mixed = stages["mix sources"](spark, apart, SMALL)
     had, out = sorted(rows(apart)), Counter(rows(mixed))
@@ -50,3 +50,19 @@ def test_stages_against_brute_force(spark):
         want[(r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest())] += n
     assert Counter(rows(stages["bpe"](spark, mixed, SMALL))) == want
     assert Counter(rows(corpus_pipeline.run(spark, SMALL))) == want
+
+
+def test_simhash_representatives_against_brute_force(spark):
+    """The smallest doc_id of each 4-bit component stays, by op4's own operator."""
+    had = sorted(rows(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    roots = components([plain_fingerprint(r[1]) for r in had], 4)
+    kept = simhash_segments.keep_representatives(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert sorted(rows(kept)) == [r for i, r in enumerate(had) if roots[i] == i]
+
+
+def test_stages_on_empty_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 0
