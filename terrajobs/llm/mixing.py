@@ -22,6 +22,8 @@ MOST = 3
 UNIT = 1 << 20
 #: Offsets tried, evenly spaced after a random one, and shares of a source's target from which a document may count as long.
 OFFSETS = 32
+#: Sources up to which the table of one row a source (200 bytes) is broadcast; more meet their documents by sort-merge.
+MOST_BROADCAST = 100_000
 LONG = (1.0, 0.3, 0.1, 0.03, 0.01)
 
 
@@ -100,7 +102,12 @@ def _crossed(place: Column, expected: Column, offset: Column) -> Column:
     return (F.floor(offset + expected * (place + 1)) - F.floor(offset + expected * place)).cast("long")
 
 
-def plans(placed: DataFrame, shares: DataFrame, most: float, seed: int) -> DataFrame:
+def _by_source(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one row a source, to be broadcast where it is small, so that no source's documents are dealt to one task."""
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
+
+
+def plans(placed: DataFrame, shares: DataFrame, n_sources: int, most: float, seed: int) -> DataFrame:
     """``source, n_long, long_offset, short_expected`` of every source with a target, from rows (source, size, place) in order of size.
 
     For every length in LONG and every offset the words that the long documents give are summed (one row per source and length).
@@ -108,7 +115,7 @@ def plans(placed: DataFrame, shares: DataFrame, most: float, seed: int) -> DataF
     be missed: half of the longest short document.
     """
     expected = F.col("target") / F.col("source_size")
-    known = placed.join(shares.where("target > 0"), placed["source"].eqNullSafe(shares["_source"]))
+    known = placed.join(_by_source(shares.where("target > 0"), n_sources), placed["source"].eqNullSafe(shares["_source"]))
     random = (_random(seed, "source") / F.lit(float(UNIT))).alias("random")
     base = known.select("source", "size", "place", "target", "source_size", expected.alias("expected"), random)
     offsets = [(F.col("random") + j / OFFSETS) % 1 for j in range(OFFSETS)]
@@ -150,10 +157,10 @@ def _mixed(sizes: DataFrame, order: list[str], weights: tuple, most: float, seed
     """``mix`` for rows with source and size, counted off from the longest, then in ``order``; other columns come through."""
     placed = materialize(running_sum(sizes, "source", [F.desc("size"), *order], F.lit(1)).withColumnRenamed("_before", "place").drop("_value"), "placed")
     shares = materialize(targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "shares")
-    chosen = plans(placed, shares, most, seed).withColumnRenamed("source", "_planned")
-    told = shares.join(chosen, shares["_source"].eqNullSafe(chosen["_planned"]), "left").drop("_planned")
-    # One row per source: joined by broadcast while Spark sees that it is small, else by sort-merge.
-    rows = placed.join(told, placed["source"].eqNullSafe(told["_source"])).drop("_source")
+    n_sources = shares.count()
+    chosen = plans(placed, shares, n_sources, most, seed).withColumnRenamed("source", "_planned")
+    told = materialize(shares.join(chosen, shares["_source"].eqNullSafe(chosen["_planned"]), "left").drop("_planned"), "plans")
+    rows = placed.join(_by_source(told, n_sources), placed["source"].eqNullSafe(told["_source"])).drop("_source")
     place, n_long = F.col("place"), F.col("n_long")
     short_offset = F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit(""))), F.lit(UNIT)) / F.lit(float(UNIT))
     copies = F.when(place < n_long, _crossed(place, F.col("target") / F.col("source_size"), F.col("long_offset"))).otherwise(_crossed(place - n_long, F.col("short_expected"), short_offset))
