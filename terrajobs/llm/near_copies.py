@@ -26,6 +26,8 @@ BANDS, BAND_ROWS = 24, 5
 #: Texts of a coarse group that a task compares by itself; more are cut into blocks, one task per pair of blocks.
 BLOCK = 1024
 SEED = 42
+#: Groups of several blocks up to which their table (16 bytes each) is broadcast.
+MOST_BROADCAST = 100_000
 #: Hashes whose votes are counted at a time.
 CHUNK = 1 << 15
 
@@ -152,8 +154,11 @@ def _copies(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     near = linked.join(ends[0], "src").join(ends[1], "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
     stars = stars.unionByName(equal).unionByName(near)
     groups = materialize(connected_components(stars).select(F.col("node").alias("key"), F.col("component").alias("group")), "groups")
-    counted = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
-    mine = groups.join(counted, "group").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n")))
+    large = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n")).where("n > 1")
+    large = materialize(large, "large-groups")
+    # Groups of several blocks are few: broadcast while they are, so that no group is dealt to one task before it is cut.
+    counted = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    mine = groups.join(counted, "group", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n")))
     paired = mine.select("key", "group", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")).select(
         "key", "group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
     )
