@@ -155,6 +155,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int
 
 def _mixed(sizes: DataFrame, order: list[str], weights: tuple, most: float, seed: int) -> DataFrame:
     """``mix`` for rows with source and size, counted off from the longest, then in ``order``; other columns come through."""
+    sizes = materialize(sizes, "sizes")  # words are counted once, not again for the ranges
     placed = materialize(running_sum(sizes, "source", [F.desc("size"), *order], F.lit(1)).withColumnRenamed("_before", "place").drop("_value"), "placed")
     shares = materialize(targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "shares")
     n_sources = shares.count()
