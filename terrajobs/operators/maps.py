@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from terrajobs.functions.columns import free_names, keyed, meets
 from terrajobs.functions.geo import transform_crs
-from terrajobs.functions.text import clean_name, human_format, strip_area_prefix
-from terrajobs.operators.matching import match_by_name, match_by_similarity
+from terrajobs.functions.storage import materialize
+from terrajobs.functions.text import clean_name, human_format
+from terrajobs.operators.matching import match_areas
 from terrajobs.operators.spatial import points_within, to_points
 
 # Weights of a Gaussian of sigma 1 at distances -4 to 4, before they are made to sum to 1.
@@ -18,23 +20,36 @@ DARK_LABELS = ("calabria", "liguria")
 LEVELS = ("regione", "provincia", "comune")
 
 
-def choropleth_table(df: DataFrame, tag: str, value: str, areas: DataFrame, level: str, *, similar: bool = False, **aliases) -> DataFrame:
+def _area_key(mapping: DataFrame, areas: DataFrame, level: str) -> tuple[str, str]:
+    """(column of the mapping, column of the areas) that tell areas apart: the code, or the name where there is none."""
+    code = f"codice_{level}"
+    return (code, code) if code in mapping.columns and code in areas.columns else ("match_key", f"denominazione_{level}")
+
+
+def _matched(rows: DataFrame, given: list[str], mapping: DataFrame, at: str, keep: list[str]) -> DataFrame:
+    """Rows that match, with ``_area`` and the columns ``keep``."""
+    known = keyed(mapping.where(F.col("match_key").isNotNull()).select(*given, F.col(at).alias("_area")), given)
+    return rows.join(known, meets([rows[g] for g in given])).select("_area", *(rows[k] for k in keep))
+
+
+def choropleth_table(
+    df: DataFrame, tag: str, value: str, areas: DataFrame, level: str, *, parent: str | None = None, similar: bool = False, gazetteer: DataFrame | None = None,
+    pages: DataFrame | None = None, **aliases,
+) -> DataFrame:
     """Every area of a level with the total of ``value`` over the rows whose ``tag`` matches it; 0 without rows.
 
-    Rows without tag are left out. Totals are taken by tag before names are matched, so matching sees distinct tags alone.
-    ``similar`` also accepts the most similar name.
+    Rows without tag are left out. Totals are taken by tag (and parent) before names are matched, so matching sees distinct tags
+    alone. Comuni are also found as localities of a gazetteer or of pages; ``similar`` accepts the most similar name. Areas are met
+    by code, so of comuni that share a name each has its own rows, and the map's sum is that of the rows that match.
     """
-    name = f"denominazione_{level}"
-    totals = df.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.sum(value).alias("_total"))
-    mapping = match_by_name(totals, tag, areas, level, name=name, **aliases)
-    if similar:
-        left = mapping.where("match_key IS NULL").select(F.col(tag).alias("_tag"), strip_area_prefix(clean_name(F.col(tag)), level).alias("_clean"))
-        known = areas.select(clean_name(name).alias("_known"), F.col(name).alias("_name")).distinct()
-        near = match_by_similarity(left, "_clean", known, "_known").join(known, F.col("match") == F.col("_known")).select("word", F.col("_name").alias("_near"))
-        near = left.join(near, F.col("_clean") == F.col("word")).select("_tag", "_near")
-        mapping = mapping.join(near, F.col(tag) == F.col("_tag"), "left").select(tag, F.coalesce("match_key", "_near").alias("match_key"))
-    by_area = totals.join(mapping, tag).where("match_key IS NOT NULL").groupBy("match_key").agg(F.sum("_total").alias(value))
-    return areas.join(by_area, F.col(name) == F.col("match_key"), "left").drop("match_key").withColumn(value, F.coalesce(value, F.lit(0)))
+    given = [tag] + ([parent] if parent else [])
+    total = free_names(["_total"], df.columns)["_total"]
+    totals = materialize(df.where(F.col(tag).isNotNull()).groupBy(*given).agg(F.sum(value).alias(total)), "totals")
+    mapping = match_areas(totals, tag, areas, level, parent=parent, similar=similar, gazetteer=gazetteer, pages=pages, **aliases)
+    at, on = _area_key(mapping, areas, level)
+    by_area = _matched(totals, given, mapping, at, [total]).groupBy("_area").agg(F.sum(total).alias("_value"))
+    out = free_names([value], areas.columns)[value]
+    return areas.join(by_area, F.col(on) == F.col("_area"), "left").select(*(areas[c] for c in areas.columns), F.coalesce("_value", F.lit(0)).alias(out))
 
 
 def choropleth_categories(df: DataFrame, tag: str, value: str, areas: DataFrame, level: str, *, check: bool = True, **aliases) -> DataFrame:
@@ -42,25 +57,27 @@ def choropleth_categories(df: DataFrame, tag: str, value: str, areas: DataFrame,
 
     Two values for one area raise.
     """
-    name = f"denominazione_{level}"
     said = df.where(F.col(tag).isNotNull() & F.col(value).isNotNull()).select(tag, value).distinct()
-    mapping = match_by_name(said, tag, areas, level, name=name, **aliases).where("match_key IS NOT NULL")
-    by_area = said.join(mapping, tag).groupBy("match_key").agg(F.min(value).alias(value), F.count_distinct(value).alias("_n"))
+    mapping = match_areas(said, tag, areas, level, **aliases)
+    at, on = _area_key(mapping, areas, level)
+    by_area = _matched(said, [tag], mapping, at, [value]).groupBy("_area").agg(F.min(value).alias("_value"), F.count_distinct(value).alias("_n"))
     if check and (twice := by_area.where("_n > 1").limit(1).collect()):
-        raise ValueError(f"{twice[0]['match_key']} has several values")
-    ranks = by_area.groupBy(value).count().withColumn("color", F.row_number().over(Window.orderBy(F.desc("count"), value)) - 1).select(F.col(value).alias("_v"), "color")
-    ranked = by_area.join(ranks, F.col(value) == F.col("_v")).select("match_key", value, "color")
-    return areas.join(ranked, F.col(name) == F.col("match_key"), "left").drop("match_key")
+        raise ValueError(f"{twice[0]['_area']} has several values")
+    ranks = by_area.groupBy(F.col("_value").alias("_v")).count().withColumn("_color", F.row_number().over(Window.orderBy(F.desc("count"), "_v")) - 1).drop("count")
+    ranked = by_area.join(ranks, F.col("_value") == F.col("_v")).select("_area", "_value", "_color")
+    out = free_names([value, "color"], areas.columns)
+    return areas.join(ranked, F.col(on) == F.col("_area"), "left").select(*(areas[c] for c in areas.columns), F.col("_value").alias(out[value]), F.col("_color").alias(out["color"]))
 
 
 def choropleth_table_multi(df: DataFrame, tag: str, values: list[str], areas: DataFrame, level: str, **aliases) -> DataFrame:
     """Every area with several values of the rows that match it, not added up; missing numbers are 0, missing text ``-``."""
-    name = f"denominazione_{level}"
-    mapping = match_by_name(df, tag, areas, level, name=name, **aliases).where("match_key IS NOT NULL")
-    rows = df.join(mapping, tag).select("match_key", *values)
-    out = areas.join(rows, F.col(name) == F.col("match_key"), "left").drop("match_key")
+    mapping = match_areas(df, tag, areas, level, **aliases)
+    at, on = _area_key(mapping, areas, level)
+    rows = _matched(df, [tag], mapping, at, values).toDF("_area", *(f"_v{i}" for i in range(len(values))))
     numeric = {v for v in values if isinstance(df.schema[v].dataType, T.NumericType)}
-    return out.withColumns({v: F.coalesce(F.col(v), F.lit(0) if v in numeric else F.lit("-")) for v in values})
+    named = free_names(values, areas.columns)
+    filled = (F.coalesce(F.col(f"_v{i}"), F.lit(0) if v in numeric else F.lit("-")).alias(named[v]) for i, v in enumerate(values))
+    return areas.join(rows, F.col(on) == F.col("_area"), "left").select(*(areas[c] for c in areas.columns), *filled)
 
 
 def filter_areas(areas: DataFrame, *, regione=None, provincia=None, comune=None) -> DataFrame:
@@ -69,13 +86,11 @@ def filter_areas(areas: DataFrame, *, regione=None, provincia=None, comune=None)
         if wanted is None:
             continue
         texts = [str(w) for w in (wanted if isinstance(wanted, (list, tuple, set)) else [wanted])]
-        asked = areas.sparkSession.createDataFrame([(t,) for t in texts] or [("",)], "w string")
-        keys = [r[0] for r in asked.select(clean_name("w")).collect()]
-        hit = clean_name(f"denominazione_{level}").isin(*[k for k in keys if k])
+        hit = F.coalesce(clean_name(f"denominazione_{level}").isin(*(clean_name(F.lit(t)) for t in texts)), F.lit(False)) if texts else F.lit(False)
         if f"codice_{level}" in areas.columns:
-            hit = hit | F.col(f"codice_{level}").isin(*[int(t) for t in texts if t.strip().isdigit()] or [-1])
+            hit = hit | F.coalesce(F.col(f"codice_{level}").isin([int(t) for t in texts if t.strip().isdigit()]), F.lit(False))
         if level == "provincia" and "sigla" in areas.columns:
-            hit = hit | F.upper("sigla").isin(*[t.strip().upper() for t in texts])
+            hit = hit | F.coalesce(F.upper("sigla").isin([t.strip().upper() for t in texts]), F.lit(False))
         return areas.where(hit)
     return areas
 

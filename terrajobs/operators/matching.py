@@ -1,7 +1,7 @@
 """Matching names, codes and abbreviations of areas, and attaching what the registry knows of them.
 
-Matching works on distinct keys: a mapping (the columns as given, ``match_key``) is built first, by joins that AQE broadcasts
-where the registry is small, and the whole input meets it once.
+Matching works on distinct keys: a mapping (the columns as given, ``match_key``, the area's code) is built first, by joins that AQE
+broadcasts where the registry is small, and the whole input meets it once. Areas are attached by code, for several comuni share a name.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions import names
+from terrajobs.functions.columns import free_names, keyed, meets
 from terrajobs.functions.storage import materialize
-from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, literal_map, loose_key, strip_area_prefix
+from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, literal_map, loose_key, simple_name, strip_area_prefix
 
 #: A candidate needs this ratio to be one, and a match more than this with the words swapped.
 CANDIDATE_RATIO, MATCH_RATIO = 0.6, 0.85
@@ -59,31 +60,49 @@ def disambiguate_homonyms(name: Column, sigla: Column | None = None, province: C
 
 
 def registry_keys(registry: DataFrame, name: str, level: str) -> DataFrame:
-    """``key -> match_key``: the cleaned names of a level. Homonymous comuni are told apart by sigla where the registry has it."""
-    plain = F.col(name)
+    """``key -> match_key, code``: the cleaned names of a level. Homonymous comuni are told apart by sigla where the registry has it.
+
+    Of areas that nothing tells apart the one of greatest (name, code) has the key; code is null where the registry has none.
+    """
+    plain, code = F.col(name), f"codice_{level}"
     if level == "comune" and "sigla" in registry.columns:
         plain = disambiguate_homonyms(plain, sigla=F.col("sigla"))
-    rows = registry.select(strip_area_prefix(clean_name(plain), level).alias("key"), plain.alias("match_key"))
-    return rows.where("key IS NOT NULL").groupBy("key").agg(F.max("match_key").alias("match_key"))
+    number = F.col(code).cast("int") if code in registry.columns else F.lit(None).cast("int")
+    rows = registry.select(strip_area_prefix(clean_name(plain), level).alias("key"), F.struct(plain.alias("match_key"), number.alias("code")).alias("m"))
+    return rows.where("key IS NOT NULL").groupBy("key").agg(F.max("m").alias("m")).select("key", "m.match_key", "m.code")
+
+
+#: Kinds of parent: what the homonyms' table calls them.
+PARENTS = {"sigla": "sigla", "provincia": "province", "regione": "region"}
+#: Parents given as codes, and what of the registry stands for them.
+CODED_PARENTS = {"codice_provincia": ("sigla", "sigla"), "codice_regione": ("denominazione_regione", "region")}
 
 
 def match_by_name(
     keys: DataFrame, column: str, registry: DataFrame, level: str, *, name: str | None = None, parent: str | None = None, parent_kind: str = "provincia",
     bilingual: DataFrame | None = None, history: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct values of ``column`` (and of the ``parent`` column) with ``match_key``, a name of the registry or null.
+    """Distinct values of ``column`` (and of the ``parent`` column) with ``match_key``, a name that tells areas apart, and
+    ``codice_<level>`` where the registry has it; null where nothing matches.
 
     Names go through: homonyms (comuni with a parent), cleaning, prefixes, bilingual aliases, English names, earlier names (comuni
     that the registry does not have), and, still unmatched, the loose key. ``bilingual`` is (alias, name), ``history``
-    (old_name, new_name); each is an equi-join on the few distinct keys.
+    (old_name, new_name); each is an equi-join on the few distinct keys. ``parent_kind`` is one of PARENTS or CODED_PARENTS.
     """
-    known = registry_keys(registry, name or f"denominazione_{level}", level)
+    if parent_kind not in PARENTS and parent_kind not in CODED_PARENTS:
+        raise ValueError(f"a parent is one of {(*PARENTS, *CODED_PARENTS)}, not {parent_kind!r}")
+    known = materialize(registry_keys(registry, name or f"denominazione_{level}", level), "registry-keys")
     given = [column] if parent is None else [column, parent]
     rows = keys.select(*given).distinct()
     plain = F.col(column).cast("string")
     if level == "comune" and parent is not None:
-        plain = disambiguate_homonyms(plain, **{{"sigla": "sigla", "provincia": "province", "regione": "region"}[parent_kind]: F.col(parent)})
-    rows = rows.withColumn("_key", strip_area_prefix(clean_name(plain), level))
+        told, kind = F.col(parent), PARENTS.get(parent_kind)
+        if kind is None:
+            source, kind = CODED_PARENTS[parent_kind]
+            by_code = registry.where(F.col(source).isNotNull()).groupBy(F.col(parent_kind).cast("int").alias("_parent_code")).agg(F.min(source).alias("_parent"))
+            rows, told = rows.join(by_code, F.col(parent).cast("string").try_cast("int") == F.col("_parent_code"), "left"), F.col("_parent")
+        plain = disambiguate_homonyms(plain, **{kind: told})
+    rows = rows.select(*given, strip_area_prefix(clean_name(plain), level).alias("_key"))
     if bilingual is not None:
         rows = rows.join(bilingual.select(F.col("alias").alias("_alias"), F.col("name").alias("_own")), F.col("_key") == F.col("_alias"), "left")
         rows = rows.withColumn("_key", F.coalesce("_own", "_key")).drop("_alias", "_own")
@@ -93,10 +112,12 @@ def match_by_name(
         old = history.select(F.col("old_name").alias("_old"), F.col("new_name").alias("_new"))
         rows = rows.join(there, F.col("_key") == F.col("_there"), "left").join(old, F.col("_key") == F.col("_old"), "left")
         rows = rows.withColumn("_key", F.when(F.col("_there").isNull(), F.coalesce("_new", "_key")).otherwise(F.col("_key"))).drop("_there", "_old", "_new")
-    first = rows.join(known.select(F.col("key").alias("_k1"), F.col("match_key").alias("_m1")), F.col("_key") == F.col("_k1"), "left")
-    loose = known.groupBy(loose_key(F.col("key")).alias("_k2")).agg(F.max_by("match_key", "key").alias("_m2"))
-    both = first.join(loose, F.when(F.col("_m1").isNull(), loose_key(F.col("_key"))) == F.col("_k2"), "left")
-    return both.select(*given, F.coalesce("_m1", "_m2").alias("match_key"))
+    area = F.struct("match_key", "code")
+    first = rows.join(known.select(F.col("key").alias("_k1"), area.alias("_m1")), F.col("_key") == F.col("_k1"), "left")
+    loose = known.groupBy(loose_key(F.col("key")).alias("_k2")).agg(F.max_by(area, "key").alias("_m2"))
+    both = first.join(loose, F.when(F.col("_m1").isNull(), loose_key(F.col("_key"))) == F.col("_k2"), "left").withColumn("_m", F.coalesce("_m1", "_m2"))
+    out = both.select(*given, F.col("_m.match_key").alias("match_key"), F.col("_m.code").alias(f"codice_{level}"))
+    return out if f"codice_{level}" in registry.columns else out.drop(f"codice_{level}")
 
 
 def not_matched(mapping: DataFrame, column: str, match: str = "match_key") -> DataFrame:
@@ -110,38 +131,57 @@ def not_in_registry(keys: DataFrame, column: str, registry: DataFrame, registry_
     return keys.where(F.col(column).isNotNull()).select(column).distinct().join(known, column, "left_anti")
 
 
-def manual_match(mapping: DataFrame, column: str, by_hand: dict[str, str]) -> DataFrame:
-    """The mapping with values matched by hand; they come before what else was found."""
+def manual_match(mapping: DataFrame, column: str, by_hand: dict[str, str], level: str = "comune") -> DataFrame:
+    """The mapping with values matched by hand to names of the registry; they come before what else was found.
+
+    A code that the mapping had for such a value goes; the name stands for the area.
+    """
     if not by_hand:
         return mapping
-    return mapping.withColumn("match_key", F.coalesce(F.try_element_at(literal_map(by_hand.items()), F.col(column)), "match_key"))
+    hand, code = F.try_element_at(literal_map(by_hand.items()), F.col(column).cast("string")), f"codice_{level}"
+    out = mapping.withColumn("match_key", F.coalesce(hand, "match_key"))
+    return out.withColumn(code, F.when(hand.isNull(), F.col(code))) if code in mapping.columns else out
+
+
+def _coded(mapping: DataFrame, registry: DataFrame, level: str) -> DataFrame:
+    """The mapping with ``_match``, the matched area's code: its own, else that of the area of its name."""
+    name, code = f"denominazione_{level}", f"codice_{level}"
+    known = registry_keys(registry, name, level).groupBy(F.col("match_key").alias("_known")).agg(F.max("code").alias("_code"))
+    own = F.col(code) if code in mapping.columns else F.lit(None).cast("int")
+    return mapping.join(known, F.col("match_key") == F.col("_known"), "left").select("*", F.coalesce(own, "_code").alias("_match")).drop("_known", "_code")
 
 
 def enrich_result(df: DataFrame, mapping: DataFrame, registry: DataFrame, keys: list[str], registry_key: str, *, add_missing: bool = False, drop_not_match: bool = False) -> DataFrame:
     """All of ``df`` with the registry's columns, by the mapping of its ``keys``.
 
+    ``registry_key`` is ``denominazione_<level>``, and areas are met by that level's code where the registry has it; any other column is met itself.
     Null keys meet null keys. ``drop_not_match`` leaves out what has no match; ``add_missing`` adds areas that
     nothing matched; with neither every row of ``df`` comes once, with both the matched rows and the areas. Registry columns whose
-    names ``df`` has get ``_new``.
+    names ``df`` has get ``_new``, as often as it takes.
     """
-    renamed = {c: c if c not in df.columns else f"{c}_new" for c in registry.columns}
-    areas = registry.select(*(F.col(c).alias(f"_r_{renamed[c]}") for c in registry.columns))
-    on = F.col("match_key") == F.col(f"_r_{renamed[registry_key]}")
-    small = mapping.select(*(F.col(k).alias(f"_m_{k}") for k in keys), "match_key")
-    same = F.lit(True)
-    for k in keys:
-        same = same & df[k].eqNullSafe(F.col(f"_m_{k}"))
-    kept = df.join(small, same, "left")
+    level = registry_key.removeprefix("denominazione_")
+    by_code = level != registry_key and f"codice_{level}" in registry.columns
+    matched = _coded(mapping, registry, level) if by_code else mapping.withColumn("_match", F.col("match_key"))
+    renamed = free_names(registry.columns, df.columns)
+    areas = registry.select(*(F.col(c).alias(f"_area{i}") for i, c in enumerate(registry.columns)))
+    at = f"_area{registry.columns.index(f'codice_{level}' if by_code else registry_key)}"
+    kept = df.join(keyed(matched.select(*keys, "_match"), keys), meets([df[k] for k in keys]), "left")
     how = {(False, False): "left", (False, True): "inner", (True, False): "full", (True, True): "right"}[add_missing, drop_not_match]
-    return kept.join(areas, on, how).select(*df.columns, *(F.col(f"_r_{n}").alias(n) for n in renamed.values()))
+    return kept.join(areas, F.col("_match") == F.col(at), how).select(*(df[c] for c in df.columns), *(F.col(f"_area{i}").alias(n) for i, n in enumerate(renamed.values())))
+
+
+def attach_areas(mapping: DataFrame, registry: DataFrame, level: str) -> DataFrame:
+    """Matched rows of a mapping with all columns of their area, by code (by name where the registry has none); the mapping's own code goes."""
+    code, name = f"codice_{level}", f"denominazione_{level}"
+    found = mapping.where(F.col("match_key").isNotNull())
+    if code in registry.columns:
+        return _coded(found, registry, level).drop(code, "match_key").join(registry, F.col("_match") == F.col(code)).drop("_match")
+    return found.join(registry, F.col("match_key") == F.col(name)).drop("match_key")
 
 
 def lookup_area(keys: DataFrame, column: str, registry: DataFrame, level: str, parent: str | None = None, **aliases) -> DataFrame:
     """Distinct names of ``column`` with the attributes of their area; names without area are left out."""
-    name = f"denominazione_{level}"
-    mapping = match_by_name(keys, column, registry, level, parent=parent, **aliases)
-    told = registry.withColumn("_name", disambiguate_homonyms(F.col(name), sigla=F.col("sigla")) if level == "comune" and "sigla" in registry.columns else F.col(name))
-    return mapping.join(told, F.col("match_key") == F.col("_name")).drop("match_key", "_name")
+    return attach_areas(match_by_name(keys, column, registry, level, parent=parent, **aliases), registry, level)
 
 
 def lookup_one(spark, text: str, registry: DataFrame, level: str, **aliases) -> dict:
@@ -152,21 +192,26 @@ def lookup_one(spark, text: str, registry: DataFrame, level: str, **aliases) ->
     return found.asDict()
 
 
-def match_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia") -> DataFrame:
-    """``column[, parent], comune``: the comune of localities, from a gazetteer (name, address, rank).
+def _placed_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia") -> DataFrame:
+    """``column[, parent], comune, provincia`` (cleaned): the comune of localities, from a gazetteer (name, address, rank).
 
     An address counts where it holds the name, parses into a known comune, province and region, and agrees with the parent if
     one is given. Of several the first by rank.
     """
     asked = unmatched.select(column, *([parent] if parent else [])).where(F.col(column).isNotNull()).distinct().withColumn("_name", clean_name(column))
-    hits = gazetteer.select(clean_name("name").alias("_gname"), "address", "rank")
-    met = asked.join(hits, (F.col("_name") == F.col("_gname")) & clean_name("address").contains(F.col("_name")))
-    parsed = parse_addresses(met, "address", comuni)
-    good = parsed.where(F.col("parsed_comune").isNotNull())
+    hits = gazetteer.select(clean_name("name").alias("_gname"), F.col("address").alias("_address"), F.col("rank").alias("_rank"))
+    met = asked.join(hits, (F.col("_name") == F.col("_gname")) & clean_name("_address").contains(F.col("_name")))
+    good = parse_addresses(met, "_address", comuni).where(F.col("parsed_comune").isNotNull())
     if parent:
-        good = good.where(clean_name(parent) == F.col(f"parsed_{parent_level}"))
+        good = good.where(strip_area_prefix(clean_name(parent), parent_level) == F.col(f"parsed_{parent_level}"))
     given = [column] + ([parent] if parent else [])
-    return good.groupBy(*given).agg(F.min_by("parsed_comune", F.struct("rank", "parsed_comune")).alias("comune"))
+    best = good.groupBy(*given).agg(F.min(F.struct("_rank", "parsed_comune", "parsed_provincia")).alias("_b"))
+    return best.select(*given, F.col("_b.parsed_comune").alias("comune"), F.col("_b.parsed_provincia").alias("provincia"))
+
+
+def match_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia") -> DataFrame:
+    """``column[, parent], comune`` (cleaned): the comune of localities, as the gazetteer's first fitting address has it."""
+    return _placed_localities(unmatched, column, gazetteer, comuni, parent, parent_level).drop("provincia")
 
 
 def parse_addresses(df: DataFrame, address: str, comuni: DataFrame) -> DataFrame:
@@ -189,33 +234,105 @@ def parse_addresses(df: DataFrame, address: str, comuni: DataFrame) -> DataFrame
     return out.select(*df.columns, F.when(whole, comune).alias("parsed_comune"), F.when(whole, F.col("_provincia_ok")).alias("parsed_provincia"), F.when(whole, F.col("_regione_ok")).alias("parsed_regione"))
 
 
-def locality_mentions(pages: DataFrame, text: str = "text") -> DataFrame:
-    """``name, rest`` of every sentence that says in which comune a place lies: words before the phrase (all
-    endings of up to five words) and words after it. One pass over each page, whatever names are asked for."""
-    pattern = rf"([^.]{{1,80}}?) ?((?:\[[^\[.]+\])? ?(?:\([^\(.]+\))?) ?(?:{names.LOCALITY_PHRASES}) di ([^.]+)"
-    found = pages.select(F.explode(F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"[^.]*(?:{names.LOCALITY_PHRASES}) di [^.]+"), F.lit(0)), lambda s: s)).alias("said"))
-    before, after = F.regexp_extract("said", pattern, 1), F.regexp_extract("said", rf"(?:{names.LOCALITY_PHRASES}) di ([^.]+)", 1)
-    words = F.split(F.trim(before), " ")
-    n = F.size(words)
-    spans = F.flatten(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + 4)), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))
-    )
-    return found.select(F.explode(spans).alias("name"), F.trim(after).alias("rest")).where("name <> ''")
+def _most_words(df: DataFrame, name: str) -> int:
+    """Words of the longest name; one row to the driver."""
+    return df.agg(F.max(F.size(F.split(name, " ")))).first()[0] or 0
+
 
+def locality_mentions(pages: DataFrame, most_words: int, text: str = "text") -> DataFrame:
+    """``name, rest`` of every mention that says in which comune a place lies: spans of up to ``most_words`` words that end
+    LOCALITY_GAP letters or less before the phrase, and the words after it up to the next mention or full stop.
 
-def match_localities_from_pages(unmatched: DataFrame, column: str, pages: DataFrame, comuni: DataFrame, html: str | None = "html") -> DataFrame:
-    """``column, comune``: localities that pages place in one comune and no other.
+    One pass over each page, whatever names are asked for.
+    """
+    frazione = rf"{names.FRAZIONE_WORDS[0]} (?:.{{0,{names.FRAZIONE_GAP}}} )??{names.FRAZIONE_WORDS[1]}"
+    said = rf"(?:^| )(?:{'|'.join(names.LOCALITY_PHRASES)}|{frazione}) di "
+    sentences = pages.select(F.explode(F.split(text, r"\.")).alias("_said")).where(F.col("_said").contains(names.FRAZIONE_WORDS[1]))
+    parts = F.split(simple_name(F.col("_said")), said)
+    mentions = sentences.select(parts.alias("_p")).where(F.size("_p") > 1).withColumn("_n", F.size("_p") - 1)
+    sides = F.zip_with(F.slice("_p", F.lit(1), F.col("_n")), F.slice("_p", F.lit(2), F.col("_n")), lambda a, b: F.struct(F.trim(a).alias("before"), F.trim(b).alias("rest")))
+    found = mentions.select(F.explode(sides).alias("m")).select("m.*")
+    words, n = F.split("before", " "), F.size(F.split("before", " "))
+
+    def ending(j: Column) -> Column:
+        """Spans that end with word j, if the words after it are few."""
+        after = F.length(F.array_join(F.slice(words, j + 1, n), " "))
+        spans = F.transform(F.sequence(F.greatest(F.lit(1), j - most_words + 1), j), lambda i: F.array_join(F.slice(words, i, j - i + 1), " "))
+        return F.when(after <= names.LOCALITY_GAP, spans).otherwise(F.array().cast("array<string>"))
+
+    # Every word takes a letter, so no more words than letters end near enough.
+    spans = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), n - names.LOCALITY_GAP), n), ending))
+    return found.where("before <> ''").select(F.explode(spans).alias("name"), "rest")
+
+
+def match_localities_from_pages(
+    unmatched: DataFrame, column: str, pages: DataFrame, comuni: DataFrame, html: str | None = "html", *, parent: str | None = None, parent_level: str = "provincia"
+) -> DataFrame:
+    """``column[, parent], comune`` (cleaned): localities that pages place in one comune and no other.
 
-    The words after the phrase are tried from the first: every prefix of up to six words that is a comune is a candidate.
+    Every prefix of the words after the phrase that names a comune is a candidate; with a parent, only comuni of that province (or
+    region) are.
     """
+    given = [column] + ([parent] if parent else [])
     texts = pages.select(html_to_text(html).alias("text")) if html else pages.select("text")
-    asked = unmatched.where(F.col(column).isNotNull()).select(column, clean_name(column).alias("_name")).distinct()
-    said = locality_mentions(texts).join(asked, F.col("name") == F.col("_name"))
-    words = F.split("rest", " ")
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(6))), lambda i: F.array_join(F.slice(words, 1, i), " "))
-    known = comuni.select(clean_name("denominazione_comune").alias("candidate")).distinct()
-    met = said.select(column, F.explode(heads).alias("candidate")).join(known, "candidate")
-    return met.groupBy(column).agg(F.min("candidate").alias("comune"), F.max("candidate").alias("_other")).where("comune = _other").drop("_other")
+    asked = materialize(unmatched.where(F.col(column).isNotNull()).select(*given, clean_name(column).alias("_name")).where("_name IS NOT NULL").distinct(), "asked")
+    known = comuni.select(clean_name("denominazione_comune").alias("_candidate"), clean_name(f"denominazione_{parent_level}").alias("_up")).where("_candidate IS NOT NULL")
+    known = materialize((known if parent else known.select("_candidate")).distinct(), "known")
+    said = locality_mentions(texts, _most_words(asked, "_name")).join(asked, F.col("name") == F.col("_name"))
+    words, most = F.split("rest", " "), max(1, _most_words(known, "_candidate"))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most))), lambda i: F.array_join(F.slice(words, 1, i), " "))
+    met = said.select(*given, F.explode(heads).alias("_head")).distinct().join(known, F.col("_head") == F.col("_candidate"))
+    if parent:
+        met = met.where(strip_area_prefix(clean_name(parent), parent_level) == F.col("_up"))
+    return met.groupBy(*given).agg(F.min("_candidate").alias("comune"), F.max("_candidate").alias("_other")).where("comune = _other").drop("_other")
+
+
+def match_areas(
+    keys: DataFrame, column: str, registry: DataFrame, level: str, *, parent: str | None = None, parent_kind: str = "provincia", gazetteer: DataFrame | None = None,
+    pages: DataFrame | None = None, html: str | None = "html", similar: bool = False, **aliases,
+) -> DataFrame:
+    """``match_by_name`` and then, for what has no match: localities of a gazetteer and of pages (comuni), and the most similar name.
+
+    Localities are held to a parent that is a province or region by name.
+    """
+    out = match_by_name(keys, column, registry, level, parent=parent, parent_kind=parent_kind, **aliases)
+    name, code = f"denominazione_{level}", f"codice_{level}"
+    given = [column] if parent is None else [column, parent]
+    area = F.struct(F.col("match_key"), *([F.col(code)] if code in out.columns else []))
+
+    def fill(found: DataFrame) -> DataFrame:
+        """Take match_key and code of ``found`` (given, match_key, code) where there is no match yet."""
+        more = keyed(found.select(*given, area.alias("_more")), given)
+        both = out.join(more, meets(given), "left").withColumn("_m", F.when(F.col("match_key").isNull(), F.col("_more")).otherwise(area))
+        return both.select(*given, *(F.col(f"_m.{c}").alias(c) for c in out.columns if c not in given))
+
+    def missing() -> DataFrame:
+        return materialize(out.where(F.col("match_key").isNull() & F.col(column).isNotNull()).select(*given), "unmatched")
+
+    if level == "comune" and (gazetteer is not None or pages is not None):
+        own = [F.col(code).cast("int").alias(code)] if code in out.columns else []
+        areas = registry.select(clean_name(name).alias("_c"), clean_name("denominazione_provincia").alias("_p"), clean_name("denominazione_regione").alias("_r"), F.col(name).alias("match_key"), *own)
+        held = parent if parent_kind in ("provincia", "regione") else None
+        up = "_p" if parent_kind == "provincia" else "_r"
+        best = F.max(area).alias("_a")
+        if gazetteer is not None:
+            places = _placed_localities(missing(), column, gazetteer, registry, held, parent_kind if held else "provincia")
+            placed = missing().join(keyed(places, [column] + ([held] if held else [])), meets([column] + ([held] if held else [])))
+            met = placed.join(areas, (F.col("comune") == F.col("_c")) & (F.col("provincia") == F.col("_p"))).groupBy(*given).agg(best).select(*given, "_a.*")
+            out = fill(materialize(met, "localities"))
+        if pages is not None:
+            places = match_localities_from_pages(missing(), column, pages, registry, html, parent=held, parent_level=parent_kind if held else "provincia")
+            met = places.join(areas, F.col("comune") == F.col("_c"))
+            if held:
+                met = met.where(strip_area_prefix(clean_name(held), parent_kind) == F.col(up))
+            again = keyed(met.groupBy(*([column] + ([held] if held else []))).agg(best), [column] + ([held] if held else []))
+            out = fill(materialize(missing().join(again, meets([column] + ([held] if held else []))).select(*given, "_a.*"), "localities"))
+    if similar:
+        words = missing().withColumn("_word", strip_area_prefix(clean_name(F.col(column).cast("string")), level))
+        known = registry_keys(registry, name, level).select(F.col("key").alias("_known"), F.struct("match_key", *([F.col("code").alias(code)] if code in out.columns else [])).alias("_a"))
+        near = match_by_similarity(words, "_word", known, "_known").join(known, F.col("match") == F.col("_known"))
+        out = fill(materialize(words.join(near, F.col("_word") == F.col("word")).select(*given, "_a.*"), "similar"))
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

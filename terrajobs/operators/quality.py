@@ -6,9 +6,10 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrajobs.functions.columns import keyed, meets
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import simple_name
-from terrajobs.operators.matching import match_by_name, match_localities, match_localities_from_pages
+from terrajobs.operators.matching import attach_areas, match_areas, match_by_name
 from terrajobs.operators.spatial import locate_points
 
 # Spellings of the country.
@@ -69,14 +70,15 @@ class _Checks:
 
 def dq_check(
     df: DataFrame, columns: Columns, comuni: DataFrame, *, areas: DataFrame | None = None, gazetteer: DataFrame | None = None, pages: DataFrame | None = None,
-    history: DataFrame | None = None, sensitive: bool = False, only_warnings: bool = True, comune_tells_country: bool = False, side: float = 0.25,
+    history: DataFrame | None = None, sensitive: bool = False, only_warnings: bool = True, comune_tells_country: bool = False, side: float | None = None,
 ) -> DataFrame:
     """The distinct rows of the chosen columns with ``<column>_check`` and ``<column>_suggestion``, ``check`` and ``solved``.
 
     Levels are checked in turn against the registry ``comuni`` (and points against ``areas``, which has the same names and a
     geometry); what a lower level finds is compared with what the higher ones say. ``solved`` is null without a flag, true if
     every flagged column has a suggestion, false otherwise; coordinates have no suggestion. Unless ``sensitive``, values are
-    compared and returned in their cleaned form.
+    compared and returned in their cleaned form. Comuni that share a name are told apart by the province, and what is found of
+    them is looked up by code.
     """
     c = columns
     clean = (lambda col: col) if sensitive else simple_name
@@ -94,11 +96,8 @@ def dq_check(
     def attach(column: str, mapping: DataFrame, extra: list[str], found: dict[str, str]) -> None:
         """Join a mapping (column, extra parents, found names) null-safely."""
         keys = [column, *extra]
-        small = mapping.select(*(F.col(k).alias(f"_m_{k}") for k in keys), *(F.col(a).alias(b) for a, b in found.items()))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-        q.df = q.df.join(small, same, "left").drop(*(f"_m_{k}" for k in keys))
+        small = keyed(mapping.select(*keys, *(F.col(a).alias(b) for a, b in found.items())), keys)
+        q.df = q.df.join(small, meets(keys), "left").drop(*(f"_key{i}" for i in range(len(keys))))
 
     def country_from(source: str) -> None:
         if c.nazione:
@@ -124,8 +123,8 @@ def dq_check(
         province = comuni.groupBy("denominazione_provincia").agg(F.min("denominazione_regione").alias("denominazione_regione"))
         keys = base.select(clean(F.col(c.provincia)).alias(c.provincia))
         mapping = match_by_name(keys, c.provincia, province, "provincia").join(province, F.col("match_key") == F.col("denominazione_provincia"), "left")
-        mapping = mapping.withColumns({"found": clean(F.col("match_key")), "above": clean(F.col("denominazione_regione"))})
-        attach(c.provincia, mapping, [], {"found": "provincia_from_provincia", "above": "regione_from_provincia"})
+        province_mapping = materialize(mapping.select(c.provincia, clean(F.col("match_key")).alias("found"), clean(F.col("denominazione_regione")).alias("above")), "provinces")
+        attach(c.provincia, province_mapping, [], {"found": "provincia_from_provincia", "above": "regione_from_provincia"})
         found = F.col("provincia_from_provincia")
         q.flag(c.provincia, found.isNull() & F.col("is_in_italy"), keep=True)
         q.flag(c.provincia, found.isNotNull() & _differs(found, F.col(c.provincia)), found)
@@ -137,20 +136,19 @@ def dq_check(
 
     if c.comune:
         q.start(c.comune, c.comune)
-        told = comuni.groupBy("denominazione_comune").agg(F.min_by(F.struct("denominazione_provincia", "denominazione_regione"), "denominazione_provincia").alias("up"))
-        keys = base.select(c.comune, *([clean(F.col(c.provincia)).alias(c.provincia)] if c.provincia else []))
-        mapping = match_by_name(keys, c.comune, comuni.drop("sigla"), "comune", parent=c.provincia, history=history)
-        for source in ([match_localities] if gazetteer is not None else []) + ([match_localities_from_pages] if pages is not None else []):
-            table = gazetteer if source is match_localities else pages
-            missing = mapping.where(F.col("match_key").isNull())
-            local = source(missing, c.comune, table, comuni).select(F.col(c.comune).alias("_l"), F.col("comune").alias("_lc"))
-            names = comuni.groupBy(simple_name(F.col("denominazione_comune")).alias("_c")).agg(F.max("denominazione_comune").alias("_n"))
-            mapping = mapping.join(local.join(names, F.col("_lc") == F.col("_c")), F.col(c.comune) == F.col("_l"), "left")
-            mapping = mapping.withColumn("match_key", F.coalesce("match_key", "_n")).drop("_l", "_lc", "_c", "_n")
-        mapping = mapping.join(told, F.col("match_key") == F.col("denominazione_comune"), "left").withColumns(
-            {"found": clean(F.col("match_key")), "p": clean(F.col("up.denominazione_provincia")), "r": clean(F.col("up.denominazione_regione"))}
-        )
-        attach(c.comune, mapping, [c.provincia] if c.provincia else [], {"found": "comune_from_comune", "p": "provincia_from_comune", "r": "regione_from_comune"})
+        keys, parent = base.select(F.col(c.comune).alias("_name")), None
+        if c.provincia:
+            # The province found stands for what is said of it: "Provincia di Como" tells two comuni apart as "Como" does.
+            told, parent = F.coalesce("provincia_from_provincia", c.provincia), "_told"
+            q.df = q.df.withColumn("_told", told)
+            keys = base.select(F.col(c.comune).alias("_name"), clean(F.col(c.provincia)).alias(c.provincia)).distinct()
+            keys = keys.join(keyed(province_mapping.select(c.provincia, F.col("found").alias("provincia_from_provincia")), [c.provincia]), meets([c.provincia]), "left").select("_name", told.alias("_told"))
+        registry = comuni.select("codice_comune", *(f"denominazione_{level}" for level in LEVELS), *(["sigla"] if "sigla" in comuni.columns else []))
+        mapping = match_areas(keys, "_name", registry, "comune", parent=parent, history=history, gazetteer=gazetteer, pages=pages)
+        up = attach_areas(mapping, registry, "comune")
+        mapping = up.withColumns({level[0]: clean(F.col(f"denominazione_{level}")) for level in LEVELS}).withColumnRenamed("_name", c.comune)
+        attach(c.comune, mapping, ["_told"] if parent else [], {"c": "comune_from_comune", "p": "provincia_from_comune", "r": "regione_from_comune"})
+        q.df = q.df.drop("_told")
         if not comune_tells_country:
             for name in ("comune_from_comune", "provincia_from_comune", "regione_from_comune"):
                 q.df = q.df.withColumn(name, F.when(F.col("is_in_italy"), F.col(name)))
