@@ -87,14 +87,14 @@ SQL = {
     "exits": """
         SELECT s_suppkey AS id, 'Uscita' AS name, CAST(6.5E0 + ((s_suppkey * 15485863) % 11987) / 1024E0 AS DOUBLE) AS x, CAST(36E0 + ((s_suppkey * 32452843) % 10973) / 1024E0 AS DOUBLE) AS y,
                CASE WHEN s_suppkey % 4 = 0 THEN 'Superstrada' ELSE 'Autostrada' END AS classificazione FROM {supplier}""",
-    # A road for each of 40 groups of orders: from one derived point to another.
+    # A road for each order, from one derived point to another; the billionths keep roads off each other's beginnings.
     "roads": """
-        SELECT o_orderkey AS k, CAST(6.5E0 + ((o_orderkey * 7907) % 12000) / 1024E0 AS DOUBLE) AS x1, CAST(36E0 + ((o_orderkey * 7883) % 11000) / 1024E0 AS DOUBLE) AS y1,
-               CAST(6.5E0 + ((o_orderkey * 7907) % 12000) / 1024E0 + 0.05E0 AS DOUBLE) AS x2, CAST(36E0 + ((o_orderkey * 7883) % 11000) / 1024E0 + 0.03E0 AS DOUBLE) AS y2,
+        SELECT o_orderkey AS k, CAST(6.5E0 + ((o_orderkey * 7907) % 12000) / 1024E0 + o_orderkey * 1E-9 AS DOUBLE) AS x1, CAST(36E0 + ((o_orderkey * 7883) % 11000) / 1024E0 AS DOUBLE) AS y1,
+               CAST(6.5E0 + ((o_orderkey * 7907) % 12000) / 1024E0 + o_orderkey * 1E-9 + 0.05E0 AS DOUBLE) AS x2, CAST(36E0 + ((o_orderkey * 7883) % 11000) / 1024E0 + 0.03E0 AS DOUBLE) AS y2,
                CASE o_orderkey % 5 WHEN 0 THEN 'motorway_link' WHEN 1 THEN 'trunk' ELSE 'motorway' END AS type,
                CASE o_orderkey % 6 WHEN 0 THEN 'A ' || CAST(o_orderkey % 9 AS STRING) WHEN 1 THEN 'RA' || CAST(o_orderkey % 9 AS STRING) || 'dir' WHEN 2 THEN 'GRA' WHEN 3 THEN NULL WHEN 4 THEN 'A21racc' ELSE 'SS' || CAST(o_orderkey % 9 AS STRING) END AS ref,
                CASE WHEN o_orderkey % 12 = 3 THEN 'E 80' ELSE NULL END AS int_ref, CASE WHEN o_orderkey % 10 = 9 THEN 'Diramazione A21' ELSE 'Strada' END AS nome
-        FROM {orders} WHERE o_orderkey % 10 < 4""",
+        FROM {orders}""",
     "addresses": f"""
         SELECT c_custkey, CASE c_custkey % 6 WHEN 5 THEN 'xxxx' WHEN 4 THEN 'Via dellAquila ' || w ELSE 'Via ' || w END AS address,
                CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE {comune('(c_custkey % 20)')} END AS citta

@@ -192,21 +192,24 @@ def human_format(spark, d):
 def _known(level: str, source: str = "comuni", homonyms: bool = True) -> str:
     name = f"denominazione_{level}"
     plain = _homonym_case(name, "sigla", 1) if level == "comune" and homonyms else name
-    return f"SELECT key, max(match_key) AS match_key FROM (SELECT {sql.strip_area_prefix(sql.clean_name(plain), level)} AS key, {plain} AS match_key FROM {source}) WHERE key IS NOT NULL GROUP BY 1"
+    return f"SELECT key, max(struct_pack(match_key := match_key, code := codice_{level})) AS m FROM (SELECT {sql.strip_area_prefix(sql.clean_name(plain), level)} AS key, {plain} AS match_key, codice_{level} FROM {source}) WHERE key IS NOT NULL GROUP BY 1"
 
 
-def match_sql(col: str, source: str, level: str, *, areas: str = "comuni", bilingual: str | None = None, history: str | None = None, homonyms: bool = True) -> str:
-    """(col, match_key) of the distinct values of a column: the cascade of match_by_name."""
-    key = sql.strip_area_prefix(sql.clean_name(f"CAST({col} AS VARCHAR)"), level)
-    rows = f"SELECT DISTINCT {col}, {key} AS key FROM {source}"
+def match_sql(col: str, source: str, level: str, *, areas: str = "comuni", parent: str | None = None, bilingual: str | None = None, history: str | None = None, homonyms: bool = True) -> str:
+    """(col, [parent,] match_key, code) of the distinct values of a column: the cascade of match_by_name."""
+    given = [col] + ([parent] if parent else [])
+    plain = _homonym_case(col, parent, 2) if parent else f"CAST({col} AS VARCHAR)"
+    rows = f"SELECT DISTINCT {', '.join(given)}, {sql.strip_area_prefix(sql.clean_name(plain), level)} AS key FROM {source}"
+    of = lambda t: ", ".join(f"{t}.{g}" for g in given)
     if bilingual:
-        rows = f"SELECT r.{col}, coalesce(b.name, r.key) AS key FROM ({rows}) r LEFT JOIN ({bilingual}) b ON r.key = b.alias"
-    rows = f"SELECT {col}, {sql.english_to_italian('key')} AS key FROM ({rows})"
+        rows = f"SELECT {of('r')}, coalesce(b.name, r.key) AS key FROM ({rows}) r LEFT JOIN ({bilingual}) b ON r.key = b.alias"
+    rows = f"SELECT {', '.join(given)}, {sql.english_to_italian('key')} AS key FROM ({rows})"
     known = _known(level, areas, homonyms)
     if history:
-        rows = f"SELECT r.{col}, CASE WHEN t.key IS NULL THEN coalesce(h.new_name, r.key) ELSE r.key END AS key FROM ({rows}) r LEFT JOIN ({known}) t ON r.key = t.key LEFT JOIN ({history}) h ON r.key = h.old_name"
-    loose = f"SELECT {sql.loose_key('key')} AS lk, arg_max(match_key, key) AS match_key FROM ({known}) GROUP BY 1"
-    return f"SELECT r.{col}, coalesce(k1.match_key, k2.match_key) AS match_key FROM ({rows}) r LEFT JOIN ({known}) k1 ON r.key = k1.key LEFT JOIN ({loose}) k2 ON k1.match_key IS NULL AND {sql.loose_key('r.key')} = k2.lk"
+        rows = f"SELECT {of('r')}, CASE WHEN t.key IS NULL THEN coalesce(h.new_name, r.key) ELSE r.key END AS key FROM ({rows}) r LEFT JOIN ({known}) t ON r.key = t.key LEFT JOIN ({history}) h ON r.key = h.old_name"
+    loose = f"SELECT {sql.loose_key('key')} AS lk, arg_max(m, key) AS m FROM ({known}) GROUP BY 1"
+    found = f"SELECT {of('r')}, coalesce(k1.m, k2.m) AS m FROM (SELECT *, {sql.loose_key('key')} AS lk FROM ({rows})) r LEFT JOIN ({known}) k1 ON r.key = k1.key LEFT JOIN ({loose}) k2 ON k1.m IS NULL AND r.lk = k2.lk"
+    return f"SELECT {', '.join(given)}, m.match_key AS match_key, m.code AS codice_{level} FROM ({found})"
 
 
 def _aliases(spark, d) -> dict:
@@ -234,10 +237,7 @@ def match_by_name_province(spark, d):
     return matching.match_by_name(derive(spark, d, "dirty"), "prov", _comuni(spark, d), "provincia")
 
 
-@query(
-    WITH + f"SELECT q.citta, q.prov, k.match_key FROM (SELECT DISTINCT citta, prov, {sql.english_to_italian(sql.strip_area_prefix(sql.clean_name(_homonym_case('citta', 'prov', 2)), 'comune'))} AS key FROM {duck('dirty')}) q LEFT JOIN ("
-    + f"SELECT a.key, a.match_key FROM ({_known('comune')}) a) k ON k.key = coalesce((SELECT k1.key FROM ({_known('comune')}) k1 WHERE k1.key = q.key), (SELECT arg_max(k2.key, k2.key) FROM ({_known('comune')}) k2 WHERE {sql.loose_key('k2.key')} = {sql.loose_key('q.key')}))"
-)
+@query(WITH + match_sql("citta", duck("dirty"), "comune", parent="prov"))
 def match_by_name_with_parent(spark, d):
     return matching.match_by_name(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "comune", parent="prov")
 
@@ -262,39 +262,42 @@ def not_in_registry(spark, d):
     return matching.not_in_registry(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "denominazione_comune")
 
 
-@query(WITH + f"SELECT citta, CASE WHEN citta = 'xxxx' THEN 'Roma' ELSE match_key END AS match_key FROM ({_CITIES})")
+@query(WITH + f"SELECT citta, CASE WHEN citta = 'xxxx' THEN 'Roma' ELSE match_key END AS match_key, CASE WHEN citta IS DISTINCT FROM 'xxxx' THEN codice_comune END AS codice_comune FROM ({_CITIES})")
 def manual_match(spark, d):
     return matching.manual_match(_cities(spark, d), "citta", {"xxxx": "Roma"})
 
 
-def _told(spark, d) -> DataFrame:
-    """Comuni under names that tell homonyms apart, with a few attributes."""
-    c = _comuni(spark, d)
-    return c.select(matching.disambiguate_homonyms(F.col("denominazione_comune"), sigla=F.col("sigla")).alias("comune"), "codice_comune", F.col("sigla").alias("sg"))
+def _areas(spark, d) -> DataFrame:
+    """Comuni as the registry has them, both Livos under one name, with a few attributes."""
+    return _comuni(spark, d).select("denominazione_comune", "codice_comune", F.col("sigla").alias("sg"))
 
 
-def _enrich(how: str, **flags):
+def _enrich(how: str, name: str, keys: tuple = ("citta",), **flags):
+    given = ", ".join(f"x.{k}" for k in keys)
+    same = " AND ".join(f"x.{k} IS NOT DISTINCT FROM m.{k}" for k in keys)
+    mapping = _CITIES if keys == ("citta",) else match_sql("citta", duck("dirty"), "comune", parent="prov")
     oracle = (
-        WITH + f", m AS ({_CITIES}), told AS (SELECT {_homonym_case('denominazione_comune', 'sigla', 1)} AS comune, codice_comune, sigla AS sg FROM comuni), "
-        f"kept AS (SELECT x.c_custkey, x.citta, x.sg, m.match_key FROM {duck('dirty')} x LEFT JOIN m ON x.citta IS NOT DISTINCT FROM m.citta) "
-        f"SELECT kept.c_custkey, kept.citta, kept.sg, t.comune, t.codice_comune, t.sg AS sg_new FROM kept {how} JOIN told t ON kept.match_key = t.comune"
+        WITH + f", m AS ({mapping}), kept AS (SELECT x.c_custkey, {given}, x.sg, m.codice_comune AS code FROM {duck('dirty')} x LEFT JOIN m ON {same}) "
+        f"SELECT kept.* EXCLUDE (code), t.denominazione_comune, t.codice_comune, t.sigla AS sg_new FROM kept {how} JOIN comuni t ON kept.code = t.codice_comune"
     )
 
     def run(spark, d):
-        rows = derive(spark, d, "dirty").select("c_custkey", "citta", "sg")
-        return matching.enrich_result(rows, _cities(spark, d), _told(spark, d), ["citta"], "comune", **flags)
+        rows = derive(spark, d, "dirty").select("c_custkey", *keys, "sg")
+        found = _cities(spark, d) if keys == ("citta",) else match_by_name_with_parent(spark, d)
+        return matching.enrich_result(rows, found, _areas(spark, d), list(keys), "denominazione_comune", **flags)
 
-    run.__name__ = f"enrich_{how.lower()}"
+    run.__name__ = name
     query(oracle)(run)
 
 
-_enrich("LEFT")
-_enrich("INNER", drop_not_match=True)
-_enrich("FULL", add_missing=True)
-_enrich("RIGHT", add_missing=True, drop_not_match=True)
+_enrich("LEFT", "enrich_left")
+_enrich("INNER", "enrich_inner", drop_not_match=True)
+_enrich("FULL", "enrich_full", add_missing=True)
+_enrich("RIGHT", "enrich_right", add_missing=True, drop_not_match=True)
+_enrich("LEFT", "enrich_with_parent", ("citta", "prov"))
 
 
-@query(WITH + f"SELECT m.citta, c.codice_comune, c.denominazione_comune, c.popolazione FROM ({_CITIES}) m JOIN comuni c ON m.match_key = {_homonym_case('c.denominazione_comune', 'c.sigla', 1)}")
+@query(WITH + f"SELECT m.citta, c.codice_comune, c.denominazione_comune, c.popolazione FROM ({_CITIES}) m JOIN comuni c ON m.codice_comune = c.codice_comune")
 def lookup_area(spark, d):
     return matching.lookup_area(derive(spark, d, "dirty"), "citta", _comuni(spark, d), "comune", **_aliases(spark, d)).select("citta", "codice_comune", "denominazione_comune", "popolazione")
 
@@ -384,10 +387,19 @@ def _boxes(spark, d) -> DataFrame:
     return derive(spark, d, "boxes").withColumn("geometry", geo.box_polygon(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
 
 
-@query("SELECT 4326 AS crs")
+_SYSTEMS = (4326, 32632, 3857)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, {c})" for c in _SYSTEMS) + ") AS t(given, found)")
 def detect_crs(spark, d):
-    crs = spatial.detect_crs(derive(spark, d, "points"), "lon", "lat", _boxes(spark, d))
-    return derive(spark, d, "points").agg(F.lit(crs).alias("crs"))
+    """Points in each system, and the system that they are taken for."""
+    points, boxes, rows = derive(spark, d, "points"), _boxes(spark, d), None
+    for crs in _SYSTEMS:
+        x, y = geo.transform_crs(F.col("lon"), F.col("lat"), 4326, crs)
+        there = points.select(x.alias("x"), y.alias("y"))
+        row = there.agg(F.lit(crs).alias("given"), F.lit(spatial.detect_crs(there, "x", "y", boxes)).alias("found"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
 
 
 @query(f"SELECT codice, round((x0 + x1) / 2, 6) AS center_x, round((y0 + y1) / 2, 6) AS center_y, round((x1 - x0) * (y1 - y0), 6) AS area FROM {duck('boxes')}")
@@ -475,12 +487,31 @@ def population_nearby(spark, d):
     return spatial.population_nearby(derive(spark, d, "points"), derive(spark, d, "grid"), RADIUS_M, "id").select("id", "n_residents")
 
 
-@query()
+def _clusters(close: str) -> str:
+    """(id, aggregation_code) by all pairs and every step that can be taken from a point."""
+    return (
+        f"WITH RECURSIVE p AS (SELECT id, lat, lon FROM {duck('points')} WHERE lat IS NOT NULL AND lon IS NOT NULL), "
+        f"e AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON abs(a.lat - b.lat) < 0.1::DOUBLE AND {close}), "
+        "reach AS (SELECT id, id AS at FROM p UNION SELECT r.id, e.dst FROM reach r JOIN e ON r.at = e.src), codes AS (SELECT id, min(at) AS aggregation_code FROM reach GROUP BY 1) "
+    )
+
+
+_CR = geo.radius_in_degrees(3000)
+_CLOSE = f"(a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) < {_CR * _CR!r}::DOUBLE"
+_CLOSE_M = f"2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) < 3000"
+
+
+@query(_clusters(_CLOSE) + f"SELECT q.id, c.aggregation_code FROM {duck('points')} q LEFT JOIN codes c ON q.id = c.id")
 def cluster_by_distance(spark, d):
     return spatial.cluster_by_distance(derive(spark, d, "points"), 3000, "id").select("id", "aggregation_code")
 
 
-@query()
+@query(_clusters(_CLOSE_M) + f"SELECT q.id, c.aggregation_code FROM {duck('points')} q LEFT JOIN codes c ON q.id = c.id")
+def cluster_by_distance_metres(spark, d):
+    return spatial.cluster_by_distance(derive(spark, d, "points"), 3000, "id", metric="haversine").select("id", "aggregation_code")
+
+
+@query(_clusters(_CLOSE_M) + "SELECT count(*) AS n_groups, max(n) AS largest FROM (SELECT aggregation_code, count(*) AS n FROM codes GROUP BY 1)")
 def cluster_summary(spark, d):
     return spatial.cluster_summary(spatial.cluster_by_distance(derive(spark, d, "points"), 3000, "id", metric="haversine"))
 
@@ -617,12 +648,32 @@ def choropleth_numeric(spark, d):
     return maps.choropleth_table(derive(spark, d, "dirty"), "reg", "valore", _regioni(spark, d), "regione").select("denominazione_regione", "valore")
 
 
+def _choropleth_comuni(mapping: str, keys: tuple) -> str:
+    same = " AND ".join(f"x.{k} IS NOT DISTINCT FROM m.{k}" for k in keys)
+    return (
+        WITH + f"SELECT c.denominazione_comune, c.codice_comune, CAST(coalesce(v, 0) AS BIGINT) AS valore FROM comuni c LEFT JOIN (SELECT m.codice_comune, sum(x.valore) AS v FROM {duck('dirty')} x JOIN ({mapping}) m ON {same} "
+        "WHERE x.citta IS NOT NULL AND m.codice_comune IS NOT NULL GROUP BY 1) t ON c.codice_comune = t.codice_comune"
+    )
+
+
+@query(_choropleth_comuni(match_sql("citta", duck("dirty"), "comune"), ("citta",)))
+def choropleth_comuni(spark, d):
+    out = maps.choropleth_table(derive(spark, d, "dirty"), "citta", "valore", _comuni(spark, d), "comune")
+    return out.select("denominazione_comune", "codice_comune", "valore")
+
+
+@query(_choropleth_comuni(match_sql("citta", duck("dirty"), "comune", parent="prov"), ("citta", "prov")))
+def choropleth_comuni_with_parent(spark, d):
+    out = maps.choropleth_table(derive(spark, d, "dirty"), "citta", "valore", _comuni(spark, d), "comune", parent="prov")
+    return out.select("denominazione_comune", "codice_comune", "valore")
+
+
 @query(
-    WITH + f"SELECT denominazione_comune, codice_comune, CAST(coalesce(v, 0) AS BIGINT) AS valore FROM comuni LEFT JOIN (SELECT match_key, sum(valore) AS v FROM {duck('dirty')} JOIN ({match_sql('citta', duck('dirty'), 'comune', homonyms=False)}) USING (citta) GROUP BY 1) ON denominazione_comune = match_key"
+    WITH + f", m AS ({match_sql('citta', duck('dirty'), 'comune', parent='prov')}) SELECT (SELECT CAST(sum(x.valore) AS BIGINT) FROM {duck('dirty')} x JOIN m ON x.citta = m.citta AND x.prov IS NOT DISTINCT FROM m.prov WHERE m.match_key IS NOT NULL) AS shown"
 )
-def choropleth_comuni(spark, d):
-    areas = _comuni(spark, d).drop("sigla")
-    return maps.choropleth_table(derive(spark, d, "dirty"), "citta", "valore", areas, "comune").select("denominazione_comune", "codice_comune", "valore")
+def choropleth_sum(spark, d):
+    """The sum over the map is that of the rows that match: no area's total is shown twice."""
+    return choropleth_comuni_with_parent(spark, d).agg(F.sum("valore").alias("shown"))
 
 
 _SEGMENTS = f"(SELECT reg, CASE WHEN length(reg) % 2 = 0 THEN 'pari' ELSE 'dispari' END AS tipo FROM (SELECT denominazione_regione AS reg FROM regioni))"
@@ -760,12 +811,13 @@ def dq_country(spark, d):
 
 
 def _dq_level(level: str) -> str:
-    """One level alone, without a country: everything is in Italy."""
-    given = level if level == "comune" else _simple(level)  # a comune is matched as given and cleaned afterwards
-    found = match_sql(level, "q", level, areas="comuni", homonyms=False)
+    """One level alone, without a country: everything is in Italy. A comune is matched as given and cleaned afterwards; its name is that of its code."""
+    given = level if level == "comune" else _simple(level)
+    found = match_sql(level, "q", level)
     said = _simple(f"q.{level}")
+    named = f"SELECT x.{level}, {_simple('n.name')} AS found FROM ({found}) x LEFT JOIN (SELECT DISTINCT codice_{level} AS code, denominazione_{level} AS name FROM comuni) n ON x.codice_{level} = n.code"
     return (
-        _WITH_DQ + f", q AS (SELECT id, {given} AS {level} FROM rows), m AS (SELECT {level}, {_simple('match_key')} AS found FROM ({found})), "
+        _WITH_DQ + f", q AS (SELECT id, {given} AS {level} FROM rows), m AS ({named}), "
         f"f AS (SELECT q.id, {said} AS {level}, m.found, q.{level} IS NULL OR m.found IS NULL OR m.found <> {said} AS flag, CASE WHEN m.found <> {said} THEN m.found END AS said FROM q LEFT JOIN m ON q.{level} IS NOT DISTINCT FROM m.{level}) "
         f"SELECT id, {level}, flag AS {level}_check, said AS {level}_suggestion, {_solved([('flag', 'said')])} FROM f"
     )
@@ -784,6 +836,20 @@ for _level in quality.LEVELS:
     _dq_one(_level)
 
 
+@query(
+    _WITH_DQ + f", q AS (SELECT id, {_simple('provincia')} AS provincia, comune FROM rows), mp AS (SELECT provincia, {_simple('match_key')} AS fp FROM ({match_sql('provincia', 'q', 'provincia')})), "
+    "t AS (SELECT q.*, mp.fp, coalesce(mp.fp, q.provincia) AS told FROM q LEFT JOIN mp ON q.provincia IS NOT DISTINCT FROM mp.provincia), "
+    f"mc AS (SELECT x.comune, x.told, {_simple('n.denominazione_comune')} AS fc, {_simple('n.denominazione_provincia')} AS up FROM ({match_sql('comune', 't', 'comune', parent='told')}) x JOIN comuni n ON x.codice_comune = n.codice_comune), "
+    f"f AS (SELECT t.id, t.provincia, t.fp, mc.fc, mc.up, {_simple('t.comune')} AS said FROM t LEFT JOIN mc ON t.comune IS NOT DISTINCT FROM mc.comune AND t.told IS NOT DISTINCT FROM mc.told) "
+    "SELECT id, fc IS NULL OR fc IS DISTINCT FROM said AS comune_check, CASE WHEN fc <> said THEN fc END AS comune_suggestion, "
+    "provincia IS NULL OR fp IS NULL OR fp <> provincia OR (up IS NOT NULL AND up <> fp) AS provincia_check, "
+    "CASE WHEN up IS NOT NULL AND fp IS NULL THEN up WHEN up IS NOT NULL AND up <> fp THEN NULL WHEN fp <> provincia THEN fp END AS provincia_suggestion FROM f"
+)
+def dq_comune_with_parent(spark, d):
+    checked = _dq(spark, d, quality.Columns(provincia="provincia", comune="comune", key="id"))
+    return checked.select("id", "comune_check", "comune_suggestion", "provincia_check", "provincia_suggestion")
+
+
 @query(
     _WITH_DQ + f", areas AS ({_DQ_AREAS.format(comuni='comuni', boxes=duck('boxes'))}) SELECT id, a.denominazione_comune IS NULL AS coordinates_check, {_simple('a.denominazione_comune')} AS comune_from_coordinates "
     "FROM rows LEFT JOIN areas a ON longitudine > x0 AND longitudine < x1 AND latitudine > y0 AND latitudine < y1"
@@ -794,8 +860,8 @@ def dq_coordinates(spark, d):
 
 
 @query(
-    _WITH_DQ + f", q AS (SELECT id, {_simple('regione')} AS regione, {_simple('provincia')} AS provincia FROM rows), mr AS (SELECT regione, {_simple('match_key')} AS fr FROM ({match_sql('regione', 'q', 'regione', homonyms=False)})), "
-    f"mp AS (SELECT provincia, {_simple('match_key')} AS fp, {_simple('(SELECT min(denominazione_regione) FROM comuni WHERE denominazione_provincia = match_key)')} AS up FROM ({match_sql('provincia', 'q', 'provincia', homonyms=False)})), "
+    _WITH_DQ + f", q AS (SELECT id, {_simple('regione')} AS regione, {_simple('provincia')} AS provincia FROM rows), mr AS (SELECT regione, {_simple('match_key')} AS fr FROM ({match_sql('regione', 'q', 'regione')})), "
+    f"mp AS (SELECT provincia, {_simple('match_key')} AS fp, {_simple('(SELECT min(denominazione_regione) FROM comuni WHERE denominazione_provincia = match_key)')} AS up FROM ({match_sql('provincia', 'q', 'provincia')})), "
     "f AS (SELECT q.*, fr, fp, up, q.regione IS NULL OR fr IS NULL OR fr <> q.regione AS r0, CASE WHEN fr <> q.regione THEN fr END AS s0 FROM q LEFT JOIN mr ON q.regione IS NOT DISTINCT FROM mr.regione LEFT JOIN mp ON q.provincia IS NOT DISTINCT FROM mp.provincia) "
     "SELECT id, r0 OR (up IS NOT NULL AND (fr IS NULL OR fr <> up)) AS regione_check, CASE WHEN up IS NOT NULL AND fr IS NULL THEN up WHEN up <> fr THEN NULL ELSE s0 END AS regione_suggestion FROM f"
 )
