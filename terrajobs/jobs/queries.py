@@ -492,7 +492,7 @@ def _clusters(close: str) -> str:
     return (
         f"WITH RECURSIVE p AS (SELECT id, lat, lon FROM {duck('points')} WHERE lat IS NOT NULL AND lon IS NOT NULL), "
         f"e AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON abs(a.lat - b.lat) < 0.1::DOUBLE AND {close}), "
-        "reach AS (SELECT id, id AS at FROM p UNION SELECT r.id, e.dst FROM reach r JOIN e ON r.at = e.src), codes AS (SELECT id, min(at) AS aggregation_code FROM reach GROUP BY 1) "
+        "reach AS (SELECT id, id AS there FROM p UNION SELECT r.id, e.dst FROM reach r JOIN e ON r.there = e.src), codes AS (SELECT id, min(there) AS aggregation_code FROM reach GROUP BY 1) "
     )
 
 

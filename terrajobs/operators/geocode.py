@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrajobs.functions import names
+from terrajobs.functions.columns import free_names, keyed, meets
+from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import html_to_all_text, simple_name
 from terrajobs.operators.spatial import nearest_points
 
-APOSTROPHE = r"\b(del|dell|d|nell|sull|sant|Sant)([A-Z][^\s]+)"
+# Words that stand, with an apostrophe, before a name.
+ELIDED = ("dell", "del", "d", "nell", "sull", "sant", "Sant")
+#: One of them glued to a capitalised word.
+APOSTROPHE = rf"\b({'|'.join(ELIDED)})(\p{{Lu}}\S+)"
 
 
 def repair_apostrophes(col: Column) -> Column:
@@ -36,20 +41,28 @@ def expand_abbreviations(failed: DataFrame, search: str, pages: DataFrame, html:
     """``search, expanded``: dotted abbreviations ("viale g. p. da palestrina") as pages spell them in full, where
     they do so in one way only.
 
-    The last word links an address with the texts that have it, so an address meets those pages alone.
+    Addresses meet pages by their last word. Pages give their words without their text; the text of a page comes in once, to all
+    addresses whose word it has.
     """
-    street = F.split(F.col(search), ",")[0]
-    shape = r"^([^.]+) ((?:[a-z]+\. ?)+) ?([^.]+)$"
-    asked = failed.select(search).where(F.col(search).isNotNull() & street.rlike(shape)).distinct()
-    prefix, letters, rest = (F.regexp_extract(street, shape, i) for i in (1, 2, 3))
+    words = F.split(F.trim(F.split(F.col(search), ",")[0]), " +")
+    dotted = F.filter(words, lambda w: w.rlike(r"^(?:\p{Ll}\.)+$"))
+    first, last = F.array_position(words, F.get(dotted, F.lit(0))).cast("int"), F.size(words)
+    name = F.slice(words, first + F.size(dotted), last)
+    # Some words, then the abbreviations next to each other, then the name: all others are not asked for.
+    fits = (F.size(dotted) > 0) & (first > 1) & (F.size(name) > 0) & (F.slice(words, first, F.size(dotted)) == dotted)
+    asked = failed.select(search).where(F.col(search).isNotNull() & F.coalesce(fits, F.lit(False))).distinct()
     quoted = lambda c: F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\\\$1")
-    roads = F.when(prefix.isin(*names.ROAD_PREFIXES), F.lit("(?:" + "|".join(names.ROAD_PREFIXES) + ")")).otherwise(quoted(prefix))
-    middle = F.regexp_replace(F.replace(letters, F.lit(" "), F.lit("")), r"\.", "[a-z]+ ?")
-    pattern = F.concat(F.lit(r"\b"), roads, F.lit(" ?"), middle, F.lit(" ?"), quoted(F.trim(rest)))
-    asked = asked.select(search, pattern.alias("_pattern"), F.element_at(F.split(F.trim(rest), " "), -1).alias("_word"))
-    texts = pages.select((html_to_all_text(html) if html else F.col("text")).alias("_text"))
-    words = texts.select("_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
-    found = asked.join(words, "_word").select(search, F.expr("regexp_extract(_text, _pattern, 0)").alias("expanded")).where("expanded <> ''")
+    road = F.array_join(F.slice(words, 1, first - 1), " ")
+    roads = F.when(road.isin(*names.ROAD_PREFIXES), F.lit("(?:" + "|".join(names.ROAD_PREFIXES) + ")")).otherwise(quoted(road))
+    letters = F.filter(F.split(F.array_join(dotted, ""), r"\."), lambda w: w != "")
+    middle = F.array_join(F.transform(letters, lambda w: F.concat(w, F.lit("[a-z]+ ?"))), "")
+    pattern = F.concat(F.lit(r"\b"), roads, F.lit(" ?"), middle, quoted(F.array_join(name, " ")))
+    asked = materialize(asked.select(search, pattern.alias("_pattern"), F.element_at(words, -1).alias("_word")), "abbreviated")
+    texts = materialize(pages.select((html_to_all_text(html) if html else F.col("text")).alias("_text")).where("_text IS NOT NULL").withColumn("_page", F.monotonically_increasing_id()), "texts")
+    said = texts.select("_page", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).join(asked, "_word")
+    by_page = said.groupBy("_page").agg(F.collect_list(F.struct(F.col(search).alias("s"), F.col("_pattern").alias("p"))).alias("_asks"))
+    tried = texts.join(by_page, "_page").select(F.explode(F.expr("transform(_asks, a -> struct(a.s AS s, regexp_extract(_text, a.p, 0) AS found))")).alias("t"))
+    found = tried.select(F.col("t.s").alias(search), F.col("t.found").alias("expanded")).where("expanded <> ''")
     return found.groupBy(search).agg(F.min("expanded").alias("expanded"), F.max("expanded").alias("_other")).where("expanded = _other").drop("_other")
 
 
@@ -80,23 +93,21 @@ def geocode_addresses(df: DataFrame, gazetteer: DataFrame, address: str, *, comu
         third = both.join(spelled, (F.col("_search") == F.col("_failed")) & F.col("found").isNull(), "left").withColumn("_full", F.concat("expanded", tail))
         third = _look_up(third.withColumnsRenamed({"lat": "_lat1", "lon": "_lon1", "found": "_found1"}), "_full", gazetteer)
         both = third.select(*given, *(F.coalesce(f"_{c}1", c).alias(c) for c in ("lat", "lon", "found")))
-    checked = both.select(*(F.col(g).alias(f"_g_{g}") for g in given), *(verify_location("found", c, parents).alias(n) for c, n in (("lat", "latitude"), ("lon", "longitude"))))
-    same = F.lit(True)
-    for g in given:
-        same = same & df[g].eqNullSafe(F.col(f"_g_{g}"))
-    return df.join(checked, same, "left").select(*(df[c] for c in df.columns), "latitude", "longitude")
+    checked = keyed(both.select(*given, verify_location("found", "lat", parents).alias("_lat"), verify_location("found", "lon", parents).alias("_lon")), given)
+    named = free_names(["latitude", "longitude"], df.columns)
+    return df.join(checked, meets([df[g] for g in given]), "left").select(*(df[c] for c in df.columns), F.col("_lat").alias(named["latitude"]), F.col("_lon").alias(named["longitude"]))
 
 
-def reverse_geocode(df: DataFrame, gazetteer: DataFrame, latitude: str, longitude: str, *, most: float = 0.01, side: float = 0.01) -> DataFrame:
+def reverse_geocode(df: DataFrame, gazetteer: DataFrame, latitude: str, longitude: str, *, most: float = 0.01, side: float | None = None) -> DataFrame:
     """``df``, all rows, with the address (lower case) and city of the nearest gazetteer entry within ``most`` degrees, else null.
 
-    Names that ``df`` has get ``_geo``. Each distinct point is looked up once.
+    Names that ``df`` has get ``_geo``, as often as it takes. Each distinct point is looked up once.
     """
     points = df.select(F.col(latitude).alias("_lat"), F.col(longitude).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
     points = points.withColumn("_id", F.concat_ws(" ", F.col("_lat").cast("string"), F.col("_lon").cast("string")))
     spots = gazetteer.select(F.struct(F.lower("full_address").alias("address"), "city").alias("spot"), F.col("longitude").alias("tx"), F.col("latitude").alias("ty"))
     near = nearest_points(points, "_id", spots, "spot", 1, side, "_lon", "_lat", most=most).select("_id", "spot")
     found = points.join(near, "_id").select("_lat", "_lon", "spot")
-    names_out = {c: c if c not in df.columns else f"{c}_geo" for c in ("address", "city")}
+    names_out = free_names(["address", "city"], df.columns, "_geo")
     joined = df.join(found, (df[latitude] == found["_lat"]) & (df[longitude] == found["_lon"]), "left")
-    return joined.select(*df.columns, *(F.col(f"spot.{c}").alias(n) for c, n in names_out.items()))
+    return joined.select(*(df[c] for c in df.columns), *(F.col(f"spot.{c}").alias(n) for c, n in names_out.items()))

@@ -11,7 +11,7 @@ from terrajobs.functions.geo import transform_crs
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import clean_name, human_format
 from terrajobs.operators.matching import match_areas
-from terrajobs.operators.spatial import points_within, to_points
+from terrajobs.operators.spatial import detect_crs, point_columns, points_within
 
 # Weights of a Gaussian of sigma 1 at distances -4 to 4, before they are made to sum to 1.
 SMOOTHING = tuple(math.exp(-k * k / 2) for k in range(-4, 5))
@@ -114,18 +114,28 @@ def map_labels(table: DataFrame, name: str, value: str, percent: bool = False) -
     return table.select(name, value, text.alias("label"), color.alias("color")).where(v > 0)
 
 
-def point_map_table(df: DataFrame, latitude: str, longitude: str, info: list[str], *, areas: DataFrame | None = None, crs: int = 4326, polygon: str = "geometry", side: float = 0.25) -> DataFrame:
-    """``lat, lon`` in degrees, ``x, y`` in EPSG 3857 and the info columns of points, those within ``areas`` if given."""
-    points = df.withColumns({latitude: F.col(latitude).cast("double"), longitude: F.col(longitude).cast("double")})
-    points = to_points(points, latitude, longitude)
-    lon, lat = transform_crs(F.col("x"), F.col("y"), crs, 4326)
-    points = points.withColumns({"lon": lon, "lat": lat})
+def point_map_table(
+    df: DataFrame, latitude: str | None, longitude: str | None, info: list[str], *, areas: DataFrame | None = None, crs: int | None = 4326, polygon: str = "geometry", side: float | None = None,
+    geometry: str | None = None,
+) -> DataFrame:
+    """``lat, lon`` in degrees, ``x, y`` in EPSG 3857 and the info columns of points, those within ``areas`` if given.
+
+    ``crs`` is the points' system; None detects it by the areas. Info columns keep their values and names; those of the new columns that they have
+    get ``_new``.
+    """
+    kind = {c: F.col(c).cast("double") for c in (latitude, longitude) if c is not None}
+    px, py = (kind[longitude], kind[latitude]) if len(kind) == 2 and geometry is None else point_columns(df, latitude, longitude, geometry)
+    points = df.select(*info, px.alias("_px"), py.alias("_py")).where("_px IS NOT NULL AND _py IS NOT NULL")
+    if crs is None:
+        crs = detect_crs(points, "_px", "_py", areas, polygon)
+    lon, lat = transform_crs(F.col("_px"), F.col("_py"), crs, 4326)
+    points = points.withColumns({"_lon": lon, "_lat": lat})
     if areas is not None:
-        key = ["lon", "lat"]
-        inside = points_within(points.select(*key).distinct(), areas, polygon, [], side, "lon", "lat").distinct()
-        points = points.join(inside, key, "left_semi")
-    x, y = transform_crs(F.col("lon"), F.col("lat"), 4326, 3857)
-    return points.select(*info, "lat", "lon", x.alias("x"), y.alias("y"))
+        inside = points_within(points.select("_lon", "_lat").distinct(), areas, polygon, [], side, "_lon", "_lat").distinct()
+        points = points.join(inside, ["_lon", "_lat"], "left_semi")
+    x, y = transform_crs(F.col("_lon"), F.col("_lat"), 4326, 3857)
+    named = free_names(["lat", "lon", "x", "y"], info)
+    return points.select(*info, F.col("_lat").alias(named["lat"]), F.col("_lon").alias(named["lon"]), x.alias(named["x"]), y.alias(named["y"]))
 
 
 def color_domain(df: DataFrame, value: str, interactive: bool = False) -> DataFrame:

@@ -6,12 +6,15 @@ filed under all cells that they touch, points under one, so a pair meets once.
 
 from __future__ import annotations
 
-from math import cos, radians
+from itertools import product
+from math import pi, sin
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from terrajobs.functions.columns import free_names
 from terrajobs.functions.geo import (
-    geodesic_distance_m, haversine_m, inside_edges, polygon_bounds, polygon_edges, radius_in_degrees, segment_distance2, transform_crs,
+    MEAN_RADIUS, POLYGON, geodesic_distance_m, haversine_m, inside_edges, polygon_area_centroid, polygon_bounds, polygon_edges, radius_in_degrees, segment_distance2,
+    transform_crs,
 )
 from terrajobs.functions.graph import connected_components
 from terrajobs.functions.storage import materialize
@@ -36,66 +39,131 @@ def find_coord_columns(df: DataFrame, latitude: str | None = None, longitude: st
     return latitude, longitude
 
 
-def to_points(df: DataFrame, latitude: str | None = None, longitude: str | None = None) -> DataFrame:
-    """``df`` with double columns x (longitude) and y (latitude); rows without either are left out."""
-    lat, lon = find_coord_columns(df, latitude, longitude)
-    return df.withColumns({"x": F.col(lon).cast("double"), "y": F.col(lat).cast("double")}).where("x IS NOT NULL AND y IS NOT NULL")
+def point_columns(df: DataFrame, latitude: str | None, longitude: str | None, geometry: str | None = None) -> tuple[Column, Column]:
+    """(x, y) of each row: longitude and latitude, or those of a geometry column; a polygon counts as its centroid.
+
+    A geometry is taken where it is named, or where no columns of coordinates are named or known and there is a column ``geometry``.
+    """
+    if geometry is None:
+        try:
+            lat, lon = find_coord_columns(df, latitude, longitude)
+            return F.col(lon).cast("double"), F.col(lat).cast("double")
+        except ValueError:
+            if "geometry" not in df.columns:
+                raise
+            geometry = "geometry"
+    if geometry not in df.columns:
+        raise KeyError(f"no column {geometry!r}")
+    kind = df.schema[geometry].dataType
+    if isinstance(kind, T.StructType) and {"x", "y"} <= set(kind.names):
+        return F.col(geometry)["x"].cast("double"), F.col(geometry)["y"].cast("double")
+    if kind.simpleString() == POLYGON.simpleString():
+        _, x, y = polygon_area_centroid(F.col(geometry))
+        return x, y
+    raise TypeError(f"column {geometry!r} is neither points nor polygons")
+
+
+def to_points(df: DataFrame, latitude: str | None = None, longitude: str | None = None, geometry: str | None = None) -> DataFrame:
+    """``df`` with double columns x (longitude) and y (latitude), by coordinates or geometry; rows without either are left out.
+
+    Names that ``df`` has get ``_new``.
+    """
+    x, y = point_columns(df, latitude, longitude, geometry)
+    named = free_names(["x", "y"], df.columns)
+    return df.withColumns({named["x"]: x, named["y"]: y}).where(F.col(named["x"]).isNotNull() & F.col(named["y"]).isNotNull())
 
 
 def _cell(v: Column | str, side: float) -> Column:
     return F.floor((F.col(v) if isinstance(v, str) else v) / F.lit(side)).cast("long")
 
 
+def mean_side(areas: DataFrame, polygon: str) -> float:
+    """The mean of the areas' wider sides, in their own units: a cell as large as a usual area. One row to the driver."""
+    box = polygon_bounds(F.col(polygon))
+    side = areas.select(F.avg(F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]))).first()[0]
+    return side or 1.0
+
+
 def area_cells(areas: DataFrame, polygon: str, side: float, keep: list[str]) -> DataFrame:
-    """A row per area and cell of its box, with the columns ``keep`` and its edges."""
+    """A row per area and cell that it reaches, with the columns ``keep`` and those of its edges that a ray from the cell to the right may cross.
+
+    An edge above, below or left of a cell is none of these; a cell without any has no point of the area.
+    """
     box = polygon_bounds(F.col(polygon))
     rows = areas.where(F.col(polygon).isNotNull()).select(*keep, polygon_edges(F.col(polygon)).alias("edges"), *(v.alias(k) for k, v in box.items()))
-    rows = rows.withColumn("cx", F.explode(F.sequence(_cell("min_x", side), _cell("max_x", side))))
-    return rows.withColumn("cy", F.explode(F.sequence(_cell("min_y", side), _cell("max_y", side)))).drop("min_x", "min_y", "max_x", "max_y")
-
+    rows = rows.withColumn("cy", F.explode(F.sequence(_cell("min_y", side), _cell("max_y", side))))
+    low, high = F.col("cy") * side, (F.col("cy") + 1) * side
+    slack = side * 1e-9
+    beside = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low - slack) & (F.least(e["y1"], e["y2"]) <= high + slack))
+    rows = rows.withColumn("edges", beside).where(F.size("edges") > 0).withColumn("cx", F.explode(F.sequence(_cell("min_x", side), _cell("max_x", side))))
+    right = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("cx") * side - slack)
+    return rows.withColumn("edges", right).where(F.size("edges") > 0).drop("min_x", "min_y", "max_x", "max_y")
 
-def points_within(points: DataFrame, areas: DataFrame, polygon: str, keep: list[str], side: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Every point with every area that it is strictly within: columns of ``points`` and ``keep``."""
-    filed = points.withColumns({"cx": _cell(x, side), "cy": _cell(y, side)})
-    return filed.join(area_cells(areas, polygon, side, keep), ["cx", "cy"]).where(inside_edges(F.col(x), F.col(y), F.col("edges"))).select(*points.columns, *keep)
 
+def points_within(points: DataFrame, areas: DataFrame, polygon: str, keep: list[str], side: float | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """Every point with every area that it is strictly within: columns of ``points`` and ``keep``.
 
-def locate_points(df: DataFrame, areas: DataFrame, attributes: list[str], *, latitude: str | None = None, longitude: str | None = None, polygon: str = "geometry", crs: int = 4326, side: float = 0.25) -> DataFrame:
+    ``side`` is that of the cells, by default the areas' mean.
+    """
+    side = mean_side(areas, polygon) if side is None else side
+    of = {k: f"_keep{i}" for i, k in enumerate(keep)}
+    cells = area_cells(areas.select(F.col(polygon).alias("_polygon"), *(F.col(k).alias(n) for k, n in of.items())), "_polygon", side, list(of.values()))
+    cells = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy", "edges": "_edges"})
+    met = points.withColumns({"_cell_x": _cell(x, side), "_cell_y": _cell(y, side)}).join(cells, (F.col("_cell_x") == F.col("_cx")) & (F.col("_cell_y") == F.col("_cy")))
+    return met.where(inside_edges(F.col(x), F.col(y), F.col("_edges"))).select(*points.columns, *(F.col(n).alias(k) for k, n in of.items()))
+
+
+def locate_points(
+    df: DataFrame, areas: DataFrame, attributes: list[str], *, latitude: str | None = None, longitude: str | None = None, geometry: str | None = None,
+    polygon: str = "geometry", crs: int = 4326, points_crs: int | None = 4326, side: float | None = None,
+) -> DataFrame:
     """``df``, all rows, with the attributes of the area that each point is within; null where there is none.
 
-    Distinct coordinates are located once and met null-safely. A point in several areas has the least attributes. ``side``
-    is the cell in units of ``crs``, about a usual area's box.
+    Distinct coordinates are located once. A point in several areas has the least attributes. ``crs`` is the
+    areas' system and ``points_crs`` the points' (None: detected); ``side`` is the cell in units of ``crs``, by default the
+    areas' mean side. Names that ``df`` has get ``_new``.
     """
-    lat, lon = find_coord_columns(df, latitude, longitude)
-    distinct = df.select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
-    px, py = transform_crs(F.col("_lon"), F.col("_lat"), 4326, crs)
+    x, y = point_columns(df, latitude, longitude, geometry)
+    distinct = df.select(x.alias("_lon"), y.alias("_lat")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    if points_crs is None:
+        points_crs = detect_crs(distinct, "_lon", "_lat", areas, polygon, areas_crs=crs)
+    px, py = transform_crs(F.col("_lon"), F.col("_lat"), points_crs, crs)
     found = points_within(distinct.withColumns({"_x": px, "_y": py}), areas, polygon, attributes, side, "_x", "_y")
     found = found.groupBy("_lat", "_lon").agg(F.min(F.struct(*attributes)).alias("_a"))
-    joined = df.join(found, (df[lat].cast("double") == found["_lat"]) & (df[lon].cast("double") == found["_lon"]), "left")
-    return joined.select(*df.columns, *(F.col(f"_a.{a}").alias(a) for a in attributes))
+    named = free_names(attributes, df.columns)
+    joined = df.withColumns({"_x_of": x, "_y_of": y}).join(found, (F.col("_y_of") == F.col("_lat")) & (F.col("_x_of") == F.col("_lon")), "left")
+    return joined.select(*(df[c] for c in df.columns), *(F.col(f"_a.{a}").alias(named[a]) for a in attributes))
 
 
-def points_in_areas(df: DataFrame, areas: DataFrame, key: list[str], *, latitude: str | None = None, longitude: str | None = None, polygon: str = "geometry", side: float = 0.25) -> DataFrame:
-    """Rows of ``df`` whose point is within some of the areas; ``key`` tells rows apart."""
-    inside = points_within(to_points(df, latitude, longitude), areas, polygon, [], side).select(*key).distinct()
-    return df.join(inside, key, "left_semi")
+def points_in_areas(
+    df: DataFrame, areas: DataFrame, key: list[str] | None = None, *, latitude: str | None = None, longitude: str | None = None, geometry: str | None = None, polygon: str = "geometry",
+    side: float | None = None,
+) -> DataFrame:
+    """Rows of ``df`` whose point is within some of the areas. Rows are met by their coordinates, so ``key`` is not needed."""
+    x, y = point_columns(df, latitude, longitude, geometry)
+    distinct = df.select(x.alias("_lon"), y.alias("_lat")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    inside = points_within(distinct, areas, polygon, [], side, "_lon", "_lat").distinct()
+    return df.join(inside, (x == F.col("_lon")) & (y == F.col("_lat")), "left_semi")
 
 
-def detect_crs(df: DataFrame, x: str, y: str, areas: DataFrame, polygon: str = "geometry", sample: int = 100, share: float = 0.8) -> int:
+def detect_crs(df: DataFrame, x: str, y: str, areas: DataFrame, polygon: str = "geometry", sample: int = 100, share: float = 0.8, areas_crs: int = 4326) -> int:
     """The first of 4326, 32632 and 3857 in which 80 % of a sample of up to 100 points lie in the country; 4326 if none.
 
-    The sample is that of least hash: the same in every run. One row comes to the driver for each system tried.
+    The sample is that of least hash: the same in every run; it is drawn once. One row comes to the driver.
     """
-    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample)
-    some = some.withColumn("_row", F.monotonically_increasing_id())
-    for crs in (4326, 32632, 3857):
-        px, py = transform_crs(F.col("x"), F.col("y"), crs, 4326)
-        there = some.withColumns({"_px": px, "_py": py}).where(F.col("_px").between(-180, 180) & F.col("_py").between(-90, 90))
-        inside = points_within(there, areas, polygon, [], 1.0, "_px", "_py").agg(F.count_distinct("x", "y").alias("n")).first()["n"]
-        total = some.agg(F.count_distinct("x", "y").alias("n")).first()["n"]
-        if total and inside / total >= share:
-            return crs
-    return 4326
+    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
+    some = materialize(some.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample), "sample")
+    tried = None
+    for rank, crs in enumerate((4326, 32632, 3857)):
+        lon, lat = transform_crs(F.col("x"), F.col("y"), crs, 4326)
+        px, py = transform_crs(F.col("_lon"), F.col("_lat"), 4326, areas_crs)
+        there = some.withColumns({"_lon": lon, "_lat": lat}).where(F.col("_lon").between(-180, 180) & F.col("_lat").between(-89.9, 89.9))
+        there = there.select("x", "y", px.alias("_px"), py.alias("_py"), F.lit(rank).alias("_rank"), F.lit(crs).alias("_crs"))
+        tried = there if tried is None else tried.unionByName(there)
+    inside = points_within(tried, areas, polygon, [], None, "_px", "_py").distinct().groupBy("_rank", "_crs").count()
+    total = some.count()
+    first = inside.where(F.col("count") >= share * total).orderBy("_rank").limit(1).collect()
+    return first[0]["_crs"] if first else 4326
 
 
 def national_outline(areas: DataFrame, polygon: str = "geometry", decimals: int = 9) -> DataFrame:
@@ -111,58 +179,129 @@ def _neighbours(side: float, x: str, y: str) -> dict[str, Column]:
     return {"_c": F.explode(cells)}
 
 
-def population_nearby(df: DataFrame, grid: DataFrame, radius: float, key: str, *, latitude: str | None = None, longitude: str | None = None) -> DataFrame:
-    """``df`` with ``n_residents``: population of the grid points (Lon, Lat, Population) nearer than ``radius`` metres.
+def population_nearby(
+    df: DataFrame, grid: DataFrame, radius: float, key: str | None = None, *, latitude: str | None = None, longitude: str | None = None, geometry: str | None = None
+) -> DataFrame:
+    """``df``, all rows, with ``n_residents``: population of the grid points (Lon, Lat, Population) nearer than ``radius`` metres.
 
     The radius is turned into degrees once. Cells have the radius as side; the points asked for go to nine, the grid, the larger
-    table, to one. A radius under 50 raises. ``key`` tells rows apart; null coordinates have no residents.
+    table, to one. A radius under 50 raises. Each distinct point is asked for once, whatever rows have it, so ``key`` is not needed;
+    null coordinates have no residents. Where ``df`` has n_residents, the new column is n_residents_new.
     """
     if not isinstance(radius, (int, float)) or isinstance(radius, bool):
         raise TypeError("radius is a number of metres")
     if radius < 50:
         raise ValueError("radius is 50 metres at least")
     r = radius_in_degrees(radius)
-    asked = to_points(df, latitude, longitude).select(key, "x", "y").withColumns(_neighbours(r, "x", "y")).select(key, "x", "y", "_c.cx", "_c.cy")
+    x, y = point_columns(df, latitude, longitude, geometry)
+    distinct = df.select(x.alias("_x"), y.alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
+    asked = distinct.withColumns(_neighbours(r, "_x", "_y")).select("_x", "_y", "_c.cx", "_c.cy")
     cells = grid.select(F.col("Lon").cast("double").alias("gx"), F.col("Lat").cast("double").alias("gy"), F.col("Population").alias("p")).withColumns({"cx": _cell("gx", r), "cy": _cell("gy", r)})
-    near = asked.join(cells, ["cx", "cy"]).where((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2 < r * r)
-    sums = near.groupBy(key).agg(F.sum("p").alias("n_residents"))
-    return df.join(sums, key, "left").select(*df.columns, F.coalesce(F.col("n_residents").cast("double"), F.lit(0.0)).alias("n_residents"))
+    near = asked.join(cells, ["cx", "cy"]).where((F.col("_x") - F.col("gx")) ** 2 + (F.col("_y") - F.col("gy")) ** 2 < r * r)
+    sums = near.groupBy("_x", "_y").agg(F.sum("p").cast("double").alias("_sum"))
+    joined = df.withColumns({"_x_of": x, "_y_of": y}).join(sums, (F.col("_x_of") == F.col("_x")) & (F.col("_y_of") == F.col("_y")), "left")
+    return joined.select(*(df[c] for c in df.columns), F.coalesce("_sum", F.lit(0.0)).alias(free_names(["n_residents"], df.columns)["n_residents"]))
+
+
+#: Pairs of points that two cells may be compared by directly; larger pairs of cells are cut into smaller ones first.
+FEW_PAIRS = 4096
 
 
-def cluster_by_distance(df: DataFrame, metres: float, key: str, *, latitude: str | None = None, longitude: str | None = None, metric: str = "degrees") -> DataFrame:
-    """``df`` with ``aggregation_code``: the smallest key of the points that chains of steps under ``metres`` reach.
+def _boxed(points: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
+    """Cells: number of points, their own box and one of them."""
+    box = [f(a).alias(f"{k}_{a}") for a in axes for k, f in (("low", F.min), ("high", F.max))]
+    return points.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("x", "y")).alias("one"), *box)
 
-    Points of a cell small enough are all linked, so the graph's nodes are cells, not points, and two cells are linked if any two of their
-    points are close. A dense place is thus one node, however many points it has. Which points of two cells are close is
-    asked by the smaller cells' points only up to the first that is. Null coordinates have a null code.
+
+def _gaps(axes: list[str], a: str, b: str) -> tuple[Column, Column]:
+    """Squared distances that no pair of points of two boxes is below or above."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for k in axes:
+        apart = F.greatest(F.lit(0.0), F.col(f"{b}.low_{k}") - F.col(f"{a}.high_{k}"), F.col(f"{a}.low_{k}") - F.col(f"{b}.high_{k}"))
+        across = F.greatest(F.col(f"{b}.high_{k}") - F.col(f"{a}.low_{k}"), F.col(f"{a}.high_{k}") - F.col(f"{b}.low_{k}"))
+        near, far = near + apart * apart, far + across * across
+    return near, far
+
+
+def cell_links(points: DataFrame, axes: list[str], reach: float, close, side: float, steps: list[tuple], few: int = FEW_PAIRS, most_levels: int = 48) -> DataFrame:
+    """``src, dst``: roots of cells ``steps`` apart that hold a pair of close points.
+
+    ``points`` (x, y, axes, root, cell) are distinct; ``cell`` is the array of their places on a grid of ``side``. A pair of cells is
+    decided by the boxes of their points or by one point of each; if not and they hold few points, by these; else both are cut into
+    cells of half the side, and the pairs of these are asked. So no task holds a cell, and points that are far from the other cell
+    meet none of it.
+    """
+    limit = reach * reach
+    place = F.col("cell")
+    cells = materialize(_boxed(points, ["root", "cell"], axes), "cells")
+    moved = F.explode(F.array(*(F.array(*(place[i] + F.lit(s).cast("long") for i, s in enumerate(step))) for step in steps)))
+    a = cells.select(F.struct(*cells.columns).alias("a"), moved.alias("_there"))
+    pairs = a.join(cells.select(F.struct(*cells.columns).alias("b")), F.col("_there") == F.col("b.cell")).drop("_there")
+    links = None
+    for level in range(most_levels):
+        near, far = _gaps(axes, "a", "b")
+        meet = close(F.col("a.one.x"), F.col("a.one.y"), F.col("b.one.x"), F.col("b.one.y"))
+        sure = (far < limit * (1 - 1e-9)) | meet
+        # Each pair of roots is settled by the first pair of cells that is.
+        asked = materialize(pairs.where(near < limit * (1 + 1e-9)).select("a", "b", sure.alias("sure"), (F.col("a.n") * F.col("b.n") <= few).alias("small")), "pairs")
+        settled = asked.where("sure").select(F.col("a.root").alias("src"), F.col("b.root").alias("dst")).distinct()
+        open_ = asked.where("NOT sure").join(settled.withColumnsRenamed({"src": "_src", "dst": "_dst"}), (F.col("a.root") == F.col("_src")) & (F.col("b.root") == F.col("_dst")), "left_anti")
+        cut = points.withColumn("cell", F.array(*(_cell(k, side / 2**level) for k in axes)))
+        of = lambda s: cut.select(F.col("root").alias(f"_root_{s}"), F.col("cell").alias(f"_cell_{s}"), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
+        at = lambda s: (F.col(f"{s}.root") == F.col(f"_root_{s}")) & (F.col(f"{s}.cell") == F.col(f"_cell_{s}"))
+        direct = open_.where("small").join(of("a"), at("a")).join(of("b"), at("b")).where(close(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")))
+        found = materialize(settled.unionByName(direct.select(F.col("_root_a").alias("src"), F.col("_root_b").alias("dst"))).distinct(), "links")
+        links = found if links is None else links.unionByName(found)
+        large = open_.where("NOT small").join(found.withColumnsRenamed({"src": "_src", "dst": "_dst"}), (F.col("a.root") == F.col("_src")) & (F.col("b.root") == F.col("_dst")), "left_anti")
+        large = materialize(large.select("a", "b"), "large")
+        if large.isEmpty():
+            return links
+        # Halves know the cell that they are of: a grid of half the side halves every place.
+        finer = points.withColumn("cell", F.array(*(_cell(k, side / 2 ** (level + 1)) for k in axes)))
+        halves = _boxed(finer, ["root", "cell"], axes)
+        halves = materialize(halves.select(F.struct(*halves.columns).alias("h"), F.transform("cell", lambda c: F.floor(c / 2).cast("long")).alias("_of"), "root"), "halves")
+        for s in ("a", "b"):
+            mine = halves.select(F.col("h").alias(f"_h{s}"), F.col("_of").alias(f"_of{s}"), F.col("root").alias(f"_r{s}"))
+            large = large.join(mine, (F.col(f"{s}.root") == F.col(f"_r{s}")) & (F.col(f"{s}.cell") == F.col(f"_of{s}"))).drop(f"_r{s}", f"_of{s}")
+        pairs = large.select(F.col("_ha").alias("a"), F.col("_hb").alias("b"))
+    raise RuntimeError(f"cells are not told apart in {most_levels} levels")
+
+
+def cluster_by_distance(
+    df: DataFrame, metres: float, key: str, *, latitude: str | None = None, longitude: str | None = None, geometry: str | None = None, metric: str = "degrees", few: int = FEW_PAIRS
+) -> DataFrame:
+    """``df``, all rows, with ``aggregation_code``: the smallest key of the points that chains of steps under ``metres`` reach.
+
+    Points of a cell small enough are all linked, so the graph's nodes are cells, not points; of two cells it is asked whether any two of
+    their points are close. In metric ``degrees`` the grid is over longitude and latitude; in ``haversine`` it is in space, over
+    the sphere's own coordinates, where no meridian and no pole is special. Rows are met by their coordinates, so rows with one key or
+    one place do not multiply. Null coordinates have a null code. Where ``df`` has that column, the new one is aggregation_code_new.
     """
     if metres <= 0:
         raise ValueError("the distance is above 0")
-    r = radius_in_degrees(metres) if metric == "degrees" else metres / 111_000.0 * 1.01
-    shrink = 1.0
-    pts = to_points(df, latitude, longitude).select(F.col(key).alias("id"), "x", "y")
-    if metric == "haversine":
-        most = pts.agg(F.max(F.abs("y"))).first()[0] or 0.0
-        # A degree of longitude is shortest at the highest latitude: cells must stay within reach and steps within two cells.
-        shrink = 1 / max(0.05, cos(radians(min(89.0, most))))
-        r = metres / 111_700.0
-    side = 0.99 * r / 2**0.5
-    filed = pts.withColumns({"cx": _cell("x", side), "cy": _cell("y", side)})
-    reach = 2 if metric == "degrees" else int(2 * shrink * 1.02) + 1
+    if metric not in ("degrees", "haversine"):
+        raise ValueError("the metric is degrees or haversine")
+    x, y = point_columns(df, latitude, longitude, geometry)
+    pts = df.select(x.alias("x"), y.alias("y"), F.col(key).alias("id")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min("id").alias("id"))
     if metric == "degrees":
-        close = lambda a, b: (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 < F.lit(r * r)
+        reach, axes = radius_in_degrees(metres), {"u": F.col("x"), "v": F.col("y")}
+        close = lambda x1, y1, x2, y2: (x1 - x2) ** 2 + (y1 - y2) ** 2 < F.lit(reach * reach)
     else:
-        close = lambda a, b: haversine_m(a["x"], a["y"], b["x"], b["y"]) < F.lit(metres)
-    cells = filed.groupBy("cx", "cy").agg(F.min("id").alias("root"), F.array_sort(F.collect_set(F.struct("x", "y"))).alias("points"))
-    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-2, 3) if (i, j) > (0, 0)]
-    near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in steps)))
-    left = cells.select(F.col("root").alias("src"), F.col("points").alias("here"), near.alias("n")).select("src", "here", "n.cx", "n.cy")
-    met = left.join(cells.select("cx", "cy", F.col("root").alias("dst"), "points"), ["cx", "cy"])
-    linked = met.where(F.exists("here", lambda a: F.exists("points", lambda b: close(a, b)))).select("src", "dst")
-    joined = connected_components(linked)
-    codes = cells.select("cx", "cy", "root").join(joined, F.col("root") == F.col("node"), "left").select("cx", "cy", F.coalesce("component", "root").alias("aggregation_code"))
-    coded = filed.join(codes, ["cx", "cy"]).select(F.col("id").alias("_id"), "aggregation_code")
-    return df.join(coded, df[key] == coded["_id"], "left").drop("_id")
+        reach = 2 * MEAN_RADIUS * sin(min(pi / 2, metres / (2 * MEAN_RADIUS)))
+        level, turn = F.cos(F.radians("y")) * MEAN_RADIUS, F.radians("x")
+        axes = {"u": level * F.cos(turn), "v": level * F.sin(turn), "w": F.sin(F.radians("y")) * MEAN_RADIUS}
+        close = lambda x1, y1, x2, y2: haversine_m(x1, y1, x2, y2) < F.lit(float(metres))
+    names = list(axes)
+    side = 0.99 * reach / len(names) ** 0.5
+    pts = pts.withColumns(axes).withColumn("cell", F.array(*(_cell(k, side) for k in names)))
+    roots = pts.groupBy(F.col("cell").alias("_cell")).agg(F.min("id").alias("root"))
+    pts = materialize(pts.join(roots, F.col("cell") == F.col("_cell")).drop("_cell"), "points")
+    steps = [s for s in product(range(-2, 3), repeat=len(names)) if s > (0,) * len(names)]
+    joined = connected_components(cell_links(pts.drop("id"), names, reach, close, side, steps, few))
+    codes = pts.select("x", "y", "root").join(joined, F.col("root") == F.col("node"), "left").select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.coalesce("component", "root").alias("_code"))
+    out = free_names(["aggregation_code"], df.columns)["aggregation_code"]
+    met = df.withColumns({"_x_of": x, "_y_of": y}).join(codes, (F.col("_x_of") == F.col("_x")) & (F.col("_y_of") == F.col("_y")), "left")
+    return met.select(*(df[c] for c in df.columns), F.col("_code").alias(out))
 
 
 def cluster_summary(clustered: DataFrame, code: str = "aggregation_code") -> DataFrame:
@@ -195,11 +334,43 @@ def points_on_highway(df: DataFrame, highways: DataFrame, latitude: str, longitu
     return df.join(near, (df[latitude] == near["_lat"]) & (df[longitude] == near["_lon"]), "left").select(*df.columns, F.coalesce("in_highway", F.lit(False)).alias("in_highway"))
 
 
-def nearest_points(points: DataFrame, key: str, targets: DataFrame, target: str, n: int, side: float, x: str = "x", y: str = "y", most: float | None = None) -> DataFrame:
+#: Boxes of targets along each side of theirs that far points are compared with before they meet any target.
+BINS = 24
+
+
+def _far_candidates(rest: DataFrame, key: str, spots: DataFrame, box, n: int) -> DataFrame:
+    """``key, x, y, target columns``: for points far outside, the targets of those bins that may hold some of the ``n`` nearest.
+
+    Targets are binned over their box; BINS squared rows at most, each with count and box, come to the driver and go into an
+    expression. A bin counts unless bins that are nearer for certain hold ``n`` targets.
+    """
+    width, height = (max(box[2] - box[0], 1e-12), max(box[3] - box[1], 1e-12))
+    at = lambda v, low, size: F.least(F.floor((F.col(v) - low) / size * BINS), F.lit(BINS - 1)).cast("int")
+    binned = spots.withColumn("_bin", at("tx", box[0], width) * BINS + at("ty", box[1], height))
+    rows = binned.groupBy("_bin").agg(F.count("*"), F.min("tx"), F.min("ty"), F.max("tx"), F.max("ty")).collect()
+    bins = F.array(*(F.struct(*(F.lit(v).alias(name) for name, v in zip(("bin", "n", "x0", "y0", "x1", "y1"), r, strict=True))) for r in rows))
+    x, y = F.col("x"), F.col("y")
+
+    def bounds(b: Column) -> Column:
+        dx, dy = F.greatest(b["x0"] - x, x - b["x1"], F.lit(0.0)), F.greatest(b["y0"] - y, y - b["y1"], F.lit(0.0))
+        ex, ey = F.greatest(F.abs(x - b["x0"]), F.abs(x - b["x1"])), F.greatest(F.abs(y - b["y0"]), F.abs(y - b["y1"]))
+        return F.struct((ex * ex + ey * ey).alias("most"), (dx * dx + dy * dy).alias("least"), b["n"].alias("n"), b["bin"].alias("bin"))
+
+    told = rest.withColumn("_b", F.array_sort(F.transform(bins, bounds)))
+    # In order of the farthest that a bin may lie: the first at which n targets are counted bounds the n-th nearest.
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("most"))
+    count = lambda acc, b: F.when(acc["n"] >= n, acc).otherwise(F.struct((acc["n"] + b["n"]).alias("n"), F.when(acc["n"] + b["n"] >= n, b["most"]).otherwise(F.lit(float("inf"))).alias("most")))
+    told = told.withColumn("_most", F.aggregate("_b", start, count)["most"])
+    chosen = told.select(key, "x", "y", F.explode(F.filter("_b", lambda b: b["least"] <= F.col("_most") * (1 + 1e-9))).alias("_c"))
+    return chosen.select(key, "x", "y", F.col("_c.bin").alias("_bin")).join(binned, "_bin").drop("_bin")
+
+
+def nearest_points(points: DataFrame, key: str, targets: DataFrame, target: str, n: int, side: float | None = None, x: str = "x", y: str = "y", most: float | None = None) -> DataFrame:
     """``key, rank, target columns, d2``: the ``n`` nearest targets (columns ``target``, tx, ty) of every point, by distance and then target.
 
     Points look in rings of cells that double in width until the n-th found is nearer than anything outside the ring; those that
-    are done drop out. No point meets all targets unless all are near. ``most`` leaves out what is farther.
+    are done drop out. The first ring has about ``n`` targets on the average (or cells of ``side``). Points that rings as wide as the targets' own
+    box do not settle lie outside it; they meet the targets of the bins that face them. ``most`` leaves out what is farther.
     """
     spots = targets.where("tx IS NOT NULL AND ty IS NOT NULL").select(target, "tx", "ty")
     box = spots.agg(F.min("tx"), F.min("ty"), F.max("tx"), F.max("ty"), F.count("*")).first()
@@ -208,34 +379,33 @@ def nearest_points(points: DataFrame, key: str, targets: DataFrame, target: str,
     out = rest.limit(0).select(key, F.lit(0).alias("rank"), F.lit(None).cast(spots.schema[target].dataType).alias(target), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("d2"))
     if not box[4] or n < 1:
         return out
-    span = max(box[2] - box[0], box[3] - box[1], side)
-    while True:
+    span = max(box[2] - box[0], box[3] - box[1])
+    if side is None:
+        side = ((box[2] - box[0]) * (box[3] - box[1]) * n / box[4]) ** 0.5 or span / box[4]
+    side = max(side, span * 1e-6, 1e-9)
+    gap2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
+
+    def ranked(met: DataFrame) -> DataFrame:
+        return met.withColumn("d2", gap2).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(key, "rank", target, "tx", "ty", "d2")
+
+    while side <= 2 * span or (most is not None and side < 2 * most):
         filed = spots.withColumns({"cx": _cell("tx", side), "cy": _cell("ty", side)})
         asked = rest.withColumns(_neighbours(side, "x", "y")).select(key, "x", "y", "_c.cx", "_c.cy")
-        met = asked.join(filed, ["cx", "cy"]).withColumn("d2", (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
-        ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(key, "rank", target, "tx", "ty", "d2")
-        last = side > 2 * span or (most is not None and side >= most)
         # The nine cells hold everything nearer than one side.
-        ranked = materialize(ranked, "near")
-        sure = ranked.groupBy(key).agg(F.count("*").alias("_n"), F.max("d2").alias("_d")).where((F.col("_n") >= F.lit(min(n, box[4]))) & (F.col("_d") <= side * side)).select(key)
-        out = out.unionByName(ranked.join(sure, key, "left_semi"))
+        near = materialize(ranked(asked.join(filed, ["cx", "cy"])), "near")
+        if most is not None and side >= most:
+            return out.unionByName(near).where(F.col("d2") <= most * most)
+        sure = near.groupBy(key).agg(F.count("*").alias("_n"), F.max("d2").alias("_d")).where((F.col("_n") >= F.lit(min(n, box[4]))) & (F.col("_d") <= side * side)).select(key)
+        out = out.unionByName(near.join(sure, key, "left_semi"))
         rest = materialize(rest.join(sure, key, "left_anti"), "rest")
         if rest.isEmpty():
-            break
-        if last and most is not None:
-            out = out.unionByName(ranked.join(rest.select(key), key, "left_semi"))
-            break
+            return out if most is None else out.where(F.col("d2") <= most * most)
         side *= 2
-        if side > 4 * span:
-            # What is left lies far outside the targets: one cell around them all would hold every target, so look from the box's edge.
-            far = rest.withColumns({"x": F.greatest(F.least("x", F.lit(box[2] + span)), F.lit(box[0] - span)), "y": F.greatest(F.least("y", F.lit(box[3] + span)), F.lit(box[1] - span))})
-            everything = far.select(key).join(rest, key).withColumn("one", F.lit(1)).join(spots.withColumn("one", F.lit(1)), "one").withColumn("d2", (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
-            out = out.unionByName(everything.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(key, "rank", target, "tx", "ty", "d2"))
-            break
+    out = out.unionByName(ranked(_far_candidates(rest, key, spots, box, n)))
     return out if most is None else out.where(F.col("d2") <= most * most)
 
 
-def nearest_exits(df: DataFrame, exits: DataFrame, key: str, latitude: str, longitude: str, n: int = 1, side: float = 0.5) -> DataFrame:
+def nearest_exits(df: DataFrame, exits: DataFrame, key: str, latitude: str, longitude: str, n: int = 1, side: float | None = None) -> DataFrame:
     """``key, exits``: an array of the ``n`` nearest exits (id, x, y), nearest first, by distance in degrees."""
     points = df.select(key, F.col(longitude).alias("x"), F.col(latitude).alias("y"))
     near = nearest_points(points, key, exits.select(F.col("id").alias("_exit"), F.col("x").alias("tx"), F.col("y").alias("ty")), "_exit", n, side)
@@ -243,7 +413,7 @@ def nearest_exits(df: DataFrame, exits: DataFrame, key: str, latitude: str, long
     return near.groupBy(key).agg(F.transform(listed, lambda e: F.struct(e["_exit"].alias("id"), e["tx"].alias("x"), e["ty"].alias("y"))).alias("exits"))
 
 
-def distance_to_highway(df: DataFrame, exits: DataFrame, key: str, latitude: str, longitude: str, side: float = 0.5, ellipsoid: bool = True) -> DataFrame:
+def distance_to_highway(df: DataFrame, exits: DataFrame, key: str, latitude: str, longitude: str, side: float | None = None, ellipsoid: bool = True) -> DataFrame:
     """``df`` with ``distance_m``: metres to the nearest exit of an Autostrada; null without coordinates or exits."""
     found = nearest_exits(df, exits.where("classificazione = 'Autostrada'"), key, latitude, longitude, 1, side).select(F.col(key).alias("_key"), F.col("exits")[0].alias("_e"))
     metres = geodesic_distance_m if ellipsoid else haversine_m
