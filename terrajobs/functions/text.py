@@ -175,11 +175,12 @@ def html_to_all_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: page_text(h, frozenset()))
 
 
-ADDRESS = r"(?:([^,]+), )?([^,]+), ([^,]+), ([^,0-9]+)(?:, ([0-9]{5}))?, Italia"
-
-
 def address_parts(col: Column) -> dict[str, Column]:
     """Cleaned parts of "[comune2, ]comune1, provincia, regione[, cap], Italia"; null where the address is otherwise."""
-    part = lambda i: F.when(col.rlike(ADDRESS), F.regexp_extract(col, ADDRESS, i))
-    province = clean_name(F.replace(part(3), F.lit("Roma Capitale"), F.lit("Roma")))
-    return {"comune2": clean_name(part(1)), "comune1": clean_name(part(2)), "provincia": province, "regione": clean_name(part(4))}
+    parts = F.split(col, ", ")
+    # A post code of five digits may stand before the country.
+    top = F.size(parts) - F.when(F.get(parts, F.size(parts) - 2).rlike("^[0-9]{5}$"), 3).otherwise(2)
+    fits = F.element_at(parts, -1).startswith("Italia") & (top >= 2) & ~F.get(parts, top).rlike("[0-9]")
+    part = lambda back: F.when(fits, F.get(parts, top - back))
+    province = clean_name(F.replace(part(1), F.lit("Roma Capitale"), F.lit("Roma")))
+    return {"comune2": clean_name(part(3)), "comune1": clean_name(part(2)), "provincia": province, "regione": clean_name(part(0))}

@@ -304,15 +304,15 @@ def lookup_area(spark, d):
 
 # --- localities, pages, similarity ------------------------------------------------------------------------------------
 
-_PARTS = r"'(?:([^,]+), )?([^,]+), ([^,]+), ([^,0-9]+)(?:, ([0-9]{5}))?, Italia'"
-
-
 def _parsed(source: str) -> str:
-    part = lambda i: sql.clean_name(f"CASE WHEN regexp_matches(address, {_PARTS}) THEN regexp_extract(address, {_PARTS}, {i}) END")
+    listed = f"SELECT *, string_split(address, ', ') AS l FROM {source}"
+    topped = f"SELECT *, len(l) - CASE WHEN len(l) > 1 AND regexp_matches(l[len(l) - 1], '^[0-9]{{5}}$') THEN 2 ELSE 1 END AS t FROM ({listed})"
+    source = f"(SELECT *, starts_with(l[len(l)], 'Italia') AND t >= 3 AND NOT regexp_matches(l[t], '[0-9]') AS fits FROM ({topped}))"
+    part = lambda back: sql.clean_name(f"CASE WHEN fits THEN l[t - {back}] END")
     known = lambda c: f"(SELECT {sql.clean_name(f'denominazione_{c}')} FROM comuni)"
-    parts = f"SELECT *, {part(1)} AS c2, {part(2)} AS c1, {part(3)} AS p, {part(4)} AS r FROM {source}"
+    parts = f"SELECT *, {part(3)} AS c2, {part(2)} AS c1, {part(1)} AS p, {part(0)} AS r FROM {source}"
     found = f"SELECT *, CASE WHEN c1 IN {known('comune')} THEN c1 WHEN c2 IN {known('comune')} THEN c2 WHEN p IN {known('comune')} THEN p END AS c, p IN {known('provincia')} AND r IN {known('regione')} AS ok FROM ({parts})"
-    return f"SELECT * EXCLUDE (c1, c2, p, r, c, ok), CASE WHEN ok THEN c END AS parsed_comune, CASE WHEN ok AND c IS NOT NULL THEN p END AS parsed_provincia, CASE WHEN ok AND c IS NOT NULL THEN r END AS parsed_regione FROM ({found})"
+    return f"SELECT * EXCLUDE (l, t, fits, c1, c2, p, r, c, ok), CASE WHEN ok THEN c END AS parsed_comune, CASE WHEN ok AND c IS NOT NULL THEN p END AS parsed_provincia, CASE WHEN ok AND c IS NOT NULL THEN r END AS parsed_regione FROM ({found})"
 
 
 @query(WITH + _parsed(duck("localities")))
@@ -587,7 +587,7 @@ def distance_to_highway(spark, d):
 # --- geocoding --------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT c_custkey, regexp_replace(address, '\\b(del|dell|d|nell|sull|sant|Sant)([A-Z][^\\s]+)', '\\1''\\2', 'g') AS repaired FROM {duck('addresses')}")
+@query(f"SELECT c_custkey, regexp_replace(address, '\\b(dell|del|d|nell|sull|sant|Sant)(\\p{Lu}\\S+)', '\\1''\\2', 'g') AS repaired FROM {duck('addresses')}")
 def repair_apostrophes(spark, d):
     return derive(spark, d, "addresses").select("c_custkey", geocode.repair_apostrophes(F.col("address")).alias("repaired"))
 
@@ -598,7 +598,7 @@ def _simple(x: str) -> str:
 
 _SEARCH = "CASE WHEN citta IS NULL OR contains(lower(address), lower(citta)) THEN lower(address) ELSE lower(address) || ', ' || lower(citta) END"
 _GAZ = f"SELECT {_simple('address')} AS a, min(struct_pack(f := full_address, la := latitude, lo := longitude)) AS s FROM {duck('gazetteer')} GROUP BY 1"
-_APOSTROPHE_SQL = r"'\b(del|dell|d|nell|sull|sant|Sant)([A-Z][^\s]+)'"
+_APOSTROPHE_SQL = r"'\b(dell|del|d|nell|sull|sant|Sant)(\p{Lu}\S+)'"
 _GEOCODED = (
     f"SELECT c_custkey, address, citta, coalesce(s1, s2) AS s FROM (SELECT q.*, g1.s AS s1, g2.s AS s2 FROM (SELECT *, {_SEARCH} AS search, regexp_replace(address, {_APOSTROPHE_SQL}, '\\1''\\2', 'g') AS fixed FROM {duck('addresses')}) q "
     f"LEFT JOIN ({_GAZ}) g1 ON {_simple('q.search')} = g1.a LEFT JOIN ({_GAZ}) g2 ON g1.a IS NULL AND regexp_matches(q.address, {_APOSTROPHE_SQL}) AND {_simple('q.fixed')} = g2.a)"

@@ -165,9 +165,12 @@ def enrich_result(df: DataFrame, mapping: DataFrame, registry: DataFrame, keys:
     renamed = free_names(registry.columns, df.columns)
     areas = registry.select(*(F.col(c).alias(f"_area{i}") for i, c in enumerate(registry.columns)))
     at = f"_area{registry.columns.index(f'codice_{level}' if by_code else registry_key)}"
-    kept = df.join(keyed(matched.select(*keys, "_match"), keys), meets([df[k] for k in keys]), "left")
+    own = df.select(*(df[c].alias(f"_own{i}") for i, c in enumerate(df.columns)))
+    kept = own.join(keyed(matched.select(*keys, "_match"), keys), meets([f"_own{df.columns.index(k)}" for k in keys]), "left")
     how = {(False, False): "left", (False, True): "inner", (True, False): "full", (True, True): "right"}[add_missing, drop_not_match]
-    return kept.join(areas, F.col("_match") == F.col(at), how).select(*(df[c] for c in df.columns), *(F.col(f"_area{i}").alias(n) for i, n in enumerate(renamed.values())))
+    return kept.join(areas, F.col("_match") == F.col(at), how).select(
+        *(F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)), *(F.col(f"_area{i}").alias(n) for i, n in enumerate(renamed.values()))
+    )
 
 
 def attach_areas(mapping: DataFrame, registry: DataFrame, level: str) -> DataFrame:
@@ -340,42 +343,59 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="f8")
 
 
+# Letters from the rarest of Italian names to the most frequent.
+RARE_FIRST = "jkwxyqhzfbvupgdmcstlnreioa"
+
+
 def _letters(col: str) -> Column:
-    """``letter`` + occurrence of each letter, so that items shared by two words count their common multiset."""
-    chars = F.filter(F.split(col, ""), lambda c: c != "")
+    """An item for each letter and its number among equal ones, so that items shared by two words count their common multiset;
+    rare items, which are high numbers and rare letters, first."""
+    chars = F.filter(F.split(F.translate(col, RARE_FIRST, "abcdefghijklmnopqrstuvwxyz"), ""), lambda c: c != "")
     # Sorted, a letter's occurrences are neighbours: an item's number is its place less that of the letter's first.
-    body = lambda s: F.transform(s, lambda c, i: F.concat(c, (i + 2 - F.array_position(s, c)).cast("string")))
-    return F.transform(F.array(F.array_sort(chars)), body)[0]
+    body = lambda s: F.transform(s, lambda c, i: F.concat(F.lpad((9998 - i + F.array_position(s, c)).cast("string"), 4, "0"), c))
+    return F.array_sort(F.transform(F.array(F.array_sort(chars)), body)[0])
 
 
-def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, candidate: str) -> DataFrame:
-    """Pairs whose ratio can reach CANDIDATE_RATIO, by two bounds that lose none: lengths and shared letters.
+def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, candidate: str, least: float = CANDIDATE_RATIO) -> DataFrame:
+    """Pairs whose ratio can reach ``least``, by bounds that lose none: lengths and shared letters.
 
-    Pairs meet by length: a word goes to the lengths that its own allows, so the join is on equal lengths and no pair outside
-    the first bound arises; the second is tested on what meets.
+    A pair that shares enough letters shares one of the rarest few of each word, however they are chosen, so words and names are filed
+    under these and pairs with no rare letter in common never meet; a pair that meets under several counts under the first.
     """
-    low, high = CANDIDATE_RATIO / (2 - CANDIDATE_RATIO), (2 - CANDIDATE_RATIO) / CANDIDATE_RATIO
-    left = words.select(F.col(word).alias("word")).where("word IS NOT NULL AND word <> ''").distinct().withColumn("letters", _letters("word"))
-    n = F.length("word")
-    left = left.withColumn("n", F.explode(F.sequence(F.ceil(n * low).cast("int"), F.floor(n * high).cast("int"))))
-    right = candidates.select(F.col(candidate).alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
-    right = right.withColumns({"name_letters": _letters("name"), "m": F.length("name")})
-    shared = F.size(F.array_intersect("letters", "name_letters"))
-    return left.join(right, (F.col("n") == F.col("m")) & (2 * shared >= CANDIDATE_RATIO * (F.length("word") + F.col("m")))).select("word", "name")
+    low = least / (2 - least) - 1e-9
+
+    def filed(df: DataFrame, col: str, name: str, items: str) -> DataFrame:
+        rows = df.select(F.col(col).alias(name)).where(f"{name} IS NOT NULL AND {name} <> ''").distinct().withColumn(items, _letters(name))
+        few = (F.size(items) - F.ceil(F.size(items) * low) + 1).cast("int")
+        return rows.withColumn(f"{items}_few", F.slice(items, 1, few)).withColumn("_item", F.explode(f"{items}_few"))
+
+    met = filed(words, word, "word", "letters").join(filed(candidates, candidate, "name", "name_letters"), "_item")
+    n, m = F.size("letters"), F.size("name_letters")
+    near = (n >= m * low) & (m >= n * low) & (2 * F.size(F.array_intersect("letters", "name_letters")) >= (least - 1e-9) * (n + m))
+    return met.where((F.col("_item") == F.array_min(F.array_intersect("letters_few", "name_letters_few"))) & near).select("word", "name")
 
 
 def match_by_similarity(words: DataFrame, word: str, candidates: DataFrame, candidate: str, unique: bool = False) -> DataFrame:
     """``word, match, ratio``: the most similar candidate of each word whose ratio, words swapped, is above MATCH_RATIO.
 
     The ratio is difflib's; among equals the greatest name. With ``unique`` each candidate serves one word at
-    most: pairs that are each other's best (higher ratio, then lesser word) are taken, and the rest tries again.
+    most: pairs that are each other's best (higher ratio, then lesser word) are taken, and the rest tries again; a chain of n words
+    that each prefer the next one's candidate takes n rounds.
+
+    Pairs are looked for at MATCH_RATIO, for a match cannot have less of a bound. Only where the best of these scores less before the swap
+    might a candidate outside be better, and the few words of that kind are looked for again at CANDIDATE_RATIO.
     """
-    pairs = similarity_candidates(words, word, candidates, candidate).repartition("word")
-    scored = pairs.withColumn("score", _ratio("name", "word")).where(F.col("score") >= CANDIDATE_RATIO)
+    pairs = similarity_candidates(words, word, candidates, candidate, MATCH_RATIO).repartition("word", "name")
+    scored = materialize(pairs.withColumns({"score": _ratio("name", "word"), "ratio": _ratio("word", "name")}).where(F.col("score") >= CANDIDATE_RATIO), "scored")
     if not unique:
-        best = scored.groupBy("word").agg(F.max(F.struct("score", "name")).alias("b")).select("word", F.col("b.name").alias("match"))
-        return best.withColumn("ratio", _ratio("word", "match")).where(F.col("ratio") > MATCH_RATIO)
-    left = materialize(scored.withColumn("ratio", _ratio("word", "name")).where(F.col("ratio") > MATCH_RATIO).select("word", "name", "ratio"), "similar")
+        best = scored.groupBy("word").agg(F.max(F.struct("score", "name", "ratio")).alias("b")).select("word", "b.*").where(F.col("ratio") > MATCH_RATIO)
+        best = materialize(best.withColumnRenamed("name", "match"), "best")
+        unsure = best.where(F.col("score") < MATCH_RATIO)
+        wide = similarity_candidates(unsure, "word", candidates, candidate).repartition("word", "name").withColumn("score", _ratio("name", "word"))
+        top = wide.groupBy(F.col("word").alias("_word")).agg(F.max(F.struct("score", "name"))["name"].alias("_top"))
+        sure = unsure.join(top, (F.col("word") == F.col("_word")) & (F.col("match") == F.col("_top")), "left_semi")
+        return best.where(F.col("score") >= MATCH_RATIO).unionByName(sure).select("word", "match", "ratio")
+    left = materialize(scored.where(F.col("ratio") > MATCH_RATIO).select("word", "name", "ratio"), "similar")
     taken = None
     while not left.isEmpty():
         by_word = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("name"))

@@ -160,6 +160,7 @@ def detect_crs(df: DataFrame, x: str, y: str, areas: DataFrame, polygon: str = "
         there = some.withColumns({"_lon": lon, "_lat": lat}).where(F.col("_lon").between(-180, 180) & F.col("_lat").between(-89.9, 89.9))
         there = there.select("x", "y", px.alias("_px"), py.alias("_py"), F.lit(rank).alias("_rank"), F.lit(crs).alias("_crs"))
         tried = there if tried is None else tried.unionByName(there)
+    tried = materialize(tried, "tried")
     inside = points_within(tried, areas, polygon, [], None, "_px", "_py").distinct().groupBy("_rank", "_crs").count()
     total = some.count()
     first = inside.where(F.col("count") >= share * total).orderBy("_rank").limit(1).collect()

@@ -148,3 +148,85 @@ def test_empty_inputs(spark, comuni):
     mapping = matching.match_by_name(none, "citta", comuni, "comune")
     out = matching.enrich_result(none, mapping, comuni, ["citta"], "denominazione_comune")
     assert out.count() == 0 and set(comuni.columns) <= set(out.columns)
+
+
+def test_homonyms_keep_their_rows(spark, comuni):
+    """Both Livos, by province, region, sigla and code; each row comes once, with its own area; by hand too."""
+    rows = [(1, "Livo", "Como"), (2, "livo", "Trento"), (3, "Livo", None), (4, "Milano", "Milano"), (5, None, None), (6, "zz", "Como")]
+    df = spark.createDataFrame(rows, "id int, citta string, prov string")
+    mapping = matching.match_by_name(df, "citta", comuni, "comune", parent="prov")
+    out = matching.enrich_result(df, mapping, comuni, ["citta", "prov"], "denominazione_comune")
+    assert {r["id"]: r["codice_comune"] for r in out.collect()} == {1: 6, 2: 7, 3: 7, 4: 1, 5: None, 6: None} and out.count() == len(rows)
+    assert {r["denominazione_comune"] for r in out.where("id < 4").collect()} == {"Livo"}
+    known = comuni.withColumns({"codice_provincia": F.when(F.col("sigla") == "CO", 13).when(F.col("sigla") == "TN", 22), "codice_regione": F.when(F.col("denominazione_regione") == "Lombardia", 3).otherwise(4)})
+    for kind, up in {"regione": ("Lombardia", "Trentino-Alto Adige"), "sigla": ("CO", "tn"), "codice_provincia": ("013", "22"), "codice_regione": ("3", "04")}.items():
+        asked = spark.createDataFrame([("Livo", up[0]), ("Livo", up[1])], "citta string, p string")
+        got = {r["p"]: r["codice_comune"] for r in matching.match_by_name(asked, "citta", known, "comune", parent="p", parent_kind=kind).collect()}
+        assert got == {up[0]: 6, up[1]: 7}, kind
+    with pytest.raises(ValueError):
+        matching.match_by_name(df, "citta", comuni, "comune", parent="prov", parent_kind="x")
+    by_hand = matching.manual_match(matching.match_by_name(df, "citta", comuni, "comune"), "citta", {"zz": "Livo como"})
+    named = matching.enrich_result(df, by_hand, comuni, ["citta"], "denominazione_comune")
+    assert {r["id"]: r["codice_comune"] for r in named.collect()} == {1: 7, 2: 7, 3: 7, 4: 1, 5: None, 6: 6}
+    assert matching.lookup_area(df, "citta", comuni, "comune", parent="prov").count() == 4
+
+
+def test_clashing_columns_and_repeated_results(spark, comuni):
+    """Columns named as the job's own, and a job applied to its own result."""
+    names = ("match_key", "_match", "codice_comune", "_key0", "_area0", "denominazione_comune", "codice_comune_new", "SIGLA")
+    df = spark.createDataFrame([("Milano", *range(8)), (None, *range(8))], "citta string, " + ", ".join(f"{n} int" for n in names))
+    mapping = matching.match_by_name(df, "citta", comuni, "comune")
+    once = matching.enrich_result(df, mapping, comuni, ["citta"], "denominazione_comune")
+    twice = matching.enrich_result(once, mapping, comuni, ["citta"], "denominazione_comune")
+    assert twice.count() == 2 and len({c.lower() for c in twice.columns}) == len(twice.columns)
+    row = twice.where("citta IS NOT NULL").first()
+    assert [row[n] for n in names] == list(range(8)) and row["codice_comune_new_new"] == row["codice_comune_new_new_new"] == 1
+
+
+def test_pages_of_long_names_and_parents(spark):
+    long_comune, long_place = "San Giovanni di Sopra alla Valle Grande Bassa", "Contrada Alta dei Sette Pini Vecchi del Monte"
+    rows = [(long_comune, "Como", 1), ("Livo", "Como", 2), ("Livo", "Trento", 3), ("Roma", "Roma", 4), ("Forlì", "Forlì-Cesena", 5)]
+    comuni = spark.createDataFrame(rows, "denominazione_comune string, denominazione_provincia string, codice_comune int").withColumn("denominazione_regione", F.lit("R"))
+    padding = "una lunga storia di questo posto tra i monti e le valli che nessuno ha mai raccontato prima d'ora per intero " * 2
+    pages = spark.createDataFrame([
+        (f"<p>{padding}{long_place} si trova nel comune di {long_comune} da secoli.</p>",), ("<p>Pieve fa parte del comune di Livo. Torre, frazione (piccola) del comune di Forlì e altro.</p>",),
+        ("<p>Duo si trova nel comune di Livo e Trio fa parte del comune di Roma.</p>",), (f"<p>Lontano {'x' * 41} si trova nel comune di Roma. Vicino {'x' * 30} si trova nel comune di Roma</p>",),
+        ("<p>Prato è una località del comune di Roma</p>",), (None,),
+    ], "html string")
+    asked = spark.createDataFrame([(n, p) for n in (long_place, "Pieve", "Torre", "Duo", "Trio", "Lontano", "Vicino", "Prato", None, "") for p in (None, "Provincia di Trento")], "n string, p string")
+    got = {r["n"]: r["comune"] for r in matching.match_localities_from_pages(asked, "n", pages, comuni).collect()}
+    assert got == {long_place: "san giovanni di sopra alla valle grande bassa", "Pieve": "livo", "Torre": "forli", "Duo": "livo", "Trio": "roma", "Vicino": "roma", "Prato": "roma"}
+    held = {(r["n"], r["p"]): r["comune"] for r in matching.match_localities_from_pages(asked, "n", pages, comuni, parent="p").collect()}
+    assert held == {("Pieve", "Provincia di Trento"): "livo", ("Duo", "Provincia di Trento"): "livo"}
+    full = {(r["n"], r["p"]): r["codice_comune"] for r in matching.match_areas(asked.where("p IS NOT NULL"), "n", comuni, "comune", parent="p", pages=pages).collect()}
+    assert full["Pieve", "Provincia di Trento"] == 3 and full["Trio", "Provincia di Trento"] is None
+    assert matching.match_localities_from_pages(asked.limit(0), "n", pages, comuni).count() == 0
+
+
+def test_similarity_by_rare_letters_loses_nothing(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    known = sorted({"".join(rng.choices("abcdeio", k=rng.randint(3, 9))) for _ in range(150)})
+    words = sorted({"".join(c for c in w if rng.random() > 0.12) + rng.choice(["", "a", "x"]) for w in known for _ in range(2)} - {""})
+    want = {}
+    for w in words:
+        score, best = max((SequenceMatcher(None, c, w).ratio(), c) for c in known)
+        if score >= 0.6 and SequenceMatcher(None, w, best).ratio() > 0.85:
+            want[w] = best
+    df, reg = spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([(k,) for k in known], "k string")
+    assert len(want) > 50 and {r["word"]: r["match"] for r in matching.match_by_similarity(df, "w", reg, "k").collect()} == want
+    chain = matching.match_by_similarity(df, "w", reg, "k", unique=True).collect()
+    taken, free, left = {}, set(known), {(w, c): SequenceMatcher(None, w, c).ratio() for w in words for c in known if SequenceMatcher(None, c, w).ratio() >= 0.6}
+    pairs = {k: r for k, r in left.items() if r > 0.85}
+    while pairs:
+        by_word, by_name = {}, {}
+        for (w, c), r in pairs.items():
+            by_word[w] = max(by_word.get(w, (-1, "")), (r, c))
+            by_name[c] = min(by_name.get(c, (1, "")), (-r, w))
+        mutual = {w: c for w, (_, c) in by_word.items() if by_name[c][1] == w}
+        taken |= mutual
+        free -= set(mutual.values())
+        pairs = {(w, c): r for (w, c), r in pairs.items() if w not in taken and c in free}
+    assert {r["word"]: r["match"] for r in chain} == taken
