@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrajobs.functions import names
-from terrajobs.functions.columns import free_names, keyed, meets
+from terrajobs.functions.columns import attach, free_names
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import html_to_all_text, simple_name
 from terrajobs.operators.spatial import nearest_points
@@ -93,9 +93,9 @@ def geocode_addresses(df: DataFrame, gazetteer: DataFrame, address: str, *, comu
         third = both.join(spelled, (F.col("_search") == F.col("_failed")) & F.col("found").isNull(), "left").withColumn("_full", F.concat("expanded", tail))
         third = _look_up(third.withColumnsRenamed({"lat": "_lat1", "lon": "_lon1", "found": "_found1"}), "_full", gazetteer)
         both = third.select(*given, *(F.coalesce(f"_{c}1", c).alias(c) for c in ("lat", "lon", "found")))
-    checked = keyed(both.select(*given, verify_location("found", "lat", parents).alias("_lat"), verify_location("found", "lon", parents).alias("_lon")), given)
     named = free_names(["latitude", "longitude"], df.columns)
-    return df.join(checked, meets([df[g] for g in given]), "left").select(*(df[c] for c in df.columns), F.col("_lat").alias(named["latitude"]), F.col("_lon").alias(named["longitude"]))
+    values = {named["latitude"]: verify_location("found", "lat", parents), named["longitude"]: verify_location("found", "lon", parents)}
+    return attach(df, [F.col(g) for g in given], both, given, values, nulls_meet=True)
 
 
 def reverse_geocode(df: DataFrame, gazetteer: DataFrame, latitude: str, longitude: str, *, most: float = 0.01, side: float | None = None) -> DataFrame:
@@ -109,5 +109,4 @@ def reverse_geocode(df: DataFrame, gazetteer: DataFrame, latitude: str, longitud
     near = nearest_points(points, "_id", spots, "spot", 1, side, "_lon", "_lat", most=most).select("_id", "spot")
     found = points.join(near, "_id").select("_lat", "_lon", "spot")
     names_out = free_names(["address", "city"], df.columns, "_geo")
-    joined = df.join(found, (df[latitude] == found["_lat"]) & (df[longitude] == found["_lon"]), "left")
-    return joined.select(*(df[c] for c in df.columns), *(F.col(f"spot.{c}").alias(n) for c, n in names_out.items()))
+    return attach(df, [F.col(latitude), F.col(longitude)], found, ["_lat", "_lon"], {n: F.col("spot")[c] for c, n in names_out.items()})

@@ -11,7 +11,7 @@ from math import pi, sin
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from terrajobs.functions.columns import free_names
+from terrajobs.functions.columns import attach, free_names
 from terrajobs.functions.geo import (
     MEAN_RADIUS, POLYGON, geodesic_distance_m, haversine_m, inside_edges, polygon_area_centroid, polygon_bounds, polygon_edges, radius_in_degrees, segment_distance2,
     transform_crs,
@@ -131,8 +131,7 @@ def locate_points(
     found = points_within(distinct.withColumns({"_x": px, "_y": py}), areas, polygon, attributes, side, "_x", "_y")
     found = found.groupBy("_lat", "_lon").agg(F.min(F.struct(*attributes)).alias("_a"))
     named = free_names(attributes, df.columns)
-    joined = df.withColumns({"_x_of": x, "_y_of": y}).join(found, (F.col("_y_of") == F.col("_lat")) & (F.col("_x_of") == F.col("_lon")), "left")
-    return joined.select(*(df[c] for c in df.columns), *(F.col(f"_a.{a}").alias(named[a]) for a in attributes))
+    return attach(df, [x, y], found, ["_lon", "_lat"], {named[a]: F.col("_a")[a] for a in attributes})
 
 
 def points_in_areas(
@@ -200,8 +199,8 @@ def population_nearby(
     cells = grid.select(F.col("Lon").cast("double").alias("gx"), F.col("Lat").cast("double").alias("gy"), F.col("Population").alias("p")).withColumns({"cx": _cell("gx", r), "cy": _cell("gy", r)})
     near = asked.join(cells, ["cx", "cy"]).where((F.col("_x") - F.col("gx")) ** 2 + (F.col("_y") - F.col("gy")) ** 2 < r * r)
     sums = near.groupBy("_x", "_y").agg(F.sum("p").cast("double").alias("_sum"))
-    joined = df.withColumns({"_x_of": x, "_y_of": y}).join(sums, (F.col("_x_of") == F.col("_x")) & (F.col("_y_of") == F.col("_y")), "left")
-    return joined.select(*(df[c] for c in df.columns), F.coalesce("_sum", F.lit(0.0)).alias(free_names(["n_residents"], df.columns)["n_residents"]))
+    out = free_names(["n_residents"], df.columns)["n_residents"]
+    return attach(df, [x, y], sums, ["_x", "_y"], {out: F.col("_sum")}, {out: F.lit(0.0)})
 
 
 #: Pairs of points that two cells may be compared by directly; larger pairs of cells are cut into smaller ones first.
@@ -301,8 +300,7 @@ def cluster_by_distance(
     joined = connected_components(cell_links(pts.drop("id"), names, reach, close, side, steps, few))
     codes = pts.select("x", "y", "root").join(joined, F.col("root") == F.col("node"), "left").select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.coalesce("component", "root").alias("_code"))
     out = free_names(["aggregation_code"], df.columns)["aggregation_code"]
-    met = df.withColumns({"_x_of": x, "_y_of": y}).join(codes, (F.col("_x_of") == F.col("_x")) & (F.col("_y_of") == F.col("_y")), "left")
-    return met.select(*(df[c] for c in df.columns), F.col("_code").alias(out))
+    return attach(df, [x, y], codes, ["_x", "_y"], {out: F.col("_code")})
 
 
 def cluster_summary(clustered: DataFrame, code: str = "aggregation_code") -> DataFrame:
@@ -331,8 +329,9 @@ def points_on_highway(df: DataFrame, highways: DataFrame, latitude: str, longitu
     """``df`` with ``in_highway``: whether a line of class Autostrada passes nearer than ``radius`` metres. One row per row of ``df``."""
     lines = line_segments(highways.where("classificazione = 'Autostrada'"))
     points = df.select(F.col(latitude).alias("_lat"), F.col(longitude).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
-    near = near_segments(points, ["_lat", "_lon"], lines, radius_in_degrees(radius), "_lon", "_lat", side=side).withColumn("in_highway", F.lit(True))
-    return df.join(near, (df[latitude] == near["_lat"]) & (df[longitude] == near["_lon"]), "left").select(*df.columns, F.coalesce("in_highway", F.lit(False)).alias("in_highway"))
+    near = near_segments(points, ["_lat", "_lon"], lines, radius_in_degrees(radius), "_lon", "_lat", side=side)
+    out = free_names(["in_highway"], df.columns)["in_highway"]
+    return attach(df, [F.col(latitude), F.col(longitude)], near, ["_lat", "_lon"], {out: F.lit(True)}, {out: F.lit(False)})
 
 
 #: Boxes of targets along each side of theirs that far points are compared with before they meet any target.
@@ -414,12 +413,18 @@ def nearest_exits(df: DataFrame, exits: DataFrame, key: str, latitude: str, long
     return near.groupBy(key).agg(F.transform(listed, lambda e: F.struct(e["_exit"].alias("id"), e["tx"].alias("x"), e["ty"].alias("y"))).alias("exits"))
 
 
-def distance_to_highway(df: DataFrame, exits: DataFrame, key: str, latitude: str, longitude: str, side: float | None = None, ellipsoid: bool = True) -> DataFrame:
-    """``df`` with ``distance_m``: metres to the nearest exit of an Autostrada; null without coordinates or exits."""
-    found = nearest_exits(df, exits.where("classificazione = 'Autostrada'"), key, latitude, longitude, 1, side).select(F.col(key).alias("_key"), F.col("exits")[0].alias("_e"))
+def distance_to_highway(df: DataFrame, exits: DataFrame, key: str | None, latitude: str, longitude: str, side: float | None = None, ellipsoid: bool = True) -> DataFrame:
+    """``df``, all rows, with ``distance_m``: metres to the nearest exit of an Autostrada; null without coordinates or exits.
+
+    Each distinct point is asked for once, whatever rows have it, so ``key`` is not needed.
+    """
     metres = geodesic_distance_m if ellipsoid else haversine_m
-    joined = df.join(found, df[key] == found["_key"], "left")
-    return joined.select(*df.columns, metres(F.col(longitude), F.col(latitude), F.col("_e.x"), F.col("_e.y")).alias("distance_m"))
+    spots = df.select(F.col(latitude).cast("double").alias("_lat"), F.col(longitude).cast("double").alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    spots = spots.withColumn("_id", F.struct("_lat", "_lon"))
+    found = nearest_exits(spots, exits.where("classificazione = 'Autostrada'"), "_id", "_lat", "_lon", 1, side)
+    told = found.select("_id.*", metres(F.col("_id._lon"), F.col("_id._lat"), F.col("exits")[0]["x"], F.col("exits")[0]["y"]).alias("_metres"))
+    out = free_names(["distance_m"], df.columns)["distance_m"]
+    return attach(df, [F.col(latitude).cast("double"), F.col(longitude).cast("double")], told, ["_lat", "_lon"], {out: F.col("_metres")})
 
 
 def area_bounds(areas: DataFrame, polygon: str = "geometry", source: int = 4326, target: int = 3857) -> DataFrame:
