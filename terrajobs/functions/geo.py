@@ -99,9 +99,10 @@ def transform_polygon(polygon: Column, source: int, target: int) -> Column:
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Metres between two points on a sphere of the Earth's mean radius."""
+    """Metres between two points on a sphere of the Earth's mean radius; null where a coordinate is."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * MEAN_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() would take 1 for null.
+    return 2 * MEAN_RADIUS * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def inverse_geodesic(lon1: float, lat1: float, lon2: float, lat2: float) -> float:

@@ -419,7 +419,7 @@ def transform_crs(spark, d):
 
 
 @query(
-    f"SELECT id, round(2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(41.9::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(41.9::DOUBLE)) * pow(sin(radians(12.5::DOUBLE - lon) / 2), 2)))), 3) AS metres FROM {duck('points')}"
+    f"SELECT id, CASE WHEN lat IS NOT NULL THEN round(2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(41.9::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(41.9::DOUBLE)) * pow(sin(radians(12.5::DOUBLE - lon) / 2), 2)))), 3) END AS metres FROM {duck('points')}"
 )
 def haversine_distance(spark, d):
     metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.lit(12.5), F.lit(41.9))
@@ -576,7 +576,7 @@ _NEAREST_MOTORWAY = _NEAREST.replace(f"{duck('exits')} e", f"(SELECT * FROM {duc
 
 
 @query(
-    f"SELECT p.id, round(2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(n.y - n.lat) / 2), 2) + cos(radians(n.lat)) * cos(radians(n.y)) * pow(sin(radians(n.x - n.lon) / 2), 2)))), 3) AS distance_m "
+    f"SELECT p.id, CASE WHEN n.x IS NOT NULL THEN round(2 * {geo.MEAN_RADIUS} * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(n.y - n.lat) / 2), 2) + cos(radians(n.lat)) * cos(radians(n.y)) * pow(sin(radians(n.x - n.lon) / 2), 2)))), 3) END AS distance_m "
     f"FROM {duck('points')} p LEFT JOIN (SELECT * FROM ({_NEAREST_MOTORWAY}) WHERE rank = 1) n ON p.id = n.id"
 )
 def distance_to_highway(spark, d):
@@ -587,7 +587,7 @@ def distance_to_highway(spark, d):
 # --- geocoding --------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT c_custkey, regexp_replace(address, '\\b(dell|del|d|nell|sull|sant|Sant)(\\p{Lu}\\S+)', '\\1''\\2', 'g') AS repaired FROM {duck('addresses')}")
+@query(f"SELECT c_custkey, regexp_replace(address, '\\b(dell|del|d|nell|sull|sant|Sant)(\\p{{Lu}}\\S+)', '\\1''\\2', 'g') AS repaired FROM {duck('addresses')}")
 def repair_apostrophes(spark, d):
     return derive(spark, d, "addresses").select("c_custkey", geocode.repair_apostrophes(F.col("address")).alias("repaired"))
 

@@ -139,3 +139,8 @@ def test_homonyms_on_the_map(spark, livos):
     assert held == {6: 35, 7: 109, 1: 0}
     plain = {r["codice_comune"]: r["v"] for r in maps.choropleth_table(df, "c", "v", livos, "comune").collect()}
     assert plain == {6: 0, 7: 114, 1: 0}
+
+
+def test_no_distance_without_coordinates(spark):
+    row = spark.range(1).select(geo.haversine_m(F.lit(9.0), F.lit(None).cast("double"), F.lit(9.0), F.lit(45.0)).alias("a"), geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.lit(0.0)).alias("b")).first()
+    assert row["a"] is None and abs(row["b"] - math.pi * geo.MEAN_RADIUS) < 1
