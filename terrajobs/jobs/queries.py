@@ -19,16 +19,22 @@ SQL = {}
 SIDE = 2.5
 
 
-def query(oracle: str | None = None):
-    """Register a query under its function's name, with its SQL."""
+def registering(queries: dict, oracles: dict):
+    """A decorator that registers a query under its function's name, with its SQL."""
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            SQL[f.__name__] = oracle
-        return f
+    def query(oracle: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if oracle is not None:
+                oracles[f.__name__] = oracle
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = registering(QUERIES, SQL)
 
 
 # --- the registry -------------------------------------------------------------------------------------------------
@@ -426,7 +432,27 @@ def haversine_distance(spark, d):
     return derive(spark, d, "points").select("id", F.round(metres, 3).alias("metres"))
 
 
-@query()
+def _vincenty(x: str, y: str, steps: int = 8) -> str:
+    """(id, metres) from (12.5, 41.9) on WGS84 by as many steps of the inverse series; points near it meet in four."""
+    f, a = f"{geo.FLATTENING!r}::DOUBLE", f"{geo.A!r}::DOUBLE"
+    out = f"WITH s0 AS (SELECT id, radians(12.5::DOUBLE - {x}) AS gap, radians(12.5::DOUBLE - {x}) AS lam, atan((1 - {f}) * tan(radians({y}))) AS u1, atan((1 - {f}) * tan(radians(41.9::DOUBLE))) AS u2 FROM {duck('points')}) "
+    for i in range(steps):
+        parts = (
+            f"SELECT id, gap, u1, u2, lam, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM s{i}",
+            "SELECT *, atan2(ss, cs) AS sg, cos(u1) * cos(u2) * sin(lam) / ss AS sa FROM ({})",
+            "SELECT *, 1 - sa * sa AS c2, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS mid FROM ({})",
+            f"SELECT *, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS c FROM ({{}})",
+        )
+        nested = parts[0]
+        for part in parts[1:]:
+            nested = part.format(nested)
+        out += f", s{i + 1} AS MATERIALIZED (SELECT id, gap, u1, u2, ss, cs, sg, c2, mid, gap + (1 - c) * {f} * sa * (sg + c * ss * (mid + c * cs * (2 * mid * mid - 1))) AS lam FROM ({nested})) "
+    out += f", k AS (SELECT *, c2 * (1 / pow(1 - {f}, 2) - 1) AS u FROM s{steps}), l AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS small FROM k) "
+    turn = "small * ss * (mid + small / 4 * (cs * (2 * mid * mid - 1) - small / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))"
+    return out + f"SELECT id, round({a} * (1 - {f}) * big * (sg - {turn}), 3) AS metres FROM l"
+
+
+@query(_vincenty("lon", "lat"))
 def geodesic_distance(spark, d):
     return derive(spark, d, "points").select("id", F.round(geo.geodesic_distance_m("lon", "lat", F.lit(12.5), F.lit(41.9)), 3).alias("metres"))
 
@@ -451,11 +477,11 @@ def national_outline(spark, d):
     return edges.agg(F.count("*").alias("n_edges"), F.round(F.sum(F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1")), 6).alias("length"))
 
 
-@query()
+@query(f"SELECT codice, CAST(CASE WHEN codice * 0.011::DOUBLE > 0.05::DOUBLE THEN 6 ELSE 5 END AS INT) AS n_vertices FROM {duck('boxes')}")
 def simplify_polygon(spark, d):
-    """Each box with a spur of 0.01 on one side, simplified at 0.05: the spur goes."""
+    """Each box with a dent on one side, as many times 0.011 deep as its code, simplified at 0.05: dents of up to that go."""
     ring = F.col("geometry")[0][0]
-    spur = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") + 0.01).alias("y"))
+    spur = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") + F.col("codice") * 0.011).alias("y"))
     bent = F.array(F.array(F.concat(F.slice(ring, 1, 1), F.array(spur), F.slice(ring, 2, 4))))
     return _boxes(spark, d).select("codice", F.size(geo.simplify_polygon(0.05)(bent)[0][0]).alias("n_vertices"))
 

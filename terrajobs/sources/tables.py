@@ -113,10 +113,11 @@ def with_centroid(areas: DataFrame, polygon: str = "geometry") -> DataFrame:
     return areas.withColumns({"center_x": x, "center_y": y})
 
 
-def read_boundaries(spark: SparkSession, path: str, code: str, name: str) -> DataFrame:
+def read_boundaries(spark: SparkSession, path: str, code: str, name: str, lines: bool = False) -> DataFrame:
     """``name, geometry, center_x, center_y`` of a GeoJSON feature collection, or of a CSV with a ``wkt`` column.
 
-    ``code`` is the property (or column) that holds the integer code.
+    ``code`` is the property (or column) that holds the integer code. A JSON file is one collection and is read by one task, or (``lines``) it
+    holds a collection a line and is split.
     """
     if path.endswith((".csv", ".csv.gz")):
         raw = spark.read.option("header", True).option("multiLine", True).csv(path)
@@ -127,7 +128,7 @@ def read_boundaries(spark: SparkSession, path: str, code: str, name: str) -> Dat
             T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
         ]
     )
-    raw = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    raw = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).option("multiLine", not lines).json(path).select(F.explode("features").alias("f"))
     pairs = "array<array<array<double>>>"
     one = F.array(F.from_json("f.geometry.coordinates", pairs))
     many = F.from_json("f.geometry.coordinates", f"array<{pairs}>")
@@ -137,10 +138,11 @@ def read_boundaries(spark: SparkSession, path: str, code: str, name: str) -> Dat
     return with_centroid(raw.select(F.col("f.properties")[code].cast("double").cast("int").alias(name), shape.alias("geometry")))
 
 
-def read_osm_features(spark: SparkSession, path: str, kinds: list[str], tag: str = "highway") -> DataFrame:
+def read_osm_features(spark: SparkSession, path: str, kinds: list[str], tag: str = "highway", lines: bool = False) -> DataFrame:
     """``id, type, tags, shape, geometry`` of the elements of a map dump (JSON with ``elements``) whose ``tag`` is one of ``kinds``.
 
-    A way's geometry is its line, a node's a line of one vertex.
+    A way's geometry is its line, a node's a line of one vertex. A file is one dump and is read by one task, or (``lines``) it holds a dump (a
+    tile) a line and is split.
     """
     vertex = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
     element = T.StructType(
@@ -149,7 +151,7 @@ def read_osm_features(spark: SparkSession, path: str, kinds: list[str], tag: str
             T.StructField("tags", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", T.ArrayType(vertex)),
         ]
     )
-    raw = spark.read.schema(T.StructType([T.StructField("elements", T.ArrayType(element))])).option("multiLine", True).json(path)
+    raw = spark.read.schema(T.StructType([T.StructField("elements", T.ArrayType(element))])).option("multiLine", not lines).json(path)
     rows = raw.select(F.explode("elements").alias("e")).select("e.*").where(F.col("tags")[tag].isin(*kinds))
     line = F.transform("geometry", lambda v: F.struct(v["lon"].alias("x"), v["lat"].alias("y")))
     point: Column = F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
