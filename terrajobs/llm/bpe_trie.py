@@ -4,7 +4,8 @@ For every prefix of a word the encoding ends in one token, and that last token t
 prefix before it is the whole encoding. A token t ending at a prefix is the last one exactly if the prefix before
 it ends in a token that stays whole beside t, i.e. if BPE of the two tokens' bytes gives the two tokens back. So the
 last tokens of a word follow from those of its prefixes, and words that share a prefix share that work: sorted words
-are met in the trie's depth-first order, and a stack holds the states of the current path.
+are met in the trie's depth-first order, and a stack holds the states of the current path. The tokens that may end at a
+prefix are those that an Aho-Corasick automaton of the vocabulary finds there.
 """
 
 from __future__ import annotations
@@ -12,17 +13,22 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Splits text into words before the merges: fixed by the vocabulary. White space is Unicode's White_Space.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Splits text into words before the merges: fixed by the vocabulary. White space is Unicode's White_Space. Letters and digits come
+#: before contractions, which begin with an apostrophe and so never compete with them.
+WORDS = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same words of a text that is all ASCII, which the plainer engine finds faster.
+ASCII_WORDS = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\x20\x09-\x0DA-Za-z0-9]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+"
 #: Words whose encodings a task remembers; beyond that it starts anew.
 REMEMBERED = 600_000
 #: Words of a text handled at a time, and code points above which a text is walked instead of split at once.
@@ -61,7 +67,7 @@ class TrieEncoder:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         self.tokens = {i: w for w, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.words = regex.compile(WORDS)
+        self.words, self.ascii_words = regex.compile(WORDS), re.compile(ASCII_WORDS)
         #: rank of the merge of two tokens; the rank that made a token (-1: a byte) and the tokens it was made of
         self.ranks: dict[tuple[int, int], int] = {}
         self.made, self.left, self.right = {i: -1 for i in self.tokens}, {}, {}
@@ -71,11 +77,15 @@ class TrieEncoder:
             self.ranks.setdefault((self.ids[a], self.ids[b]), rank)
             if token not in self.left:
                 self.made[token], self.left[token], self.right[token] = rank, self.ids[a], self.ids[b]
-        #: the longest token that ends in given last bytes, to spare look-ups
-        self.reach: dict[bytes, int] = {}
-        for word in self.ids:
-            self.reach[word[-2:]] = max(self.reach.get(word[-2:], 0), len(word))
-        self.known: dict[str, tuple[int, str, bytes, tuple]] = {}
+        self.numeral = {i: str(i) for i in self.tokens}
+        #: tells of a word's bytes, as code points, each token (length, id) that ends at each place
+        self.ending = ahocorasick.Automaton()
+        for word, i in self.ids.items():
+            self.ending.add_word(word.decode("latin-1"), (len(word), i))
+        self.ending.make_automaton()
+        #: of each word remembered, its ids in decimal and the bytes that they decode to
+        self.numerals: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
         self.stays_whole = lru_cache(maxsize=1 << 20)(self._stays_whole)
 
     def _stays_whole(self, a: int, b: int) -> bool:
@@ -110,29 +120,29 @@ class TrieEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Insert words into the trie and walk it depth first. The stack holds, for each prefix of the current
-        path, its last token and where that token begins."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
+        path, its last token and where that token begins. All of ``words`` are remembered then."""
+        new = words.difference(self.numerals)
+        if len(self.numerals) + len(new) > REMEMBERED:
+            self.numerals, self.decoded, new = {}, {}, words
         path, last = b"", [(-1, 0)]
-        ids, reach, stays_whole = self.ids, self.reach, self.stays_whole
-        for data, text in sorted((w.encode("utf-8", "replace"), w) for w in words):
+        found, stays_whole, numeral = self.ending.iter, self.stays_whole, self.numeral
+        for data, text in sorted((w.encode("utf-8", "replace"), w) for w in new):
             shared, limit = 0, min(len(path), len(data))
             while shared < limit and path[shared] == data[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for end in range(shared + 1, len(data) + 1):
-                for begin in range(max(0, end - reach.get(data[end - 2 : end], 1) if end > 1 else 0), end):
-                    token = ids.get(data[begin:end])
-                    if token is not None and stays_whole(last[begin][0], token):
-                        last.append((token, begin))
-                        break
+            for end, (size, token) in found(data.decode("latin-1")):
+                # One token alone may be the last of a prefix; what has its state is passed over.
+                if end + 1 == len(last) and stays_whole(last[end + 1 - size][0], token):
+                    last.append((token, end + 1 - size))
             path = data
             out, end = [], len(data)
             while end:
                 token, end = last[end]
                 out.append(token)
             out.reverse()
-            self.known[text] = (len(out), ",".join(map(str, out)), self.decode(out), tuple(out))
+            self.numerals[text] = ",".join([numeral[t] for t in out])
+            self.decoded[text] = self.decode(out)
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """Stretches of ordinary text and ids of special tokens, in order."""
@@ -150,29 +160,31 @@ class TrieEncoder:
         for piece in self.pieces(text):
             if isinstance(piece, int):
                 yield piece
-            elif len(piece) <= LONG_TEXT:
-                yield self.words.findall(piece)
+                continue
+            pattern = self.ascii_words if piece.isascii() else self.words
+            if len(piece) <= LONG_TEXT:
+                yield pattern.findall(piece)
             else:
-                walk = (m[0] for m in self.words.finditer(piece))
+                walk = (m[0] for m in pattern.finditer(piece))
                 while some := list(islice(walk, SLICE)):
                     yield some
 
-    def encoded(self, words: list[str] | int) -> list[tuple[int, str, bytes, tuple]]:
-        """What is known of each word: number of ids, ids in decimal, the bytes they decode to, ids."""
+    def encoded(self, words: list[str] | int) -> tuple[str, bytes]:
+        """The ids of words, or of a special token, in decimal joined by commas, and the bytes they decode to."""
         if isinstance(words, int):
-            return [(1, str(words), self.tokens[words], (words,))]
+            return self.numeral[words], self.tokens[words]
         try:
-            return list(map(self.known.__getitem__, words))
+            numerals = ",".join(map(self.numerals.__getitem__, words))
         except KeyError:
-            self.learn({w for w in words if w not in self.known})
-            if any(w not in self.known for w in words):  # the memory was started anew
-                self.learn(set(words))
-            return list(map(self.known.__getitem__, words))
+            self.learn(set(words))
+            numerals = ",".join(map(self.numerals.__getitem__, words))
+        return numerals, b"".join(map(self.decoded.__getitem__, words))
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, a slice at a time, so that a very long text needs little more memory than its own."""
         for words in self.slices(text):
-            yield list(chain.from_iterable(x[3] for x in self.encoded(words)))
+            if numerals := self.encoded(words)[0]:
+                yield list(map(int, numerals.split(",")))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for; special tokens give their text."""
@@ -221,11 +233,11 @@ def _digests(path: str):
     def digest(enc: TrieEncoder, slices: Iterator) -> tuple[int, str, str]:
         n, ids_hash, decoded = 0, hashlib.sha256(), Decoded()
         for words in slices:
-            if got := enc.encoded(words):
-                counts, numerals, data, _ = zip(*got, strict=True)
-                ids_hash.update(("," * bool(n) + ",".join(numerals)).encode())
-                n += sum(counts)
-                decoded.update(b"".join(data))
+            numerals, data = enc.encoded(words)
+            if numerals:
+                ids_hash.update(("," * bool(n) + numerals).encode())
+                n += numerals.count(",") + 1
+                decoded.update(data)
         return n, ids_hash.hexdigest(), decoded.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +246,7 @@ def _digests(path: str):
             for start, texts in groups(batch):
                 # Short texts are split once and their new words enter the trie together.
                 split = [list(enc.slices(t)) if len(t) <= LONG_TEXT else enc.slices(t) for t in texts]
-                words = set(chain.from_iterable(w for x in split if isinstance(x, list) for w in x if isinstance(w, list)))
-                enc.learn({w for w in words if w not in enc.known})
+                enc.learn(set(chain.from_iterable(w for x in split if isinstance(x, list) for w in x if isinstance(w, list))))
                 n, a, b = zip(*(digest(enc, x) for x in split), strict=True)
                 ids = batch["doc_id"].slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=ENCODED.names)
