@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, language, line_dedup, mixing, quality, simhash_segments, url_filter, warc
+from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, language, line_dedup, mixing, quality, quality_rules, simhash_segments, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_bpe": bpe_trie.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
 
 SQL = {
