@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, language, line_dedup, mixing, quality, quality_rules, simhash_segments, url_filter, warc
+from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, hard_negatives, language, line_dedup, mixing, quality, quality_rules, simhash_segments, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe_trie.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op5_url_filter": url_filter.SQL,
     "op8_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
