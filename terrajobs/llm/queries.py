@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, hard_negatives, language, line_dedup, mixing, quality, quality_rules, simhash_segments, url_filter, warc
+from terrajobs.llm import bpe_trie, exact_dedup, fingerprints, hard_negatives, language, line_dedup, mixing, quality, quality_rules, simhash_segments, source_audit, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_source_audit": source_audit.SQL,
 }
