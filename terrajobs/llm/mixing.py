@@ -1,30 +1,30 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document has an expected number of copies. Within a source the expectations are summed in a fixed order, an
+Every document has an expected number of copies. Within a source the expectations are summed in a fixed order, one random
 offset is added, and a copy leaves at each integer boundary that the running sum crosses.
 
-Words, not documents, are to meet the target, so the documents that are long for their source are counted off first. Their copies
-are whole, so their words miss or pass their share; what is left of the target sets the expectation of the short ones. Offset
-and length at which a document counts as long are, of a few, those that come nearest.
+Words, not documents, are to meet the target, so the longest documents of a source expect whole copies: one after the other, as many as bring the
+words so far nearest to their share. What that leaves of the target is the expectation of all others. Whole expectations cross as many
+boundaries whatever the offset.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from terrajobs.functions.storage import materialize
+from terrajobs.functions.storage import drop, materialize
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source's target stops at this many times its size.
 MOST = 3
-#: Fixed-point steps in one copy.
-UNIT = 1 << 20
-#: Offsets tried, evenly spaced after a random one, and shares of a source's target from which a document may count as long.
-OFFSETS = 32
-#: Sources up to which the table of one row a source (200 bytes) is broadcast; more meet their documents by sort-merge.
-MOST_BROADCAST = 100_000
-LONG = (1.0, 0.3, 0.1, 0.03, 0.01)
+#: Fixed-point steps in one copy, as a power of two.
+BITS = 20
+UNIT = 1 << BITS
+#: Documents of a source that may expect whole copies.
+LONGEST = 64
+#: Sources up to which the table of one row a source (up to 2 KB) is broadcast; more meet their documents by sort-merge.
+MOST_BROADCAST = 10_000
 
 
 def word_count(text: str) -> Column:
@@ -93,13 +93,8 @@ def systematic_copies(rows: DataFrame, by: str, order: list[str], expected: Colu
     """
     steps = F.greatest(F.coalesce(F.round(expected * UNIT), F.lit(0)).cast("long"), F.lit(0))
     upto = F.col("_before") + _random(seed, by)
-    crossed = F.floor((upto + F.col("_value")) / UNIT) - F.floor(upto / UNIT)
-    return running_sum(rows, by, order, steps, parts).withColumn("copies", crossed.cast("long")).drop("_value", "_before")
-
-
-def _crossed(place: Column, expected: Column, offset: Column) -> Column:
-    """Boundaries that the row at ``place`` (from 0) crosses where all rows expect as much: the running sum in closed form."""
-    return (F.floor(offset + expected * (place + 1)) - F.floor(offset + expected * place)).cast("long")
+    crossed = F.shiftright(upto + F.col("_value"), BITS) - F.shiftright(upto, BITS)
+    return running_sum(rows, by, order, steps, parts).withColumn("copies", crossed).drop("_value", "_before")
 
 
 def _by_source(table: DataFrame, rows: int) -> DataFrame:
@@ -107,39 +102,46 @@ def _by_source(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
-def plans(placed: DataFrame, shares: DataFrame, n_sources: int, most: float, seed: int) -> DataFrame:
-    """``source, n_long, long_offset, short_expected`` of every source with a target, from rows (source, size, place) in order of size.
+def plans(sizes: DataFrame, shares: DataFrame, order: list[str], most: float) -> DataFrame:
+    """``shares`` with ``cut, whole, short_expected``: whole copies {row: n} of a source's longest documents, their least size, and what
+    the others expect.
 
-    For every length in LONG and every offset the words that the long documents give are summed (one row per source and length).
-    The best leaves the short ones an expectation between 0 and ``most``, and among those has the least of what may still
-    be missed: half of the longest short document.
+    Taken one after the other, each of the LONGEST longest gets the copies (0 to ``most``) that bring the words so far nearest to their share. What
+    is then left must fit into the others, at 0 to ``most`` copies each; what does not, and half of the longest of them, may be missed. As
+    many documents get whole copies as leave the least of that. A source has LONGEST + 1 rows here at most.
     """
-    expected = F.col("target") / F.col("source_size")
-    known = placed.join(_by_source(shares.where("target > 0"), n_sources), placed["source"].eqNullSafe(shares["_source"]))
-    random = (_random(seed, "source") / F.lit(float(UNIT))).alias("random")
-    base = known.select("source", "size", "place", "target", "source_size", expected.alias("expected"), random)
-    offsets = [(F.col("random") + j / OFFSETS) % 1 for j in range(OFFSETS)]
-    lengths = F.array(*(F.struct(F.lit(i).alias("i"), (F.col("target") * share).alias("over")) for i, share in enumerate(LONG)))
-    tried = base.where(F.col("size") > F.col("target") * min(LONG)).select("*", F.explode(lengths).alias("t"))
-    long = F.col("size") > F.col("t.over")
-    words = [F.sum(F.when(long, F.col("size") * _crossed(F.col("place"), F.col("expected"), o)).otherwise(0)) for o in offsets]
-    rest = F.max(F.when(~long, F.col("size")))
-    per_length = tried.groupBy(F.col("source").alias("_s"), F.col("t.i").alias("i")).agg(
-        F.count_if(long).alias("n_long"), F.coalesce(F.sum(F.when(long, F.col("size"))), F.lit(0)).alias("long_size"), rest.alias("longest"), F.array(*words).alias("words")
-    )
-    # Sources without any such document: nothing is long, and a hundredth of the target is the most that a short one holds.
-    sources = shares.where("target > 0").select(F.col("_source").alias("source"), "source_size", "target")
-    joined = sources.join(per_length, sources["source"].eqNullSafe(per_length["_s"]), "left").select(
-        "source", "source_size", "target", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("n_long", F.lit(0)).alias("n_long"), F.coalesce("long_size", F.lit(0)).alias("long_size"),
-        F.coalesce("longest", F.col("target") * min(LONG)).alias("longest"), F.coalesce("words", F.array_repeat(F.lit(0).cast("long"), OFFSETS)).alias("words"),
+    first = Window.partitionBy("source").orderBy(F.desc("size"), *order)
+    longest = sizes.where("size > 0").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= LONGEST + 1)
+    listed = longest.groupBy(F.col("source").alias("_s")).agg(F.sort_array(F.collect_list(F.struct("_nth", "size", "_row"))).alias("_listed"))
+    joined = shares.join(listed, shares["_source"].eqNullSafe(listed["_s"]), "left").withColumn("_listed", F.coalesce("_listed", F.array().cast("array<struct<_nth:int,size:bigint,_row:bigint>>")))
+    expected = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+
+    def outcome(acc: Column, longest: Column) -> Column:
+        """What may be missed if the documents so far have whole copies and the longest of the others is so long."""
+        left, short = F.col("target") - acc["taken"], F.col("source_size") - acc["size"]
+        missed = F.greatest(none, -left, left - float(most) * short) + longest / 2
+        others = F.when(short > 0, F.greatest(none, F.least(F.lit(float(most)), left / short))).otherwise(none)
+        return F.least(acc["best"], F.struct(missed.alias("missed"), F.size(acc["copies"]).alias("n"), others.alias("others")))
+
+    def add(acc: Column, x: Column) -> Column:
+        share = expected * (acc["size"] + x["size"]) - acc["taken"]
+        copies = F.least(F.lit(int(most)), F.greatest(F.lit(0), F.floor(share / x["size"] + 0.5))).cast("long")
+        return F.struct(
+            F.concat(acc["copies"], F.array(copies)).alias("copies"), (acc["taken"] + copies * x["size"]).alias("taken"), (acc["size"] + x["size"]).alias("size"), outcome(acc, x["size"]).alias("best")
+        )
+
+    start = F.struct(
+        F.array().cast("array<bigint>").alias("copies"), zero.alias("taken"), zero.alias("size"),
+        F.struct(F.lit(float("inf")).alias("missed"), F.lit(0).alias("n"), none.alias("others")).alias("best"),
     )
-    each = joined.select("*", F.posexplode("words").alias("j", "taken"), random)
-    left, short = F.col("target") - F.col("taken"), F.col("source_size") - F.col("long_size")
-    missed = F.greatest(F.lit(0.0), -left, left - most * short) + F.when((short > 0) & (left > 0), F.col("longest") / 2).otherwise(0.0)
-    short_expected = F.when(short > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), left / short))).otherwise(F.lit(0.0))
-    choice = F.struct(missed.alias("missed"), "i", "j")
-    plan = F.struct("n_long", ((F.col("random") + F.col("j") / OFFSETS) % 1).alias("long_offset"), short_expected.alias("short_expected"))
-    return each.groupBy("source").agg(F.min_by(plan, choice).alias("p")).select("source", "p.*")
+    # Where the source has no more documents, all of them may have whole copies.
+    end = lambda acc: F.when(F.size("_listed") <= LONGEST, F.struct(acc["copies"].alias("copies"), outcome(acc, zero).alias("best"))).otherwise(F.struct(acc["copies"].alias("copies"), acc["best"].alias("best")))
+    done = joined.withColumn("_done", F.aggregate("_listed", start, add, end)).withColumn("_n", F.col("_done.best.n"))
+    rows, copies = F.slice(F.col("_listed._row"), F.lit(1), F.col("_n")), F.slice(F.col("_done.copies"), F.lit(1), F.col("_n"))
+    return done.select(
+        "_source", "source_size", "target", F.get(F.col("_listed.size"), F.col("_n") - 1).alias("cut"), F.map_from_arrays(rows, copies).alias("whole"), F.col("_done.best.others").alias("short_expected")
+    )
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 0) -> DataFrame:
@@ -149,24 +151,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int
     are short, never above ``most``. A null text has size 0, a null source is a source of its own (last), a source
     without words has target 0 and copies 0; repeated rows are rows of their own. No rows give no rows.
     """
-    sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    return _mixed(sizes, ["doc_id"], weights, most, seed)
+    sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.monotonically_increasing_id().alias("_row"))
+    return _mixed(sizes, ["doc_id", "_row"], weights, most, seed).drop("_row")
 
 
 def _mixed(sizes: DataFrame, order: list[str], weights: tuple, most: float, seed: int) -> DataFrame:
-    """``mix`` for rows with source and size, counted off from the longest, then in ``order``; other columns come through."""
+    """``mix`` for rows with source, size and a number of their own, ``_row``, counted off from the longest, then in ``order``; other columns come through."""
     sizes = materialize(sizes, "sizes")  # words are counted once, not again for the ranges
-    placed = materialize(running_sum(sizes, "source", [F.desc("size"), *order], F.lit(1)).withColumnRenamed("_before", "place").drop("_value"), "placed")
-    shares = materialize(targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "shares")
-    n_sources = shares.count()
-    chosen = plans(placed, shares, n_sources, most, seed).withColumnRenamed("source", "_planned")
-    told = materialize(shares.join(chosen, shares["_source"].eqNullSafe(chosen["_planned"]), "left").drop("_planned"), "plans")
-    rows = placed.join(_by_source(told, n_sources), placed["source"].eqNullSafe(told["_source"])).drop("_source")
-    place, n_long = F.col("place"), F.col("n_long")
-    short_offset = F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit(""))), F.lit(UNIT)) / F.lit(float(UNIT))
-    copies = F.when(place < n_long, _crossed(place, F.col("target") / F.col("source_size"), F.col("long_offset"))).otherwise(_crossed(place - n_long, F.col("short_expected"), short_offset))
-    out = rows.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
-    return out.drop("place", "n_long", "long_offset", "short_expected").withColumn("taken", F.col("copies") * F.col("size"))
+    shares = targets(sizes.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
+    planned = materialize(plans(sizes, shares, order, most), "plans")
+    rows = sizes.join(_by_source(planned, planned.count()), sizes["source"].eqNullSafe(planned["_source"]))
+    whole = F.when(F.col("size") >= F.col("cut"), F.try_element_at("whole", F.col("_row")).cast("double"))
+    told = rows.select(*sizes.columns, "source_size", "target", F.coalesce(whole, "short_expected").alias("expected"))
+    out = systematic_copies(told, "source", [F.desc("size"), *order], F.col("expected"), seed)
+    drop(sizes)
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +175,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 0) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it.
+    """The documents themselves, all columns, whatever these are called, each as often as the mix takes it.
 
     Rows are numbered and written first, so rows without doc_id or with the same one have copies of their own.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    sizes = numbered.select("_row", "doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64("text").alias("_text"))
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    numbered = materialize(docs.select(*(docs[c].alias(n) for c, n in own.items()), F.monotonically_increasing_id().alias("_row")), "numbered")
+    text = own["text"]
+    sizes = numbered.select("_row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_text"))
     mixed = _mixed(sizes, ["doc_id", "_text", "_row"], weights, most, seed)
     taken = mixed.where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return numbered.join(taken, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    copies = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return copies.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -59,6 +60,44 @@ def test_sources_that_tie(spark):
         assert abs(sum(got.values()) - sum(sizes.values())) < 1e-6
 
 
+def brute_taken(rows, targets, offsets):
+    """{row number: copies} of (doc_id, source, size) rows: whole copies of the longest, then one running sum with the source's offset."""
+    out = {}
+    for source, target in targets.items():
+        mine = sorted(((-size, doc_id, i) for i, (doc_id, s, size) in enumerate(rows) if s == source))
+        sizes = [-m[0] for m in mine]
+        total = sum(sizes)
+        worded = sum(n > 0 for n in sizes)
+        expected = target / total if total else 0.0
+        whole, taken, seen, plans = [], 0, 0, []
+        for k in range(min(worded, op.LONGEST) + 1):
+            left, short, longest = target - taken, total - seen, sizes[k] if k < worded else 0
+            plans.append((max(0.0, -left, left - op.MOST * short) + longest / 2, k, max(0.0, min(float(op.MOST), left / short)) if short > 0 else 0.0))
+            if k < worded:
+                whole.append(min(op.MOST, max(0, math.floor((expected * (seen + sizes[k]) - taken) / sizes[k] + 0.5))))
+                taken, seen = taken + whole[k] * sizes[k], seen + sizes[k]
+        _, n, others = min(plans)
+        upto = offsets[source]
+        for k, (_, _, i) in enumerate(mine):
+            step = math.floor((whole[k] if k < n else others) * op.UNIT + 0.5)
+            out[i] = (upto + step) // op.UNIT - upto // op.UNIT
+            upto += step
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    """The rows of the query at two sizes, from sizes and targets by the definition of the method."""
+    for folder in (SMALL, "/root/testdata/sf0.01"):
+        docs = [(r["doc_id"], r["source"], n) for r, n in ((r, sizes_of([(0, r["text"])])[0]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())]
+        rows = {r["doc_id"]: r for r in op.op7_mix_sources(spark, folder).collect()}
+        targets = {s: rows[i]["target"] for i, s, _ in docs}
+        named = spark.createDataFrame([(s,) for s in targets], "source string")
+        offsets = {r[0]: r[1] for r in named.select("source", op._random(0, "source")).collect()}
+        want = brute_taken(docs, targets, offsets)
+        assert len(rows) == len(docs) and [rows[d[0]]["copies"] for d in docs] == [want[i] for i in range(len(docs))]
+        assert all(rows[i]["size"] == n and rows[i]["taken"] == rows[i]["copies"] * n for i, _, n in docs)
+
+
 def test_query_comes_near_its_targets_and_agrees_with_itself(spark):
     a, b = (sorted(map(tuple, op.op7_mix_sources(spark, SMALL).collect())) for _ in range(2))
     assert a == b and len(a) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
