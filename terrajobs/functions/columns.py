@@ -40,3 +40,11 @@ def attach(df: DataFrame, on: list[Column], small: DataFrame, keys: list[str], v
     equal = [F.col(f"_on{i}").eqNullSafe(F.col(f"_key{i}")) if nulls_meet else F.col(f"_on{i}") == F.col(f"_key{i}") for i in range(len(on))]
     filled = [F.coalesce(f"_value{i}", (otherwise or {}).get(n, F.lit(None))).alias(n) for i, n in enumerate(values)]
     return own.join(right, reduce(and_, equal), "left").select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)), *filled)
+
+
+def rows_that(df: DataFrame, on: list[Column], small: DataFrame, keys: list[str], meet: bool = True) -> DataFrame:
+    """The rows of ``df``, all columns, whatever their names, for which ``on`` equals the ``keys`` of some row of ``small`` (or of none). Nulls meet."""
+    own = df.select(*(df[c].alias(f"_own{i}") for i, c in enumerate(df.columns)), *(e.alias(f"_on{i}") for i, e in enumerate(on)))
+    right = small.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
+    equal = reduce(and_, (F.col(f"_on{i}").eqNullSafe(F.col(f"_key{i}")) for i in range(len(on))))
+    return own.join(right, equal, "left_semi" if meet else "left_anti").select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)))
