@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terrajobs.functions.columns import rows_that
 from terrajobs.functions.storage import fresh_path, materialize
 
 #: Buckets of a new index at least; it has no fewer than the session's shuffle partitions. A bucket holds 1/buckets of the
@@ -154,13 +155,16 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
     decided = standing(spark, index, hashed, batch).where("kept")
     if batch > 0:
         decided = decided.join(named, "digest", "left_anti")
-    stay = decided.groupBy(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).agg(F.count("*").alias("_times"))
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (text_digest(text_col) == F.col("_stay_digest"))
+    stay = materialize(decided.groupBy("doc_id", "digest").agg(F.count("*").alias("times")), "stay")
+    at = [docs[id_col].cast("long"), text_digest(text_col)]
     if not once:
-        return docs.join(stay, here, "left_semi")
-    stay = materialize(stay, "stay")
-    several = docs.join(stay.where("_times > 1"), here).groupBy("_stay_id", "_stay_digest").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return docs.join(stay.where("_times = 1"), here, "left_semi").unionByName(several.select("_row.*"))
+        return rows_that(docs, at, stay, ["doc_id", "digest"])
+    own = docs.select(*(docs[c].alias(f"_own{i}") for i, c in enumerate(docs.columns)), *(e.alias(f"_on{i}") for i, e in enumerate(at)))
+    several = stay.where("times > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    met = own.join(several, F.col("_on0").eqNullSafe(F.col("_id")) & (F.col("_on1") == F.col("_digest"))).groupBy("_id", "_digest")
+    least = met.agg(F.min(F.struct(*(f"_own{i}" for i in range(len(docs.columns))))).alias("_least"))
+    single = rows_that(docs, at, stay.where("times = 1"), ["doc_id", "digest"])
+    return single.union(least.select(*(F.col(f"_least._own{i}").alias(c) for i, c in enumerate(docs.columns))))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

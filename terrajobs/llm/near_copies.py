@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from terrajobs.functions.columns import rows_that
 from terrajobs.functions.graph import connected_components
 from terrajobs.functions.storage import materialize
 from terrajobs.llm.simhash_segments import fingerprint_links, majority
@@ -180,6 +181,5 @@ def keep_representatives(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = marked.distinct().join(joined, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
     rows = materialize(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("of"))), "placed")
     first = rows.groupBy("component").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
-    gone = rows.join(first, "component").where("place > first").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (text_key("text") == F.col("_gone_key"))
-    return docs.join(gone, here, "left_anti")
+    gone = rows.join(first, "component").where("place > first").select("doc_id", "key")
+    return rows_that(docs, [docs["doc_id"].cast("long"), text_key("text")], gone, ["doc_id", "key"], meet=False)

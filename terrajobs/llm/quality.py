@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from terrajobs.functions.columns import rows_that
 from terrajobs.functions.storage import materialize
 
 #: Random Fourier features and the kernel's width, in standard deviations of a statistic times root of their number.
@@ -254,8 +255,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     Statistics are taken of the documents that the fit sees, whose ids (MAX_ROWS at most) are broadcast, and then once of
     every text where it is scored.
     """
-    chosen = F.broadcast(sample_labels(labels).select(F.col("doc_id").alias("_chosen")))
-    learned = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_chosen"), "left_semi")
+    learned = rows_that(docs, [docs["doc_id"].cast("long")], F.broadcast(sample_labels(labels)), ["doc_id"])
     model = fit(with_statistics(learned), labels)
     return docs.where(score_texts(model)(F.coalesce("text", F.lit(""))) >= threshold)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import re
 import struct
 import uuid
@@ -34,6 +35,8 @@ LEVEL = 3
 SKIPPABLE = 0x184D2A5D
 #: Records carry the time of capture; these tables have none, and a rerun must write the same bytes.
 DATE = "1970-01-01T00:00:00Z"
+#: Holds, as JSON, an address that had to be encoded to be a URI.
+ORIGINAL = "X-Original-Address"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())])
@@ -62,14 +65,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
     """One WARC/1.1 record. A revisit has the HTTP header alone; its Content-Length is that of the payload left out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    # A line break in a url would end the header; such characters are percent-encoded in URIs.
-    uri = None if url is None else re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url)
+    # A line break in a url would end the header; such characters are percent-encoded in URIs, and a field of our own has the url as it was.
+    uri = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {_record_uri(page_id)}",
         f"WARC-Date: {DATE}",
         *([] if uri is None else [f"WARC-Target-URI: {uri}"]),
+        *([] if uri == url else [f"{ORIGINAL}: {json.dumps(url)}"]),
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Refers-To: {_record_uri(refers_to)}", f"WARC-Profile: {PROFILE}"] if revisit else []),
         "Content-Type: application/http;msgtype=response",
@@ -190,8 +194,7 @@ def parse(head: dict, block: bytes) -> tuple:
     revisit = head["warc-type"] == "revisit"
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"payload of {head['warc-record-id']} is not what its header says")
-    url = head.get("warc-target-uri")
-    url = None if url is None else re.sub(r"%([01][0-9A-F]|20|7F|25)", lambda m: chr(int(m[1], 16)), url)
+    url = json.loads(head[ORIGINAL.lower()]) if ORIGINAL.lower() in head else head.get("warc-target-uri")
     return _page_of(head["warc-record-id"]), url, size, digest, head["warc-type"], _page_of(head.get("warc-refers-to")) if revisit else None, None if revisit else payload
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string, fp string, copies int, kept string, key string, size int, stats string, digest string, doc long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string, fp string, copies int, kept string, key string, size int, stats string, digest string, doc long, _row long, _copies int, _copy string, _stay_id long, _gone_id long, _chosen string, _own0 int, _key0 string"
 LONG = "a very long line of words " * 40_000
 
 
 def row(doc_id, text, source="a", lang="en"):
-    return (doc_id, text, lang, source, None if text is None else len(text), 0.5, "x", "y", 9, "z", "k", 3, "s", "d", 7)
+    return (doc_id, text, lang, source, None if text is None else len(text), 0.5, "x", "y", 9, "z", "k", 3, "s", "d", 7, 77, 5, "c", 8, 9, "h", 1, "o")
 
 
 AWKWARD = [

@@ -41,3 +41,9 @@ def test_stages_on_awkward_rows(spark):
     mixed = hashed(corpus_pipeline.mix_sources(spark, apart, SMALL))
     assert mixed and set(mixed) <= set(map(tuple, apart.collect())) and max(mixed.values()) <= mixing.MOST
     assert corpus_pipeline.encode_tokens(spark, corpus_pipeline.mix_sources(spark, apart, SMALL), SMALL).count() == sum(mixed.values())
+
+
+def test_quality_stage_gives_rows_back_as_they_are(spark):
+    """Columns named as the stages' own come through with their values."""
+    got = hashed(corpus_pipeline.keep_quality(spark, awkward(spark), SMALL))
+    assert got and not got - Counter(AWKWARD)

@@ -63,6 +63,16 @@ def test_files_stand_alone(spark, tmp_path):
         assert n == m["records"]
 
 
+def test_addresses_are_archived_as_they_are():
+    """Escapes of an address stay; only what no URI may hold is encoded, and read back."""
+    for url, uri in (("https://e.it/a%20b?c=%41", "https://e.it/a%20b?c=%41"), ("https://e.it/a b%20c\r\n", "https://e.it/a%20b%20c%0D%0A"), ("https://e.it/é\x85", "https://e.it/é\x85")):
+        data = op.record(1, url, b"x", 1, hashlib.sha1(b"x").hexdigest(), None, False)
+        head, _, block = data.partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")[1:]
+        assert f"WARC-Target-URI: {uri}" in lines
+        assert op.parse({k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}, block.removesuffix(b"\r\n\r\n"))[1] == url
+
+
 def test_empty_table(spark):
     assert op.read_archives(op.write_archives(spark.createDataFrame([], SCHEMA), fresh_path(spark, "warc-test"))).count() == 0
 
