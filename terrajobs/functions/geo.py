@@ -44,6 +44,11 @@ _DELTA = (
 )
 
 
+def finite(v: Column) -> Column:
+    """The number, or null for NaN and the infinities: how tables that come from elsewhere hold what is missing."""
+    return F.when(F.abs(v) < float("inf"), v)
+
+
 def _to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
     s = 2 * math.sqrt(_N) / (1 + _N)
     phi, lam = F.radians(lat), F.radians(lon - MERIDIAN)

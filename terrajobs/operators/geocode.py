@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terrajobs.functions import names
 from terrajobs.functions.columns import attach, free_names
+from terrajobs.functions.geo import finite
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import html_to_all_text, simple_name
-from terrajobs.operators.spatial import nearest_points
+from terrajobs.operators.nearest import nearest_points
 
 # Words that stand, with an apostrophe, before a name.
 ELIDED = ("dell", "del", "d", "nell", "sull", "sant", "Sant")
@@ -103,10 +104,10 @@ def reverse_geocode(df: DataFrame, gazetteer: DataFrame, latitude: str, longitud
 
     Names that ``df`` has get ``_geo``, as often as it takes. Each distinct point is looked up once.
     """
-    points = df.select(F.col(latitude).alias("_lat"), F.col(longitude).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
-    points = points.withColumn("_id", F.concat_ws(" ", F.col("_lat").cast("string"), F.col("_lon").cast("string")))
+    points = df.select(finite(F.col(latitude).cast("double")).alias("_lat"), finite(F.col(longitude).cast("double")).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    points = points.withColumn("_id", F.struct("_lat", "_lon"))
     spots = gazetteer.select(F.struct(F.lower("full_address").alias("address"), "city").alias("spot"), F.col("longitude").alias("tx"), F.col("latitude").alias("ty"))
     near = nearest_points(points, "_id", spots, "spot", 1, side, "_lon", "_lat", most=most).select("_id", "spot")
-    found = points.join(near, "_id").select("_lat", "_lon", "spot")
+    found = near.select("_id.*", "spot")
     names_out = free_names(["address", "city"], df.columns, "_geo")
-    return attach(df, [F.col(latitude), F.col(longitude)], found, ["_lat", "_lon"], {n: F.col("spot")[c] for c, n in names_out.items()})
+    return attach(df, [F.col(latitude).cast("double"), F.col(longitude).cast("double")], found, ["_lat", "_lon"], {n: F.col("spot")[c] for c, n in names_out.items()})

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions.columns import free_names, keyed, meets
-from terrajobs.functions.geo import transform_crs
+from terrajobs.functions.geo import finite, transform_crs
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import clean_name, human_format
-from terrajobs.operators.matching import match_areas
+from terrajobs.operators.matching import filter_areas, match_areas  # noqa: F401  filter_areas is of the maps' interface too
 from terrajobs.operators.spatial import detect_crs, point_columns, points_within
 
 # Weights of a Gaussian of sigma 1 at distances -4 to 4, before they are made to sum to 1.
@@ -80,21 +80,6 @@ def choropleth_table_multi(df: DataFrame, tag: str, values: list[str], areas: Da
     return areas.join(rows, F.col(on) == F.col("_area"), "left").select(*(areas[c] for c in areas.columns), *filled)
 
 
-def filter_areas(areas: DataFrame, *, regione=None, provincia=None, comune=None) -> DataFrame:
-    """Areas of the wanted regions, else provinces, else comuni: one or a list, as code, sigla or name in any spelling."""
-    for level, wanted in (("regione", regione), ("provincia", provincia), ("comune", comune)):
-        if wanted is None:
-            continue
-        texts = [str(w) for w in (wanted if isinstance(wanted, (list, tuple, set)) else [wanted])]
-        hit = F.coalesce(clean_name(f"denominazione_{level}").isin(*(clean_name(F.lit(t)) for t in texts)), F.lit(False)) if texts else F.lit(False)
-        if f"codice_{level}" in areas.columns:
-            hit = hit | F.coalesce(F.col(f"codice_{level}").isin([int(t) for t in texts if t.strip().isdigit()]), F.lit(False))
-        if level == "provincia" and "sigla" in areas.columns:
-            hit = hit | F.coalesce(F.upper("sigla").isin([t.strip().upper() for t in texts]), F.lit(False))
-        return areas.where(hit)
-    return areas
-
-
 def parent_overlays(parents: DataFrame, areas: DataFrame, level: str) -> DataFrame:
     """The areas of a higher level that hold some of ``areas``."""
     name = f"denominazione_{level}"
@@ -123,7 +108,7 @@ def point_map_table(
     ``crs`` is the points' system; None detects it by the areas. Info columns keep their values and names; those of the new columns that they have
     get ``_new``.
     """
-    kind = {c: F.col(c).cast("double") for c in (latitude, longitude) if c is not None}
+    kind = {c: finite(F.col(c).cast("double")) for c in (latitude, longitude) if c is not None}
     px, py = (kind[longitude], kind[latitude]) if len(kind) == 2 and geometry is None else point_columns(df, latitude, longitude, geometry)
     points = df.select(*info, px.alias("_px"), py.alias("_py")).where("_px IS NOT NULL AND _py IS NOT NULL")
     if crs is None:
@@ -159,10 +144,10 @@ def density_grid(df: DataFrame, x: str, y: str, value: str | None = None, nx: in
 
     Weights are values from 1e-5 up (or 1), scaled to sum to 10000 (interactive: to a maximum of 10000); z at or below 0 is null
     (interactive: 0). Only cells that points reach take part, for log 1 is 0: a sum by cell, then two passes of nine taps with
-    reflection at the borders. ``dense`` adds the other cells. A box without width or height raises.
+    reflection at the borders. ``dense`` adds the other cells. Points with a NaN or infinite coordinate are left out, such values count as missing. A box without width or height raises.
     """
-    weight = F.greatest(F.col(value).cast("double"), F.lit(1e-5)) if value else F.lit(1.0)
-    points = df.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), weight.alias("w")).where("px IS NOT NULL AND py IS NOT NULL")
+    weight = F.greatest(finite(F.col(value).cast("double")), F.lit(1e-5)) if value else F.lit(1.0)
+    points = df.select(finite(F.col(x).cast("double")).alias("px"), finite(F.col(y).cast("double")).alias("py"), weight.alias("w")).where("px IS NOT NULL AND py IS NOT NULL")
     box = points.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"), F.sum("w").alias("total"), F.max("w").alias("top")).first()
     if box["x0"] is None:
         return points.select(F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.lit(0.0).alias("z"))

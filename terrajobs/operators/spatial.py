@@ -7,17 +7,19 @@ filed under all cells that they touch, points under one, so a pair meets once.
 from __future__ import annotations
 
 from itertools import product
-from math import pi, sin
+from math import log2, pi, sin
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions.columns import attach, free_names
 from terrajobs.functions.geo import (
-    MEAN_RADIUS, POLYGON, geodesic_distance_m, haversine_m, inside_edges, polygon_area_centroid, polygon_bounds, polygon_edges, radius_in_degrees, segment_distance2,
+    MEAN_RADIUS, POLYGON, finite, geodesic_distance_m, haversine_m, inside_edges, polygon_area_centroid, polygon_bounds, polygon_edges, radius_in_degrees, segment_distance2,
     transform_crs,
 )
 from terrajobs.functions.graph import connected_components
 from terrajobs.functions.storage import materialize
+from terrajobs.operators.matching import filter_areas
+from terrajobs.operators.nearest import nearest_points
 
 # Pairs of column names that hold latitude and longitude.
 COORDINATE_NAMES = (("lat", "lon"), ("lat", "lng"), ("latitudine", "longitudine"), ("latitude", "longitude"))
@@ -40,14 +42,14 @@ def find_coord_columns(df: DataFrame, latitude: str | None = None, longitude: st
 
 
 def point_columns(df: DataFrame, latitude: str | None, longitude: str | None, geometry: str | None = None) -> tuple[Column, Column]:
-    """(x, y) of each row: longitude and latitude, or those of a geometry column; a polygon counts as its centroid.
+    """(x, y) of each row: longitude and latitude, or those of a geometry column; a polygon counts as its centroid. NaN and infinite ones are null.
 
     A geometry is taken where it is named, or where no columns of coordinates are named or known and there is a column ``geometry``.
     """
     if geometry is None:
         try:
             lat, lon = find_coord_columns(df, latitude, longitude)
-            return F.col(lon).cast("double"), F.col(lat).cast("double")
+            return finite(F.col(lon).cast("double")), finite(F.col(lat).cast("double"))
         except ValueError:
             if "geometry" not in df.columns:
                 raise
@@ -56,10 +58,10 @@ def point_columns(df: DataFrame, latitude: str | None, longitude: str | None, ge
         raise KeyError(f"no column {geometry!r}")
     kind = df.schema[geometry].dataType
     if isinstance(kind, T.StructType) and {"x", "y"} <= set(kind.names):
-        return F.col(geometry)["x"].cast("double"), F.col(geometry)["y"].cast("double")
+        return finite(F.col(geometry)["x"].cast("double")), finite(F.col(geometry)["y"].cast("double"))
     if kind.simpleString() == POLYGON.simpleString():
         _, x, y = polygon_area_centroid(F.col(geometry))
-        return x, y
+        return finite(x), finite(y)
     raise TypeError(f"column {geometry!r} is neither points nor polygons")
 
 
@@ -150,7 +152,7 @@ def detect_crs(df: DataFrame, x: str, y: str, areas: DataFrame, polygon: str = "
 
     The sample is that of least hash: the same in every run; it is drawn once. One row comes to the driver.
     """
-    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
+    some = df.select(finite(F.col(x).cast("double")).alias("x"), finite(F.col(y).cast("double")).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
     some = materialize(some.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample), "sample")
     tried = None
     for rank, crs in enumerate((4326, 32632, 3857)):
@@ -174,9 +176,47 @@ def national_outline(areas: DataFrame, polygon: str = "geometry", decimals: int
     return turned.groupBy("x1", "y1", "x2", "y2").count().where("count = 1").drop("count")
 
 
-def _neighbours(side: float, x: str, y: str) -> dict[str, Column]:
-    cells = F.array(*(F.struct((_cell(x, side) + i).alias("cx"), (_cell(y, side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    return {"_c": F.explode(cells)}
+#: Grid points of a finest cell on the average, and finest cells in a radius at most.
+POINTS_A_CELL, CELLS_A_RADIUS = 16, 256
+
+
+def _disc_rows(x: Column, y: Column, r: float, side: float) -> Column:
+    """The rows of cells that a disc around (x, y) reaches: cy; first and last cell that it touches; first and, less one, last that lie inside."""
+    slack = 1e-9 * r + 1e-12
+
+    def row(cy: Column) -> Column:
+        low, high = cy * side, (cy + 1) * side
+        far, near = F.greatest(F.abs(low - y), F.abs(high - y)), F.greatest(F.lit(0.0), low - y, y - high)
+        reach, inner = F.sqrt(F.greatest(F.lit(0.0), r * r - near * near)) + slack, F.when(far < r, F.sqrt(r * r - far * far) - slack)
+        start, end = F.ceil((x - inner) / side), F.floor((x + inner) / side)
+        start, end = (F.when(start < end, v).cast("long") for v in (start, end))
+        return F.struct(cy.alias("cy"), _cell(x - reach, side).alias("first"), _cell(x + reach, side).alias("last"), start.alias("start"), end.alias("end"))
+
+    return F.transform(F.sequence(_cell(y - r - slack, side), _cell(y + r + slack, side)), row)
+
+
+def _whole_pieces(row: Column, levels: int) -> Column:
+    """The run of cells that lie inside, as cells of doubling width: (level, place, cy). At most two of a level."""
+    out = []
+    for k in range(levels):
+        start, end = F.ceil(row["start"] / 2**k).cast("long"), F.floor(row["end"] / 2**k).cast("long")
+        piece = lambda at, k=k: F.struct(F.lit(k).alias("k"), at.alias("c"), row["cy"].alias("cy"))
+        out += [F.when((start < end) & (start % 2 != 0), piece(start)), F.when((start < end) & (end % 2 != 0), piece(end - 1))]
+    return F.filter(F.array(*out), lambda p: p.isNotNull())
+
+
+def _border_cells(row: Column) -> Column:
+    """Cells of a row that the disc touches but that may not lie inside: (c, cy)."""
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    beside = F.concat(span(row["first"], row["start"] - 1), span(row["end"], row["last"]))
+    return F.transform(F.when(row["start"].isNull(), F.sequence(row["first"], row["last"])).otherwise(beside), lambda c: F.struct(c.alias("c"), row["cy"].alias("cy")))
+
+
+def disc_pieces(asked: DataFrame, r: float, side: float, levels: int) -> tuple[DataFrame, DataFrame]:
+    """``x, y`` with the whole pieces (k, c, cy) and with the border cells (c, cy) of the disc around each."""
+    rows = _disc_rows(F.col("x"), F.col("y"), r, side)
+    each = lambda f: asked.select("x", "y", F.explode(F.flatten(F.transform(rows, f))).alias("p")).select("x", "y", "p.*")
+    return each(lambda row: _whole_pieces(row, levels)), each(_border_cells)
 
 
 def population_nearby(
@@ -184,9 +224,11 @@ def population_nearby(
 ) -> DataFrame:
     """``df``, all rows, with ``n_residents``: population of the grid points (Lon, Lat, Population) nearer than ``radius`` metres.
 
-    The radius is turned into degrees once. Cells have the radius as side; the points asked for go to nine, the grid, the larger
-    table, to one. A radius under 50 raises. Each distinct point is asked for once, whatever rows have it, so ``key`` is not needed;
-    null coordinates have no residents. Where ``df`` has n_residents, the new column is n_residents_new.
+    The radius is turned into degrees once. The grid is summed once into cells of doubling width, of which the finest hold some POINTS_A_CELL
+    points. A disc is, row by row of these, a few whole cells and on its border finest cells whose points are looked at one by one, so what
+    meets a point grows with the radius and not with the disc. A radius under 50 raises. Each distinct point is asked for once, whatever rows
+    have it, so ``key`` is not needed; points without coordinates have no residents, and grid points without coordinates or population do not count. Where ``df``
+    has n_residents, the new column is n_residents_new.
     """
     if not isinstance(radius, (int, float)) or isinstance(radius, bool):
         raise TypeError("radius is a number of metres")
@@ -194,11 +236,21 @@ def population_nearby(
         raise ValueError("radius is 50 metres at least")
     r = radius_in_degrees(radius)
     x, y = point_columns(df, latitude, longitude, geometry)
-    distinct = df.select(x.alias("_x"), y.alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
-    asked = distinct.withColumns(_neighbours(r, "_x", "_y")).select("_x", "_y", "_c.cx", "_c.cy")
-    cells = grid.select(F.col("Lon").cast("double").alias("gx"), F.col("Lat").cast("double").alias("gy"), F.col("Population").alias("p")).withColumns({"cx": _cell("gx", r), "cy": _cell("gy", r)})
-    near = asked.join(cells, ["cx", "cy"]).where((F.col("_x") - F.col("gx")) ** 2 + (F.col("_y") - F.col("gy")) ** 2 < r * r)
-    sums = near.groupBy("_x", "_y").agg(F.sum("p").cast("double").alias("_sum"))
+    asked = df.select(x.alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    told = (finite(F.col(c).cast("double")).alias(n) for c, n in (("Lon", "gx"), ("Lat", "gy"), ("Population", "p")))
+    points = grid.select(*told).where("gx IS NOT NULL AND gy IS NOT NULL AND p IS NOT NULL")
+    n, *box = points.agg(F.count("*"), F.min("gx"), F.min("gy"), F.max("gx"), F.max("gy")).first()
+    wide, high = (box[2] - box[0], box[3] - box[1]) if n else (0.0, 0.0)
+    side = min(r, max(r / CELLS_A_RADIUS, (wide * high * POINTS_A_CELL / n) ** 0.5 if wide and high else (wide + high) * POINTS_A_CELL / max(n, 1)))
+    levels = int(log2(2 * r / side)) + 1
+    filed = points.withColumns({"c": _cell("gx", side), "cy": _cell("gy", side)})
+    fine = filed.groupBy("c", "cy").agg(F.sum("p").alias("p"))
+    doubled = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col("c") / 2**k).cast("long").alias("c")) for k in range(levels))))
+    summed = fine.select("cy", "p", doubled.alias("at")).groupBy("at.k", "at.c", "cy").agg(F.sum("p").alias("p"))
+    whole, border = disc_pieces(asked, r, side, levels)
+    near = border.join(filed, ["c", "cy"]).where((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2 < r * r)
+    parts = whole.join(summed, ["k", "c", "cy"]).select("x", "y", "p").unionByName(near.select("x", "y", "p"))
+    sums = parts.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.sum("p").cast("double").alias("_sum"))
     out = free_names(["n_residents"], df.columns)["n_residents"]
     return attach(df, [x, y], sums, ["_x", "_y"], {out: F.col("_sum")}, {out: F.lit(0.0)})
 
@@ -328,81 +380,10 @@ def near_segments(points: DataFrame, key: list[str], segments: DataFrame, radius
 def points_on_highway(df: DataFrame, highways: DataFrame, latitude: str, longitude: str, radius: float = 50, side: float = 0.05) -> DataFrame:
     """``df`` with ``in_highway``: whether a line of class Autostrada passes nearer than ``radius`` metres. One row per row of ``df``."""
     lines = line_segments(highways.where("classificazione = 'Autostrada'"))
-    points = df.select(F.col(latitude).alias("_lat"), F.col(longitude).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    points = df.select(finite(F.col(latitude).cast("double")).alias("_lat"), finite(F.col(longitude).cast("double")).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
     near = near_segments(points, ["_lat", "_lon"], lines, radius_in_degrees(radius), "_lon", "_lat", side=side)
     out = free_names(["in_highway"], df.columns)["in_highway"]
-    return attach(df, [F.col(latitude), F.col(longitude)], near, ["_lat", "_lon"], {out: F.lit(True)}, {out: F.lit(False)})
-
-
-#: Boxes of targets along each side of theirs that far points are compared with before they meet any target.
-BINS = 24
-
-
-def _far_candidates(rest: DataFrame, key: str, spots: DataFrame, box, n: int) -> DataFrame:
-    """``key, x, y, target columns``: for points far outside, the targets of those bins that may hold some of the ``n`` nearest.
-
-    Targets are binned over their box; BINS squared rows at most, each with count and box, come to the driver and go into an
-    expression. A bin counts unless bins that are nearer for certain hold ``n`` targets.
-    """
-    width, height = (max(box[2] - box[0], 1e-12), max(box[3] - box[1], 1e-12))
-    at = lambda v, low, size: F.least(F.floor((F.col(v) - low) / size * BINS), F.lit(BINS - 1)).cast("int")
-    binned = spots.withColumn("_bin", at("tx", box[0], width) * BINS + at("ty", box[1], height))
-    rows = binned.groupBy("_bin").agg(F.count("*"), F.min("tx"), F.min("ty"), F.max("tx"), F.max("ty")).collect()
-    bins = F.array(*(F.struct(*(F.lit(v).alias(name) for name, v in zip(("bin", "n", "x0", "y0", "x1", "y1"), r, strict=True))) for r in rows))
-    x, y = F.col("x"), F.col("y")
-
-    def bounds(b: Column) -> Column:
-        dx, dy = F.greatest(b["x0"] - x, x - b["x1"], F.lit(0.0)), F.greatest(b["y0"] - y, y - b["y1"], F.lit(0.0))
-        ex, ey = F.greatest(F.abs(x - b["x0"]), F.abs(x - b["x1"])), F.greatest(F.abs(y - b["y0"]), F.abs(y - b["y1"]))
-        return F.struct((ex * ex + ey * ey).alias("most"), (dx * dx + dy * dy).alias("least"), b["n"].alias("n"), b["bin"].alias("bin"))
-
-    told = rest.withColumn("_b", F.array_sort(F.transform(bins, bounds)))
-    # In order of the farthest that a bin may lie: the first at which n targets are counted bounds the n-th nearest.
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("most"))
-    count = lambda acc, b: F.when(acc["n"] >= n, acc).otherwise(F.struct((acc["n"] + b["n"]).alias("n"), F.when(acc["n"] + b["n"] >= n, b["most"]).otherwise(F.lit(float("inf"))).alias("most")))
-    told = told.withColumn("_most", F.aggregate("_b", start, count)["most"])
-    chosen = told.select(key, "x", "y", F.explode(F.filter("_b", lambda b: b["least"] <= F.col("_most") * (1 + 1e-9))).alias("_c"))
-    return chosen.select(key, "x", "y", F.col("_c.bin").alias("_bin")).join(binned, "_bin").drop("_bin")
-
-
-def nearest_points(points: DataFrame, key: str, targets: DataFrame, target: str, n: int, side: float | None = None, x: str = "x", y: str = "y", most: float | None = None) -> DataFrame:
-    """``key, rank, target columns, d2``: the ``n`` nearest targets (columns ``target``, tx, ty) of every point, by distance and then target.
-
-    Points look in rings of cells that double in width until the n-th found is nearer than anything outside the ring; those that
-    are done drop out. The first ring has about ``n`` targets on the average (or cells of ``side``). Points that rings as wide as the targets' own
-    box do not settle lie outside it; they meet the targets of the bins that face them. ``most`` leaves out what is farther.
-    """
-    spots = targets.where("tx IS NOT NULL AND ty IS NOT NULL").select(target, "tx", "ty")
-    box = spots.agg(F.min("tx"), F.min("ty"), F.max("tx"), F.max("ty"), F.count("*")).first()
-    rest = points.select(key, F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    best = Window.partitionBy(key).orderBy("d2", target)
-    out = rest.limit(0).select(key, F.lit(0).alias("rank"), F.lit(None).cast(spots.schema[target].dataType).alias(target), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("d2"))
-    if not box[4] or n < 1:
-        return out
-    span = max(box[2] - box[0], box[3] - box[1])
-    if side is None:
-        side = ((box[2] - box[0]) * (box[3] - box[1]) * n / box[4]) ** 0.5 or span / box[4]
-    side = max(side, span * 1e-6, 1e-9)
-    gap2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-
-    def ranked(met: DataFrame) -> DataFrame:
-        return met.withColumn("d2", gap2).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(key, "rank", target, "tx", "ty", "d2")
-
-    while side <= 2 * span or (most is not None and side < 2 * most):
-        filed = spots.withColumns({"cx": _cell("tx", side), "cy": _cell("ty", side)})
-        asked = rest.withColumns(_neighbours(side, "x", "y")).select(key, "x", "y", "_c.cx", "_c.cy")
-        # The nine cells hold everything nearer than one side.
-        near = materialize(ranked(asked.join(filed, ["cx", "cy"])), "near")
-        if most is not None and side >= most:
-            return out.unionByName(near).where(F.col("d2") <= most * most)
-        sure = near.groupBy(key).agg(F.count("*").alias("_n"), F.max("d2").alias("_d")).where((F.col("_n") >= F.lit(min(n, box[4]))) & (F.col("_d") <= side * side)).select(key)
-        out = out.unionByName(near.join(sure, key, "left_semi"))
-        rest = materialize(rest.join(sure, key, "left_anti"), "rest")
-        if rest.isEmpty():
-            return out if most is None else out.where(F.col("d2") <= most * most)
-        side *= 2
-    out = out.unionByName(ranked(_far_candidates(rest, key, spots, box, n)))
-    return out if most is None else out.where(F.col("d2") <= most * most)
+    return attach(df, [F.col(latitude).cast("double"), F.col(longitude).cast("double")], near, ["_lat", "_lon"], {out: F.lit(True)}, {out: F.lit(False)})
 
 
 def nearest_exits(df: DataFrame, exits: DataFrame, key: str, latitude: str, longitude: str, n: int = 1, side: float | None = None) -> DataFrame:
@@ -419,7 +400,7 @@ def distance_to_highway(df: DataFrame, exits: DataFrame, key: str | None, latitu
     Each distinct point is asked for once, whatever rows have it, so ``key`` is not needed.
     """
     metres = geodesic_distance_m if ellipsoid else haversine_m
-    spots = df.select(F.col(latitude).cast("double").alias("_lat"), F.col(longitude).cast("double").alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    spots = df.select(finite(F.col(latitude).cast("double")).alias("_lat"), finite(F.col(longitude).cast("double")).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
     spots = spots.withColumn("_id", F.struct("_lat", "_lon"))
     found = nearest_exits(spots, exits.where("classificazione = 'Autostrada'"), "_id", "_lat", "_lon", 1, side)
     told = found.select("_id.*", metres(F.col("_id._lon"), F.col("_id._lat"), F.col("exits")[0]["x"], F.col("exits")[0]["y"]).alias("_metres"))
@@ -428,12 +409,24 @@ def distance_to_highway(df: DataFrame, exits: DataFrame, key: str | None, latitu
 
 
 def area_bounds(areas: DataFrame, polygon: str = "geometry", source: int = 4326, target: int = 3857) -> DataFrame:
-    """One row: min_x, min_y, max_x, max_y of the areas' vertices in a target system; null without areas."""
+    """One row: min_x, min_y, max_x, max_y of the areas' vertices in a target system; null without areas. NaN and infinite vertices do not count."""
     v = areas.select(F.explode(F.flatten(F.flatten(polygon))).alias("v"))
-    x, y = transform_crs(F.col("v.x"), F.col("v.y"), source, target)
+    x, y = (finite(c) for c in transform_crs(F.col("v.x"), F.col("v.y"), source, target))
     return v.agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
 
 
+def chosen_bounds(areas: DataFrame, *, comune=None, provincia=None, regione=None, polygon: str = "geometry", source: int = 4326, target: int = 3857) -> DataFrame:
+    """One row: the bounds of the comuni asked for, else of the provinces, else of the regions; without any, of all areas: Italy.
+
+    One or a list, as code, sigla or name in any spelling, as in ``filter_areas``; an empty list asks for none and finds nothing. Raises where nothing is found.
+    """
+    level = next(({k: v} for k, v in (("comune", comune), ("provincia", provincia), ("regione", regione)) if v is not None), {})
+    found = filter_areas(areas, **level)
+    if found.where(F.col(polygon).isNotNull()).isEmpty():
+        raise ValueError(f"no areas {level}")
+    return area_bounds(found, polygon, source, target)
+
+
 def filter_bounds(df: DataFrame, bounds: tuple[float, float, float, float], longitude: str, latitude: str) -> DataFrame:
     """Rows inside (min_x, min_y, max_x, max_y), edges included."""
     return df.where(F.col(longitude).between(bounds[0], bounds[2]) & F.col(latitude).between(bounds[1], bounds[3]))

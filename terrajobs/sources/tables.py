@@ -53,13 +53,16 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_istat_observations(spark: SparkSession, path: str, year: int, value: str, force_year: bool = False) -> DataFrame:
-    """``codice_comune, value`` of a year: that one when forced (raises without rows), else the last with rows of it and the two before."""
-    rows = spark.read.option("header", True).csv(path).select("ITTER107", F.col("TIME_PERIOD").cast("int").alias("t"), F.col("OBS_VALUE").cast("double").alias(value))
-    rows = rows.where(F.col("ITTER107").rlike("^[0-9]+$"))
+    """``codice_comune, value`` of a year: that one when forced (raises without rows), else the last with rows of it and the two before.
+
+    Periods that are no year leave their row out, values that are no number are null.
+    """
+    rows = spark.read.option("header", True).csv(path).select("ITTER107", F.col("TIME_PERIOD").try_cast("int").alias("t"), F.col("OBS_VALUE").try_cast("double").alias(value))
+    rows = rows.where(F.col("ITTER107").rlike("^[0-9]+$")).withColumn("ITTER107", F.col("ITTER107").try_cast("int")).where("ITTER107 IS NOT NULL")
     last = rows.where(F.col("t").between(year if force_year else year - 2, year)).agg(F.max("t")).first()[0]
     if last is None and force_year:
         raise ValueError(f"no observations of {year}")
-    return rows.where(F.col("t") == F.lit(last)).select(F.col("ITTER107").cast("int").alias("codice_comune"), value)
+    return rows.where(F.col("t") == F.lit(last)).select(F.col("ITTER107").alias("codice_comune"), value)
 
 
 def encode_population_grid(points: DataFrame) -> DataFrame:
@@ -80,9 +83,9 @@ def read_population_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_administrative_changes(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
-    """Administrative changes, up to a year if one is given."""
+    """Administrative changes, up to a year if one is given; a year that is no number is null."""
     raw = spark.read.option("sep", ";").option("encoding", "ISO-8859-1").option("multiLine", True).option("header", True).csv(path)
-    out = _renamed(raw, CHANGES_COLUMNS).withColumn("anno", F.col("anno").cast("int"))
+    out = _renamed(raw, CHANGES_COLUMNS).withColumn("anno", F.col("anno").try_cast("int"))
     return out if until is None else out.where(F.col("anno") <= until)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrajobs.functions import geo
-from terrajobs.operators import maps, quality, spatial
+from terrajobs.operators import maps, nearest, quality, spatial
 
 
 def haversine(a, b):
@@ -113,7 +113,8 @@ def test_far_points_meet_bins_and_not_all_targets(spark):
         assert got == {i: [k for _, k in sorted(((x - tx) ** 2 + (y - ty) ** 2, k) for k, tx, ty in targets)][:n] for i, x, y in points}
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
     rest = p.where("id >= 20")
-    met = spatial._far_candidates(rest, "id", t, (8.0, 44.0, 10.0, 46.0), 1)
+    told, tables = nearest.placed(t, (8.0, 44.0, 10.0, 46.0), len(targets))
+    met = nearest.candidates(rest, "id", told, tables, 1)
     assert met.count() < 0.3 * rest.count() * len(targets)
 
 
