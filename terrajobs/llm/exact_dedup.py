@@ -20,6 +20,8 @@ from terrajobs.functions.storage import fresh_path, materialize
 #: Buckets of a new index at least; it has no fewer than the session's shuffle partitions. A bucket holds 1/buckets of the
 #: distinct digests (about 50 bytes each), so an index of 10^10 digests wants some 4,000.
 BUCKETS = 16
+#: Ids and digests of wholly repeated rows up to which these are broadcast (100 bytes each).
+MOST_BROADCAST = 100_000
 
 
 def text_digest(text: str | Column) -> Column:
@@ -159,11 +161,16 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
     at = [docs[id_col].cast("long"), text_digest(text_col)]
     if not once:
         return rows_that(docs, at, stay, ["doc_id", "digest"])
-    own = docs.select(*(docs[c].alias(f"_own{i}") for i, c in enumerate(docs.columns)), *(e.alias(f"_on{i}") for i, e in enumerate(at)))
+    single = rows_that(docs, at, stay.where("times = 1"), ["doc_id", "digest"])
     several = stay.where("times > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    n = several.count()
+    if not n:
+        return single
+    # Few rows are wholly repeated, as a rule: then the texts need not be dealt again to find them.
+    several = F.broadcast(several) if n <= MOST_BROADCAST else several
+    own = docs.select(*(docs[c].alias(f"_own{i}") for i, c in enumerate(docs.columns)), *(e.alias(f"_on{i}") for i, e in enumerate(at)))
     met = own.join(several, F.col("_on0").eqNullSafe(F.col("_id")) & (F.col("_on1") == F.col("_digest"))).groupBy("_id", "_digest")
     least = met.agg(F.min(F.struct(*(f"_own{i}" for i in range(len(docs.columns))))).alias("_least"))
-    single = rows_that(docs, at, stay.where("times = 1"), ["doc_id", "digest"])
     return single.union(least.select(*(F.col(f"_least._own{i}").alias(c) for i, c in enumerate(docs.columns))))
 
 
