@@ -84,6 +84,12 @@ SQL = {
         SELECT CASE WHEN n_nationkey = 3 THEN 'Bolzano' ELSE {provincia_full('n_nationkey')} END AS denominazione_provincia, {regione_full('n_regionkey')} AS denominazione_regione, n_nationkey AS codice,
                CAST(6.5E0 + (n_nationkey % 5) * 2.5E0 AS DOUBLE) AS x0, CAST(36E0 + CAST(floor(n_nationkey / 5) AS INT) * 2.25E0 AS DOUBLE) AS y0,
                CAST(6.5E0 + (n_nationkey % 5) * 2.5E0 + 2.5E0 AS DOUBLE) AS x1, CAST(36E0 + CAST(floor(n_nationkey / 5) AS INT) * 2.25E0 + 2.25E0 AS DOUBLE) AS y1 FROM {{nation}}""",
+    # The boxes, every second one as two halves above each other: borders meet in a T.
+    "halves": f"""
+        SELECT denominazione_regione, codice, h AS half, x0, x1, CASE h WHEN 2 THEN ym ELSE y0 END AS y0, CASE h WHEN 1 THEN ym ELSE y1 END AS y1 FROM (
+          SELECT {regione_full('n_regionkey')} AS denominazione_regione, n_nationkey AS codice, CAST(6.5E0 + (n_nationkey % 5) * 2.5E0 AS DOUBLE) AS x0, CAST(6.5E0 + (n_nationkey % 5) * 2.5E0 + 2.5E0 AS DOUBLE) AS x1,
+                 CAST(36E0 + CAST(floor(n_nationkey / 5) AS INT) * 2.25E0 AS DOUBLE) AS y0, CAST(36E0 + CAST(floor(n_nationkey / 5) AS INT) * 2.25E0 + 1E0 AS DOUBLE) AS ym, CAST(36E0 + CAST(floor(n_nationkey / 5) AS INT) * 2.25E0 + 2.25E0 AS DOUBLE) AS y1 FROM {{nation}}) b
+        JOIN (SELECT 0 AS h UNION ALL SELECT 1 UNION ALL SELECT 2) t ON CASE WHEN codice % 2 = 0 THEN h = 0 ELSE h > 0 END""",
     "exits": """
         SELECT s_suppkey AS id, 'Uscita' AS name, CAST(6.5E0 + ((s_suppkey * 15485863) % 11987) / 1024E0 AS DOUBLE) AS x, CAST(36E0 + ((s_suppkey * 32452843) % 10973) / 1024E0 AS DOUBLE) AS y,
                CASE WHEN s_suppkey % 4 = 0 THEN 'Superstrada' ELSE 'Autostrada' END AS classificazione FROM {supplier}""",
@@ -99,6 +105,11 @@ SQL = {
         SELECT c_custkey, CASE c_custkey % 6 WHEN 5 THEN 'xxxx' WHEN 4 THEN 'Via dellAquila ' || w ELSE 'Via ' || w END AS address,
                CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE {comune('(c_custkey % 20)')} END AS citta
         FROM (SELECT c_custkey, {_word('c_custkey % 50')} AS w FROM {{customer}}) a""",
+    # Addresses of the gazetteer in other words: with a postcode, an abbreviated road, another order, a word too many or too few.
+    "variants": f"""
+        SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Via ' || w || ' - 20121' WHEN 1 THEN 'V. ' || w WHEN 2 THEN w || ', Via' WHEN 3 THEN 'Via Vecchia ' || w WHEN 4 THEN w ELSE 'Via xxxx' END AS address,
+               CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE {comune('(c_custkey % 20)')} END AS citta
+        FROM (SELECT c_custkey, {_word('c_custkey % 50')} AS w FROM {{customer}}) a""",
     "gazetteer": f"""
         SELECT address, full_address, city, latitude, longitude FROM (
           SELECT CASE WHEN p_partkey % 2 = 0 THEN 'via ' || {_word('(p_partkey % 50)')} ELSE 'via dell''aquila ' || {_word('(p_partkey % 50)')} END || ', ' || lower({comune('(p_partkey % 20)')}) AS address,

@@ -5,11 +5,13 @@ A query is (spark, sf_dir) -> DataFrame over tables derived from those of ``sf_d
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrajobs.functions import geo, names, sql, text
 from terrajobs.jobs.derived import derive, duck
-from terrajobs.operators import geocode, maps, matching, quality, registry, roads, spatial
+from terrajobs.operators import geocode, maps, matching, outline, quality, registry, roads, search, spatial
 from terrajobs.sources import tables
 
 QUERIES = {}
@@ -134,6 +136,11 @@ def bilingual_name_map_comuni(spark, d):
     return registry.bilingual_name_map(_comuni(spark, d), "denominazione_comune", "denominazione_comune_ita_straniera")
 
 
+@query(WITH + _bilingual("provincia", False))
+def bilingual_name_map_province(spark, d):
+    return registry.bilingual_name_map(_comuni(spark, d), "denominazione_provincia", "denominazione_provincia_ita_straniera", dashes=False)
+
+
 @query(WITH + _bilingual("regione", False))
 def bilingual_name_map_regioni(spark, d):
     return registry.bilingual_name_map(_comuni(spark, d), "denominazione_regione", "denominazione_regione_ita_straniera", dashes=False)
@@ -180,6 +187,20 @@ def disambiguate_homonyms(spark, d):
     return _comuni(spark, d).select("codice_comune", by_sigla.alias("by_sigla"), by_province.alias("by_province"))
 
 
+_KINDS = (("code", "comune"), ("name", "comune"), ("code", "provincia"), ("name", "provincia"), ("sigla", "provincia"), ("code", "regione"), ("name", "regione"))
+_KEYS = " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS kind, '{v}' AS level, CAST({'sigla' if k == 'sigla' else ('codice_' if k == 'code' else 'denominazione_') + v} AS VARCHAR) AS value FROM comuni" for k, v in _KINDS)
+
+
+@query(WITH + _KEYS)
+def key_columns(spark, d):
+    """What of the registry every kind of identifier stands for."""
+    areas, out = _comuni(spark, d), None
+    for kind, level in _KINDS:
+        rows = areas.select(F.lit(kind).alias("kind"), F.lit(level).alias("level"), F.col(matching.key_column_for(kind, level)).cast("string").alias("value")).distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "SELECT c AS column_name, avg(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS numeric, avg(CASE WHEN regexp_matches(v, '^\\p{L}{2}$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS letters "
     f"FROM (SELECT DISTINCT 'codice' AS c, codice AS v FROM {duck('dirty')} WHERE codice IS NOT NULL UNION ALL SELECT DISTINCT 'sg', sg FROM {duck('dirty')} WHERE sg IS NOT NULL) GROUP BY 1"
@@ -338,6 +359,17 @@ def match_localities(spark, d):
     return matching.match_localities(places.select("name").distinct(), "name", places.withColumnRenamed("name", "gname").select(F.col("gname").alias("name"), "address", "rank"), _comuni(spark, d))
 
 
+@query(
+    WITH + f", asked AS MATERIALIZED (SELECT nome, ' ' || {sql.clean_name('nome')} || ' ' AS asked FROM (SELECT DISTINCT split_part(name, ' ', 2) AS nome FROM {duck('localities')})), "
+    f"h AS MATERIALIZED (SELECT rank, parsed_comune, ' ' || {sql.clean_name('address')} || ' ' AS said FROM ({_parsed(duck('localities'))}) WHERE parsed_comune IS NOT NULL) "
+    "SELECT a.nome, min(struct_pack(r := h.rank, c := h.parsed_comune)).c AS comune FROM asked a JOIN h ON contains(h.said, a.asked) GROUP BY 1"
+)
+def match_localities_in_addresses(spark, d):
+    """Localities asked for by a word of their name, which no entry is filed under."""
+    places = derive(spark, d, "localities")
+    return matching.match_localities(places.select(F.split_part("name", F.lit(" "), F.lit(2)).alias("nome")).distinct(), "nome", places, _comuni(spark, d), in_addresses=True)
+
+
 _SAID_NAME = r"regexp_extract(text, 'posto (\w+) si trova', 1)"
 
 
@@ -389,6 +421,14 @@ def to_points(spark, d):
     return spatial.to_points(derive(spark, d, "points"))
 
 
+@query(f"SELECT id, lat AS latitude, lon AS longitude FROM {duck('points')}")
+def find_coord_columns(spark, d):
+    """Coordinates in columns of other usual names, in any case."""
+    points = derive(spark, d, "points").select("id", F.col("lat").alias("Latitudine"), F.col("lon").alias("LONGITUDINE"))
+    lat, lon = spatial.find_coord_columns(points)
+    return points.select("id", F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
+
+
 def _boxes(spark, d) -> DataFrame:
     return derive(spark, d, "boxes").withColumn("geometry", geo.box_polygon(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
 
@@ -466,6 +506,12 @@ def area_bounds(spark, d):
     return bounds.select(*(F.round(c, 3).alias(c) for c in bounds.columns))
 
 
+@query(f"SELECT min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM {duck('boxes')} WHERE denominazione_provincia IN ('Napoli', 'Trento')")
+def chosen_bounds(spark, d):
+    """Bounds of two provinces, which come before a region."""
+    return spatial.chosen_bounds(_boxes(spark, d), provincia=["napoli", "TRENTO "], regione="Sicilia", target=4326)
+
+
 @query(f"SELECT * FROM {duck('points')} WHERE lon BETWEEN 8 AND 12 AND lat BETWEEN 40 AND 45")
 def filter_bounds(spark, d):
     return spatial.filter_bounds(derive(spark, d, "points"), (8, 40, 12, 45), "lon", "lat")
@@ -477,6 +523,37 @@ def national_outline(spark, d):
     return edges.agg(F.count("*").alias("n_edges"), F.round(F.sum(F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1")), 6).alias("length"))
 
 
+def _swept(by: str) -> str:
+    """(by, x1, y1, x2, y2) of the outer edges of the halves: along every line, +1 where the inside begins on its left and -1 on its right, summed up."""
+    of = f"{by}, " if by else ""
+    sides = (("x1", "y0", 1, "y"), ("x1", "y1", -1, "y"), ("x0", "y0", -1, "y"), ("x0", "y1", 1, "y"), ("y0", "x0", 1, "x"), ("y0", "x1", -1, "x"), ("y1", "x0", -1, "x"), ("y1", "x1", 1, "x"))
+    events = " UNION ALL ".join(f"SELECT {of}'{along}' AS along, {line} AS line, {at} AS place, {n} AS n FROM {duck('halves')}" for line, at, n, along in sides)
+    sums = f"SELECT {of}along, line, place, lead(place) OVER w AS upto, sum(sum(n)) OVER w AS n FROM ({events}) GROUP BY {of}along, line, place WINDOW w AS (PARTITION BY {of}along, line ORDER BY place)"
+    ends = ", ".join(f"CASE along WHEN 'y' THEN {v} ELSE {h} END AS {k}" for k, v, h in (("x1", "line", "place"), ("y1", "place", "line"), ("x2", "line", "upto"), ("y2", "upto", "line")))
+    return f"SELECT {of}{ends} FROM ({sums}) WHERE n <> 0"
+
+
+def _halves(spark, d) -> DataFrame:
+    return derive(spark, d, "halves").withColumn("geometry", geo.box_polygon(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
+
+
+@query(_swept(""))
+def national_outline_t_borders(spark, d):
+    """Areas beside two that stand above each other: their common border is no outline."""
+    return spatial.national_outline(_halves(spark, d))
+
+
+@query(
+    f"SELECT denominazione_regione, round(area, 6) AS area, round(length, 6) AS length FROM (SELECT denominazione_regione, sum((x1 - x0) * (y1 - y0)) AS area FROM {duck('halves')} GROUP BY 1) "
+    f"JOIN (SELECT denominazione_regione, sum(x2 - x1 + y2 - y1) AS length FROM ({_swept('denominazione_regione')}) GROUP BY 1) USING (denominazione_regione)"
+)
+def dissolve_regions(spark, d):
+    """A polygon for each region: its area, and the length of its rings."""
+    area, _, _ = geo.polygon_area_centroid(F.col("geometry"))
+    length = F.aggregate(geo.polygon_edges(F.col("geometry")), F.lit(0.0), lambda acc, e: acc + F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"]))
+    return outline.dissolve(_halves(spark, d), by=["denominazione_regione"]).select("denominazione_regione", F.round(area, 6).alias("area"), F.round(length, 6).alias("length"))
+
+
 @query(f"SELECT codice, CAST(CASE WHEN codice * 0.011::DOUBLE > 0.05::DOUBLE THEN 6 ELSE 5 END AS INT) AS n_vertices FROM {duck('boxes')}")
 def simplify_polygon(spark, d):
     """Each box with a dent on one side, as many times 0.011 deep as its code, simplified at 0.05: dents of up to that go."""
@@ -501,6 +578,39 @@ def points_in_areas(spark, d):
     return spatial.points_in_areas(derive(spark, d, "points"), _boxes(spark, d).where("denominazione_regione = 'Sicilia'"), ["id"], side=SIDE)
 
 
+#: Stars around the middle of each box, of so many corners, with a hole of so many.
+CORNERS, HOLE_CORNERS = 40, 12
+
+
+def _corner(k: str, hole: bool) -> tuple[str, str]:
+    """(x, y) of a corner, as SQL of both engines; every third corner of a star stands out."""
+    n, far = (HOLE_CORNERS, "0.3E0") if hole else (CORNERS, f"(0.7E0 + CASE WHEN {k} % 3 = 0 THEN 0.4E0 ELSE 0.0E0 END)")
+    return f"(x0 + x1) / 2 + {far} * cos({k} * {2 * math.pi / n!r}E0)", f"(y0 + y1) / 2 + {far} * sin({k} * {2 * math.pi / n!r}E0)"
+
+
+def _stars_sql() -> str:
+    """(codice, sx, sy, tx, ty): the sides of the stars and of their holes."""
+    out = []
+    for hole, n in ((False, CORNERS), (True, HOLE_CORNERS)):
+        (sx, sy), (tx, ty) = _corner("k", hole), _corner(f"((k + 1) % {n})", hole)
+        out.append(f"SELECT codice, {sx} AS sx, {sy} AS sy, {tx} AS tx, {ty} AS ty FROM {duck('boxes')}, (SELECT unnest(generate_series(0, {n - 1})) AS k)")
+    return " UNION ALL ".join(out)
+
+
+def _stars(spark, d) -> DataFrame:
+    ring = lambda hole, n: f"transform(sequence(0, {n - 1}), k -> struct({_corner('k', hole)[0]} AS x, {_corner('k', hole)[1]} AS y))"
+    return derive(spark, d, "boxes").withColumn("geometry", F.expr(f"array(array({ring(False, CORNERS)}, {ring(True, HOLE_CORNERS)}))"))
+
+
+@query(
+    f"SELECT p.id, p.lat, p.lon, s.codice FROM {duck('points')} p LEFT JOIN (SELECT q.id, e.codice FROM {duck('points')} q JOIN ({_stars_sql()}) e ON (e.sy > q.lat) <> (e.ty > q.lat) AND q.lon < (e.tx - e.sx) * (q.lat - e.sy) / (e.ty - e.sy) + e.sx "
+    "GROUP BY 1, 2 HAVING count(*) % 2 = 1) s ON p.id = s.id"
+)
+def locate_points_in_stars(spark, d):
+    """Points within many-cornered areas with a hole each."""
+    return spatial.locate_points(derive(spark, d, "points").select("id", "lat", "lon"), _stars(spark, d), ["codice"], side=0.25)
+
+
 RADIUS_M = 5000
 _R = geo.radius_in_degrees(RADIUS_M)
 
@@ -642,13 +752,72 @@ def verify_location(spark, d):
     return part.select("p_partkey", geocode.verify_location("p_name", "p_retailprice", ["word"]).alias("verified"))
 
 
+def _words_sql(x: str) -> str:
+    return rf"list_sort(list_distinct(list_filter(string_split_regex({_simple(x)}, '\s+'), lambda w: w <> '')))"
+
+
+def search_sql(asked: str, entries: str, least: float) -> str:
+    """(text, value, score) of the texts of ``asked`` (text): by all pairs that share a word, over ``entries`` (entry, value)."""
+    return (
+        f"WITH e0 AS (SELECT words, min(value) AS value FROM (SELECT {_words_sql('entry')} AS words, value FROM ({entries})) WHERE len(words) > 0 GROUP BY 1), ew AS (SELECT words, unnest(words) AS word FROM e0), "
+        f"wt AS (SELECT word, CAST(round({search.UNIT} * ln(1 + (SELECT count(*) FROM e0)::DOUBLE / count(*))) AS BIGINT) AS weight FROM ew GROUP BY 1), et AS (SELECT words, sum(weight) AS total FROM ew JOIN wt USING (word) GROUP BY 1), "
+        f"q0 AS (SELECT text, {_words_sql('text')} AS words FROM (SELECT DISTINCT text FROM ({asked}) WHERE text IS NOT NULL)), qw AS (SELECT words, unnest(words) AS word FROM (SELECT DISTINCT words FROM q0)), qt AS (SELECT words, sum(weight) AS total FROM qw JOIN wt USING (word) GROUP BY 1), "
+        "met AS (SELECT qw.words AS q, ew.words AS e, sum(weight) AS weight FROM qw JOIN ew USING (word) JOIN wt USING (word) GROUP BY 1, 2), "
+        f"scored AS (SELECT q, e, 2 * met.weight::DOUBLE / (qt.total + et.total)::DOUBLE AS score FROM met JOIN qt ON q = qt.words JOIN et ON e = et.words), "
+        f"best AS (SELECT q, min(struct_pack(less := -score, v := e0.value)) AS b FROM scored JOIN e0 ON e = e0.words WHERE score >= {least} GROUP BY 1) "
+        "SELECT text, b.v AS value, -b.less AS score FROM q0 JOIN best ON words = q"
+    )
+
+
+_VARIANTS = f"SELECT {_SEARCH} AS text FROM {duck('variants')}"
+_ENTRIES = f"SELECT address AS entry, struct_pack(f := full_address, la := latitude, lo := longitude) AS value FROM {duck('gazetteer')}"
+
+
+@query(f"SELECT text, value.f AS full_address, value.la AS latitude, round(score, 9) AS score FROM ({search_sql(_VARIANTS, _ENTRIES, 0.7)})")
+def search_addresses(spark, d):
+    """Addresses in other words than the gazetteer's."""
+    asked = derive(spark, d, "variants").select(geocode.search_text("address", "citta").alias("text"))
+    found = search.search(asked, "text", derive(spark, d, "gazetteer"), "address", F.struct("full_address", "latitude", "longitude"), 0.7)
+    return found.select("text", F.col("value.full_address").alias("full_address"), F.col("value.latitude").alias("latitude"), F.round("score", 9).alias("score"))
+
+
+@query(
+    f"SELECT c_custkey, address, citta, CASE WHEN contains(lower(s.f), lower(citta)) THEN s.la END AS latitude, CASE WHEN contains(lower(s.f), lower(citta)) THEN s.lo END AS longitude FROM (SELECT q.*, coalesce(g.s, n.value) AS s FROM (SELECT *, {_SEARCH} AS search FROM {duck('variants')}) q "
+    f"LEFT JOIN ({_GAZ}) g ON {_simple('q.search')} = g.a LEFT JOIN ({search_sql(_VARIANTS, _ENTRIES, 0.7)}) n ON q.search = n.text)"
+)
+def geocode_addresses_similar(spark, d):
+    return geocode.geocode_addresses(derive(spark, d, "variants"), derive(spark, d, "gazetteer"), "address", comune="citta", similar=0.7)
+
+
+def _said_streets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(search, text) of texts in words: streets named after their third and fourth word, asked for with the letter of the first, and the texts, which say them."""
+    named = texts.withColumns({"a": F.get("words", F.lit(2)), "b": F.get("words", F.lit(3))})
+    named = named.withColumn("plain", F.coalesce(F.col("a").rlike("^[a-z]{3,}$") & F.col("b").rlike("^[a-z]{3,}$"), F.lit(False)))
+    asked = named.where("plain").select(F.concat(F.lit("via "), F.substring("a", 1, 1), F.lit(". "), F.col("b")).alias("search")).distinct()
+    return asked, named.select(F.concat_ws(" ", F.when(F.col("plain"), F.concat_ws(" ", F.lit("via"), "a", "b")), F.array_join("words", " ")).alias("text"))
+
+
 @query()
 def expand_abbreviations(spark, d):
-    """Streets named after two words of each page's text, asked for with the first word's letter alone."""
-    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("words", F.split(text.html_to_all_text("html"), " ")).where(F.size("words") > 5)
-    named = pages.withColumns({"a": F.col("words")[2], "b": F.col("words")[3]}).where("a RLIKE '^[a-z]{3,}$' AND b RLIKE '^[a-z]{3,}$'")
-    asked = named.select(F.concat(F.lit("via "), F.substring("a", 1, 1), F.lit(". "), F.col("b")).alias("search")).distinct()
-    texts = named.select(F.concat_ws(" ", F.lit("via"), "a", "b", F.array_join("words", " ")).alias("text"))
+    """Streets that pages say, over all pages."""
+    asked, texts = _said_streets(spark.read.parquet(f"{d}/pages.parquet").select(F.split(text.html_to_all_text("html"), " ").alias("words")))
+    return geocode.expand_abbreviations(asked, "search", texts, html=None)
+
+
+_PLAIN_WORDS = "SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL"
+_ROADS_SQL = ", ".join(sql.quote(x) for x in names.ROAD_PREFIXES)
+
+
+@query(
+    f"WITH t AS (SELECT words, coalesce(regexp_full_match(words[3], '[a-z]{{3,}}') AND regexp_full_match(words[4], '[a-z]{{3,}}'), FALSE) AS plain FROM ({_PLAIN_WORDS})), asked AS (SELECT DISTINCT words[3][1] AS letter, words[4] AS name FROM t WHERE plain), "
+    "said AS (SELECT CASE WHEN plain THEN list_concat(['via', words[3], words[4]], words) ELSE words END AS w FROM t), places AS (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM said), "
+    f"windows AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS said, w[i + 1][1] AS letter, w[i + 2] AS name FROM places WHERE w[i] IN ({_ROADS_SQL}) AND regexp_full_match(w[i + 1], '[a-z]{{2,}}')) "
+    "SELECT 'via ' || letter || '. ' || name AS search, min(said) AS expanded FROM asked JOIN windows USING (letter, name) GROUP BY 1 HAVING count(*) = 1"
+)
+def expand_abbreviations_in_documents(spark, d):
+    """Streets that documents say, over the words of all documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL")
+    asked, texts = _said_streets(docs.select(F.split(F.btrim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ").alias("words")))
     return geocode.expand_abbreviations(asked, "search", texts, html=None)
 
 

@@ -10,6 +10,7 @@ from terrajobs.functions.geo import finite
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import html_to_all_text, simple_name
 from terrajobs.operators.nearest import nearest_points
+from terrajobs.operators.search import search
 
 # Words that stand, with an apostrophe, before a name.
 ELIDED = ("dell", "del", "d", "nell", "sull", "sant", "Sant")
@@ -38,33 +39,64 @@ def verify_location(found: str, value: str, parents: list[str]) -> Column:
     return F.when(F.coalesce(F.lower(F.col(found)).contains(F.lower(F.col(parents[0]))), F.lit(False)), F.col(value))
 
 
-def expand_abbreviations(failed: DataFrame, search: str, pages: DataFrame, html: str | None = "html") -> DataFrame:
-    """``search, expanded``: dotted abbreviations ("viale g. p. da palestrina") as pages spell them in full, where
-    they do so in one way only.
-
-    Addresses meet pages by their last word. Pages give their words without their text; the text of a page comes in once, to all
-    addresses whose word it has.
-    """
+def _abbreviated(failed: DataFrame, search: str) -> DataFrame:
+    """``search, key, n_road, n_letters, n_name, any_road`` of addresses that abbreviate next to each other what stands between a road and a name."""
     words = F.split(F.trim(F.split(F.col(search), ",")[0]), " +")
     dotted = F.filter(words, lambda w: w.rlike(r"^(?:\p{Ll}\.)+$"))
     first, last = F.array_position(words, F.get(dotted, F.lit(0))).cast("int"), F.size(words)
     name = F.slice(words, first + F.size(dotted), last)
     # Some words, then the abbreviations next to each other, then the name: all others are not asked for.
     fits = (F.size(dotted) > 0) & (first > 1) & (F.size(name) > 0) & (F.slice(words, first, F.size(dotted)) == dotted)
-    asked = failed.select(search).where(F.col(search).isNotNull() & F.coalesce(fits, F.lit(False))).distinct()
-    quoted = lambda c: F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\\\$1")
-    road = F.array_join(F.slice(words, 1, first - 1), " ")
-    roads = F.when(road.isin(*names.ROAD_PREFIXES), F.lit("(?:" + "|".join(names.ROAD_PREFIXES) + ")")).otherwise(quoted(road))
+    road = F.slice(words, F.lit(1), first - 1)
+    any_road = F.array_join(road, " ").isin(*names.ROAD_PREFIXES)
     letters = F.filter(F.split(F.array_join(dotted, ""), r"\."), lambda w: w != "")
-    middle = F.array_join(F.transform(letters, lambda w: F.concat(w, F.lit("[a-z]+ ?"))), "")
-    pattern = F.concat(F.lit(r"\b"), roads, F.lit(" ?"), middle, quoted(F.array_join(name, " ")))
-    asked = materialize(asked.select(search, pattern.alias("_pattern"), F.element_at(words, -1).alias("_word")), "abbreviated")
-    texts = materialize(pages.select((html_to_all_text(html) if html else F.col("text")).alias("_text")).where("_text IS NOT NULL").withColumn("_page", F.monotonically_increasing_id()), "texts")
-    said = texts.select("_page", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).join(asked, "_word")
-    by_page = said.groupBy("_page").agg(F.collect_list(F.struct(F.col(search).alias("s"), F.col("_pattern").alias("p"))).alias("_asks"))
-    tried = texts.join(by_page, "_page").select(F.explode(F.expr("transform(_asks, a -> struct(a.s AS s, regexp_extract(_text, a.p, 0) AS found))")).alias("t"))
-    found = tried.select(F.col("t.s").alias(search), F.col("t.found").alias("expanded")).where("expanded <> ''")
-    return found.groupBy(search).agg(F.min("expanded").alias("expanded"), F.max("expanded").alias("_other")).where("expanded = _other").drop("_other")
+    asked = failed.select(search).where(F.col(search).isNotNull() & F.coalesce(fits, F.lit(False))).distinct()
+    key = _window_key(F.when(any_road, ANY_ROAD).otherwise(F.array_join(road, " ")), F.array_join(letters, ""), F.array_join(name, " "))
+    return asked.select(search, key.alias("key"), F.size(road).alias("n_road"), F.size(letters).alias("n_letters"), F.size(name).alias("n_name"), any_road.alias("any_road"))
+
+
+#: Stands in a key for any of the words for a road.
+ANY_ROAD = "*"
+
+
+def _window_key(road: Column, letters: Column, name: Column) -> Column:
+    return F.concat_ws("|", road, letters, name)
+
+
+def _windows(words: Column, n_road: int, n_letters: int, n_name: int, any_road: bool) -> Column:
+    """(key, said) of every place of a text where words could be a road, words that are abbreviated by their letters, and a name."""
+    size = n_road + n_letters + n_name
+    span = lambda i, skip, n: F.slice(words, i + skip, F.lit(n))
+
+    def fits(i: Column) -> Column:
+        spelled = F.forall(span(i, n_road, n_letters), lambda w: w.rlike("^[a-z]{2,}$"))
+        return F.element_at(words, i).isin(*names.ROAD_PREFIXES) & spelled if any_road else spelled
+
+    def window(i: Column) -> Column:
+        road = F.lit(ANY_ROAD) if any_road else F.array_join(span(i, 0, n_road), " ")
+        letters = F.array_join(F.transform(span(i, n_road, n_letters), lambda w: F.substring(w, 1, 1)), "")
+        return F.struct(_window_key(road, letters, F.array_join(span(i, n_road + n_letters, n_name), " ")).alias("key"), F.array_join(span(i, 0, size), " ").alias("said"))
+
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(places, fits), window)
+
+
+def expand_abbreviations(failed: DataFrame, search: str, pages: DataFrame, html: str | None = "html") -> DataFrame:
+    """``search, expanded``: dotted abbreviations ("viale g. p. da palestrina") as pages spell them in full, where
+    they do so in one way only.
+
+    Pages give windows of words: a road (any of the usual words for one, or the very words asked for), words of two letters and more whose first
+    letters are those abbreviated, and the name. Windows of one key shrink to the least and the greatest spelling where they are read, so
+    however often pages say a name, an address meets one row. Which numbers of words are asked for comes to the driver: a row for each.
+    """
+    asked = materialize(_abbreviated(failed, search), "abbreviated")
+    shapes = asked.select("n_road", "n_letters", "n_name", "any_road").distinct().collect()
+    if not shapes:
+        return asked.select(search, F.col(search).alias("expanded")).limit(0)
+    texts = pages.select(F.split(html_to_all_text(html) if html else F.col("text"), " ").alias("words")).where("words IS NOT NULL")
+    windows = texts.select(F.explode(F.concat(*(_windows(F.col("words"), *shape) for shape in shapes))).alias("w")).select("w.*")
+    spelled = windows.groupBy("key").agg(F.min("said").alias("expanded"), F.max("said").alias("_other")).where("expanded = _other")
+    return asked.join(spelled, "key").select(search, "expanded")
 
 
 def _look_up(asked: DataFrame, text: str, gazetteer: DataFrame) -> DataFrame:
@@ -74,11 +106,15 @@ def _look_up(asked: DataFrame, text: str, gazetteer: DataFrame) -> DataFrame:
     return met.select(*asked.columns, F.col("_s.latitude").alias("lat"), F.col("_s.longitude").alias("lon"), F.col("_s.full_address").alias("found"))
 
 
-def geocode_addresses(df: DataFrame, gazetteer: DataFrame, address: str, *, comune: str | None = None, provincia: str | None = None, regione: str | None = None, pages: DataFrame | None = None) -> DataFrame:
+def geocode_addresses(
+    df: DataFrame, gazetteer: DataFrame, address: str, *, comune: str | None = None, provincia: str | None = None, regione: str | None = None, pages: DataFrame | None = None, similar: float | None = None
+) -> DataFrame:
     """``df``, all rows, with latitude and longitude from a gazetteer (address, full_address, latitude, longitude).
 
     Each distinct address is looked up once; failures are tried again with apostrophes repaired and, with ``pages``, with
-    abbreviations in full. A place counts where its address has the comune given (else the province, else the region).
+    abbreviations in full. What is then not found is, with ``similar``, searched by its words: the most similar entry counts, if it is so by
+    that much (0.7, say), whatever the order of the words, a postcode that the gazetteer does not have, or an abbreviated "via". A
+    place counts where its address has the comune given (else the province, else the region).
     """
     parents = [p for p in (comune, provincia, regione) if p is not None]
     given = [address, *parents]
@@ -94,6 +130,12 @@ def geocode_addresses(df: DataFrame, gazetteer: DataFrame, address: str, *, comu
         third = both.join(spelled, (F.col("_search") == F.col("_failed")) & F.col("found").isNull(), "left").withColumn("_full", F.concat("expanded", tail))
         third = _look_up(third.withColumnsRenamed({"lat": "_lat1", "lon": "_lon1", "found": "_found1"}), "_full", gazetteer)
         both = third.select(*given, *(F.coalesce(f"_{c}1", c).alias(c) for c in ("lat", "lon", "found")))
+    if similar is not None:
+        both = materialize(both.withColumn("_asked", F.when(F.col("found").isNull(), search_text(address, comune))), "looked-up")
+        spot = F.struct("full_address", "latitude", "longitude")
+        near = search(both, "_asked", gazetteer, "address", spot, similar).select(F.col("_asked").alias("_text"), F.col("value").alias("_near"))
+        fourth = both.join(near, F.col("_asked") == F.col("_text"), "left")
+        both = fourth.select(*given, *(F.coalesce(c, F.col("_near")[of]).alias(c) for c, of in (("lat", "latitude"), ("lon", "longitude"), ("found", "full_address"))))
     named = free_names(["latitude", "longitude"], df.columns)
     values = {named["latitude"]: verify_location("found", "lat", parents), named["longitude"]: verify_location("found", "lon", parents)}
     return attach(df, [F.col(g) for g in given], both, given, values, nulls_meet=True)

@@ -15,6 +15,7 @@ from terrajobs.functions import names
 from terrajobs.functions.columns import free_names, keyed, meets
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, literal_map, loose_key, simple_name, strip_area_prefix
+from terrajobs.operators.search import holders
 
 #: A candidate needs this ratio to be one, and a match more than this with the words swapped.
 CANDIDATE_RATIO, MATCH_RATIO = 0.6, 0.85
@@ -210,15 +211,22 @@ def filter_areas(areas: DataFrame, *, regione=None, provincia=None, comune=None)
     return areas
 
 
-def _placed_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia") -> DataFrame:
+def _placed_localities(
+    unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia", in_addresses: bool = False
+) -> DataFrame:
     """``column[, parent], comune, provincia`` (cleaned): the comune of localities, from a gazetteer (name, address, rank).
 
     An address counts where it holds the name, parses into a known comune, province and region, and agrees with the parent if
-    one is given. Of several the first by rank.
+    one is given. Of several the first by rank. Addresses are those of entries of that name, or, with ``in_addresses``, all of the gazetteer that hold
+    its words, which then needs no names.
     """
     asked = unmatched.select(column, *([parent] if parent else [])).where(F.col(column).isNotNull()).distinct().withColumn("_name", clean_name(column))
-    hits = gazetteer.select(clean_name("name").alias("_gname"), F.col("address").alias("_address"), F.col("rank").alias("_rank"))
-    met = asked.join(hits, (F.col("_name") == F.col("_gname")) & clean_name("_address").contains(F.col("_name")))
+    if in_addresses:
+        hits = holders(asked, "_name", gazetteer.select(F.col("address").alias("_address"), F.col("rank").alias("_rank")), "_address").withColumnRenamed("_name", "_gname")
+        met = asked.join(hits, F.col("_name") == F.col("_gname"))
+    else:
+        hits = gazetteer.select(clean_name("name").alias("_gname"), F.col("address").alias("_address"), F.col("rank").alias("_rank"))
+        met = asked.join(hits, (F.col("_name") == F.col("_gname")) & clean_name("_address").contains(F.col("_name")))
     good = parse_addresses(met, "_address", comuni).where(F.col("parsed_comune").isNotNull())
     if parent:
         good = good.where(strip_area_prefix(clean_name(parent), parent_level) == F.col(f"parsed_{parent_level}"))
@@ -227,9 +235,12 @@ def _placed_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame,
     return best.select(*given, F.col("_b.parsed_comune").alias("comune"), F.col("_b.parsed_provincia").alias("provincia"))
 
 
-def match_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia") -> DataFrame:
-    """``column[, parent], comune`` (cleaned): the comune of localities, as the gazetteer's first fitting address has it."""
-    return _placed_localities(unmatched, column, gazetteer, comuni, parent, parent_level).drop("provincia")
+def match_localities(unmatched: DataFrame, column: str, gazetteer: DataFrame, comuni: DataFrame, parent: str | None = None, parent_level: str = "provincia", in_addresses: bool = False) -> DataFrame:
+    """``column[, parent], comune`` (cleaned): the comune of localities, as the gazetteer's first fitting address has it.
+
+    With ``in_addresses`` a locality is searched by its words in all addresses, not only in those filed under its name.
+    """
+    return _placed_localities(unmatched, column, gazetteer, comuni, parent, parent_level, in_addresses).drop("provincia")
 
 
 def parse_addresses(df: DataFrame, address: str, comuni: DataFrame) -> DataFrame:

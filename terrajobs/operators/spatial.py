@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions.columns import attach, free_names
 from terrajobs.functions.geo import (
-    MEAN_RADIUS, POLYGON, finite, geodesic_distance_m, haversine_m, inside_edges, polygon_area_centroid, polygon_bounds, polygon_edges, radius_in_degrees, segment_distance2,
-    transform_crs,
+    MEAN_RADIUS, POLYGON, finite, geodesic_distance_m, haversine_m, polygon_area_centroid, radius_in_degrees, segment_distance2, transform_crs,
 )
 from terrajobs.functions.graph import connected_components
 from terrajobs.functions.storage import materialize
+from terrajobs.operators.cells import cell, points_within
 from terrajobs.operators.matching import filter_areas
 from terrajobs.operators.nearest import nearest_points
+from terrajobs.operators.outline import outline_edges
 
 # Pairs of column names that hold latitude and longitude.
 COORDINATE_NAMES = (("lat", "lon"), ("lat", "lng"), ("latitudine", "longitudine"), ("latitude", "longitude"))
@@ -75,46 +76,6 @@ def to_points(df: DataFrame, latitude: str | None = None, longitude: str | None
     return df.withColumns({named["x"]: x, named["y"]: y}).where(F.col(named["x"]).isNotNull() & F.col(named["y"]).isNotNull())
 
 
-def _cell(v: Column | str, side: float) -> Column:
-    return F.floor((F.col(v) if isinstance(v, str) else v) / F.lit(side)).cast("long")
-
-
-def mean_side(areas: DataFrame, polygon: str) -> float:
-    """The mean of the areas' wider sides, in their own units: a cell as large as a usual area. One row to the driver."""
-    box = polygon_bounds(F.col(polygon))
-    side = areas.select(F.avg(F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]))).first()[0]
-    return side or 1.0
-
-
-def area_cells(areas: DataFrame, polygon: str, side: float, keep: list[str]) -> DataFrame:
-    """A row per area and cell that it reaches, with the columns ``keep`` and those of its edges that a ray from the cell to the right may cross.
-
-    An edge above, below or left of a cell is none of these; a cell without any has no point of the area.
-    """
-    box = polygon_bounds(F.col(polygon))
-    rows = areas.where(F.col(polygon).isNotNull()).select(*keep, polygon_edges(F.col(polygon)).alias("edges"), *(v.alias(k) for k, v in box.items()))
-    rows = rows.withColumn("cy", F.explode(F.sequence(_cell("min_y", side), _cell("max_y", side))))
-    low, high = F.col("cy") * side, (F.col("cy") + 1) * side
-    slack = side * 1e-9
-    beside = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low - slack) & (F.least(e["y1"], e["y2"]) <= high + slack))
-    rows = rows.withColumn("edges", beside).where(F.size("edges") > 0).withColumn("cx", F.explode(F.sequence(_cell("min_x", side), _cell("max_x", side))))
-    right = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("cx") * side - slack)
-    return rows.withColumn("edges", right).where(F.size("edges") > 0).drop("min_x", "min_y", "max_x", "max_y")
-
-
-def points_within(points: DataFrame, areas: DataFrame, polygon: str, keep: list[str], side: float | None = None, x: str = "x", y: str = "y") -> DataFrame:
-    """Every point with every area that it is strictly within: columns of ``points`` and ``keep``.
-
-    ``side`` is that of the cells, by default the areas' mean.
-    """
-    side = mean_side(areas, polygon) if side is None else side
-    of = {k: f"_keep{i}" for i, k in enumerate(keep)}
-    cells = area_cells(areas.select(F.col(polygon).alias("_polygon"), *(F.col(k).alias(n) for k, n in of.items())), "_polygon", side, list(of.values()))
-    cells = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy", "edges": "_edges"})
-    met = points.withColumns({"_cell_x": _cell(x, side), "_cell_y": _cell(y, side)}).join(cells, (F.col("_cell_x") == F.col("_cx")) & (F.col("_cell_y") == F.col("_cy")))
-    return met.where(inside_edges(F.col(x), F.col(y), F.col("_edges"))).select(*points.columns, *(F.col(n).alias(k) for k, n in of.items()))
-
-
 def locate_points(
     df: DataFrame, areas: DataFrame, attributes: list[str], *, latitude: str | None = None, longitude: str | None = None, geometry: str | None = None,
     polygon: str = "geometry", crs: int = 4326, points_crs: int | None = 4326, side: float | None = None,
@@ -169,11 +130,10 @@ def detect_crs(df: DataFrame, x: str, y: str, areas: DataFrame, polygon: str = "
 
 
 def national_outline(areas: DataFrame, polygon: str = "geometry", decimals: int = 9) -> DataFrame:
-    """The outer edges (x1, y1, x2, y2) of all areas together: those of one area alone; borders that two share cancel."""
-    edges = areas.select(F.explode(polygon_edges(F.col(polygon))).alias("e")).select(*(F.round(f"e.{k}", decimals).alias(k) for k in ("x1", "y1", "x2", "y2")))
+    """The outer edges (x1, y1, x2, y2) of all areas together, from their lesser end: borders that areas share, whole or in part, cancel."""
+    edges = outline_edges(areas, polygon, [], decimals)
     ahead = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    turned = edges.where("x1 <> x2 OR y1 <> y2").select(*(F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
-    return turned.groupBy("x1", "y1", "x2", "y2").count().where("count = 1").drop("count")
+    return edges.select(*(F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
 
 
 #: Grid points of a finest cell on the average, and finest cells in a radius at most.
@@ -190,9 +150,9 @@ def _disc_rows(x: Column, y: Column, r: float, side: float) -> Column:
         reach, inner = F.sqrt(F.greatest(F.lit(0.0), r * r - near * near)) + slack, F.when(far < r, F.sqrt(r * r - far * far) - slack)
         start, end = F.ceil((x - inner) / side), F.floor((x + inner) / side)
         start, end = (F.when(start < end, v).cast("long") for v in (start, end))
-        return F.struct(cy.alias("cy"), _cell(x - reach, side).alias("first"), _cell(x + reach, side).alias("last"), start.alias("start"), end.alias("end"))
+        return F.struct(cy.alias("cy"), cell(x - reach, side).alias("first"), cell(x + reach, side).alias("last"), start.alias("start"), end.alias("end"))
 
-    return F.transform(F.sequence(_cell(y - r - slack, side), _cell(y + r + slack, side)), row)
+    return F.transform(F.sequence(cell(y - r - slack, side), cell(y + r + slack, side)), row)
 
 
 def _whole_pieces(row: Column, levels: int) -> Column:
@@ -243,7 +203,7 @@ def population_nearby(
     wide, high = (box[2] - box[0], box[3] - box[1]) if n else (0.0, 0.0)
     side = min(r, max(r / CELLS_A_RADIUS, (wide * high * POINTS_A_CELL / n) ** 0.5 if wide and high else (wide + high) * POINTS_A_CELL / max(n, 1)))
     levels = int(log2(2 * r / side)) + 1
-    filed = points.withColumns({"c": _cell("gx", side), "cy": _cell("gy", side)})
+    filed = points.withColumns({"c": cell("gx", side), "cy": cell("gy", side)})
     fine = filed.groupBy("c", "cy").agg(F.sum("p").alias("p"))
     doubled = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col("c") / 2**k).cast("long").alias("c")) for k in range(levels))))
     summed = fine.select("cy", "p", doubled.alias("at")).groupBy("at.k", "at.c", "cy").agg(F.sum("p").alias("p"))
@@ -298,7 +258,7 @@ def cell_links(points: DataFrame, axes: list[str], reach: float, close, side: fl
         asked = materialize(pairs.where(near < limit * (1 + 1e-9)).select("a", "b", sure.alias("sure"), (F.col("a.n") * F.col("b.n") <= few).alias("small")), "pairs")
         settled = asked.where("sure").select(F.col("a.root").alias("src"), F.col("b.root").alias("dst")).distinct()
         open_ = asked.where("NOT sure").join(settled.withColumnsRenamed({"src": "_src", "dst": "_dst"}), (F.col("a.root") == F.col("_src")) & (F.col("b.root") == F.col("_dst")), "left_anti")
-        cut = points.withColumn("cell", F.array(*(_cell(k, side / 2**level) for k in axes)))
+        cut = points.withColumn("cell", F.array(*(cell(k, side / 2**level) for k in axes)))
         of = lambda s: cut.select(F.col("root").alias(f"_root_{s}"), F.col("cell").alias(f"_cell_{s}"), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
         at = lambda s: (F.col(f"{s}.root") == F.col(f"_root_{s}")) & (F.col(f"{s}.cell") == F.col(f"_cell_{s}"))
         direct = open_.where("small").join(of("a"), at("a")).join(of("b"), at("b")).where(close(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")))
@@ -309,7 +269,7 @@ def cell_links(points: DataFrame, axes: list[str], reach: float, close, side: fl
         if large.isEmpty():
             return links
         # Halves know the cell that they are of: a grid of half the side halves every place.
-        finer = points.withColumn("cell", F.array(*(_cell(k, side / 2 ** (level + 1)) for k in axes)))
+        finer = points.withColumn("cell", F.array(*(cell(k, side / 2 ** (level + 1)) for k in axes)))
         halves = _boxed(finer, ["root", "cell"], axes)
         halves = materialize(halves.select(F.struct(*halves.columns).alias("h"), F.transform("cell", lambda c: F.floor(c / 2).cast("long")).alias("_of"), "root"), "halves")
         for s in ("a", "b"):
@@ -345,7 +305,7 @@ def cluster_by_distance(
         close = lambda x1, y1, x2, y2: haversine_m(x1, y1, x2, y2) < F.lit(float(metres))
     names = list(axes)
     side = 0.99 * reach / len(names) ** 0.5
-    pts = pts.withColumns(axes).withColumn("cell", F.array(*(_cell(k, side) for k in names)))
+    pts = pts.withColumns(axes).withColumn("cell", F.array(*(cell(k, side) for k in names)))
     roots = pts.groupBy(F.col("cell").alias("_cell")).agg(F.min("id").alias("root"))
     pts = materialize(pts.join(roots, F.col("cell") == F.col("_cell")).drop("_cell"), "points")
     steps = [s for s in product(range(-2, 3), repeat=len(names)) if s > (0,) * len(names)]
@@ -371,8 +331,8 @@ def near_segments(points: DataFrame, key: list[str], segments: DataFrame, radius
     """``key, keep`` of points and segments nearer than ``radius`` (or touching it, at radius 0)."""
     side = side or max(radius, 1e-3)
     box = {"ax": F.least("x1", "x2") - radius, "bx": F.greatest("x1", "x2") + radius, "ay": F.least("y1", "y2") - radius, "by": F.greatest("y1", "y2") + radius}
-    filed = segments.withColumns(box).withColumn("cx", F.explode(F.sequence(_cell("ax", side), _cell("bx", side)))).withColumn("cy", F.explode(F.sequence(_cell("ay", side), _cell("by", side))))
-    met = points.withColumns({"cx": _cell(x, side), "cy": _cell(y, side)}).join(filed, ["cx", "cy"])
+    filed = segments.withColumns(box).withColumn("cx", F.explode(F.sequence(cell("ax", side), cell("bx", side)))).withColumn("cy", F.explode(F.sequence(cell("ay", side), cell("by", side))))
+    met = points.withColumns({"cx": cell(x, side), "cy": cell(y, side)}).join(filed, ["cx", "cy"])
     gap = segment_distance2(F.col(x), F.col(y), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))
     return met.where(gap <= radius * radius if radius == 0 else gap < radius * radius).select(*key, *keep).distinct()
 
