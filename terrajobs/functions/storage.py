@@ -63,3 +63,43 @@ def clear(spark: SparkSession) -> None:
     For when their results are written: a result that is still to be read, and archives or indexes that were given no path, go too.
     """
     _delete(spark, _own_dir(spark))
+
+
+def swap_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place of another in one step: who reads ``path`` sees the old text or the new one whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}-{uuid.uuid4().hex}")
+    out = beside.getFileSystem(conf).create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    qualified = where.getFileSystem(conf).makeQualified(where)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(where.getFileSystem(conf).makeQualified(beside), qualified, options)
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; null where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    file = store.open(where)
+    try:
+        return bytes(file.readAllBytes()).decode()
+    finally:
+        file.close()
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file; one that is not there does no harm."""
+    _delete(spark, path)

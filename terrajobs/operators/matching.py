@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions import names
 from terrajobs.functions.columns import free_names, keyed, meets
+from terrajobs.functions.graph import connected_components
 from terrajobs.functions.storage import materialize
 from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, literal_map, loose_key, simple_name, strip_area_prefix
 from terrajobs.operators.search import holders
@@ -401,12 +402,56 @@ def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, ca
     return met.where((F.col("_item") == F.array_min(F.array_intersect("letters_few", "name_letters_few"))) & near).select("word", "name")
 
 
+#: Pairs of a group of words and names that one task takes in order; larger groups are taken by rounds.
+PAIRS_A_GROUP = 20_000
+
+
+def _by_rounds(left: DataFrame) -> DataFrame:
+    """``word, name, ratio``: pairs that are each other's best (higher ratio, then lesser word, then greater name), again and again among what is left."""
+    taken = left.limit(0)
+    left = materialize(left, "similar")
+    while not left.isEmpty():
+        by_word = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("name"))
+        by_name = Window.partitionBy("name").orderBy(F.desc("ratio"), "word")
+        mutual = left.withColumns({"_w": F.row_number().over(by_word), "_n": F.row_number().over(by_name)}).where("_w = 1 AND _n = 1").select("word", "name", "ratio")
+        mutual = materialize(mutual, "mutual")
+        taken = taken.unionByName(mutual)
+        left = materialize(left.join(mutual.select("word"), "word", "left_anti").join(mutual.select("name"), "name", "left_anti").select("word", "name", "ratio"), "similar")
+    return taken
+
+
+def _in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one group whose word and name are both free when their turn comes."""
+    pairs = pairs.sort_values(["ratio", "word", "name"], ascending=[False, True, False], kind="stable")
+    words, known, keep = set(), set(), []
+    for word, name in zip(pairs["word"], pairs["name"], strict=True):
+        free = word not in words and name not in known
+        keep.append(free)
+        if free:
+            words.add(word)
+            known.add(name)
+    return pairs.loc[keep, ["word", "name", "ratio"]]
+
+
+def assign_once(pairs: DataFrame, most: int = PAIRS_A_GROUP) -> DataFrame:
+    """``word, name, ratio``: of the pairs, in order of ratio (then lesser word, then greater name), those whose word and name are both still free.
+
+    Words and names that are linked by no chain of pairs do not bear on each other, so each connected group is taken in order by itself. Groups of over
+    ``most`` pairs are taken by rounds of pairs that are each other's best, which gives the same.
+    """
+    pairs = materialize(pairs.select("word", "name", "ratio"), "pairs")
+    ends = pairs.select(F.concat(F.lit("w"), "word").alias("src"), F.concat(F.lit("n"), "name").alias("dst"))
+    groups = connected_components(ends)
+    told = materialize(pairs.join(groups, F.concat(F.lit("w"), F.col("word")) == F.col("node")).select("word", "name", "ratio", F.col("component").alias("_group")), "grouped")
+    large = materialize(told.groupBy("_group").count().where(F.col("count") > most).select(F.col("_group").alias("_large")), "large-groups")
+    small = told.join(large, F.col("_group") == F.col("_large"), "left_anti").groupBy("_group").applyInPandas(_in_order, "word string, name string, ratio double")
+    return small.unionByName(_by_rounds(told.join(large, F.col("_group") == F.col("_large"), "left_semi").select("word", "name", "ratio")))
+
+
 def match_by_similarity(words: DataFrame, word: str, candidates: DataFrame, candidate: str, unique: bool = False) -> DataFrame:
     """``word, match, ratio``: the most similar candidate of each word whose ratio, words swapped, is above MATCH_RATIO.
 
-    The ratio is difflib's; among equals the greatest name. With ``unique`` each candidate serves one word at
-    most: pairs that are each other's best (higher ratio, then lesser word) are taken, and the rest tries again; a chain of n words
-    that each prefer the next one's candidate takes n rounds.
+    The ratio is difflib's; among equals the greatest name. With ``unique`` each candidate serves one word at most: see ``assign_once``.
 
     Pairs are looked for at MATCH_RATIO, for a match cannot have less of a bound. Only where the best of these scores less before the swap
     might a candidate outside be better, and the few words of that kind are looked for again at CANDIDATE_RATIO.
@@ -421,16 +466,5 @@ def match_by_similarity(words: DataFrame, word: str, candidates: DataFrame, cand
         top = wide.groupBy(F.col("word").alias("_word")).agg(F.max(F.struct("score", "name"))["name"].alias("_top"))
         sure = unsure.join(top, (F.col("word") == F.col("_word")) & (F.col("match") == F.col("_top")), "left_semi")
         return best.where(F.col("score") >= MATCH_RATIO).unionByName(sure).select("word", "match", "ratio")
-    left = materialize(scored.where(F.col("ratio") > MATCH_RATIO).select("word", "name", "ratio"), "similar")
-    taken = None
-    while not left.isEmpty():
-        by_word = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("name"))
-        by_name = Window.partitionBy("name").orderBy(F.desc("ratio"), "word")
-        mutual = left.withColumns({"_w": F.row_number().over(by_word), "_n": F.row_number().over(by_name)}).where("_w = 1 AND _n = 1").select("word", "name", "ratio")
-        mutual = materialize(mutual, "mutual")
-        if mutual.isEmpty():
-            break
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        left = materialize(left.join(mutual.select("word"), "word", "left_anti").join(mutual.select("name"), "name", "left_anti").select("word", "name", "ratio"), "similar")
-    out = left.limit(0) if taken is None else taken
-    return out.select("word", F.col("name").alias("match"), "ratio")
+    taken = assign_once(scored.where(F.col("ratio") > MATCH_RATIO))
+    return taken.select("word", F.col("name").alias("match"), "ratio")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terrajobs.functions.storage import delete, list_names, read_file, swap_file
 from terrajobs.functions.text import clean_name
 
 LEVELS = ("comune", "provincia", "regione")
@@ -80,15 +83,35 @@ def _known(level: str) -> str:
     return level
 
 
-def write_reference_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write comuni, provincia and regione tables (and others by name) under a folder as Parquet."""
+#: Names, in a folder of reference tables, the version that counts.
+CURRENT = "CURRENT"
+
+
+def write_reference_tables(tables: dict[str, DataFrame], folder: str) -> str:
+    """Write comuni, provincia and regione tables (and others by name) under a folder as Parquet; returns the version's name.
+
+    All tables go into a folder of their own, and only when all are there does the folder's pointer change, in one step. A reader sees the old
+    tables or the new ones, never some of each, and a job that dies leaves the old ones in place. The version before stays, for who still reads it;
+    older ones, and what dead jobs left, go. One job at a time writes to a folder.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    last = read_file(spark, f"{folder}/{CURRENT}")
+    version = f"v{0 if last is None else int(last.split('-')[0][1:]) + 1:06d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.parquet(f"{folder}/{version}/{name}")
+    swap_file(spark, f"{folder}/{CURRENT}", version)
+    for name in list_names(spark, folder):
+        if name.startswith("v") and name not in (version, last):
+            delete(spark, f"{folder}/{name}")
+    return version
 
 
 def get_areas(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    """The table of a level; an unknown level raises."""
-    return spark.read.parquet(f"{folder}/{_known(level)}")
+    """The table of a level, of the version that counts; an unknown level raises, and so does a folder without tables."""
+    name, version = _known(level), read_file(spark, f"{folder}/{CURRENT}")
+    if version is None:
+        raise FileNotFoundError(f"no reference tables in {folder}")
+    return spark.read.parquet(f"{folder}/{version}/{name}")
 
 
 def filter_administrative_changes(changes: DataFrame) -> DataFrame:
