@@ -976,16 +976,6 @@ def _dq(spark, d, columns: quality.Columns, **options) -> DataFrame:
     return quality.dq_check(_dq_rows(spark, d), columns, _comuni(spark, d), areas=areas, only_warnings=False, side=SIDE, **options)
 
 
-@query()
-def dq_check(spark, d):
-    return _dq(spark, d, _DQ_COLUMNS)
-
-
-@query()
-def dq_summary(spark, d):
-    return quality.dq_summary(_dq(spark, d, _DQ_COLUMNS), _DQ_COLUMNS)
-
-
 _WITH_DQ = WITH.rstrip() + f", told AS ({_DQ_TOLD}), rows AS ({_DQ_ROWS.format(customer='customer', told='told', boxes=duck('boxes'))}) "
 _IT = "('it', 'italy', 'italia')"
 
@@ -1063,3 +1053,75 @@ def dq_coordinates(spark, d):
 def dq_cross_hierarchy(spark, d):
     checked = _dq(spark, d, quality.Columns(regione="regione", provincia="provincia", key="id"))
     return checked.select("id", "regione_check", "regione_suggestion")
+
+
+def _dq_steps() -> list[tuple[str, dict[str, str]]]:
+    """The whole report as (condition, {column: value}) steps in turn, each over what the steps before it left."""
+
+    def flag(level: str, where: str, suggestion: str | None = "NULL") -> tuple[str, dict[str, str]]:
+        return where, {f"{level}_check": "TRUE"} | ({} if suggestion is None else {f"{level}_suggestion": suggestion})
+
+    def country(region: str) -> tuple[str, dict[str, str]]:
+        return f"{region} IS NOT NULL AND nazione IS DISTINCT FROM it", {"nazione_check": "TRUE", "nazione_suggestion": "it", "is_in_italy": "TRUE"}
+
+    def own(level: str) -> list:
+        found = f"{level}_from_{level}"
+        return [flag(level, f"{level} IS NULL AND is_in_italy", None), flag(level, f"{found} IS NULL AND is_in_italy", None), flag(level, f"{found} <> {level} OR ({found} IS NOT NULL AND {level} IS NULL)", found)]
+
+    def parent(level: str, low: str) -> list:
+        high = f"{level}_from_{level}"
+        return [flag(level, f"{low} IS NOT NULL AND {high} IS NULL", low), flag(level, f"{low} <> {high}")]
+
+    def higher(level: str, low: str) -> list:
+        high, said = f"{level}_from_{level}", f"{level}_suggestion"
+        return [flag(level, f"{low} IS NOT NULL AND {high} IS NULL AND {said} IS NULL", low), flag(level, f"{low} <> {high} OR {low} <> {said}")]
+
+    only_italy = {f"{level}_from_comune": "NULL" for level in quality.LEVELS}
+    return [
+        flag("nazione", "is_in_italy AND nazione <> it", "it"), *own("regione"), country("regione_from_regione"), *own("provincia"), country("regione_from_provincia"), *parent("regione", "regione_from_provincia"),
+        ("NOT is_in_italy", only_italy), *own("comune"), country("regione_from_comune"), *higher("regione", "regione_from_comune"), *parent("provincia", "provincia_from_comune"),
+        ("(latitudine IS NULL OR longitudine IS NULL) AND is_in_italy", {"coordinates_check": "TRUE"}), ("comune_from_coordinates IS NULL AND is_in_italy", {"coordinates_check": "TRUE"}),
+        country("regione_from_coordinates"), *higher("regione", "regione_from_coordinates"), *higher("provincia", "provincia_from_coordinates"), *parent("comune", "comune_from_coordinates"),
+    ]
+
+
+def _dq_full() -> str:
+    """CTEs up to ``checked``, the full report."""
+    named = lambda x: ", ".join(f"{_simple(f'{x}.denominazione_{level}')} AS {level}" for level in quality.LEVELS)
+    out = (
+        _WITH_DQ + f", areas AS ({_DQ_AREAS.format(comuni='comuni', boxes=duck('boxes'))}), c AS (SELECT id, {_simple('nazione')} AS nazione, {_simple('regione')} AS regione, {_simple('provincia')} AS provincia, comune, latitudine, longitudine FROM rows), "
+        f"italy AS (SELECT nazione AS it FROM c WHERE nazione IN {_IT} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), mr AS (SELECT regione, {_simple('match_key')} AS fr FROM ({match_sql('regione', 'c', 'regione')})), "
+        f"mp AS (SELECT provincia, {_simple('match_key')} AS fp, {_simple('(SELECT min(denominazione_regione) FROM comuni WHERE denominazione_provincia = match_key)')} AS up FROM ({match_sql('provincia', 'c', 'provincia')})), "
+        "t AS (SELECT c.*, mr.fr, mp.fp, mp.up, coalesce(mp.fp, c.provincia) AS told FROM c LEFT JOIN mr ON c.regione IS NOT DISTINCT FROM mr.regione LEFT JOIN mp ON c.provincia IS NOT DISTINCT FROM mp.provincia), "
+        f"mc AS (SELECT x.comune AS asked, x.told, {named('n')} FROM ({match_sql('comune', 't', 'comune', parent='told')}) x JOIN comuni n ON x.codice_comune = n.codice_comune), kc AS (SELECT x0, y0, x1, y1, {named('areas')} FROM areas), "
+        f"s0 AS (SELECT t.id, t.nazione, t.regione, t.provincia, {_simple('t.comune')} AS comune, t.latitudine, t.longitudine, italy.it, coalesce(t.nazione IN {_IT}, FALSE) AS is_in_italy, "
+        f"{', '.join(f'FALSE AS {level}_check, CAST(NULL AS VARCHAR) AS {level}_suggestion' for level in ('nazione', *quality.LEVELS))}, FALSE AS coordinates_check, t.fr AS regione_from_regione, t.fp AS provincia_from_provincia, t.up AS regione_from_provincia, "
+        f"{', '.join(f'mc.{level} AS {level}_from_comune, kc.{level} AS {level}_from_coordinates' for level in quality.LEVELS)} FROM t LEFT JOIN mc ON t.comune IS NOT DISTINCT FROM mc.asked AND t.told IS NOT DISTINCT FROM mc.told "
+        "LEFT JOIN kc ON t.longitudine > kc.x0 AND t.longitudine < kc.x1 AND t.latitudine > kc.y0 AND t.latitudine < kc.y1, italy)"
+    )
+    steps = _dq_steps()
+    for i, (where, values) in enumerate(steps):
+        replaced = ", ".join(f"CASE WHEN coalesce({where}, FALSE) THEN {v} ELSE {k} END AS {k}" for k, v in values.items())
+        out += f", s{i + 1} AS (SELECT * REPLACE ({replaced}) FROM s{i})"
+    flags = [(f"{level}_check", f"{level}_suggestion") for level in ("nazione", *quality.LEVELS)] + [("coordinates_check", None)]
+    return out + f", checked AS (SELECT * EXCLUDE (it), {_solved(flags)} FROM s{len(steps)}) "
+
+
+@query(_dq_full() + "SELECT * FROM checked")
+def dq_check(spark, d):
+    return _dq(spark, d, _DQ_COLUMNS)
+
+
+def _dq_share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN round_even({a} / CAST({b} AS DOUBLE) * 100, 1) END"
+
+
+_DQ_FIELDS = " UNION ALL ".join(
+    f"SELECT '{field}' AS field, count(*) AS n_rows, count(*) FILTER (WHERE {problem}) AS n_problems, {solved} AS n_solved FROM checked"
+    for field, problem, solved in [("*", '"check"', "count(*) FILTER (WHERE solved)"), *((x, f"{x}_check", f"count({x}_suggestion)") for x in ("nazione", *quality.LEVELS)), ("coordinates", "coordinates_check", "0")]
+)
+
+
+@query(_dq_full() + f"SELECT field, n_rows, n_problems, CAST(n_solved AS BIGINT) AS n_solved, {_dq_share('n_problems', 'n_rows')} AS problem_share, {_dq_share('n_solved', 'n_problems')} AS solved_share FROM ({_DQ_FIELDS})")
+def dq_summary(spark, d):
+    return quality.dq_summary(_dq(spark, d, _DQ_COLUMNS), _DQ_COLUMNS)
