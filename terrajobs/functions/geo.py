@@ -45,8 +45,12 @@ _DELTA = (
 
 
 def finite(v: Column) -> Column:
-    """The number, or null for NaN and the infinities: how tables that come from elsewhere hold what is missing."""
-    return F.when(F.abs(v) < float("inf"), v)
+    """The number, or null for NaN and the infinities: how tables that come from elsewhere hold what is missing.
+
+    ``v`` may be a long formula (a projection), so it is worked out once: what a finite number leaves over, divided by infinity, is itself, and of the
+    others it is NaN.
+    """
+    return F.nanvl(v % F.lit(float("inf")), F.lit(None).cast("double"))
 
 
 def _to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
