@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terrajobs.functions import names
 
-#: Elements whose direct text is not shown on a page.
-HIDDEN_ELEMENTS = frozenset({"noscript", "header", "html", "meta", "head", "input", "script", ""})
-_VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
-
 
 @lru_cache(maxsize=1)
 def _ascii_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
@@ -132,49 +125,6 @@ def human_format(col: Column) -> Column:
     return F.when(col.isNotNull(), F.concat(number, F.element_at(F.array(*map(F.lit, ["", "K", "M", "B", "T"])), power + 1)))
 
 
-class _Text(HTMLParser):
-    """Text by the element that directly holds it."""
-
-    def __init__(self, hidden: frozenset):
-        super().__init__(convert_charrefs=True)
-        self.hidden, self.open, self.out = hidden, [], []
-
-    def handle_starttag(self, tag, attrs):
-        if tag not in _VOID:
-            self.open.append(tag)
-
-    def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        if (self.open[-1] if self.open else "") not in self.hidden:
-            self.out.append(data)
-
-
-def page_text(html: str | None, hidden: frozenset = HIDDEN_ELEMENTS) -> str | None:
-    """Text nodes whose direct parent is shown, lower case, with spaces for all but letters, digits and full stops."""
-    if html is None:
-        return None
-    parser = _Text(hidden)
-    parser.feed(html)
-    parser.close()
-    return re.sub(r"\s+", " ", re.sub(r"[^\w.]|_", " ", " ".join(parser.out).lower())).strip()
-
-
-@F.pandas_udf(T.StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    """Shown text of pages; a native tag strip would trust the ``</p>`` in scripts."""
-    return html.map(page_text)
-
-
-@F.pandas_udf(T.StringType())
-def html_to_all_text(html: pd.Series) -> pd.Series:
-    """Text of pages, whatever element holds it."""
-    return html.map(lambda h: page_text(h, frozenset()))
-
-
 def address_parts(col: Column) -> dict[str, Column]:
     """Cleaned parts of "[comune2, ]comune1, provincia, regione[, cap], Italia"; null where the address is otherwise."""
     parts = F.split(col, ", ")

@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrajobs.functions import geo, names, sql, text
+from terrajobs.functions import geo, markup, names, sql, text
 from terrajobs.jobs.derived import derive, duck
 from terrajobs.operators import geocode, maps, matching, outline, quality, registry, roads, search, spatial
 from terrajobs.sources import tables
@@ -385,9 +385,30 @@ def match_localities_from_pages(spark, d):
     return matching.match_localities_from_pages(asked, "nome", said, _comuni(spark, d), html=None)
 
 
-@query()
+def _html_sql(hidden: frozenset) -> str:
+    """(page_id, text) of pages as these tables have them: every tag ends, and references are of punctuation alone."""
+    name, quoted = r"lower(regexp_extract(x.tok, '^</?([a-zA-Z][^\s/>]*)', 1))", lambda words: ", ".join(map(sql.quote, sorted(words)))
+    within = f"CASE WHEN list_contains(s.open, {name}) THEN s.open[1:len(s.open) - list_position(list_reverse(s.open), {name})] ELSE s.open END"
+    open_ = f"CASE WHEN regexp_matches(x.tok, '^(<script|<style|<!)') THEN s.open WHEN x.tok LIKE '</%' THEN {within} WHEN x.tok LIKE '<%' AND {name} NOT IN ({quoted(markup.VOID_ELEMENTS)}) THEN list_append(s.open, {name}) ELSE s.open END"
+    raw = " ".join(f"WHEN x.tok LIKE '<{n}%' THEN list_append(s.out, regexp_extract(x.tok, '(?s)^[^>]*>(.*)<', 1))" for n in ("script", "style") if n not in hidden)
+    shown = f"AND coalesce(s.open[-1], '') NOT IN ({quoted(hidden)})" if hidden else ""
+    out = f"CASE {raw} WHEN x.tok NOT LIKE '<%' {shown} THEN list_append(s.out, x.tok) ELSE s.out END"
+    tokens = "regexp_extract_all(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+')"
+    state = lambda tok: f"{{'tok': {tok}, 'open': []::VARCHAR[], 'out': []::VARCHAR[]}}"
+    folded = f"list_reduce(list_transform({tokens}, lambda t: {state('t')}), lambda s, x: {{'tok': x.tok, 'open': {open_}, 'out': {out}}}, {state(chr(39) * 2)})"
+    plain = r"trim(regexp_replace(lower(regexp_replace(array_to_string(r.out, ' '), '&(amp|copy|middot|quot|lt|gt|nbsp);?', ' ', 'g')), '[^\p{L}\p{N}.]+', ' ', 'g'))"
+    return f"SELECT page_id, CASE WHEN html IS NOT NULL THEN {plain} END AS text FROM (SELECT page_id, html, {folded} AS r FROM pages)"
+
+
+@query(_html_sql(markup.HIDDEN_ELEMENTS))
 def html_to_text(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_to_text("html").alias("text"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", markup.html_to_text("html").alias("text"))
+
+
+@query(_html_sql(frozenset()))
+def html_to_all_text(spark, d):
+    """Text of pages, scripts and heads included."""
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", markup.html_to_all_text("html").alias("text"))
 
 
 def _misspelled(spark, d) -> DataFrame:
@@ -800,7 +821,7 @@ def _said_streets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query()
 def expand_abbreviations(spark, d):
     """Streets that pages say, over all pages."""
-    asked, texts = _said_streets(spark.read.parquet(f"{d}/pages.parquet").select(F.split(text.html_to_all_text("html"), " ").alias("words")))
+    asked, texts = _said_streets(spark.read.parquet(f"{d}/pages.parquet").select(F.split(markup.html_to_all_text("html"), " ").alias("words")))
     return geocode.expand_abbreviations(asked, "search", texts, html=None)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terrajobs.functions import names
 from terrajobs.functions.columns import attach, free_names
 from terrajobs.functions.geo import finite
+from terrajobs.functions.markup import html_to_all_text
 from terrajobs.functions.storage import materialize
-from terrajobs.functions.text import html_to_all_text, simple_name
+from terrajobs.functions.text import simple_name
 from terrajobs.operators.nearest import nearest_points
 from terrajobs.operators.search import search
 

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from terrajobs.functions import names
 from terrajobs.functions.columns import free_names, keyed, meets
 from terrajobs.functions.graph import connected_components
+from terrajobs.functions.markup import html_to_text
 from terrajobs.functions.storage import materialize
-from terrajobs.functions.text import address_parts, clean_name, english_to_italian, html_to_text, literal_map, loose_key, simple_name, strip_area_prefix
+from terrajobs.functions.text import address_parts, clean_name, english_to_italian, literal_map, loose_key, simple_name, strip_area_prefix
 from terrajobs.operators.search import holders
 
 #: A candidate needs this ratio to be one, and a match more than this with the words swapped.

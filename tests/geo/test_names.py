@@ -55,12 +55,6 @@ def test_identifier_kind(spark):
             matching.key_column_for(*bad)
 
 
-def test_html_to_text():
-    page = "<html><head><title>Titolo</title></head><body><script>var t='</p>';</script><p>Ciao <b>Mondo</b>!</p><header>no</header></body></html>"
-    assert text.page_text(page) == "titolo ciao mondo"
-    assert text.page_text(None) is None and "no" in text.page_text(page, frozenset())
-
-
 REGISTRY = [
     ("Milano", "Milano", "MI", "Lombardia"), ("Firenze", "Firenze", "FI", "Toscana"), ("Alto Reno Terme", "Bologna", "BO", "Emilia-Romagna"), ("Baranzate", "Milano", "MI", "Lombardia"),
     ("Treviglio", "Bergamo", "BG", "Lombardia"), ("Livo", "Como", "CO", "Lombardia"), ("Livo", "Trento", "TN", "Trentino-Alto Adige"), ("Roma", "Roma", "RM", "Lazio"), ("Ardea", "Roma", "RM", "Lazio"),
