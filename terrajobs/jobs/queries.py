@@ -818,23 +818,27 @@ def _said_streets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, named.select(F.concat_ws(" ", F.when(F.col("plain"), F.concat_ws(" ", F.lit("via"), "a", "b")), F.array_join("words", " ")).alias("text"))
 
 
-@query()
+_ROADS_SQL = ", ".join(sql.quote(x) for x in names.ROAD_PREFIXES)
+
+
+def _streets_sql(texts: str) -> str:
+    """(search, expanded) over the words of ``texts``: by every window of three words that begins with a road."""
+    return (
+        f"WITH t AS (SELECT words, coalesce(regexp_full_match(words[3], '[a-z]{{3,}}') AND regexp_full_match(words[4], '[a-z]{{3,}}'), FALSE) AS plain FROM ({texts})), asked AS (SELECT DISTINCT words[3][1] AS letter, words[4] AS name FROM t WHERE plain), "
+        "said AS (SELECT CASE WHEN plain THEN list_concat(['via', words[3], words[4]], words) ELSE words END AS w FROM t), places AS (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM said), "
+        f"windows AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS said, w[i + 1][1] AS letter, w[i + 2] AS name FROM places WHERE w[i] IN ({_ROADS_SQL}) AND regexp_full_match(w[i + 1], '[a-z]{{2,}}')) "
+        "SELECT 'via ' || letter || '. ' || name AS search, min(said) AS expanded FROM asked JOIN windows USING (letter, name) GROUP BY 1 HAVING count(*) = 1"
+    )
+
+
+@query(_streets_sql(f"SELECT string_split(text, ' ') AS words FROM ({_html_sql(frozenset())}) WHERE text IS NOT NULL"))
 def expand_abbreviations(spark, d):
     """Streets that pages say, over all pages."""
     asked, texts = _said_streets(spark.read.parquet(f"{d}/pages.parquet").select(F.split(markup.html_to_all_text("html"), " ").alias("words")))
     return geocode.expand_abbreviations(asked, "search", texts, html=None)
 
 
-_PLAIN_WORDS = "SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL"
-_ROADS_SQL = ", ".join(sql.quote(x) for x in names.ROAD_PREFIXES)
-
-
-@query(
-    f"WITH t AS (SELECT words, coalesce(regexp_full_match(words[3], '[a-z]{{3,}}') AND regexp_full_match(words[4], '[a-z]{{3,}}'), FALSE) AS plain FROM ({_PLAIN_WORDS})), asked AS (SELECT DISTINCT words[3][1] AS letter, words[4] AS name FROM t WHERE plain), "
-    "said AS (SELECT CASE WHEN plain THEN list_concat(['via', words[3], words[4]], words) ELSE words END AS w FROM t), places AS (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM said), "
-    f"windows AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS said, w[i + 1][1] AS letter, w[i + 2] AS name FROM places WHERE w[i] IN ({_ROADS_SQL}) AND regexp_full_match(w[i + 1], '[a-z]{{2,}}')) "
-    "SELECT 'via ' || letter || '. ' || name AS search, min(said) AS expanded FROM asked JOIN windows USING (letter, name) GROUP BY 1 HAVING count(*) = 1"
-)
+@query(_streets_sql("SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL"))
 def expand_abbreviations_in_documents(spark, d):
     """Streets that documents say, over the words of all documents."""
     docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL")
