@@ -10,6 +10,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrajobs.functions import geo, markup, names, sql, text
+from terrajobs.functions.storage import materialize
 from terrajobs.jobs.derived import derive, duck
 from terrajobs.operators import geocode, maps, matching, outline, quality, registry, roads, search, spatial
 from terrajobs.sources import tables
@@ -413,13 +414,14 @@ def html_to_all_text(spark, d):
 
 def _misspelled(spark, d) -> DataFrame:
     """Every name of the registry, distorted by its code: a letter lost, two swapped or one put in."""
-    n = F.lower("denominazione_comune")
+    comuni = materialize(_comuni(spark, d).select(F.lower("denominazione_comune").alias("name"), "codice_comune"), "names")
+    n = F.col("name")
     half = (F.length(n) / 2).cast("int")
     code = F.col("codice_comune") % 3
     lost = F.concat(F.substring(n, F.lit(1), half), F.substring(n, half + 2, F.length(n)))
     put_in = F.concat(F.substring(n, F.lit(1), half), F.lit("x"), F.substring(n, half + 1, F.length(n)))
     swapped = F.concat(F.substring(n, F.lit(1), half), F.substring(n, half + 2, F.lit(1)), F.substring(n, half + 1, F.lit(1)), F.substring(n, half + 3, F.length(n)))
-    return _comuni(spark, d).select(F.when(code == 0, lost).when(code == 1, put_in).otherwise(swapped).alias("word"), n.alias("name"))
+    return comuni.select(F.when(code == 0, lost).when(code == 1, put_in).otherwise(swapped).alias("word"), "name")
 
 
 @query()

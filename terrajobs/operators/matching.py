@@ -6,9 +6,13 @@ broadcasts where the registry is small, and the whole input meets it once. Areas
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terrajobs.functions import names
@@ -384,23 +388,70 @@ def _letters(col: str) -> Column:
     return F.array_sort(F.transform(F.array(F.array_sort(chars)), body)[0])
 
 
+#: Texts that a word may give by deletions, at most, to meet words of one other length under them; lengths that ask for more meet under rare letters.
+MOST_DELETED = 1_000
+
+
+def _partners(n: int, least: float) -> list[tuple[int, int, bool]]:
+    """(m, common, few): the lengths of words that can reach ``least`` with one of ``n`` letters, the letters that both must then have in one order, and
+    whether few enough texts are left when the others are deleted."""
+    low = least / (2 - least)
+    out = []
+    for m in range(max(1, math.ceil(n * low - 1e-9)), math.floor(n / low + 1e-9) + 1):
+        common = math.ceil(least * (n + m) / 2 - 1e-9)
+        if common <= min(n, m):
+            out.append((m, common, max(math.comb(n, common), math.comb(m, common)) <= MOST_DELETED))
+    return out
+
+
+def _deleted(least: float, ours: bool):
+    """Arrow UDF: what deletions leave of a word, with both lengths, for every length that gives few; ``ours``: whose length comes first."""
+
+    def texts(word: str) -> list[str]:
+        n = len(word)
+        of = [((n, m) if ours else (m, n), common) for m, common, few in _partners(n, least) if few]
+        kept = {common: {"".join(c) for c in combinations(word, common)} for common in {common for _, common in of}}
+        return [f"{a} {b} {c}" for (a, b), common in of for c in kept[common]]
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def told(words: pa.Array) -> pa.Array:
+        return pa.array([texts(w) for w in words.to_pylist()], pa.list_(pa.string()))
+
+    return told
+
+
+def _lengths(least: float):
+    """Arrow UDF: the lengths that words of a length meet under rare letters, with the letters that both must have."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("m", T.IntegerType()), T.StructField("common", T.IntegerType())])))
+    def told(n: pa.Array) -> pa.Array:
+        rows = [[{"m": m, "common": common} for m, common, few in _partners(x, least) if not few] for x in n.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("m", pa.int32()), ("common", pa.int32())])))
+
+    return told
+
+
 def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, candidate: str, least: float = CANDIDATE_RATIO) -> DataFrame:
-    """Pairs whose ratio can reach ``least``, by bounds that lose none: lengths and shared letters.
+    """Pairs whose ratio can reach ``least``, each once, by bounds that lose none.
 
-    A pair that shares enough letters shares one of the rarest few of each word, however they are chosen, so words and names are filed
-    under these and pairs with no rare letter in common never meet; a pair that meets under several counts under the first.
+    What difflib matches in two words stands in both in one order, so a pair of that ratio has so many letters in common: deleting the others gives
+    the same text. Words of lengths for which there are few such texts meet under these; what meets is then nearly all similar, however
+    many words have the same letters. For other lengths a pair that shares enough letters shares one of the rarest few of each word, however they are chosen;
+    a pair that meets under several counts under the first.
     """
-    low = least / (2 - least) - 1e-9
+    plain = lambda df, col, name: df.select(F.col(col).alias(name)).where(f"{name} IS NOT NULL AND {name} <> ''").distinct()
+    ours, theirs = plain(words, word, "word"), plain(candidates, candidate, "name")
+    key = lambda df, col, first: df.withColumn("_text", F.explode(_deleted(least, first)(col))).select(col, F.xxhash64("_text").alias("_key"))
+    close = key(ours, "word", True).join(key(theirs, "name", False), "_key").select("word", "name").distinct()
 
-    def filed(df: DataFrame, col: str, name: str, items: str) -> DataFrame:
-        rows = df.select(F.col(col).alias(name)).where(f"{name} IS NOT NULL AND {name} <> ''").distinct().withColumn(items, _letters(name))
-        few = (F.size(items) - F.ceil(F.size(items) * low) + 1).cast("int")
-        return rows.withColumn(f"{items}_few", F.slice(items, 1, few)).withColumn("_item", F.explode(f"{items}_few"))
+    def filed(df: DataFrame, name: str, items: str, n: str, m: str) -> DataFrame:
+        rows = df.withColumn(n, F.length(name)).withColumn("_with", F.explode(_lengths(least)(n))).select(name, n, F.col("_with.m").alias(m), F.col("_with.common").alias("_common"))
+        rows = rows.withColumn(items, _letters(name)).withColumn(f"{items}_few", F.slice(items, F.lit(1), F.size(items) - F.col("_common") + 1)).drop("_common")
+        return rows.withColumn("_item", F.explode(f"{items}_few"))
 
-    met = filed(words, word, "word", "letters").join(filed(candidates, candidate, "name", "name_letters"), "_item")
-    n, m = F.size("letters"), F.size("name_letters")
-    near = (n >= m * low) & (m >= n * low) & (2 * F.size(F.array_intersect("letters", "name_letters")) >= (least - 1e-9) * (n + m))
-    return met.where((F.col("_item") == F.array_min(F.array_intersect("letters_few", "name_letters_few"))) & near).select("word", "name")
+    met = filed(ours, "word", "letters", "_n", "_m").join(filed(theirs, "name", "name_letters", "_m", "_n"), ["_item", "_n", "_m"])
+    near = 2 * F.size(F.array_intersect("letters", "name_letters")) >= (least - 1e-9) * (F.col("_n") + F.col("_m"))
+    return close.unionByName(met.where((F.col("_item") == F.array_min(F.array_intersect("letters_few", "name_letters_few"))) & near).select("word", "name"))
 
 
 #: Pairs of a group of words and names that one task takes in order; larger groups are taken by rounds.
@@ -449,23 +500,44 @@ def assign_once(pairs: DataFrame, most: int = PAIRS_A_GROUP) -> DataFrame:
     return small.unionByName(_by_rounds(told.join(large, F.col("_group") == F.col("_large"), "left_semi").select("word", "name", "ratio")))
 
 
+#: Pairs are looked for at these ratios, one after the other: words that have their match at the first take no part in the wider search of the next.
+STEPS = (0.92, MATCH_RATIO)
+
+
+def _scored(words: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """``word, name, score, ratio`` of pairs of ``words`` (word) and ``candidates`` (name): the ratio of the candidate to the word and, swapped, of the word to it."""
+    pairs = similarity_candidates(words, "word", candidates, "name", least).repartition("word", "name")
+    return materialize(pairs.withColumns({"score": _ratio("name", "word"), "ratio": _ratio("word", "name")}).where(F.col("score") >= CANDIDATE_RATIO), "scored")
+
+
 def match_by_similarity(words: DataFrame, word: str, candidates: DataFrame, candidate: str, unique: bool = False) -> DataFrame:
     """``word, match, ratio``: the most similar candidate of each word whose ratio, words swapped, is above MATCH_RATIO.
 
     The ratio is difflib's; among equals the greatest name. With ``unique`` each candidate serves one word at most: see ``assign_once``.
 
-    Pairs are looked for at MATCH_RATIO, for a match cannot have less of a bound. Only where the best of these scores less before the swap
-    might a candidate outside be better, and the few words of that kind are looked for again at CANDIDATE_RATIO.
+    Pairs are looked for at the STEPS down to MATCH_RATIO, for a match cannot have less of a bound. The best of a word at a step is its best of all, for all others
+    score less than the step; with ``unique``, pairs of a step come before all others in order, and what they take is out. Only where the best of the last step
+    scores less before the swap might a candidate outside be better, and the few words of that kind are looked for again at CANDIDATE_RATIO.
     """
-    pairs = similarity_candidates(words, word, candidates, candidate, MATCH_RATIO).repartition("word", "name")
-    scored = materialize(pairs.withColumns({"score": _ratio("name", "word"), "ratio": _ratio("word", "name")}).where(F.col("score") >= CANDIDATE_RATIO), "scored")
-    if not unique:
-        best = scored.groupBy("word").agg(F.max(F.struct("score", "name", "ratio")).alias("b")).select("word", "b.*").where(F.col("ratio") > MATCH_RATIO)
-        best = materialize(best.withColumnRenamed("name", "match"), "best")
-        unsure = best.where(F.col("score") < MATCH_RATIO)
-        wide = similarity_candidates(unsure, "word", candidates, candidate).repartition("word", "name").withColumn("score", _ratio("name", "word"))
+    left = materialize(words.select(F.col(word).alias("word")).where("word IS NOT NULL AND word <> ''").distinct(), "words")
+    known = materialize(candidates.select(F.col(candidate).alias("name")).where("name IS NOT NULL AND name <> ''").distinct(), "names")
+    if unique:
+        free, taken = known, []
+        for least in STEPS:
+            pairs = _scored(left, free, least).where(F.col("ratio") > MATCH_RATIO)
+            taken.append(materialize(assign_once(pairs.where(F.col("ratio") >= least)), "taken"))
+            left, free = materialize(left.join(taken[-1], "word", "left_anti"), "words"), materialize(free.join(taken[-1], "name", "left_anti"), "names")
+        return reduce(DataFrame.unionByName, taken).select("word", F.col("name").alias("match"), "ratio")
+    found = []
+    for least in STEPS:
+        best = _scored(left, known, least).groupBy("word").agg(F.max(F.struct("score", "name", "ratio")).alias("b")).select("word", F.col("b.score").alias("score"), F.col("b.name").alias("match"), F.col("b.ratio").alias("ratio"))
+        best = materialize(best, "best")
+        sure = best.where(F.col("score") >= least)
+        found.append(sure)
+        left = materialize(left.join(sure, "word", "left_anti"), "words")
+    unsure = best.where((F.col("score") < MATCH_RATIO) & (F.col("ratio") > MATCH_RATIO))
+    if not unsure.isEmpty():
+        wide = similarity_candidates(unsure, "word", known, "name").repartition("word", "name").withColumn("score", _ratio("name", "word"))
         top = wide.groupBy(F.col("word").alias("_word")).agg(F.max(F.struct("score", "name"))["name"].alias("_top"))
-        sure = unsure.join(top, (F.col("word") == F.col("_word")) & (F.col("match") == F.col("_top")), "left_semi")
-        return best.where(F.col("score") >= MATCH_RATIO).unionByName(sure).select("word", "match", "ratio")
-    taken = assign_once(scored.where(F.col("ratio") > MATCH_RATIO))
-    return taken.select("word", F.col("name").alias("match"), "ratio")
+        found.append(unsure.join(top, (F.col("word") == F.col("_word")) & (F.col("match") == F.col("_top")), "left_semi"))
+    return reduce(DataFrame.unionByName, found).where(F.col("ratio") > MATCH_RATIO).select("word", "match", "ratio")

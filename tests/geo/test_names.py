@@ -224,3 +224,32 @@ def test_similarity_by_rare_letters_loses_nothing(spark):
         free -= set(mutual.values())
         pairs = {(w, c): r for (w, c), r in pairs.items() if w not in taken and c in free}
     assert {r["word"]: r["match"] for r in chain} == taken
+
+
+def test_words_of_the_same_letters_do_not_all_meet(spark):
+    """The reviewed case: names of few syllables, whose rarest letters nearly all others have too."""
+    from difflib import SequenceMatcher
+
+    made = lambda i: "borgo " + "".join(("ba", "ce", "di", "fo", "gu", "la", "me", "ni", "po", "ru")[int(d)] for d in f"{i:04d}")
+    known = [made(i) for i in range(0, 9000, 3)]
+    words = [w[:8] + w[9:] if i % 2 else w[:9] + w[10] + w[9] + w[11:] for i, w in enumerate(known)]
+    df, reg = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(k,) for k in known], "name string")
+    pairs = {tuple(r) for r in matching.similarity_candidates(df, "word", reg, "name", 0.92).collect()}
+    assert len(pairs) < 20 * len(words)
+    for w in words[::150]:
+        assert {k for k in known if SequenceMatcher(None, k, w).ratio() >= 0.92} <= {k for x, k in pairs if x == w}
+    got = {r["word"]: (r["match"], r["ratio"]) for r in matching.match_by_similarity(df, "word", reg, "name").collect()}
+    for w in words[::150]:
+        score, best = max((SequenceMatcher(None, k, w).ratio(), k) for k in known)
+        assert got[w] == (best, SequenceMatcher(None, w, best).ratio())
+
+
+def test_long_words_meet_under_letters(spark):
+    from difflib import SequenceMatcher
+
+    known = ["san giovanni in persiceto di sopra", "castelnuovo di garfagnana alta", "santa maria della versa e monti"]
+    words = ["san giovani in persiceto di sopr", "castelnovo garfagnana alta", "santa mara versa e monti", "san giovanni"]
+    df, reg = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(k,) for k in known], "name string")
+    for least in (0.6, 0.85, 0.92):
+        pairs = [tuple(r) for r in matching.similarity_candidates(df, "word", reg, "name", least).collect()]
+        assert len(set(pairs)) == len(pairs) and {(w, k) for w in words for k in known if SequenceMatcher(None, k, w).ratio() >= least} <= set(pairs)
