@@ -73,3 +73,16 @@ def test_missing_coordinates_take_no_part(spark):
     points = [(0, 5.1, 5.1), (1, nan, 5.0), (2, 5.0, -inf), (3, None, 5.0)]
     assert answers(spark, points, targets, 3) == {0: [2, 4]}
     assert answers(spark, points, [], 3) == {} and answers(spark, [], targets, 1) == {} and answers(spark, points, targets, 0) == {}
+
+
+def test_points_meet_cells_by_blocks(spark, monkeypatch):
+    """The reviewed case: every point met the cells of every table by itself."""
+    import numpy as np
+
+    z = np.sort(np.random.default_rng(3).integers(0, 1 << 48, 5000))
+    block = nearest._cut(np.concatenate([z, np.full(600, z[-1])]))
+    assert (np.diff(block) != 0).sum() == len(set(block.tolist())) - 1 and np.bincount(block).max() <= nearest.BLOCK and len(set(block.tolist())) < 200
+    monkeypatch.setattr(nearest, "CHUNK", nearest.FEW)
+    rng = random.Random(5)
+    points, targets = [(i, rng.uniform(7, 18), rng.uniform(36, 47)) for i in range(400)], [(i, rng.uniform(7, 18), rng.uniform(36, 47)) for i in range(3000)]
+    assert answers(spark, points, targets, 3) == brute(points, targets, 3)
