@@ -836,7 +836,9 @@ def _streets_sql(texts: str) -> str:
 @query(_streets_sql(f"SELECT string_split(text, ' ') AS words FROM ({_html_sql(frozenset())}) WHERE text IS NOT NULL"))
 def expand_abbreviations(spark, d):
     """Streets that pages say, over all pages."""
-    asked, texts = _said_streets(spark.read.parquet(f"{d}/pages.parquet").select(F.split(markup.html_to_all_text("html"), " ").alias("words")))
+    # Both the streets and the texts are read from it, so pages become text once.
+    said = materialize(spark.read.parquet(f"{d}/pages.parquet").select(markup.html_to_all_text("html").alias("text")), "page-texts")
+    asked, texts = _said_streets(said.select(F.split("text", " ").alias("words")))
     return geocode.expand_abbreviations(asked, "search", texts, html=None)
 
 

@@ -94,7 +94,9 @@ def expand_abbreviations(failed: DataFrame, search: str, pages: DataFrame, html:
     shapes = asked.select("n_road", "n_letters", "n_name", "any_road").distinct().collect()
     if not shapes:
         return asked.select(search, F.col(search).alias("expanded")).limit(0)
-    texts = pages.select(F.split(html_to_all_text(html) if html else F.col("text"), " ").alias("words")).where("words IS NOT NULL")
+    # A page becomes text once: a filter over the text would go below it and do so again.
+    texts = materialize(pages.select(html_to_all_text(html).alias("text")), "page-texts") if html else pages.select("text")
+    texts = texts.where("text IS NOT NULL").select(F.split("text", " ").alias("words"))
     windows = texts.select(F.explode(F.concat(*(_windows(F.col("words"), *shape) for shape in shapes))).alias("w")).select("w.*")
     spelled = windows.groupBy("key").agg(F.min("said").alias("expanded"), F.max("said").alias("_other")).where("expanded = _other")
     return asked.join(spelled, "key").select(search, "expanded")

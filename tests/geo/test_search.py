@@ -121,3 +121,11 @@ def test_a_word_on_every_page_grows_no_row(spark):
     assert [tuple(r) for r in out.collect()] == [("via b. roma", "via bruno roma")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Python" not in plan
+
+
+def test_pages_become_text_once(spark):
+    """The reviewed case: filters and both readers of a page's text made it anew; what is left of the plan reads texts."""
+    pages = spark.createDataFrame([("<p>in via anna roma</p>",), (None,)], "html string")
+    asked = spark.createDataFrame([("via a. roma",)], "s string")
+    out = geocode.expand_abbreviations(asked, "s", pages)
+    assert [tuple(r) for r in out.collect()] == [("via a. roma", "via anna roma")] and "html" not in out._jdf.queryExecution().executedPlan().toString()
