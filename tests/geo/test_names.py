@@ -253,3 +253,13 @@ def test_long_words_meet_under_letters(spark):
     for least in (0.6, 0.85, 0.92):
         pairs = [tuple(r) for r in matching.similarity_candidates(df, "word", reg, "name", least).collect()]
         assert len(set(pairs)) == len(pairs) and {(w, k) for w in words for k in known if SequenceMatcher(None, k, w).ratio() >= least} <= set(pairs)
+
+
+def test_one_to_one_takes_the_same_at_any_steps(spark, monkeypatch):
+    """Pairs of a step come before all others, and what they take is out: one step gives what two give."""
+    known = ["borgo bace", "borgo bale", "borgo bade", "castel dido", "castel dodi", "villa gula", "villa gulu", "monte"]
+    words = ["borgo bac", "borgo bacee", "borgo blae", "castel ddo", "castel dodo", "villa gulla", "vila gula", "mont", "xxx"]
+    df, reg = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(k,) for k in known], "name string")
+    two = {tuple(r) for r in matching.match_by_similarity(df, "word", reg, "name", unique=True).collect()}
+    monkeypatch.setattr(matching, "STEPS", (matching.MATCH_RATIO,))
+    assert two and two == {tuple(r) for r in matching.match_by_similarity(df, "word", reg, "name", unique=True).collect()}
