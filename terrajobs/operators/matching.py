@@ -7,6 +7,7 @@ broadcasts where the registry is small, and the whole input meets it once. Areas
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 from itertools import combinations
@@ -431,6 +432,14 @@ def _lengths(least: float):
     return told
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows over all shuffle partitions: names are few bytes, which Spark would else hand to one task, however much each asks of it.
+
+    By no column, for a shuffle by columns that a step before has used is left out, and its small partitions put together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, candidate: str, least: float = CANDIDATE_RATIO) -> DataFrame:
     """Pairs whose ratio can reach ``least``, each once, by bounds that lose none.
 
@@ -439,7 +448,7 @@ def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, ca
     many words have the same letters. For other lengths a pair that shares enough letters shares one of the rarest few of each word, however they are chosen;
     a pair that meets under several counts under the first.
     """
-    plain = lambda df, col, name: df.select(F.col(col).alias(name)).where(f"{name} IS NOT NULL AND {name} <> ''").distinct()
+    plain = lambda df, col, name: _dealt(df.select(F.col(col).alias(name)).where(f"{name} IS NOT NULL AND {name} <> ''").distinct())
     ours, theirs = plain(words, word, "word"), plain(candidates, candidate, "name")
     key = lambda df, col, first: df.withColumn("_text", F.explode(_deleted(least, first)(col))).select(col, F.xxhash64("_text").alias("_key"))
     close = key(ours, "word", True).join(key(theirs, "name", False), "_key").select("word", "name").distinct()
@@ -458,55 +467,72 @@ def similarity_candidates(words: DataFrame, word: str, candidates: DataFrame, ca
 PAIRS_A_GROUP = 20_000
 
 
+def _each_others_best(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, name, ratio``: pairs that are each other's best (higher ratio, then lesser word, then greater name), and those whose word and name are still free then."""
+    by_word = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("name"))
+    by_name = Window.partitionBy("name").orderBy(F.desc("ratio"), "word")
+    mutual = left.withColumns({"_w": F.row_number().over(by_word), "_n": F.row_number().over(by_name)}).where("_w = 1 AND _n = 1").select("word", "name", "ratio")
+    mutual = materialize(mutual, "mutual")
+    rest = left.join(mutual.select("word"), "word", "left_anti").join(mutual.select("name"), "name", "left_anti").select("word", "name", "ratio")
+    return mutual, materialize(rest, "similar")
+
+
 def _by_rounds(left: DataFrame) -> DataFrame:
-    """``word, name, ratio``: pairs that are each other's best (higher ratio, then lesser word, then greater name), again and again among what is left."""
+    """``word, name, ratio``: pairs that are each other's best, again and again among what is left."""
     taken = left.limit(0)
     left = materialize(left, "similar")
     while not left.isEmpty():
-        by_word = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("name"))
-        by_name = Window.partitionBy("name").orderBy(F.desc("ratio"), "word")
-        mutual = left.withColumns({"_w": F.row_number().over(by_word), "_n": F.row_number().over(by_name)}).where("_w = 1 AND _n = 1").select("word", "name", "ratio")
-        mutual = materialize(mutual, "mutual")
+        mutual, left = _each_others_best(left)
         taken = taken.unionByName(mutual)
-        left = materialize(left.join(mutual.select("word"), "word", "left_anti").join(mutual.select("name"), "name", "left_anti").select("word", "name", "ratio"), "similar")
     return taken
 
 
-def _in_order(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one group whose word and name are both free when their turn comes."""
-    pairs = pairs.sort_values(["ratio", "word", "name"], ascending=[False, True, False], kind="stable")
-    words, known, keep = set(), set(), []
-    for word, name in zip(pairs["word"], pairs["name"], strict=True):
-        free = word not in words and name not in known
-        keep.append(free)
-        if free:
-            words.add(word)
-            known.add(name)
-    return pairs.loc[keep, ["word", "name", "ratio"]]
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of pairs that come group by group and in order: those whose word and name are both free when their turn comes."""
+    group, words, known = None, set(), set()
+    for pairs in batches:
+        keep = []
+        for of, word, name in zip(pairs["_group"], pairs["word"], pairs["name"], strict=True):
+            if of != group:
+                group, words, known = of, set(), set()
+            free = word not in words and name not in known
+            keep.append(free)
+            if free:
+                words.add(word)
+                known.add(name)
+        yield pairs.loc[keep, ["word", "name", "ratio"]]
 
 
 def assign_once(pairs: DataFrame, most: int = PAIRS_A_GROUP) -> DataFrame:
     """``word, name, ratio``: of the pairs, in order of ratio (then lesser word, then greater name), those whose word and name are both still free.
 
-    Words and names that are linked by no chain of pairs do not bear on each other, so each connected group is taken in order by itself. Groups of over
-    ``most`` pairs are taken by rounds of pairs that are each other's best, which gives the same.
+    Pairs that are each other's best are among them, and so are those that are so among what is left. Such rounds go on while each leaves less than a third
+    of the pairs: nearly all are settled then, where names are told apart. Words and names that are linked by no chain of the other pairs do not bear on each
+    other, so each connected group is taken in order by itself; groups of over ``most`` pairs by rounds to the end, which gives the same.
     """
     pairs = materialize(pairs.select("word", "name", "ratio"), "pairs")
+    taken, n, left = pairs.limit(0), 0, pairs.count()
+    while left and (not n or 3 * left < n):
+        best, pairs = _each_others_best(pairs)
+        taken, n, left = taken.unionByName(best), left, pairs.count()
+    if not left:
+        return taken
     ends = pairs.select(F.concat(F.lit("w"), "word").alias("src"), F.concat(F.lit("n"), "name").alias("dst"))
     groups = connected_components(ends)
     told = materialize(pairs.join(groups, F.concat(F.lit("w"), F.col("word")) == F.col("node")).select("word", "name", "ratio", F.col("component").alias("_group")), "grouped")
     large = materialize(told.groupBy("_group").count().where(F.col("count") > most).select(F.col("_group").alias("_large")), "large-groups")
-    small = told.join(large, F.col("_group") == F.col("_large"), "left_anti").groupBy("_group").applyInPandas(_in_order, "word string, name string, ratio double")
-    return small.unionByName(_by_rounds(told.join(large, F.col("_group") == F.col("_large"), "left_semi").select("word", "name", "ratio")))
+    small = told.join(large, F.col("_group") == F.col("_large"), "left_anti").repartition("_group").sortWithinPartitions("_group", F.desc("ratio"), "word", F.desc("name"))
+    rounds = _by_rounds(told.join(large, F.col("_group") == F.col("_large"), "left_semi").select("word", "name", "ratio"))
+    return taken.unionByName(small.mapInPandas(_in_order, "word string, name string, ratio double")).unionByName(rounds)
 
 
 #: Pairs are looked for at these ratios, one after the other: words that have their match at the first take no part in the wider search of the next.
-STEPS = (0.92, MATCH_RATIO)
+STEPS = (0.96, 0.92, MATCH_RATIO)
 
 
 def _scored(words: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
     """``word, name, score, ratio`` of pairs of ``words`` (word) and ``candidates`` (name): the ratio of the candidate to the word and, swapped, of the word to it."""
-    pairs = similarity_candidates(words, "word", candidates, "name", least).repartition("word", "name")
+    pairs = _dealt(similarity_candidates(words, "word", candidates, "name", least))
     return materialize(pairs.withColumns({"score": _ratio("name", "word"), "ratio": _ratio("word", "name")}).where(F.col("score") >= CANDIDATE_RATIO), "scored")
 
 
@@ -537,7 +563,7 @@ def match_by_similarity(words: DataFrame, word: str, candidates: DataFrame, cand
         left = materialize(left.join(sure, "word", "left_anti"), "words")
     unsure = best.where((F.col("score") < MATCH_RATIO) & (F.col("ratio") > MATCH_RATIO))
     if not unsure.isEmpty():
-        wide = similarity_candidates(unsure, "word", known, "name").repartition("word", "name").withColumn("score", _ratio("name", "word"))
+        wide = _dealt(similarity_candidates(unsure, "word", known, "name")).withColumn("score", _ratio("name", "word"))
         top = wide.groupBy(F.col("word").alias("_word")).agg(F.max(F.struct("score", "name"))["name"].alias("_top"))
         found.append(unsure.join(top, (F.col("word") == F.col("_word")) & (F.col("match") == F.col("_top")), "left_semi"))
     return reduce(DataFrame.unionByName, found).where(F.col("ratio") > MATCH_RATIO).select("word", "match", "ratio")

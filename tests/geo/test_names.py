@@ -263,3 +263,11 @@ def test_one_to_one_takes_the_same_at_any_steps(spark, monkeypatch):
     two = {tuple(r) for r in matching.match_by_similarity(df, "word", reg, "name", unique=True).collect()}
     monkeypatch.setattr(matching, "STEPS", (matching.MATCH_RATIO,))
     assert two and two == {tuple(r) for r in matching.match_by_similarity(df, "word", reg, "name", unique=True).collect()}
+
+
+def test_few_bytes_of_names_are_not_one_task(spark, monkeypatch):
+    """Names weigh little and ask for much: each step in Python is dealt over all partitions, whatever Spark thinks of the bytes."""
+    words, known = [f"borgo {i:03d}" for i in range(200)], [f"borgo {i:03d}x" for i in range(200)]
+    df, reg = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(k,) for k in known], "name string")
+    monkeypatch.setattr(matching, "_ratio", lambda a, b: 1 + F.spark_partition_id().cast("double"))
+    assert matching._scored(df, reg, 0.92).select("score").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,22 @@ def test_a_long_chain_takes_few_rounds(spark):
     pairs = [(f"w{i:04d}", f"n{i:04d}", 0.9 + i / 20_000) for i in range(n)] + [(f"w{i:04d}", f"n{i + 1:04d}", 0.9 + i / 20_000 + 1 / 40_000) for i in range(n - 1)]
     out = matching.assign_once(spark.createDataFrame(pairs, "word string, name string, ratio double"))
     assert {tuple(r) for r in out.collect()} == in_order(pairs)
+
+
+def test_pairs_that_are_told_apart_need_no_groups(spark, monkeypatch):
+    """Two rounds of pairs that are each other's best settle these; one large table of groups is not built."""
+    monkeypatch.setattr(matching, "connected_components", None)
+    pairs = [(f"w{i:02d}", f"n{i:02d}", 0.95) for i in range(40)] + [("w00", "n01", 0.9), ("w40", "n00", 0.9), ("w40", "n40", 0.89), ("w41", "n40", 0.88)]
+    out = matching.assign_once(spark.createDataFrame(pairs, "word string, name string, ratio double"))
+    assert {tuple(r) for r in out.collect()} == in_order(pairs)
+
+
+def test_a_group_is_taken_in_order_across_batches():
+    rng = random.Random(3)
+    pairs = pd.DataFrame([("g", f"w{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.randint(86, 90) / 100) for _ in range(60)], columns=["_group", "word", "name", "ratio"])
+    pairs = pairs.drop_duplicates(["word", "name"]).sort_values(["ratio", "word", "name"], ascending=[False, True, False])
+    both = pd.concat([pairs, pairs.assign(_group="h")])
+    batches = [both.iloc[i : i + 7] for i in range(0, len(both), 7)]
+    got = [tuple(r) for part in matching._in_order(iter(batches)) for r in part.itertuples(index=False)]
+    want = in_order([tuple(r) for r in pairs[["word", "name", "ratio"]].itertuples(index=False)])
+    assert len(got) == 2 * len(want) and set(got) == want
